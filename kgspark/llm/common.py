@@ -10,7 +10,6 @@ import tempfile
 import uuid
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,12 +83,13 @@ class Encoder:
     pieces: pieces in use move to the younger one, and the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 350_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.keep, self.longest, self.young, self.old = keep, longest, {}, {}
+        self.stop = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))  # after letters each is a pre-token
         vocab = self.tok.get_vocab()
         self.starts = bytearray(max(vocab.values(), default=0) + 1)  # 1 where a token begins with a space
         for token, i in vocab.items():
@@ -114,38 +114,55 @@ class Encoder:
         body = piece[1:] if piece[:1] == "\n" else piece
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
+    def _held(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces that follow a space or newline; None for one that can't be cut out safely."""
         if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
-        cache, old = self.young, self.old
-        pieces = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [p.pop(0) for p in pieces]
-        over = {}
-        if new := set(chain.from_iterable(pieces)).difference(cache):
-            kept = new.intersection(old)
+        cache, old, stop = self.young, self.old, self.stop
+        new = [p for p in pieces if p not in cache]
+        if kept := [p for p in new if p in old]:
             cache.update((p, old[p]) for p in kept)
-            new -= kept
-            plain = [p for p in new if p.isalpha()]
-            cache.update(zip(plain, self._letters(plain), strict=True))
-            rest = [p for p in new if not p.isalpha()]
-            safe = [p for p in rest if self._cut_safe(p)]
-            cache.update(dict.fromkeys(rest))
-            cache.update(zip(safe, self._ids([p if p[0] == "\n" else " " + p for p in safe]), strict=True))
-            over = [p for p in new if len(p) > self.longest]
-        first = self._ids(heads)
-        out = []
-        for text, head, start, rest in zip(texts, heads, first, pieces, strict=True):
-            try:
-                if rest and not (head[:1] != "\n" and self._cut_safe(head)):
-                    raise TypeError
-                out.append(start + b"".join(map(cache.__getitem__, rest)))
-            except TypeError:  # a piece that can't be cut out safely
-                out.append(self._ids([text])[0])
-        for p in over:
-            del cache[p]
+            new = [p for p in new if p not in cache]
+        bare = {p: p if p.isalpha() else p[:-1] for p in new if p.isalpha() or (p[-1:] in stop and p[:-1].isalpha())}
+        plain = list({w for w in bare.values() if w not in cache})
+        got = dict(zip(plain, self._letters(plain), strict=True))
+        cache.update((p, (got[w] if w in got else cache[w]) + (b"" if w is p else stop[p[-1]])) for p, w in bare.items())
+        rest = [p for p in new if p not in bare]
+        safe = [p for p in rest if self._cut_safe(p)]
+        cache.update(dict.fromkeys(rest))
+        cache.update(zip(safe, self._ids([p if p[0] == "\n" else " " + p for p in safe]), strict=True))
+        out = [cache[p] for p in pieces]
+        for p in new:
+            if len(p) > self.longest:
+                del cache[p]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        edge = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        heads = [pieces[i] for i in at[edge[:-1]]]
+        at[edge[:-1]] = np.arange(len(texts)) + len(pieces)  # a text's first piece follows no space
+        parts = self._held(pieces) + self._ids(heads)
+        odd = np.array([p is None for p in parts])
+        odd[len(pieces) :] = [not (h[:1] != "\n" and self._cut_safe(h)) for h in heads]
+        alone = np.add.reduceat(odd[at].astype(np.int64), edge[:-1]) > 0
+        size = np.fromiter((len(p or b"") // 4 for p in parts), np.int64, len(parts))
+        flat = np.frombuffer(b"".join(p or b"" for p in parts), "<u4")
+        first, n = np.cumsum(size) - size, size[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]))] if len(flat) else flat
+        stops = np.concatenate(([0], ends))[edge].tolist()
+        return [self._ids([t])[0] if one else ids[x:y].tobytes() for t, one, x, y in zip(texts, alone.tolist(), stops, stops[1:], strict=False)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -153,7 +170,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def chunks(rows: list, size_of, most: int = 2_000_000):
+def chunks(rows: list, size_of, most: int = 12_000_000):
     """Consecutive runs of rows of about `most` size units, to bound what a task holds at once."""
     run, held = [], 0
     for r in rows:
