@@ -83,7 +83,7 @@ class Encoder:
     pieces: pieces in use move to the younger one, and the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, keep: int = 350_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -170,7 +170,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def chunks(rows: list, size_of, most: int = 12_000_000):
+def chunks(rows: list, size_of, most: int = 8_000_000):
     """Consecutive runs of rows of about `most` size units, to bound what a task holds at once."""
     run, held = [], 0
     for r in rows:

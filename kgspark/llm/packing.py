@@ -101,18 +101,15 @@ class Schedule:
         left = (t - before.sum(1))[:, None]
         return before + np.clip(left - (np.cumsum(ties, 1) - ties), 0, ties)
 
-    def window_of(self, queue: int, place: int, length: int) -> int:
-        """The window that holds one id of a queue."""
+    def rank(self, queue, place):  # noqa: ANN001, ANN201
+        """Places in the stream of ids, given by queue and place in it (arrays)."""
         import numpy as np
 
-        low, high = 0, int(self.totals.sum()) // length + 1
-        while low < high:
-            mid = (low + high) // 2
-            if self.counts(np.array([(mid + 1) * length]).clip(max=int(self.totals.sum())))[0, queue] > place:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        v = (place * self.step[queue] + self.step[queue] // 2)[:, None]
+        first = np.arange(len(self.step))[None, :] < queue[:, None]  # at equal times the lower queue goes first
+        upto = np.clip((v - ~first - self.step // 2) // self.step + 1, 0, self.totals)
+        upto[np.arange(len(queue)), queue] = place
+        return upto.sum(1)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, targets: dict[str, float] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
@@ -136,38 +133,30 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
         import numpy as np
         import pyarrow as pa
 
-        known: dict[int, tuple[int, np.ndarray]] = {}  # by queue: first window held, counts at the windows' ends
-
-        def edges(q: int, place: int, stop: int) -> tuple[int, np.ndarray]:
-            """First window that has ids of the queue from `place` on, and running counts of all queues at window ends from there past `stop`."""
-            first, held = known.get(q, (0, None))
-            if held is None or held[0, q] > place or held[-1, q] < stop:
-                w = plan.window_of(q, place, length)
-                need, parts = 256, []
-                parts = plan.counts(np.minimum(np.arange(w, w + need + 1) * length, total))
-                while parts[-1, q] < stop:
-                    more = plan.counts(np.minimum(np.arange(w + len(parts), w + len(parts) + need) * length, total))
-                    parts, need = np.concatenate([parts, more]), need * 2
-                first, held = known[q] = (w, parts)
-            return first, held
-
+        names_of = np.array(names, object)
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, name, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "at", "n", "ids")), strict=True):
-                q = number[name]
-                data = np.frombuffer(ids, "<u2").astype("<u4") if len(ids) == 2 * n else np.frombuffer(ids, "<u4")
-                first, held = edges(q, at, at + n)
-                k = int(np.searchsorted(held[:, q], at, side="right")) - 1
-                done = 0
-                while done < n:
-                    size = min(n - done, int(held[k + 1, q]) - at - done)
-                    if size:
-                        ahead = int((held[k + 1, :q] - held[k, :q]).sum())
-                        for c, v in zip(out, (doc, done, size, zlib.crc32(data[done : done + size].tobytes()), n, first + k, ahead + at + done - int(held[k, q]), name), strict=True):
-                            c.append(v)
-                        done += size
-                    k += 1
-            types = [pa.int64()] * 7 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [f.split(" ")[0] for f in PIECES.split(", ")])
+            for at in chunks(list(range(batch.num_rows)), lambda i: 1, 1500):
+                part = batch.slice(at[0], len(at))
+                start, n = (part.column(c).to_numpy() for c in ("at", "n"))
+                queue = np.array([number[q] for q in part.column("queue").to_pylist()], np.int64)
+                ids = part.column("ids").to_pylist()
+                data = memoryview(b"".join(i if len(i) == 4 * k else np.frombuffer(i, "<u2").astype("<u4").tobytes() for i, k in zip(ids, n.tolist(), strict=True)))
+                w0, w1 = plan.rank(queue, start) // length, plan.rank(queue, start + n - 1) // length
+                many = w1 - w0 + 1
+                row = np.repeat(np.arange(len(n)), many)  # a candidate piece for each window from a document's first to its last
+                win = w0[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                used, inv = np.unique(win, return_inverse=True)
+                low, high = plan.counts(np.minimum(used * length, total)), plan.counts(np.minimum((used + 1) * length, total))
+                ahead = np.cumsum(high - low, 1) - (high - low)
+                q = queue[row]
+                a, z = np.maximum(start[row], low[inv, q]), np.minimum((start + n)[row], high[inv, q])
+                live = np.flatnonzero(z > a)
+                row, q, a, z, win, inv = row[live], q[live], a[live], z[live], win[live], inv[live]
+                begin = 4 * (a + (np.cumsum(n) - n - start)[row])
+                crc = [zlib.crc32(data[x:y]) for x, y in zip(begin.tolist(), (begin + 4 * (z - a)).tolist(), strict=True)]
+                offset = ahead[inv, q] + a - low[inv, q]
+                ids_of = part.column("doc_id").take(pa.array(row))
+                out = [ids_of, *[pa.array(np.asarray(c, np.int64)) for c in (a - start[row], z - a, crc, n[row], win, offset)], pa.array(names_of[q], pa.string())]
+                yield pa.RecordBatch.from_arrays(out, [f.split(" ")[0] for f in PIECES.split(", ")])
 
     return placed.mapInArrow(run, PIECES)
