@@ -1 +1,78 @@
-"""Driver queries over texts, vectors, threads and jobs."""
+"""Driver queries over texts, pages, vectors, evaluation pairs, threads and jobs, each with its DuckDB oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kgspark.functions import text as T
+from kgspark.operators import retrieval as R
+from kgspark.plans.fixtures import table
+from kgspark.plans.registry import ORACLES, QUERIES
+
+
+def _add(name, tables, oracle):  # noqa: ANN001, ANN202
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[name] = lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in tables.split()])
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+_N = "cast(count(*) as bigint)"
+_docs = lambda d: d.select(F.concat(F.lit("ws_"), "lang").alias("workspace_id"), "doc_id", F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
+_WORDS = "list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')"
+_add("fn_1_chunks", "documents", f"with d as (select doc_id, lang, text, {_WORDS} as w from documents), c as (select doc_id, lang, w, text, unnest(range(0, greatest(0, ceil((len(w) - 400) / 360.0)::bigint) + 1)) as i from d) select doc_id, i as chunk_index, 'ws_' || lang || ':doc://' || doc_id || ':' || i as chunk_id, case when len(w) <= 400 then text else array_to_string(list_slice(w, i * 360 + 1, i * 360 + 400), ' ') end as text from c")(lambda d: T.chunks(_docs(d)))
+_add("fn_2_char_windows", "documents", "with d as (select doc_id, substr('Document ' || doc_id || '. ' || text, 1, 40000) as b from documents), c as (select doc_id, b, unnest(range(0, case when length(b) <= 6000 then 1 else least(15, ceil(length(b) / 5400.0)::bigint) end)) as i from d) select doc_id, i as n, length(substr(b, i * 5400 + 1, 6000))::bigint as size, md5(substr(b, i * 5400 + 1, 6000)) as digest from c")(
+    lambda d: d.select("doc_id", F.posexplode(T.char_windows(F.substring(T.document_body(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.col("text")), 1, 40000))).alias("n", "w")).select("doc_id", F.col("n").cast("long").alias("n"), F.char_length("w").cast("long").alias("size"), F.md5("w").alias("digest")))
+_add("fn_8_url_ids", "pages", "select page_id, substr(sha256(url), 1, 16) as id from pages")(lambda p: p.select("page_id", T.doc_id_of(F.col("url")).alias("id")))
+_HEX = " + ".join(f"(('0x' || substr(h, {i * 8 + 1}, 8))::bigint % 7) * {pow(pow(2, 32, 7), 7 - i, 7)}" for i in range(8))
+_add("fn_9_buckets", "customer", f"with x as (select c_custkey, sha256(lower(trim(c_name))) as h from customer) select c_custkey, ({_HEX}) % 7 as bucket from x")(lambda c: c.select("c_custkey", T.bucket_of(F.col("c_name"), 7).alias("bucket")))
+_add("fn_11_trimmed_answers", "conversations", "with x as (select conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as t from conversations) select conv_id, turn, role, case when length(t) <= 100 then t else rtrim(case when instr(reverse(substr(t, 1, 100)), ' ') > 0 and 100 - instr(reverse(substr(t, 1, 100)), ' ') > 60 then substr(t, 1, 100 - instr(reverse(substr(t, 1, 100)), ' ')) else substr(t, 1, 100) end) || '…' end as short from x")(
+    lambda c: c.select("conv_id", "turn", "role", T.trim_answer(F.col("text"), 100).alias("short")))
+_add("fn_14_json", "events", "select event_id, try_cast(json_extract(props, '$.k') as bigint) as k from events")(lambda e: e.select("event_id", F.from_json("props", "k long")["k"].alias("k")))
+_add("fn_15_titles", "conversations", "select conv_id, substr(trim(coalesce(nullif(arg_min(text, turn), ''), 'Untitled')), 1, 200) as title from conversations where role = 'user' group by conv_id")(
+    lambda c: c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("q")).select("conv_id", T.thread_title(F.col("q")).alias("title")))
+_add("fil_9_read_only", "conversations", "select conv_id, turn, trim(coalesce(text, '')) <> '' and not regexp_matches(coalesce(text, ''), '(?i)\\b(CREATE|MERGE|DELETE|DETACH|SET|REMOVE|DROP|CALL|LOAD|FOREACH)\\b') as read_only from conversations")(
+    lambda c: c.select("conv_id", "turn", T.is_read_only(F.col("text")).alias("read_only")))
+_add("src_3_page_ids", "pages", "select page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), url) as title, substr(sha256(url), 1, 16) as id from pages")(
+    lambda p: p.select("page_id", F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit("")), "url").alias("title"), T.doc_id_of(F.col("url")).alias("id")))
+_add("src_3_page_texts", "pages", None)(lambda p: __import__("kgspark.sources.pages", fromlist=["extract_pages"]).extract_pages(p))
+_add("src_6_public_urls", "pages", "select page_id, regexp_matches(url, '(?i)^https?://') as public from pages")(lambda p: p.select("page_id", T.public_url(F.col("url")).alias("public")))
+_add("vec_2_topk", "embeddings", "with q as (select vec_id as qid, embedding::double[] as v from embeddings where vec_id < 20), c as (select vec_id as id, embedding::double[] as e from embeddings where vec_id >= 20), s as (select qid, id, 1 - list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e)) + 1e-10) as d from q, c) select qid, id, round(d, 6) as distance, row_number() over (partition by qid order by d, id)::bigint as rank from s qualify rank <= 8")(
+    lambda e: R.vector_topk(e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), e.where("vec_id >= 20").select(F.col("vec_id").alias("id"), "embedding"), 8).select("qid", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")))
+_add("vec_5_bands", "embeddings", "with n as (select vec_id as seq, label, embedding::double[] as e from embeddings), s as (select a.seq, b.seq as other, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-10) as sim from n a join n b on a.label = b.label and b.seq < a.seq) select seq, arg_max(other, {'s': sim, 'o': -other}) as best, round(max(sim), 6) as sim, case when max(sim) >= 0.35 then 'merge' when max(sim) < 0.25 then 'new' else 'borderline' end as band from s group by seq")(
+    lambda e: R.best_earlier(e.select(F.col("vec_id").alias("seq"), F.col("label").alias("kind"), "embedding"), 0.25, 0.35).withColumn("sim", F.round("sim", 6)))
+_add("vec_4_resolved", "embeddings", None)(lambda e: R.resolve(e.select(F.col("vec_id").alias("seq"), F.col("label").alias("kind"), "embedding"), 0.35))
+_add("vec_8_expected_strings", "documents benchmark", f"select item_id, {_N} as hits from benchmark b join documents d on contains(lower(d.text), lower(b.text)) group by item_id")(
+    lambda d, b: d.join(F.broadcast(b.select("item_id", F.lower("text").alias("want"))), F.contains(F.lower("text"), F.col("want"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits")))
+_route = lambda x, t: F.element_at(F.array(*map(F.lit, t)), (x + 1).cast("int"))
+_add("agg_14_confusion", "labels", f"with p as (select ['graph', 'vector', 'hybrid'][doc_id % 3 + 1] as expected, ['graph', 'vector', 'hybrid', 'other'][(doc_id * 7 + quality) % 4 + 1] as predicted from labels), g as (select unnest(['graph', 'vector', 'hybrid']) as expected), h as (select unnest(['graph', 'vector', 'hybrid', 'other']) as predicted) select g.expected, h.predicted, (select {_N} from p where p.expected = g.expected and p.predicted = h.predicted) as n from g, h")(
+    lambda x: R.confusion(x.select(_route(F.col("doc_id") % 3, ["graph", "vector", "hybrid"]).alias("expected"), _route((F.col("doc_id") * 7 + F.col("quality")) % 4, ["graph", "vector", "hybrid", "weird"]).alias("predicted")), ["graph", "vector", "hybrid"]))
+_add("agg_17_prf", "labels", "with c as (select count(*) filter (quality = 1 and toxic = 0) as tp, count(*) filter (quality = 1 and toxic <> 0) as fp, count(*) filter (quality <> 1 and toxic = 0) as fn, count(*) filter (quality <> 1 and toxic <> 0) as tn from labels) select *, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) as f1, (tp + tn) / (tp + fp + fn + tn) as accuracy from c")(
+    lambda x: R.prf(x.select((F.col("quality") == 1).alias("predicted"), (F.col("toxic") == 0).alias("actual"))))
+_verdicts = lambda x, d: x.join(d.select("doc_id", "source"), "doc_id").select(F.col("source").alias("answer"), F.col("doc_id").alias("claim"), (F.col("quality") == 1).alias("supported"))
+_VER = "with v as (select source as answer, doc_id as claim, quality = 1 as supported from labels join documents using (doc_id))"
+_add("agg_16_faithfulness", "labels documents", _VER + f", p as (select answer, avg(supported::int) as s, count(*) filter (not supported) as bad, {_N} as n from v group by answer) select round(avg(s), 6) as mean, round(sum(bad) / sum(n), 6) as unsupported_rate, sum(n)::bigint as claims, count(*) filter (bad > 0) as answers_with_unsupported from p")(lambda x, d: R.faithfulness(_verdicts(x, d)))
+_add("agg_11_trust", "labels documents", _VER + f" select answer, round_even(avg(supported::int), 3) as score, {_N} as total, coalesce(array_to_string(list_slice(list(claim order by claim) filter (not supported), 1, 10), ','), '') as unsupported from v group by answer")(lambda x, d: R.trust(_verdicts(x, d)))
+_add("agg_18_percentiles", "events", "with r as (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events) select event_type, value from r where r = round_even(0.99::double * (n - 1), 0) + 1")(lambda e: R.nearest_rank(e, "event_type", "value", 0.99))
+_add("win_2_last_turns", "conversations", "select conv_id, turn, role, text, count(*) over (partition by conv_id) as next_index from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 6")(lambda c: R.last_turns(c.select("conv_id", "turn", "role", "text")))
+_add("win_3_aged_out", "conversations", "select conv_id, turn, lag(turn, 6) over (partition by conv_id order by turn) as aged from conversations")(
+    lambda c: c.select("conv_id", "turn", F.lag("turn", 6).over(R.W.partitionBy("conv_id").orderBy("turn")).alias("aged")))
+_add("win_4_history", "conversations", "with r as (select conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') as line from conversations), u as (select *, sum(length(line) + 1) over (partition by conv_id order by turn desc) as used from r) select conv_id, string_agg(line, chr(10) order by turn) as history from u where used - 1 <= 1500 group by conv_id")(lambda c: R.history_block(c, 1500))
+_JOB = "with j as (select 'src_' || (user_id % 20) as source_id, 'doc_' || user_id as document_url, case event_type when 'signup' then 'queued' when 'purchase' then 'success' when 'error' then 'failed' else 'running' end as status, ts, event_id from events)"
+
+
+def _jobs(e):  # noqa: ANN001, ANN202
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("running")
+    return e.select(F.concat(F.lit("src_"), (F.col("user_id") % 20).cast("string")).alias("source_id"), F.concat(F.lit("doc_"), F.col("user_id").cast("string")).alias("document_url"), status.alias("status"), "ts", "event_id")
+
+
+_add("agg_9_job_counts", "events", _JOB + f" select source_id, {_N} as total, count(*) filter (status = 'success') as success, count(*) filter (status = 'failed') as failed, count(*) filter (status in ('queued', 'running')) as open from j group by source_id")(lambda e: R.job_counts(_jobs(e)))
+_STATE = ", s as (select source_id, document_url, case when count(*) filter (status = 'success') > 0 then 'success' else arg_max(status, {'t': ts, 'e': event_id}) end as status from j group by all)"
+_add("str_2_job_states", "events", _JOB + _STATE + " select * from s")(lambda e: R.job_states(_jobs(e)))
+_add("agg_10_rollup", "events", _JOB + _STATE + ", c as (select source_id, count(*) as n, count(*) filter (status = 'success') as ok, count(*) filter (status in ('queued', 'running')) as open from s group by source_id) select source_id, case when open > 0 then 'unchanged' when ok = 0 then 'error' else 'success' end as status, case when open = 0 and ok = 0 then 'All ' || n || ' document(s) failed to ingest.' else '' end as error from c")(lambda e: R.rollup_sources(R.job_states(_jobs(e))))
+_add("str_3_stuck", "events", _JOB + ", s as (select source_id, document_url, arg_max(status, {'t': ts, 'e': event_id}) as status, max(ts) as ts from j group by all) select source_id, document_url from s where status = 'running' and ts < (select max(ts) from events) - interval 15 minutes")(
+    lambda e: R.stuck(_jobs(e), F.lit(e.agg(F.max("ts")).first()[0])))
+_add("str_4_failures_by_hour", "events", f"select date_trunc('hour', ts) as hour, {_N} as failures from events where event_type = 'error' group by all")(lambda e: e.where("event_type = 'error'").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("failures")))
