@@ -43,10 +43,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, safe when an executor is lost, of known size."""
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -137,15 +137,16 @@ class Encoder:
                 del cache[p]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
+    def encode(self, texts) -> list[bytes]:  # noqa: ANN001
+        """Ids of each text of a list or Arrow array, as little-endian unsigned 32-bit bytes."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if not texts:
+        if not len(texts):
             return []
-        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(col, "\n", " \n"), " ")
         edge = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
         at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
@@ -161,7 +162,7 @@ class Encoder:
         ends = np.cumsum(n)
         ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]))] if len(flat) else flat
         stops = np.concatenate(([0], ends))[edge].tolist()
-        return [self._ids([t])[0] if one else ids[x:y].tobytes() for t, one, x, y in zip(texts, alone.tolist(), stops, stops[1:], strict=False)]
+        return [self._ids([col[i].as_py()])[0] if one else ids[x:y].tobytes() for i, (one, x, y) in enumerate(zip(alone.tolist(), stops, stops[1:], strict=False))]
 
 
 @lru_cache(maxsize=2)

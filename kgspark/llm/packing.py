@@ -44,24 +44,27 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int) -> D
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         enc, block, seen, end = encoder(tokenizer), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         narrow = max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "text")), strict=True))
-            for some in chunks(rows, lambda r: len(r[2]) + 50):
-                ids = [i + end for i in enc.encode([r[2] for r in some])]
+            size = pc.binary_length(batch.column("text")).to_pylist()
+            for rows in chunks(list(range(batch.num_rows)), lambda i: size[i] + 50):
+                some = batch.slice(rows[0], len(rows))
+                queues = some.column("queue").to_pylist()
+                ids = [i + end for i in enc.encode(some.column("text"))]
                 at, n = [], [len(i) // 4 for i in ids]
-                for (_, q, _), k in zip(some, n, strict=True):
+                for q, k in zip(queues, n, strict=True):
                     at.append(seen.get(q, 0))
                     seen[q] = at[-1] + k
                 if narrow:
                     ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
-                cols = [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.string()), pa.array([block] * len(some), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
+                cols = [some.column("doc_id"), some.column("queue"), pa.array([block] * len(rows), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "queue", "block", "at", "n", "ids"])
 
-    return written(rows.mapInArrow(run, "doc_id long, queue string, block int, at long, n long, ids binary"), "packing")
+    return written(rows.mapInArrow(run, "doc_id long, queue string, block int, at long, n long, ids binary"), "packing", "lz4")
 
 
 class Schedule:

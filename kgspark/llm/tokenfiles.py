@@ -45,6 +45,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, length: int
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         import pyarrow.ipc as ipc
 
         enc = encoder(tokenizer)
@@ -71,9 +72,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, length: int
 
         part = None
         for batch in batches:
-            got = list(zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True))
-            for some in chunks(got, lambda r: len(r[2]) + 50):
-                for (p, doc, _), ids in zip(some, enc.encode([r[2] for r in some]), strict=True):
+            size = pc.binary_length(batch.column("text")).to_pylist()
+            for rows in chunks(list(range(batch.num_rows)), lambda i: size[i] + 50):
+                some = batch.slice(rows[0], len(rows))
+                keys = zip(some.column("part").to_pylist(), some.column("doc_id").to_pylist(), strict=True)
+                for (p, doc), ids in zip(keys, enc.encode(some.column("text")), strict=True):
                     if p != part:
                         if state:
                             yield closed()
