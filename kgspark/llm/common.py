@@ -83,7 +83,7 @@ class Encoder:
     pieces: pieces in use move to the younger one, and the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 200_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -171,6 +171,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def unburdened() -> None:
+    """Drops what earlier operators' tasks left in this worker: encoder caches and unused Arrow memory."""
+    import gc
+
+    import pyarrow as pa
+
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(rows: list, size_of, most: int = 8_000_000):
     """Consecutive runs of rows of about `most` size units, to bound what a task holds at once."""
     run, held = [], 0

@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import chunks, words_of
+from kgspark.llm.common import chunks, unburdened, words_of
 
 WINDOW, BLOCK_BYTES = 10, 64 << 20
 SPANS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
@@ -76,8 +76,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("doc
         import numpy as np
         import pyarrow as pa
 
+        unburdened()
         for batch in batches:
-            for at in chunks(list(range(batch.num_rows)), lambda i: batch.column(1)[i].as_buffer().size + 50, 8_000_000):
+            for at in chunks(list(range(batch.num_rows)), lambda i: batch.column(1)[i].as_buffer().size + 50, 2_000_000):
                 part = batch.slice(at[0], len(at))
                 texts = part.column(1).to_pylist()
                 n_words, n_hit, items, spans = [], [], [], []

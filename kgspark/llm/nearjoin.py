@@ -23,7 +23,7 @@ from math import ceil, exp, log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import chunks, partitions, words_of, written
+from kgspark.llm.common import chunks, partitions, unburdened, words_of, written
 
 SHINGLE, LEAST, FAN, RECALL, LIMIT, LEVELS = 5, 0.8, 2.0, 0.99999, 3000, 3
 ROWS = "doc_id long, thash string, skey string, n long, tokens binary, keys1 array<long>, keys2 array<long>, keys3 array<long>"
@@ -50,7 +50,7 @@ def shingle_sets(texts: list[str], cache: dict, size: int = SHINGLE) -> list:
         for w in set(words).difference(cache):
             cache[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        if len(cache) > 300_000:
+        if len(cache) > 150_000:
             cache.clear()
         with np.errstate(over="ignore"):
             n = max(1, len(h) - size + 1) if len(h) else 0
@@ -88,10 +88,11 @@ def signed(docs: DataFrame, least: float = LEAST, fan: float = FAN, recall: floa
         import pyarrow as pa
         import xxhash
 
+        unburdened()
         cache: dict = {}
         for batch in batches:
             texts = batch.column(2)
-            for at in chunks(list(range(batch.num_rows)), lambda i: texts[i].as_buffer().size + 50):
+            for at in chunks(list(range(batch.num_rows)), lambda i: texts[i].as_buffer().size + 50, 1_500_000):
                 part = batch.slice(at[0], len(at))
                 hashes = part.column(1).to_pylist()
                 cols: list[list] = [[] for _ in range(6)]
@@ -200,6 +201,7 @@ def links(docs_signed: DataFrame, least: float = LEAST, limit: int = LIMIT) -> t
             keep = np.flatnonzero(n_links)
             return [(m[i][0], int(n_links[i]), int(weighted[i]), m[root[i]][0]) for i in keep]
 
+        unburdened()
         held, bucket, out = [], None, []
         names, kinds = ("skey", "links", "weighted", "root"), (pa.string(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
