@@ -172,14 +172,22 @@ def encoder(path: str) -> Encoder:
 
 
 def unburdened() -> None:
-    """Drops what earlier operators' tasks left in this worker: encoder caches and unused Arrow memory."""
+    """Drops what earlier operators' tasks left in this worker: encoder caches and unused memory."""
+    encoder.cache_clear()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives unused memory of this worker back to the system."""
+    import ctypes
     import gc
 
     import pyarrow as pa
 
-    encoder.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def chunks(rows: list, size_of, most: int = 8_000_000):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgspark.llm.common import chunks, encoder, written
+from kgspark.llm.common import chunks, encoder, written, trimmed
 
 LENGTH, MAX_QUEUES, BROADCAST_ROWS = 2048, 512, 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
@@ -47,6 +47,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int) -> D
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
+        trimmed()
         enc, block, seen, end = encoder(tokenizer), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         narrow = max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16
         for batch in batches:
@@ -136,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
         import numpy as np
         import pyarrow as pa
 
+        trimmed()
         names_of = np.array(names, object)
         for batch in batches:
             for at in chunks(list(range(batch.num_rows)), lambda i: 1, 1500):

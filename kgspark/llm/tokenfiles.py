@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgspark.llm.common import chunks, encoder, partitions, range_bounds, range_bucket, shared_dir
+from kgspark.llm.common import chunks, encoder, partitions, range_bounds, range_bucket, shared_dir, trimmed
 
 LENGTH, ROWS = 2048, 256
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_rows long"
@@ -48,6 +48,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, length: int
         import pyarrow.compute as pc
         import pyarrow.ipc as ipc
 
+        trimmed()
         enc = encoder(tokenizer)
         kind = np.uint16 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
