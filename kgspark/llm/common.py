@@ -78,64 +78,85 @@ class Encoder:
     """Whole-text encoding by the tokenizers library, with the ids of space-separated pieces kept between texts.
 
     A byte-level pattern of the kind used here always starts a new pre-token at a single space or
-    newline between other characters, so the ids of a text are those of its pieces in turn. A text with any
-    other white space next to such a cut is encoded in one call. The cache has two generations of `keep`
-    pieces: pieces in use move to the younger one, and the older one is dropped when the younger is full.
+    newline between other characters, so the ids of a text are those of its pieces in turn, and a stop after
+    letters alone is a pre-token of its own. A text with any other white space next to such a cut is encoded in one
+    call. Pieces and their ids are kept as Arrow and numpy arrays; when more than `keep` are held, those of the
+    last call alone stay.
     """
 
-    def __init__(self, path: str, keep: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 64):
+        import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.keep, self.longest, self.young, self.old = keep, longest, {}, {}
-        self.stop = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))  # after letters each is a pre-token
+        self.keep, self.longest = keep, longest
+        stops = [(c, np.frombuffer(i, "<u4")) for c, i in zip(".,;:!?", self._ids(list(".,;:!?")), strict=True)]
+        self.stops = pa.array([c for c, i in stops if len(i) == 1], pa.string())
+        self.stop_ids = np.array([i[0] for _, i in stops if len(i) == 1], np.int64)
         vocab = self.tok.get_vocab()
-        self.starts = bytearray(max(vocab.values(), default=0) + 1)  # 1 where a token begins with a space
+        self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)  # where a token begins with a space
         for token, i in vocab.items():
             self.starts[i] = token[:1] == "\u0120"
+        self.keys, self.size, self.odd, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of letters alone: joined by spaces each is one pre-token, so one call does for all of them."""
+    def _each(self, texts: list[str]):  # noqa: ANN202
+        """(sizes, ids end to end) of texts encoded one by one."""
+        import numpy as np
+
+        parts = self._ids(texts)
+        return np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts)), np.frombuffer(b"".join(parts), "<u4")
+
+    def _letters(self, words: list[str]):  # noqa: ANN202
+        """The same for words of letters alone that follow a space: joined by spaces each is one pre-token, so one call does for all of them."""
         import numpy as np
 
-        data = self._ids([" " + " ".join(pieces)])[0]
-        at = np.flatnonzero(np.frombuffer(self.starts, np.uint8)[np.frombuffer(data, "<u4")]).tolist()
-        if len(at) != len(pieces):
-            return self._ids([" " + p for p in pieces])
-        at.append(len(data) // 4)
-        return [data[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        ids = np.frombuffer(self._ids([" " + " ".join(words)])[0], "<u4")
+        at = np.flatnonzero(self.starts[ids])
+        return (np.diff(at, append=len(ids)), ids) if len(at) == len(words) else self._each([" " + w for w in words])
 
     @staticmethod
     def _cut_safe(piece: str) -> bool:
         body = piece[1:] if piece[:1] == "\n" else piece
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
-    def _held(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of distinct pieces that follow a space or newline; None for one that can't be cut out safely."""
-        if len(self.young) > self.keep:
-            self.young, self.old = {}, self.young
-        cache, old, stop = self.young, self.old, self.stop
-        new = [p for p in pieces if p not in cache]
-        if kept := [p for p in new if p in old]:
-            cache.update((p, old[p]) for p in kept)
-            new = [p for p in new if p not in cache]
-        bare = {p: p if p.isalpha() else p[:-1] for p in new if p.isalpha() or (p[-1:] in stop and p[:-1].isalpha())}
-        plain = list({w for w in bare.values() if w not in cache})
-        got = dict(zip(plain, self._letters(plain), strict=True))
-        cache.update((p, (got[w] if w in got else cache[w]) + (b"" if w is p else stop[p[-1]])) for p, w in bare.items())
-        rest = [p for p in new if p not in bare]
-        safe = [p for p in rest if self._cut_safe(p)]
-        cache.update(dict.fromkeys(rest))
-        cache.update(zip(safe, self._ids([p if p[0] == "\n" else " " + p for p in safe]), strict=True))
-        out = [cache[p] for p in pieces]
-        for p in new:
-            if len(p) > self.longest:
-                del cache[p]
-        return out
+    def _held(self, pieces):  # noqa: ANN001, ANN202
+        """(first, size, odd, flat): where in flat the ids are of distinct pieces that follow a space or newline; odd if one can't be cut out safely."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.index_in(pieces, value_set=self.keys)
+        missing = pc.is_null(found)
+        plain = pc.and_(missing, pc.utf8_is_alpha(pieces))
+        other = pc.and_not(missing, plain)
+        words, rest = pieces.filter(plain), pieces.filter(other)
+        texts = rest.to_pylist()
+        safe = np.array([self._cut_safe(p) for p in texts], bool)
+        word_size, word_ids = self._letters(words.to_pylist())
+        rest_size = np.zeros(len(texts), np.int64)
+        rest_size[safe], rest_ids = self._each([p if p[0] == "\n" else " " + p for p, ok in zip(texts, safe.tolist(), strict=True) if ok])
+        at = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = len(self.keys)
+        at[plain.to_numpy(zero_copy_only=False)] = held + np.arange(len(words))
+        at[other.to_numpy(zero_copy_only=False)] = held + len(words) + np.arange(len(rest))
+        keys = pa.concat_arrays([self.keys, words, rest])
+        size = np.concatenate([self.size, word_size, rest_size])
+        odd = np.concatenate([self.odd, np.zeros(len(words), bool), ~safe])
+        flat = np.concatenate([self.flat, word_ids, rest_ids])
+        stay = pc.less_equal(pc.binary_length(keys), self.longest).to_numpy(zero_copy_only=False)
+        if len(keys) > self.keep:
+            used = np.zeros(len(keys), bool)
+            used[at] = True
+            stay = stay & used
+        self.keys, self.size, self.odd, self.flat = keys.filter(pa.array(stay)), size[stay], odd[stay], flat[np.repeat(stay, size)]
+        return (np.cumsum(size) - size)[at], size[at], odd[at], flat
 
     def encode(self, texts) -> list[bytes]:  # noqa: ANN001
         """Ids of each text of a list or Arrow array, as little-endian unsigned 32-bit bytes."""
@@ -147,20 +168,31 @@ class Encoder:
             return []
         col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         cut = pc.split_pattern(pc.replace_substring(col, "\n", " \n"), " ")
-        edge = cut.offsets.to_numpy()
+        edge = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.dictionary_encode()
-        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        heads = [pieces[i] for i in at[edge[:-1]]]
-        at[edge[:-1]] = np.arange(len(texts)) + len(pieces)  # a text's first piece follows no space
-        parts = self._held(pieces) + self._ids(heads)
-        odd = np.array([p is None for p in parts])
-        odd[len(pieces) :] = [not (h[:1] != "\n" and self._cut_safe(h)) for h in heads]
+        at, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
+        stop = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), value_set=self.stops)
+        bare = pc.if_else(pc.is_valid(stop), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        plain = pc.utf8_is_alpha(bare)
+        stopped = pc.and_(plain, pc.is_valid(stop)).to_numpy(zero_copy_only=False)
+        keys = pc.if_else(plain, bare, pieces).dictionary_encode()
+        first, size, odd, flat = (x if i == 3 else x[keys.indices.to_numpy()] for i, x in enumerate(self._held(keys.dictionary)))
+
+        heads = pieces.take(pa.array(at[edge[:-1]])).to_pylist()
+        at[edge[:-1]] = np.arange(len(heads)) + len(pieces)  # a text's first piece follows no space
+        head_size, head_ids = self._each(heads)
+        first = np.concatenate([first, len(flat) + np.cumsum(head_size) - head_size])
+        size = np.concatenate([size + stopped, head_size])
+        odd = np.concatenate([odd, np.array([not (h[:1] != "\n" and self._cut_safe(h)) for h in heads], bool)])
+        tail = np.concatenate([np.where(stopped, self.stop_ids[stop.fill_null(0).to_numpy(zero_copy_only=False)], -1), np.full(len(heads), -1)])
+        flat = np.concatenate([flat, head_ids, np.zeros(1, np.uint32)])
+
         alone = np.add.reduceat(odd[at].astype(np.int64), edge[:-1]) > 0
-        size = np.fromiter((len(p or b"") // 4 for p in parts), np.int64, len(parts))
-        flat = np.frombuffer(b"".join(p or b"" for p in parts), "<u4")
-        first, n = np.cumsum(size) - size, size[at]
+        n = size[at]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]))] if len(flat) else flat
+        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]))]
+        tail = tail[at]
+        ids[ends[tail >= 0] - 1] = tail[tail >= 0]
         stops = np.concatenate(([0], ends))[edge].tolist()
         return [self._ids([col[i].as_py()])[0] if one else ids[x:y].tobytes() for i, (one, x, y) in enumerate(zip(alone.tolist(), stops, stops[1:], strict=False))]
 
