@@ -31,6 +31,7 @@ from pyspark.sql.window import Window as W
 from kgspark.llm.common import chunks, encoder, written, trimmed
 
 LENGTH, MAX_QUEUES, BROADCAST_ROWS = 2048, 512, 500_000
+CHUNK = 1_500_000  # bytes of text encoded at once: an encoder then adds under 100 MB to its worker
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
@@ -52,7 +53,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int) -> D
         narrow = max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16
         for batch in batches:
             size = pc.binary_length(batch.column("text")).to_pylist()
-            for rows in chunks(list(range(batch.num_rows)), lambda i: size[i] + 50):
+            for rows in chunks(list(range(batch.num_rows)), lambda i: size[i] + 50, CHUNK):
                 some = batch.slice(rows[0], len(rows))
                 queues = some.column("queue").to_pylist()
                 ids = [i + end for i in enc.encode(some.column("text"))]
