@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
+from kgspark.operators import evidence as V
 from kgspark.operators import retrieval as R
 from kgspark.plans.fixtures import table
 from kgspark.plans.registry import ORACLES, QUERIES
@@ -76,3 +77,10 @@ _add("agg_10_rollup", "events", _JOB + _STATE + ", c as (select source_id, count
 _add("str_3_stuck", "events", _JOB + ", s as (select source_id, document_url, arg_max(status, {'t': ts, 'e': event_id}) as status, max(ts) as ts from j group by all) select source_id, document_url from s where status = 'running' and ts < (select max(ts) from events) - interval 15 minutes")(
     lambda e: R.stuck(_jobs(e), F.lit(e.agg(F.max("ts")).first()[0])))
 _add("str_4_failures_by_hour", "events", f"select date_trunc('hour', ts) as hour, {_N} as failures from events where event_type = 'error' group by all")(lambda e: e.where("event_type = 'error'").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("failures")))
+_REPORT = "select conv_id * 1000 + turn as report_id, 'w' as ws, role as question, case when turn % 3 = 0 then null else 'u' || (conv_id % 5) end as user, conv_id as created_at from conversations"
+_add("win_1_versions", "conversations", f"with r as ({_REPORT}) select r.report_id, 1 + (select count(*) from r e where e.question is not distinct from r.question and (e.created_at, e.report_id) < (r.created_at, r.report_id) and (e.user is null or e.user = r.user)) as version from r")(
+    lambda c: V.report_versions(c.selectExpr("conv_id * 1000 + turn as report_id", "'w' as ws", "role as question", "case when turn % 3 = 0 then null else concat('u', conv_id % 5) end as user", "conv_id as created_at")).select("report_id", "version"))
+_add("agg_13_first_entities", "conversations", "select conv_id as qid, turn as pos, text as name from conversations where trim(text) <> '' qualify row_number() over (partition by conv_id, lower(trim(text)) order by turn) = 1")(
+    lambda c: V.first_entities(c.selectExpr("conv_id as qid", "turn as pos", "text as name")))
+_add("vec_10_routes", "labels", "select doc_id as qid, ['graph', 'vector', 'hybrid'][doc_id % 3 + 1] <> 'vector' or (quality = 1 and toxic = 0) as use_graph, ['graph', 'vector', 'hybrid'][doc_id % 3 + 1] <> 'graph' or (quality = 1 and toxic = 0) as use_vector from labels")(
+    lambda x: V.effective_route(x.select(F.col("doc_id").alias("qid"), _route(F.col("doc_id") % 3, ["graph", "vector", "hybrid"]).alias("route"), (F.col("quality") != 1).alias("forced"), F.col("toxic").alias("records"), F.lit(0).alias("stats"), F.col("toxic").alias("chunks"))))
