@@ -6,6 +6,8 @@ too. Sorted by fractional rank, the rows are cut into shards of equal counts (at
 
 No source is ever sorted in one task: ranks are a count of the rows in lower hash blocks, from a
 small table of block counts, plus a rank inside the block. The final order is cut up the same way.
+Blocks are 256 at least and grow with the table, so that none passes about `ROWS_A_BLOCK` rows; their number
+does not change any row's place.
 Only keys and hashes are shuffled, never texts.
 
 Defined cases: null sources form a source of their own; null texts have size 1 and the checksum of the
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BLOCKS = 1 << 8
+ROWS_A_BLOCK, LEAST_BITS = 1_000_000, 8
 
 
 def _placed(df: DataFrame, group: list[str], block: str, order: list[str], out: str) -> DataFrame:
@@ -39,17 +41,18 @@ def _placed(df: DataFrame, group: list[str], block: str, order: list[str], out:
 def stratified_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, strata: str = "source") -> DataFrame:
     """(doc_id, size, text_crc32, stratum, position, shard, slot) for every row of docs."""
     text = F.coalesce("text", F.lit(""))
+    bits = max(LEAST_BITS, (docs.count() // ROWS_A_BLOCK).bit_length())
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.col(strata).cast("string").alias("stratum"),
     ).withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "stratum"))
-    rows = rows.withColumn("_block", F.shiftrightunsigned("_hash", 56).cast("int"))
+    rows = rows.withColumn("_block", F.shiftrightunsigned("_hash", 64 - bits).cast("int"))
     ranked = _placed(rows, ["stratum"], "_block", ["_hash", "doc_id", "text_crc32"], "_rank")
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "stratum"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ranked = ranked.withColumn("_frac", (F.col("_rank") + start) / F.col("_rank_of"))
-    ranked = ranked.withColumn("_slice", F.floor(F.col("_frac") * (BLOCKS * 16)).cast("int"))
+    ranked = ranked.withColumn("_slice", F.floor(F.col("_frac") * (1 << bits + 4)).cast("int"))
     whole = _placed(ranked, [], "_slice", ["_frac", "stratum", "_hash", "doc_id", "text_crc32"], "position")
     shard = F.expr(f"position * {n_shards} div position_of")
     first = F.expr(f"(shard * position_of + {n_shards - 1}) div {n_shards}")

@@ -61,6 +61,15 @@ def test_sharding_is_even_and_gapless(docs):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_sharding_does_not_depend_on_blocks(docs, monkeypatch):
+    want = sorted(sharding.stratified_shards(docs, 4).collect(), key=repr)
+    monkeypatch.setattr(sharding, "LEAST_BITS", 1)
+    few = sorted(sharding.stratified_shards(docs, 4).collect(), key=repr)
+    monkeypatch.setattr(sharding, "ROWS_A_BLOCK", 1)
+    monkeypatch.setattr(sharding, "LEAST_BITS", 13)
+    assert want == few == sorted(sharding.stratified_shards(docs, 4).collect(), key=repr)
+
+
 def test_fingerprints_follow_the_edit_rule(docs):
     rows = fingerprints.edited_fingerprints(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id}
