@@ -1,12 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree of variable-length contexts.
 
 Symbols are the bytes of a text's tokens joined by single spaces, then an end symbol. Counts of every
-context of up to `DEPTH` symbols and next symbol come from all training texts. A context is retained if it holds at least a
-`SUPPORT` share of the training symbols (so at most 1 / SUPPORT contexts of a length) and its next-symbol
+context of up to `DEPTH` symbols and next symbol come from all training texts. A context is retained if it occurs `LEAST`
+times or more, at any size of the corpus, and its next-symbol
 distribution diverges from that of its longest proper suffix by more than `DIVERGENCE` nats over its occurrences; suffixes of
 retained contexts are retained too. Distributions are smoothed by the suffix's, weighted by the number of distinct next
 symbols, down to the uniform distribution over bytes. A symbol is scored in the longest retained suffix of what precedes it.
 
+The tree is a written table for each depth, pruned by joins of each depth with the one below, and so are the scores of all distinct
+grams (context and symbol). Frequent grams (at most `GRAMS`) go to every task; all others are joined by shuffle.
+
 Words are counted over all training texts as well, for a unigram base score. Frequent words (at most `HEAD`) go to
 every task; all others are joined by shuffle, so that no vocabulary is too large.
 
@@ -23,10 +26,11 @@ from math import log10
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kgspark.llm.common import chunks, written
 
-DEPTH, SUPPORT, DIVERGENCE, HEAD, ENTRIES = 5, 1e-5, 8.0, 250_000, 3_000_000
+DEPTH, LEAST, DIVERGENCE, HEAD, GRAMS = 5, 2, 8.0, 250_000, 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
 
@@ -101,93 +105,57 @@ def counts(docs: DataFrame) -> DataFrame:
     return written(partial.groupBy("word", "gram").agg(F.sum("n").alias("n")), "suffixtree-counts")
 
 
-class Tree:
-    """Retained contexts with log10 probabilities of their next symbols, and the log10 weight that passes to the suffix."""
+def _mask(depth: int) -> int:
+    """Bits of a context of `depth` symbols and its next symbol."""
+    return (1 << 8 * (depth + 1)) - 1
 
-    def __init__(self, levels: list):
-        """levels: for each depth (contexts, symbols, counts) of the retained contexts, as arrays; depth 0 first."""
-        import numpy as np
 
-        self.entry, self.logp, self.context, self.back = [], [], [], []
-        prob = np.full(256, 1 / 256)
-        for d, (ctx, sym, n) in enumerate(levels):
-            key = (ctx.astype(np.uint64) << np.uint64(8)) | sym.astype(np.uint64)
-            order = np.argsort(key)
-            key, ctx, sym, n = key[order], ctx[order].astype(np.uint64), sym[order], n[order].astype(float)
-            heads, inv, types = np.unique(ctx, return_inverse=True, return_counts=True)
-            total = np.bincount(inv, n, len(heads)) if len(heads) else np.zeros(0)
-            lower = prob[sym] if d == 0 else 10 ** self.log10_of((ctx & np.uint64((1 << 8 * (d - 1)) - 1)) << np.uint64(8) | sym.astype(np.uint64), d - 1)
-            self.entry.append(key)
-            self.logp.append(np.log10((n + types[inv] * lower) / (total + types)[inv]) if len(key) else np.zeros(0))
-            self.context.append(heads)
-            self.back.append(np.log10(types / (total + types)) if len(heads) else np.zeros(0))
-
-    def log10_of(self, key, depth: int = DEPTH):  # noqa: ANN001, ANN201
-        """log10 probability of each packed symbol after its context of `depth` symbols, in the longest retained suffix."""
-        import numpy as np
+def grown(table: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each depth of the tree of a table of counts: (key, p) of the next symbols of retained contexts and (ctx, back), the log10 weight passed to the suffix; written tables."""
+    nxt, whole = [None] * (DEPTH + 1), [None] * (DEPTH + 1)
+    nxt[DEPTH] = table.where("gram is not null").select(F.col("gram").alias("key"), "n")
+    for d in range(DEPTH - 1, -1, -1):
+        nxt[d] = written(nxt[d + 1].groupBy(F.col("key").bitwiseAND(_mask(d)).alias("key")).agg(F.sum("n").alias("n")), f"suffixtree-{d}")
+    for d in range(DEPTH + 1):
+        own = W.partitionBy("ctx")
+        e = nxt[d].withColumn("ctx", F.shiftrightunsigned("key", 8)).withColumn("all", F.sum("n").over(own)).withColumn("types", F.count(F.lit(1)).over(own))
+        whole[d] = written(e.where(F.col("all") >= LEAST) if d else e, f"suffixtree-whole{d}")
+    wanted = [None] * (DEPTH + 1)
+    for d in range(DEPTH, 0, -1):
+        suffix = whole[d - 1].select(F.col("key").alias("low"), F.col("n").alias("low_n"), F.col("all").alias("low_all"))
+        gain = F.col("n") * F.log(F.col("n") / F.col("all") * F.col("low_all") / F.col("low_n"))
+        both = whole[d].withColumn("low", F.col("key").bitwiseAND(_mask(d - 1))).join(suffix, "low")
+        passed = both.groupBy("ctx").agg(F.sum(gain).alias("gain")).where(F.col("gain") > DIVERGENCE).select("ctx")
+        if d < DEPTH:  # suffixes of longer retained contexts
+            passed = passed.unionByName(wanted[d + 1].select(F.col("ctx").bitwiseAND(_mask(d - 1)).alias("ctx"))).distinct()
+        wanted[d] = written(passed, f"suffixtree-wanted{d}")
+    levels: list = []
+    for d in range(DEPTH + 1):
+        held = whole[d].join(wanted[d], "ctx", "left_semi") if d else whole[d]
+        if d:
+            held = held.withColumn("low", F.col("key").bitwiseAND(_mask(d - 1))).join(levels[d - 1][0].select(F.col("key").alias("low"), F.col("p").alias("low_p")), "low")
+        low = F.col("low_p") if d else F.lit(1 / 256)
+        held = held.select("key", "ctx", ((F.col("n") + F.col("types") * low) / (F.col("all") + F.col("types"))).alias("p"), F.log10(F.col("types") / (F.col("all") + F.col("types"))).alias("back"))
+        held = written(held, f"suffixtree-level{d}")
+        levels.append((held.select("key", "p"), held.groupBy("ctx").agg(F.first("back").alias("back"))))
+    return levels
 
-        out, left = np.zeros(len(key)), np.arange(len(key))
-        for d in range(depth, -1, -1):
-            if not len(left):
-                break
-            k = key[left] & np.uint64((1 << 8 * (d + 1)) - 1)
-            if not len(self.entry[d]):
-                continue
-            at = np.minimum(np.searchsorted(self.entry[d], k), len(self.entry[d]) - 1)
-            hit = self.entry[d][at] == k
-            out[left[hit]] += self.logp[d][at[hit]]
-            left, k = left[~hit], k[~hit] >> np.uint64(8)
-            at = np.minimum(np.searchsorted(self.context[d], k), len(self.context[d]) - 1)
-            known = self.context[d][at] == k
-            out[left[known]] += self.back[d][at[known]]
-        out[left] -= log10(256)
-        return out
-
-
-def grown(table: DataFrame) -> Tree:
-    """The tree of a table of counts. Its size is bounded by SUPPORT, which is doubled until at most ENTRIES next symbols remain."""
-    import numpy as np
 
-    nxt = [None] * (DEPTH + 1)
-    nxt[DEPTH] = table.where("gram is not null").select(F.col("gram").alias("key"), "n")
-    total = nxt[DEPTH].agg(F.sum("n")).first()[0] or 0
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if not total:
-        return Tree([empty] * (DEPTH + 1))
-    support = SUPPORT
+def gram_scores(seen: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(key, n, score) of each distinct gram of seen (key, n): log10 probability of its last symbol in the longest retained suffix of its context."""
+    keys = [None] * DEPTH + [seen]
     for d in range(DEPTH - 1, -1, -1):
-        nxt[d] = written(nxt[d + 1].groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), f"suffixtree-{d}")
-    while True:
-        kept = []
-        for d in range(DEPTH + 1):
-            e = nxt[d].withColumn("ctx", F.shiftrightunsigned("key", 8))
-            size = e.groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= max(2.0, support * total))
-            kept.append(e.join(size, "ctx"))
-        counts_of = [k.count() for k in kept]
-        if sum(counts_of) <= ENTRIES:
-            break
-        support *= 2
-    levels, wanted = [None] * (DEPTH + 1), np.zeros(0, np.uint64)
-    held = [k.select("ctx", F.col("key").bitwiseAND(255).alias("sym"), "n", "all").toArrow() for k in kept]  # at most ENTRIES rows
-    cols = [tuple(t[c].to_numpy() for c in ("ctx", "sym", "n", "all")) for t in held]
-    for d in range(DEPTH, -1, -1):
-        ctx, sym, n, whole = cols[d]
-        ctx = ctx.astype(np.uint64)
+        keys[d] = written(keys[d + 1].select(F.col("key").bitwiseAND(_mask(d)).alias("key")).distinct(), f"suffixtree-keys{d}")
+    got = None
+    for d in range(DEPTH + 1):
+        entry, back = levels[d]
+        rows = keys[d].join(entry, "key", "left").withColumn("ctx", F.shiftrightunsigned("key", 8)).join(back, "ctx", "left")
+        low = F.lit(-log10(256))
         if d:
-            pctx, psym, pn, pall = cols[d - 1]
-            pkey = pctx.astype(np.uint64) << np.uint64(8) | psym.astype(np.uint64)
-            order = np.argsort(pkey)
-            at = order[np.searchsorted(pkey[order], (ctx & np.uint64((1 << 8 * (d - 1)) - 1)) << np.uint64(8) | sym.astype(np.uint64))]
-            gain = n * np.log((n / whole) / (pn[at] / pall[at]))
-            heads, inv = np.unique(ctx, return_inverse=True)
-            passed = heads[np.bincount(inv, gain, len(heads)) > DIVERGENCE] if len(heads) else heads
-            wanted = np.union1d(passed, wanted)  # suffixes of longer retained contexts are already in wanted
-            keep = np.isin(ctx, wanted)
-            levels[d] = (ctx[keep], sym[keep], n[keep])
-            wanted = np.unique(wanted & np.uint64((1 << 8 * (d - 1)) - 1))
-        else:
-            levels[d] = (ctx, sym, n)
-    return Tree(levels)
+            rows, low = rows.withColumn("low", F.col("key").bitwiseAND(_mask(d - 1))).join(got.select(F.col("key").alias("low"), F.col("score").alias("low_score")), "low"), F.col("low_score")
+        score = F.coalesce(F.log10("p"), F.coalesce("back", F.lit(0.0)) + low)
+        got = written(rows.select(*keys[d].columns, score.alias("score")), f"suffixtree-scores{d}")
+    return got
 
 
 class Frequent(dict):
@@ -197,39 +165,52 @@ class Frequent(dict):
         return float("nan")
 
 
-def _head(words: DataFrame, most: int) -> dict[bytes, float]:
-    """The words above the lowest count that at most `most` words reach."""
+def _head(counted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of counted above the lowest n that at most `most` rows reach, and the others."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    sizes = sorted(((r.k, r["count"]) for r in words.groupBy(step.alias("k")).count().collect()), reverse=True)  # a few hundred rows
-    least, held = None, 0
+    sizes = sorted(((r.k, r["count"]) for r in counted.groupBy(step.alias("k")).count().collect()), reverse=True)  # a few hundred rows
+    least, held = 1 << 30, 0
     for k, c in sizes:
         if held + c > most:
             break
         least, held = k, held + c
-    if least is None:
-        return {}
-    return {r.word.encode(): log10(r.n + 1) for r in words.where(step >= least).collect()}
+    return counted.where(step >= least), counted.where(step < least)
 
 
 def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learnt from rows that are not held out."""
+    import numpy as np
+
     spark = docs.sparkSession
     out = F.coalesce(held_out, F.lit(False))
     table = counts(docs.where(~out))
     words = table.where("word is not null").select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree = spark.sparkContext.broadcast(grown(table))
-    head = spark.sparkContext.broadcast(_head(words, HEAD))
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<string>"
+    grams_seen = table.where("gram is not null").select(F.col("gram").alias("key"), "n").unionByName(counts(docs.where(out)).where("gram is not null").select(F.col("gram").alias("key"), "n"))
+    known_grams = gram_scores(written(grams_seen.groupBy("key").agg(F.sum("n").alias("n")), "suffixtree-seen"), grown(table))
+    common, rare_grams = _head(known_grams, GRAMS)
+    held = common.select("key", "score").toArrow()  # at most GRAMS rows
+    order = np.argsort(held["key"].to_numpy())
+    tree = spark.sparkContext.broadcast((held["key"].to_numpy()[order].astype(np.uint64), held["score"].to_numpy()[order]))
+    frequent_words = _head(words, HEAD)[0].toArrow()
+    head = spark.sparkContext.broadcast({w.encode(): log10(n + 1) for w, n in zip(frequent_words["word"].to_pylist(), frequent_words["n"].to_pylist(), strict=True)})
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<string>, grams array<long>"
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        frequent, model, uid = Frequent(head.value), tree.value, TaskContext.get().partitionId() << 40
+        frequent, (common_key, common_val), uid = Frequent(head.value), tree.value, TaskContext.get().partitionId() << 40
         bits = 21
-        memo_key, memo_val = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)  # grams scored before
+        memo_key, memo_val = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)  # grams looked up before
+
+        def looked_up(k):  # noqa: ANN001, ANN202
+            """Scores of common grams; nan for any other."""
+            if not len(common_key):
+                return np.full(len(k), np.nan)
+            at = np.minimum(np.searchsorted(common_key, k), len(common_key) - 1)
+            return np.where(common_key[at] == k, common_val[at], np.nan)
 
         def logs(k):  # noqa: ANN001, ANN202
             with np.errstate(over="ignore"):
@@ -238,7 +219,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
             miss = np.flatnonzero(memo_key[slot] != k)
             if len(miss):
                 new = np.unique(k[miss])
-                got = model.log10_of(new)
+                got = looked_up(new)
                 val[miss] = got[np.searchsorted(new, k[miss])]
                 with np.errstate(over="ignore"):
                     at = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
@@ -264,15 +245,19 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 rest = pa.array([flat[i] for i in where.tolist()], pa.binary()).cast(pa.string())
                 edges = np.concatenate(([0], np.cumsum(n - known))).astype(np.int32)
                 k, start = grams([b" ".join(t[:-1]) for t in toks])
-                score = np.add.reduceat(logs(k), start)
-                cols = [pa.array(np.arange(uid, uid + len(toks))), part.column(0), part.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), rest)]
+                logp = logs(k)
+                other = np.isnan(logp)
+                score = np.add.reduceat(np.where(other, 0, logp), start)
+                left = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(other.astype(np.int64), start)))).astype(np.int32)), pa.array(k[other].view(np.int64)))
+                cols = [pa.array(np.arange(uid, uid + len(toks))), part.column(0), part.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), rest), left]
                 uid += len(toks)
                 yield pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in schema.split(", ")])
 
     rows = written(_texts(docs, F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out")).mapInArrow(run, schema), "suffixtree-scores")
     rest = rows.select("uid", F.explode("rest").alias("word")).join(words, "word").groupBy("uid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("sum"))
+    tails = rows.select("uid", F.explode("grams").alias("key")).join(rare_grams.select("key", F.col("score").alias("one")), "key").groupBy("uid").agg(F.sum("one").alias("tail"))
     base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(log10(total + distinct + 1))
-    return rows.drop("rest").join(rest, "uid", "left").select(
+    return rows.drop("rest", "grams").join(rest, "uid", "left").join(tails, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
     )

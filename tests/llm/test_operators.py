@@ -112,6 +112,53 @@ def test_suffix_tree_scores_every_row(docs):
     assert suffixtree.scores(docs, F.lit(True)).first().train_tokens == 0
 
 
+def suffix_tree_brute_force(texts, held_out):
+    """Scores by a tree in dictionaries, whatever share of the corpus a context has."""
+    from math import log, log10
+
+    import numpy as np
+
+    size, nxt = suffixtree.DEPTH, []
+    k, n = np.unique(suffixtree.grams(texts)[0], return_counts=True)
+    for d in range(size + 1):
+        level = {}
+        for key, c in zip(k.tolist(), n.tolist()):
+            key &= (1 << 8 * (d + 1)) - 1
+            at = level.setdefault(key >> 8, {})
+            at[key & 255] = at.get(key & 255, 0) + c
+        nxt.append(level)
+    keep = [{0}] + [set() for _ in range(size)]
+    for d in range(size, 0, -1):
+        for ctx, at in nxt[d].items():
+            low, total = nxt[d - 1][ctx & (1 << 8 * (d - 1)) - 1], sum(at.values())
+            if total >= 2 and sum(c * log(c / total * sum(low.values()) / low[s]) for s, c in at.items()) > suffixtree.DIVERGENCE:
+                keep[d].add(ctx)
+        if d > 1:
+            keep[d - 1] |= {c & (1 << 8 * (d - 1)) - 1 for c in keep[d]}
+
+    def p(key, d):
+        if d < 0:
+            return 1 / 256
+        low = p(key & (1 << 8 * d) - 1, d - 1) if d else 1 / 256
+        if key >> 8 not in keep[d]:
+            return low
+        at = nxt[d][key >> 8]
+        return (at.get(key & 255, 0) + len(at) * low) / (sum(at.values()) + len(at))
+
+    return [sum(log10(p(key, size)) for key in suffixtree.grams([t])[0].tolist()) for t in held_out]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 8])
+def test_suffix_tree_keeps_rare_contexts_of_large_corpora(spark, monkeypatch, most):
+    rare, held = [b"zqxjk vwpgh"] * 20, [b"zqxjk vwpgh", b"ab zqxjk \xc3\xa9", b""]
+    texts = [b"ab " * 1_000_000 + b"ab", *rare]  # each rare context holds less than 1e-5 of the symbols
+    rows = [(i, t.decode(), False) for i, t in enumerate(texts)] + [(100 + i, t.decode(), True) for i, t in enumerate(held)]
+    monkeypatch.setattr(suffixtree, "GRAMS", most, raising=False)
+    got = {r.doc_id: r.score for r in suffixtree.scores(spark.createDataFrame(rows, "doc_id long, text string, out boolean"), F.col("out")).collect()}
+    want = suffix_tree_brute_force(texts, [*held, rare[0]])
+    assert [got[100], got[101], got[102], got[1]] == pytest.approx(want, rel=1e-9)
+
+
 def test_toxicity_learns_a_word(spark):
     rows = [(i, "fine plain words here" + (" nasty" if i % 2 else "") + f" x{i}", "en") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
