@@ -2,10 +2,11 @@
 
 A text is its set of five-word shingle hashes. Equal sets are one representative from the start. In each of `runs`
 runs a set follows every token j with hash(run, j) < fan / |set|, so sets of high overlap meet in some token's
-bucket; a bucket above `limit` is split again on further sampled tokens (`levels` in all), the others
-are compared pair by pair, exactly. A pair misses one run with probability at most exp(-least * fan), so `runs`
-is chosen for the target recall: 8 runs of fan 2 give a miss of 3e-6. Buckets that are still large
-after the last level (thousands of true near copies) are compared block by block, so nothing is capped.
+bucket; a bucket above `limit` is split again on further sampled tokens (`levels` in all), chosen for each bucket apart, the
+others are compared pair by pair, exactly. A pair misses one run with probability at most exp(-least * fan), so `runs`
+is chosen for the target recall over all levels: 8 runs of fan 2 give a miss of 3e-6 a level. Buckets that a split would not
+make cheaper (thousands of true near copies) or that are still large after the last level are compared block by
+block, and a set of a split bucket that follows no token is compared with all of that bucket, so nothing is capped.
 
 Buckets with the same members count once, and a pair is counted only in the least bucket that both its sets are in. So
 links are counted and spanning edges found inside bucket tasks, and no table of pairs is ever made.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import chunks, partitions, unburdened, words_of, written
 
 SHINGLE, LEAST, FAN, RECALL, LIMIT, LEVELS = 5, 0.8, 2.0, 0.99999, 3000, 3
-ROWS = "doc_id long, thash string, skey string, n long, tokens binary, keys1 array<long>, keys2 array<long>, keys3 array<long>"
+ROWS = "doc_id long, thash string, skey string, n long, tokens binary, keys1 array<long>"
 
 
 def _mix(x):  # noqa: ANN001, ANN202
@@ -61,21 +62,22 @@ def shingle_sets(texts: list[str], cache: dict, size: int = SHINGLE) -> list:
     return out
 
 
-def _family(tokens, level: int, runs: int, fan: float):  # noqa: ANN001, ANN202
-    """Path keys of one level: for each run the tokens that the set follows."""
+def _family(tokens, runs: int, fan: float, path: int = 0):  # noqa: ANN001, ANN202
+    """Path keys below a path: for each run the tokens that the set follows. Each path has its own choice."""
     import numpy as np
 
-    keys = []
+    keys, seed = [], _mix(np.array([path], np.int64).view(np.uint64)) if path else np.zeros(1, np.uint64)
     for run in range(runs):
         with np.errstate(over="ignore"):
-            h = _mix(tokens + np.uint64((level * 1009 + run + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        limit = fan / max(1, len(tokens))
-        keys.append(_mix(h[h <= np.uint64(min(limit, 1.0) * (2**64 - 2048))]))
+            h = _mix(tokens + seed + np.uint64((1009 + run + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            limit = fan / max(1, len(tokens))
+            keys.append(_mix(h[h <= np.uint64(min(limit, 1.0) * (2**64 - 2048))] + seed))
     return np.unique(np.concatenate(keys)).view(np.int64) if len(tokens) else np.zeros(0, np.int64)
 
 
 def runs_for(least: float = LEAST, fan: float = FAN, recall: float = RECALL) -> int:
-    return ceil(log(1 - recall) / log(exp(-least * fan)))
+    """Runs at every level, so that all levels together miss a link with probability at most 1 - recall."""
+    return ceil(log((1 - recall) / LEVELS) / log(exp(-least * fan)))
 
 
 def signed(docs: DataFrame, least: float = LEAST, fan: float = FAN, recall: float = RECALL) -> DataFrame:
@@ -95,43 +97,75 @@ def signed(docs: DataFrame, least: float = LEAST, fan: float = FAN, recall: floa
             for at in chunks(list(range(batch.num_rows)), lambda i: texts[i].as_buffer().size + 50, 1_500_000):
                 part = batch.slice(at[0], len(at))
                 hashes = part.column(1).to_pylist()
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(4)]
                 for h, s in zip(hashes, shingle_sets(part.column(2).to_pylist(), cache), strict=True):
                     short = np.sort((s >> np.uint64(32)).astype(np.uint32))
                     cols[0].append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else f"empty {h}")
                     cols[1].append(len(s))
                     cols[2].append(np.diff(short, prepend=np.uint32(0)).tobytes())
-                    cols[3].append(_family(s, 1, runs, fan))
-                    cols[4].append(_family(s, 2, 3, fan))
-                    cols[5].append(_family(s, 3, 3, fan))
-                kinds = [pa.string(), pa.int64(), pa.binary()] + [pa.list_(pa.int64())] * 3
+                    cols[3].append(_family(s, runs, fan))
+                kinds = [pa.string(), pa.int64(), pa.binary()] + [pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], [f.split(" ")[0] for f in ROWS.split(", ")])
 
     return written(rows.mapInArrow(run, ROWS), "nearjoin-rows")
 
 
-def _buckets(reps: DataFrame, limit: int) -> DataFrame:
+def _split(large: DataFrame, docs_signed: DataFrame, runs: int, fan: float) -> DataFrame:
+    """(path, skey, size, child) of the members of large buckets; child is null for a set that follows no token."""
+    tokens = docs_signed.join(large.select("skey").distinct(), "skey", "left_semi").groupBy("skey").agg(F.first("tokens").alias("tokens"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                keys = []
+                for path, t in zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    keys.append(_family(np.cumsum(np.frombuffer(t, np.uint32), dtype=np.uint32).astype(np.uint64), runs, fan, path))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(3)], pa.array(keys, pa.list_(pa.int64()))], ["path", "skey", "size", "keys"])
+
+    rows = large.join(tokens, "skey").select("path", "skey", "size", "tokens").mapInArrow(run, "path long, skey string, size long, keys array<long>")
+    return written(rows.select("path", "skey", "size", F.explode_outer("keys").alias("child")), "nearjoin-split")
+
+
+def _blocks(large: DataFrame, limit: int) -> DataFrame:
+    """large with its buckets' number of blocks of half a limit, and each set's own."""
+    blocks = (F.floor(F.col("size") / max(1, limit // 2)) + 1).cast("int")
+    return large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("skey"), F.col("blocks")).cast("int"))
+
+
+def _exact(large: DataFrame, limit: int) -> DataFrame:
+    """(path, members) of every pair of blocks of large buckets."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("a"), F.greatest(b, F.col("own")).alias("b")))
+    dealt = _blocks(large, limit).withColumn("pair", F.explode(pairs))
+    return dealt.groupBy("path", "pair").agg(F.array_sort(F.collect_list("skey")).alias("members")).select(F.xxhash64("path", "pair").alias("path"), "members")
+
+
+def _buckets(reps: DataFrame, docs_signed: DataFrame, limit: int, runs: int, fan: float) -> DataFrame:
     """Distinct buckets: (bucket, members) of at most limit sets, or blocks' pairs of a larger one."""
-    deeper = [reps.select("skey", F.col(k).alias("keys")) for k in ("keys2", "keys3")]
     paths, found = reps.select("skey", F.explode("keys1").alias("path")), []
     for level in range(LEVELS):
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        held = written(paths.join(sizes, "path"), f"nearjoin-paths{level}")
+        held = written(paths.join(sizes, "path").select("path", "skey", "size"), f"nearjoin-paths{level}")
         found.append(held.where(F.col("size") <= limit).groupBy("path").agg(F.array_sort(F.collect_list("skey")).alias("members")))
         large = held.where(F.col("size") > limit)
         if large.limit(1).count() == 0:
-            large = None
             break
-        if level < LEVELS - 1:
-            kids = large.join(deeper[level], "skey").select("skey", F.explode(F.transform("keys", lambda k: F.xxhash64("path", k))).alias("path"))
-            paths = kids.distinct()
-    if large is not None:  # exact way for the rest: every pair of blocks of a large bucket
-        half = limit // 2
-        blocks = (F.floor(F.col("size") / half) + 1).cast("int")
-        own = F.pmod(F.xxhash64("skey"), blocks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("a"), F.greatest(b, own).alias("b")))
-        dealt = large.withColumn("pair", F.explode(pairs))
-        found.append(dealt.groupBy("path", "pair").agg(F.array_sort(F.collect_list("skey")).alias("members")).select(F.xxhash64("path", "pair").alias("path"), "members"))
+        if level == LEVELS - 1:
+            found.append(_exact(large, limit))
+            break
+        kids = _split(large, docs_signed, runs, fan)
+        # A split that saves no comparisons (true near copies) is not made: all pairs of the bucket are compared.
+        work = kids.where("child is not null").groupBy("path", "child").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("path").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+        vain = written(large.select("path", "size").distinct().join(work, "path").where(F.col("work") >= F.col("size").cast("double") * F.col("size")).select("path"), "nearjoin-vain")
+        found.append(_exact(large.join(vain, "path", "left_semi"), limit))
+        kids = kids.join(vain, "path", "left_anti")
+        lone = kids.where("child is null").groupBy("path").agg(F.collect_list("skey").alias("lone"))  # each is compared with all of its bucket
+        dealt = _blocks(large.join(lone, "path"), limit).groupBy("path", "own").agg(F.collect_list("skey").alias("block"), F.first("lone").alias("lone"))
+        found.append(dealt.select(F.xxhash64("path", "own", F.lit("lone")).alias("path"), F.array_sort(F.array_union("block", "lone")).alias("members")))
+        paths = kids.where("child is not null").select("skey", F.col("child").alias("path")).distinct()
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -181,11 +215,11 @@ def _compared(m: list, least: float, bucket: int):  # noqa: ANN202
     return near.sum(1), near @ np.array([x[1] for x in m]), root
 
 
-def links(docs_signed: DataFrame, least: float = LEAST, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def links(docs_signed: DataFrame, least: float = LEAST, limit: int = LIMIT, fan: float = FAN) -> tuple[DataFrame, DataFrame]:
     """(reps with copies, per set and bucket: links, weighted links and the set reached)."""
-    reps = docs_signed.groupBy("skey").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(k).alias(k) for k in ("keys1", "keys2", "keys3")])
+    reps = docs_signed.groupBy("skey").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys1").alias("keys1"))
     reps = written(reps, "nearjoin-reps")
-    buckets = written(_buckets(reps.where("size(keys1) > 0"), limit), "nearjoin-buckets")
+    buckets = written(_buckets(reps.where("size(keys1) > 0"), docs_signed, limit, runs_for(least, FAN), fan), "nearjoin-buckets")
     places = buckets.select("bucket", F.explode("members").alias("skey")).groupBy("skey").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
     sets = docs_signed.join(places, "skey").select("skey", "buckets", "tokens", "doc_id", "thash")
     one = sets.withColumn("_n", F.row_number().over(_first())).where("_n = 1").select("skey", "buckets", "tokens")

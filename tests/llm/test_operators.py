@@ -148,6 +148,29 @@ def suffix_tree_brute_force(texts, held_out):
     return [sum(log10(p(key, size)) for key in suffixtree.grams([t])[0].tolist()) for t in held_out]
 
 
+@pytest.mark.parametrize("fan", [2.0, 0.0001])  # with the second, sets of a split bucket follow no token
+def test_near_join_keeps_every_link_of_large_groups(spark, fan):
+    import random
+
+    deal = random.Random(5)
+    shared = [f"s{i}" for i in range(200)]
+    texts = {}
+    for i in range(120):  # near copies of one text, each with some words of its own
+        words = list(shared)
+        for k in deal.sample(range(200), deal.choice((1, 2, 3))):
+            words[k] = f"x{i}y{k}"
+        texts[i] = " ".join(words)
+    for i in range(120, 240):  # a passage in common, else different
+        texts[i] = " ".join([*shared[:12], *(f"z{i}q{k}" for k in range(60))])
+    want = nearjoin.brute_force(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = nearjoin.signed(docs)
+    for limit in (20, 100):
+        reps, found = nearjoin.links(rows, limit=limit, fan=fan)
+        got = {r.first: r.n for r in reps.join(found.groupBy("skey").agg(F.sum("links").alias("n")), "skey").collect()}
+        assert got == {k: len(v) for k, v in want.items() if v}
+
+
 @pytest.mark.parametrize("most", [2_000_000, 8])
 def test_suffix_tree_keeps_rare_contexts_of_large_corpora(spark, monkeypatch, most):
     rare, held = [b"zqxjk vwpgh"] * 20, [b"zqxjk vwpgh", b"ab zqxjk \xc3\xa9", b""]
