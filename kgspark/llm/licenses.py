@@ -1,7 +1,7 @@
 """License scan: ordered signature rules over whole texts, as DataFrame expressions alone.
 
-A rule is a label, a priority, a keyword and a regular expression over the normalised text (words joined by
-single spaces). A rule's expression is tried only on texts that hold its keyword; texts with no
+A rule is a label, a priority, keywords and a regular expression over the normalised text (words joined by
+single spaces). Every match of an expression holds one of its keywords, so it is tried only on texts that do; texts with no
 keyword at all skip the rule table. Of the detections in a text, one whose span lies inside the span of
 another of equal or higher priority is suppressed, and so is one inside a longer span of any priority
 when that span's rule names the license in full. Equal spans keep the rule of higher priority, then the first rule.
@@ -27,36 +27,36 @@ TERMS = r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 VERSION = r"(?: (?:version|v|ver|release))?"
 LATER = r"(?: or (?:\(?at your option\)? )?(?:any )?later(?: version)?| or newer| plus)?"
 
-#: (label, keyword, full name, short name): families of licences and the names they go by.
+#: (label, keywords, full name, short name): families of licences and the names they go by.
 FAMILIES = (
     ("apache-1.0", "apache", r"apache (?:software )?license" + VERSION + r" 1 0", r"apache 1 0"),
     ("apache-1.1", "apache", r"apache (?:software )?license" + VERSION + r" 1 1", r"apache 1 1"),
-    ("apache-2.0", "apache", r"apache (?:software )?license" + VERSION + r" 2(?: 0)?", r"(?:apache|al|asl) 2(?: 0)?"),
+    ("apache-2.0", "apache al asl", r"apache (?:software )?license" + VERSION + r" 2(?: 0)?", r"(?:apache|al|asl) 2(?: 0)?"),
     ("apache", "apache", r"apache (?:software )?license", r"apache licensed"),
     ("mit", "mit", r"mit (?:x11 )?licen[cs]e", r"mit licensed"),
     ("mit-0", "mit", r"mit no attribution(?: license)?", r"mit 0"),
     ("x11", "x11", r"x11 license", r"x11 licensed"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd|freebsd|two clause bsd)(?: license)?", r"bsd 2"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|simplified bsd|freebsd|two clause bsd)(?: license)?", r"bsd 2"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|new bsd|modified bsd|revised bsd|three clause bsd)(?: license)?", r"bsd 3"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|original bsd|four clause bsd)(?: license)?", r"bsd 4"),
-    ("bsd", "bsd", r"(?:berkeley software distribution|bsd)(?: style)? licen[cs]e", r"bsd licensed"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)(?: license)?", r"0bsd"),
+    ("bsd", "bsd berkeley", r"(?:berkeley software distribution|bsd)(?: style)? licen[cs]e", r"bsd licensed"),
+    ("0bsd", "bsd 0bsd", r"(?:zero clause bsd|bsd zero clause)(?: license)?", r"0bsd"),
     ("isc", "isc", r"isc licen[cs]e", r"isc licensed"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib licensed"),
-    ("gpl-1.0", "general", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 1(?: 0)?" + LATER, r"gpl(?: ?v)? ?1(?: 0)?"),
-    ("gpl-2.0", "general", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 2(?: 0)?" + LATER, r"gpl v? ?2(?: 0)?"),
-    ("gpl-3.0", "general", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 3(?: 0)?" + LATER, r"gpl v? ?3(?: 0)?"),
-    ("gpl", "general", r"(?:gnu )?general public licen[cs]e", r"gnu gpl"),
+    ("gpl-1.0", "general gpl gplv gpl1 gplv1", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 1(?: 0)?" + LATER, r"gpl(?: ?v)? ?1(?: 0)?"),
+    ("gpl-2.0", "general gpl gpl2 gplv2", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 2(?: 0)?" + LATER, r"gpl v? ?2(?: 0)?"),
+    ("gpl-3.0", "general gpl gpl3 gplv3", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 3(?: 0)?" + LATER, r"gpl v? ?3(?: 0)?"),
+    ("gpl", "general gpl", r"(?:gnu )?general public licen[cs]e", r"gnu gpl"),
     ("gpl-2.0", "gplv2", r"gnu gplv2", r"gplv2"),
     ("gpl-3.0", "gplv3", r"gnu gplv3", r"gplv3"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[cs]e" + VERSION + r" 2(?: [01])?" + LATER, r"lesser gpl 2"),
+    ("lgpl-2.1", "lesser library", r"(?:gnu )?(?:lesser|library) general public licen[cs]e" + VERSION + r" 2(?: [01])?" + LATER, r"lesser gpl 2"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e" + VERSION + r" 3(?: 0)?" + LATER, r"lesser gpl 3"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e", r"lesser gpl"),
     ("lgpl-2.1", "lgplv2", r"gnu lgplv2(?: 1)?", r"lgplv2(?: 1)?"),
     ("lgpl-3.0", "lgplv3", r"gnu lgplv3", r"lgplv3"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e(?:" + VERSION + r" 3(?: 0)?)?" + LATER, r"affero gpl"),
     ("agpl-3.0", "agplv3", r"gnu agplv3", r"agplv3"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e(?:" + VERSION + r" 1 [123])?", r"gnu fdl"),
+    ("gfdl", "documentation fdl", r"(?:gnu )?free documentation licen[cs]e(?:" + VERSION + r" 1 [123])?", r"gnu fdl"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e" + VERSION + r" 1 1", r"mozilla 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e" + VERSION + r" 2(?: 0)?", r"mozilla 2 0"),
     ("mpl", "mozilla", r"mozilla public licen[cs]e", r"mozilla licensed"),
@@ -112,7 +112,7 @@ FAMILIES = (
     ("nasa-1.3", "nasa", r"nasa open source agreement(?: 1 3)?", r"nasa nosa"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", r"ncsa licensed"),
 )
-#: (label, priority, keyword, expression): notices and grants that belong to no family.
+#: (label, priority, keywords, expression): notices and grants that belong to no family.
 NOTICES = (
     ("reserved", 2, "reserved", r"all rights (?:are )?(?:strictly )?reserved(?: worldwide)?"),
     ("reserved", 1, "reserved", r"(?:some|no) rights reserved"),
@@ -134,14 +134,14 @@ NOTICES = (
     ("non-commercial", 1, "commercial", r"(?:for )?non commercial use only|not for commercial use"),
     ("evaluation", 1, "evaluation", r"for evaluation (?:purposes )?only"),
     ("reference", 1, "spdx", r"spdx license identifier (?:\w+ ?){1,4}"),
-    ("reference", 1, "license", r"see (?:the )?licen[cs]e(?: file| txt| md)?(?: for (?:more )?(?:details|information))?"),
-    ("reference", 1, "license", r"licen[cs]e (?:agreement|file|terms|text)"),
-    ("trademark", 1, "trademark", r"(?:registered )?trademarks? of"),
+    ("reference", 1, "license licence", r"see (?:the )?licen[cs]e(?: file| txt| md)?(?: for (?:more )?(?:details|information))?"),
+    ("reference", 1, "license licence", r"licen[cs]e (?:agreement|file|terms|text)"),
+    ("trademark", 1, "trademark trademarks", r"(?:registered )?trademarks? of"),
 )
 
 
 def rules() -> list[tuple[str, int, str, str, str]]:
-    """(label, priority, keyword, expression, kind), in order: each family as a grant in full (4), by name (3) and by its short name (2)."""
+    """(label, priority, keywords, expression, kind), in order: each family as a grant in full (4), by name (3) and by its short name (2)."""
     out = []
     for label, key, full, short in FAMILIES:
         out += [(label, 4, key, f"{GRANT} {TERMS}(?:{full})", "grant"), (label, 3, key, full, "name"), (label, 2, key, short, "short")]
@@ -154,7 +154,7 @@ SURE = {4: 0.99, 3: 0.9, 2: 0.75, 1: 0.5}
 
 def _rule_table() -> Column:
     return F.array(*[
-        F.struct(F.lit(i).alias("n"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(f" {key} ").alias("key"), F.lit(rf"(?<= )(?:{rx})(?= )").alias("rx"))
+        F.struct(F.lit(i).alias("n"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.array(*[F.lit(f" {k} ") for k in key.split(" ")]).alias("keys"), F.lit(rf"(?<= )(?:{rx})(?= )").alias("rx"))
         for i, (label, p, key, rx, _) in enumerate(rules())
     ])
 
@@ -177,10 +177,10 @@ def _found(norm: Column, rule: Column) -> Column:
 
 def detections(docs: DataFrame) -> DataFrame:
     """doc_id, _words, and found: the detections that stay, as array<struct(start, stop, priority, n, label)> over the normalised text."""
-    keys = sorted({k for _, _, k, _, _ in rules()})
+    keys = sorted({k for _, _, ks, _, _ in rules() for k in ks.split(" ")})
     rows = docs.select("doc_id", words_col(F.col("text")).alias("_words"))
     rows = rows.withColumn("_norm", F.when(F.arrays_overlap("_words", F.array(*map(F.lit, keys))), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))))
-    tried = F.filter(_rule_table(), lambda r: F.contains(F.col("_norm"), r["key"]))
+    tried = F.filter(_rule_table(), lambda r: F.exists(r["keys"], lambda k: F.contains(F.col("_norm"), k)))
     every = F.flatten(F.transform(tried, lambda r: _found(F.col("_norm"), r)))
     none = F.array().cast("array<struct<start:int,stop:int,priority:int,n:int,label:string>>")
     rows = rows.withColumn("_all", F.when(F.col("_norm").isNotNull(), every).otherwise(none))
