@@ -186,8 +186,8 @@ def suffix_tree_brute_force(texts, held_out):
     return [sum(log10(p(key, size)) for key in suffixtree.grams([t])[0].tolist()) for t in held_out]
 
 
-@pytest.mark.parametrize("fan", [2.0, 0.0001])  # with the second, sets of a split bucket follow no token
-def test_near_join_keeps_every_link_of_large_groups(spark, fan):
+@pytest.mark.parametrize("fans", [nearjoin.FANS, (2.0, 1.0, 1.0)])  # with the second, a third of the sets of a split bucket follow no token there
+def test_near_join_keeps_every_link_of_large_groups(spark, fans):
     import random
 
     deal = random.Random(5)
@@ -202,9 +202,9 @@ def test_near_join_keeps_every_link_of_large_groups(spark, fan):
         texts[i] = " ".join([*shared[:12], *(f"z{i}q{k}" for k in range(60))])
     want = nearjoin.brute_force(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = nearjoin.signed(docs)
+    rows = nearjoin.signed(docs, fans=fans)
     for limit in (20, 100):
-        reps, found = nearjoin.links(rows, limit=limit, fan=fan)
+        reps, found = nearjoin.links(rows, limit=limit, fans=fans)
         got = {r.first: r.n for r in reps.join(found.groupBy("skey").agg(F.sum("links").alias("n")), "skey").collect()}
         assert got == {k: len(v) for k, v in want.items() if v}
 
