@@ -40,6 +40,41 @@ def test_packing_keeps_every_id_once(docs):
         assert at == 64 or k == max(by)
 
 
+@pytest.mark.parametrize("targets", [None, {"a": 0.7, "b": 0.3}, {"a": 0.01, "c": 5.0, "none here": 2.0}, {packing.NULL_SOURCE: 1.0}])
+def test_packing_is_deficit_round_robin(spark, targets):
+    """Every piece lies where round-robin one round after another puts it; what each source has sent stays within a piece of its share."""
+    import random
+
+    deal = random.Random(3)
+    rows = [(i, " ".join(f"w{deal.randrange(500)}" for _ in range(deal.choice((0, 3, 20, 60, 300)))), deal.choice(("a", "a", "a", "b", "c", None))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = packing.pack(docs, tokenizer(), length=64, targets=targets, quantum=16).collect()
+    sizes = [(d, packing.NULL_SOURCE if s is None else s, len(ids(t)) + 1) for d, t, s in rows]
+    want = packing.brute_force(sizes, 64, targets, 16)
+    assert sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in got) == sorted(want)
+    full = {d: [*ids(t), 1] for d, t, _ in rows}
+    import numpy as np
+
+    assert all(r.ids_crc32 == zlib.crc32(np.array(full[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(full[r.doc_id]) for r in got)
+    if targets is None or len(targets) == 2:  # while all sources last, every window's start finds each within two pieces and a round of its share
+        share = {q: n / sum(m for _, p, m in sizes if not targets or p in targets) for q, n in ((q, sum(m for _, p, m in sizes if p == q)) for q in {p for _, p, _ in sizes})} if not targets else targets
+        left = {q: sum(m for _, p, m in sizes if p == q) for q in share}
+        sent = dict.fromkeys(share, 0)
+        for k in range(max(r.sequence_id for r in got)):
+            here = [r for r in got if r.sequence_id == k and r.queue in share]
+            for r in here:
+                sent[r.queue] += r.length
+            if any(sent[q] > left[q] - 64 for q in share):
+                break
+            assert all(abs(sent[q] - share[q] * sum(sent.values())) <= 2 * 16 * len(share) + 64 for q in share)
+
+
+@pytest.mark.parametrize("targets", [{}, {"a": -1.0}, {"a": float("nan")}, {"a": 0.0}])
+def test_packing_refuses_useless_targets(targets):
+    with pytest.raises(ValueError):
+        packing.checked(targets)
+
+
 def test_token_files_round_trip(docs):
     got = tokenfiles.read_documents(tokenfiles.write_token_files(docs, tokenizer(), 2)).collect()
     import numpy as np
