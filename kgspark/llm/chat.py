@@ -1,6 +1,6 @@
 """Chat formatting by event sourcing: fold conversation logs into final messages, then render turns.
 
-Events (conv_id, seq, kind, msg_id, role, text), in order of (seq, kind, role, text) within a message:
+Events (conv_id, seq, kind, msg_id, role, text), seq of any type that Spark orders, in order of (seq, kind, role, text) within a message:
 - `message` starts a message (role, text), or starts it afresh;
 - `delta` appends text;
 - `edit` replaces the text so far;
@@ -10,7 +10,8 @@ A message stands where its first event stood. Events of no known kind, and messa
 event, are kept with role null (rendered empty) so that no text is lost.
 
 Folding groups by message, not by conversation, and rendering works row by row: a conversation of any length
-is never held whole. `digests` walks the rendered turns of a conversation in order with constant state.
+is never held whole. `digests` walks the rendered turns of a conversation in order with constant state: a digest of a sequence can't be computed in
+parts, so each conversation's turns pass through one task, sorted by Spark (on disk where needed) and one at a time.
 
 The template is `### {role}: {text}</turn>\\n`. In roles and texts `\\` becomes `\\0`, `###` `\\3`, `</turn>`
 `\\t`, and in roles `:` `\\c`, so no text can forge a turn and parsing gives every text back.
@@ -31,24 +32,35 @@ from pyspark.sql.window import Window as W
 
 from kgspark.llm.common import partitions, written
 
-EVENTS = "conv_id long, seq long, kind string, msg_id string, role string, text string"
+EVENTS = "conv_id long, seq struct<known: boolean, turn: long, n: long, at: long>, kind string, msg_id string, role string, text string"
 DELTA = 2_000
 
 
 def events_of(turns: DataFrame, delta: int = DELTA) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log: each turn is begun empty, then streamed in deltas of `delta` code points."""
+    """Rows (conv_id, turn, role, text) as the log of a chat service whose final messages they are.
+
+    A turn is begun, then streamed in deltas of `delta` code points. By a hash, a quarter of the turns are begun with a draft that an edit
+    replaces, a quarter stream a draft that is regenerated, and a quarter also had a reply to the draft, which the regeneration drops.
+    """
     one = W.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(one))
-    n = F.char_length("text")
-    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / delta).cast("int")), lambda i: F.struct((i + 1).alias("at"), F.lit("delta").alias("kind"), F.substring("text", i * delta + 1, F.lit(delta)).alias("text"))))
-    begin = F.array(F.struct(F.lit(0).alias("at"), F.lit("message").alias("kind"), F.lit("").alias("text")))
-    log = F.concat(begin, F.coalesce(parts, F.array().cast("array<struct<at:int,kind:string,text:string>>")))
+    rows = rows.withColumn("n", F.row_number().over(one).cast("long"))
+    n, variant = F.char_length("text"), F.pmod(F.xxhash64("conv_id", "turn", "n"), F.lit(4))
+    draft = F.substring("text", F.lit(1), F.least(F.floor(n / 2), F.lit(delta)).cast("int"))
+    event = lambda at, kind, own, text: F.struct(F.lit(at).cast("long").alias("at"), kind.alias("kind"), F.lit(own).alias("own"), text.alias("text"))
+    start = event(0, F.lit("message"), True, F.when(variant == 1, draft).otherwise(""))
+    reply = [event(2, F.lit("message"), False, F.lit("")), event(3, F.lit("delta"), False, draft)]
+    again = event(4, F.lit("regenerate"), True, F.lit(None).cast("string"))
+    first = event(1, F.lit("delta"), True, draft)
+    before = F.when(variant == 3, F.array(start, first, *reply, again)).when(variant == 2, F.array(start, first, again)).otherwise(F.array(start))
+    places = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / delta), F.lit(0)).cast("int"))
+    parts = F.transform(places, lambda i: event(i.cast("long") + 5, F.when((i == 0) & (variant == 1), "edit").otherwise("delta"), True, F.substring("text", i * delta + 1, F.lit(delta))))
     msg = F.concat_ws("/", F.coalesce(F.col("turn").cast("string"), F.lit("null")), "n")
-    rows = rows.select("conv_id", "turn", "n", msg.alias("msg_id"), "role", F.explode(log).alias("e"))
-    # A turn's events follow one another: seq has room for repeated turns and for their parts.
-    seq = F.coalesce("turn", F.lit(-1)) * F.lit(1 << 40) + F.col("n") * F.lit(1 << 20) + F.col("e.at")
-    return rows.select("conv_id", seq.alias("seq"), F.col("e.kind").alias("kind"), "msg_id", "role", F.col("e.text").alias("text"))
+    rows = rows.select("conv_id", "turn", "n", msg.alias("msg_id"), "role", F.explode(F.concat(before, parts)).alias("e"))
+    # A turn's events follow one another; null turns come before all others.
+    seq = F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"), "n", F.col("e.at").alias("at"))
+    msg_id, role = F.when(F.col("e.own"), F.col("msg_id")).otherwise(F.concat("msg_id", F.lit("/reply"))), F.when(F.col("e.own"), F.col("role")).otherwise("user")
+    return rows.select("conv_id", seq.alias("seq"), F.col("e.kind").alias("kind"), msg_id.alias("msg_id"), role.alias("role"), F.col("e.text").alias("text"))
 
 
 def folded(events: DataFrame) -> DataFrame:
