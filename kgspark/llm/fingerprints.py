@@ -47,9 +47,11 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
 
 
-def merged(a: str, b: str) -> Column:
-    """The sketch of the union of two texts' shingles."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: str, b: str, fraction: float = FRACTION) -> Column:
+    """The sketch of the union of two texts' shingles: hashes below the threshold, or else the least one."""
+    every = F.array_sort(F.array_union(a, b))
+    low = F.filter(every, lambda h: h < F.lit(int(fraction * (1 << 48))))
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(every, 1, 1))
 
 
 def printed(sketch: str) -> Column:
