@@ -5,12 +5,13 @@ greatest activation over the whole text, and a logistic layer gives the score. O
 As a filter is a sum of one matrix product for each of its words, scoring looks up products that were
 computed once for each bucket, so that long texts cost a few additions a word.
 
-Training takes at most `per_class` labelled rows of each class (a documented bound, chosen by a hash of doc_id among the
-training rows) to the driver; everything else runs on executors over all rows. A language's threshold
-is the score that best splits its training rows (balanced accuracy, ties to the middle); languages with too few take 0.5.
+Training takes about `per_class` labelled documents of each class and `most_bytes` of their text at most (documented bounds, chosen by a hash of doc_id
+among the training rows) to the driver, as word buckets; everything else runs on executors over all rows. A fifth of the labelled training documents, by another hash,
+is never fitted but sets the thresholds: a language's is the score, to a thousandth, that best splits all of its rows in that fifth (balanced
+accuracy, the nearest to 0.5 of equal ones); a language with fewer than 40 of them takes 0.5.
 
 Defined cases: null texts and texts without words score as no words at all; conflicting labels of a document count as toxic;
-null labels are ignored; without both classes to learn from, every score is 0; null or unknown languages have threshold
+of repeated doc_ids the least text is fitted; null labels are ignored; without both classes to learn from, every score is 0; null or unknown languages have threshold
 0.5; repeated rows score alike; very long texts are read whole; an empty table gives no rows.
 """
 
@@ -22,10 +23,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgspark.llm.common import chunks, unburdened, words_of
 
-BUCKETS, WIDTHS, FILTERS, DIM, PER_CLASS = 1 << 15, (1, 2, 3), 8, 12, 4_000
+BUCKETS, WIDTHS, FILTERS, DIM = 1 << 15, (1, 2, 3), 8, 12
+PER_CLASS, MOST_BYTES, LEAST, BINS = 4_000, 32 << 20, 4, 1000
 
 
 def hashed(texts: list[str], cache: dict, buckets: int = BUCKETS):  # noqa: ANN201
@@ -67,10 +70,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.concatenate(pooled, 1) @ self.out + self.out_bias, -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 10, rate: float = 0.01, least: int = 4, seed: int = 7) -> Model:
+def fit(words: list, labels: list[int], prior: float = 0.5, epochs: int = 10, rate: float = 0.01, least: int = LEAST, seed: int = 7) -> Model:
     """Adam on the class-balanced logistic loss; the gradient of a pooled filter reaches the words of its greatest window.
 
-    Buckets in fewer than `least` of the texts are left neutral, so that no text is learnt by heart. prior: the share of toxic
+    words: the buckets of each text's words, with padding. Buckets in fewer than `least` of the texts are left neutral, so that no text is learnt by heart. prior: the share of toxic
     rows among all training rows, to which the scores are moved back.
     """
     import numpy as np
@@ -78,13 +81,13 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 1
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model()
-    rng, cache = np.random.default_rng(seed), {}
-    ids, starts = hashed(texts, cache)
-    stops = np.append(starts[1:], len(ids))
+    rng, ids = np.random.default_rng(seed), np.concatenate(words)
+    stops = np.cumsum([len(w) for w in words])
+    starts = stops - [len(w) for w in words]
     seen = np.zeros(BUCKETS, np.int64)
     for a, b in zip(starts, stops, strict=True):
         seen[np.unique(ids[a:b])] += 1
-    rare = seen < max(least, len(y) // 250)
+    rare = seen < least
     ids = np.where(rare[ids], 0, ids)
     p = {"e": rng.normal(0, 0.1, (BUCKETS, DIM)), "o": rng.normal(0, 0.3, len(WIDTHS) * FILTERS), "ob": np.zeros(1)}
     p["e"][0] = 0
@@ -138,54 +141,79 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5, epochs: int = 1
     return Model(tables, [p[f"b{w}"].astype(np.float32) for w in WIDTHS], p["o"].astype(np.float32), float(p["ob"][0] + np.log(prior / (1 - prior))))
 
 
-def threshold(scores, labels) -> float:  # noqa: ANN001
-    """The cut of best balanced accuracy, in the middle of its gap; 0.5 when a class is missing."""
+def threshold(clean: list[int], toxic: list[int]) -> float:
+    """The cut of best balanced accuracy, nearest to 0.5 of equal ones, from counts by score bin; 0.5 when a class is missing."""
     import numpy as np
 
-    s, y = np.asarray(scores, float), np.asarray(labels)
-    if not len(y) or y.min() == y.max():
+    c, t = np.asarray(clean, float), np.asarray(toxic, float)
+    if not c.sum() or not t.sum():
         return 0.5
-    order = np.argsort(s)
-    s, y = s[order], y[order]
-    good = np.concatenate(([0], np.cumsum(y == 0))) / (y == 0).sum() + (1 - np.concatenate(([0], np.cumsum(y == 1))) / (y == 1).sum())
-    edges = np.concatenate(([0.0], s, [1.0]))
-    valid = np.concatenate(([True], s[1:] > s[:-1], [True]))
-    best = np.flatnonzero(valid & (good >= good[valid].max() - 1e-12))
-    cuts = (edges[best] + edges[best + 1]) / 2
+    good = np.concatenate(([0], np.cumsum(c))) / c.sum() + 1 - np.concatenate(([0], np.cumsum(t))) / t.sum()
+    cuts = np.flatnonzero(good >= good.max() - 1e-12) / len(c)
     return float(cuts[np.argmin(np.abs(cuts - 0.5))])
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, per_class: int = PER_CLASS) -> Model:
+def _marked(docs: DataFrame, labels: DataFrame, training: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, _toxic) of training labels, and the rows (doc_id, text, lang, _toxic) that they mark."""
+    use = training if training is not None else F.lit(True)
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    return marks, rows.join(marks, "doc_id")
+
+
+def _calibrates() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(5)) == 0
+
+
+def _hashed_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, _toxic, ids): word buckets of the texts of rows, two bytes each."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        cache: dict = {}
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ids, starts = hashed(texts, cache)
+            stops = np.append(starts[1:], len(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([ids[a:b].astype("<u2").tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary())], ["doc_id", "_toxic", "ids"])
+
+    return rows.select("doc_id", "text", "_toxic").mapInArrow(run, "doc_id long, _toxic int, ids binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
     """Fits a model and its thresholds. training: which doc_ids may be learnt from (all by default)."""
     import numpy as np
 
-    use = training if training is not None else F.lit(True)
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(use).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    sizes = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
+    marks, rows = _marked(docs, labels, training)
+    sizes = {r["_toxic"]: (r.n, r.size) for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
     if len(sizes) < 2:
         return Model()
     share = F.lit(1.0)
-    for k, n in sizes.items():
-        share = F.when(F.col("_toxic") == k, F.lit(min(1.0, per_class / n))).otherwise(share)
+    for k, n in {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}.items():
+        mean = sizes[k][1] / sizes[k][0] if k in sizes else 0
+        share = F.when(F.col("_toxic") == k, F.lit(min(1.0, per_class / n, most_bytes / max(1.0, mean * n)))).otherwise(share)
     spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = marks.where(spread < share).limit(3 * per_class)  # a bound that the hash shares keep far below
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = sorted((r.doc_id, r.text, r.lang, r["_toxic"]) for r in rows.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).collect())
-    prior = sum(n for k, n in sizes.items() if k) / sum(sizes.values())
-    model = fit([g[1] for g in got], [g[3] for g in got], prior)
-    if model.out is not None:
-        scores = np.concatenate([model.scores(*hashed([g[1] for g in got[i : i + 250]], {})) for i in range(0, len(got), 250)])
-        for lang in {g[2] for g in got} - {""}:
-            own = [i for i, g in enumerate(got) if g[2] == lang]
-            if len(own) >= 40:
-                model.thresholds[lang] = threshold(scores[own], [got[i][3] for i in own])
+    chosen = rows.where(~_calibrates() & (spread < share)).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"), F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.ids, r["_toxic"]) for r in _hashed_rows(chosen).collect())  # about per_class rows and most_bytes of text a class
+    prior = sum(n for k, (n, _) in sizes.items() if k) / sum(n for n, _ in sizes.values())
+    model = fit([np.frombuffer(g[1], "<u2").astype(np.int32) for g in got], [g[2] for g in got], prior)
+    if model.out is None:
+        return model
+    marked = scored(rows.where(_calibrates()), model, ["lang", "_toxic"])
+    bins = marked.groupBy("row.lang", "row._toxic", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts: dict[str, list] = {}
+    for r in bins.where("lang <> ''").collect():  # 2 * BINS rows a language at most
+        counts.setdefault(r.lang, [[0] * BINS, [0] * BINS])[r["_toxic"] != 0][r.bin] = r.n
+    model.thresholds = {lang: threshold(*c) for lang, c in counts.items() if sum(map(sum, c)) >= 40}
     return model
 
 
-def scored(docs: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
-    """struct row of columns, score, threshold (of the row's language)."""
-    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    schema = rows.select("row").schema.simpleString()[len("struct<") : -1].replace("row:", "row ", 1)
+def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """row (a struct of columns of docs), score, threshold (of the row's language)."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"), docs["lang"].cast("string").alias("lang"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * FILTERS * sum(WIDTHS) floats: 6 MB
 
     def run(batches: Iterator) -> Iterator:
@@ -202,12 +230,12 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame
                 cuts = [m.thresholds.get(x, 0.5) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(cuts, pa.float64())], ["row", "score", "threshold"])
 
-    return rows.mapInArrow(run, f"{schema}, score double, threshold double")
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, score, predicted (at 0.5), threshold and flagged (by language) for every row."""
-    got = scored(docs, train(docs, labels, ~held_out), ("doc_id",)).select("row.doc_id", "score", "threshold")
+    got = scored(docs, train(docs, labels, ~held_out), ["doc_id"]).select("row.doc_id", "score", "threshold")
     return got.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"),
@@ -216,5 +244,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that score below both 0.5 and their language's threshold."""
-    got = scored(docs, train(docs, labels), tuple(docs.columns))
+    got = scored(docs, train(docs, labels), docs.columns)
     return got.where("score < 0.5 and score < greatest(threshold, 0.25)").select("row.*")
