@@ -33,7 +33,7 @@ from kgspark.llm.common import chunks, encoder, partitions, trimmed, written
 
 LENGTH, QUANTUM, BROADCAST_ROWS = 2048, 512, 500_000
 CHUNK = 1_500_000  # bytes of text encoded at once: an encoder then adds under 100 MB to its worker
-BUCKET, BUCKETS = 4_000_000, 100_000  # ids of a bucket of rounds at least; buckets at most, but for one more at each queue's end
+BUCKET, BUCKETS = 500_000, 100_000  # ids of a bucket of rounds at least; buckets at most, but for one more at each queue's end
 NULL_SOURCE = "\x00null"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
