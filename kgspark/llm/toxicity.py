@@ -153,12 +153,10 @@ def threshold(clean: list[int], toxic: list[int]) -> float:
     return float(cuts[np.argmin(np.abs(cuts - 0.5))])
 
 
-def _marked(docs: DataFrame, labels: DataFrame, training: Column | None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, _toxic) of training labels, and the rows (doc_id, text, lang, _toxic) that they mark."""
+def _marks(labels: DataFrame, training: Column | None) -> DataFrame:
+    """(doc_id, _toxic) of training labels."""
     use = training if training is not None else F.lit(True)
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    return marks, rows.join(marks, "doc_id")
+    return labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
 
 
 def _calibrates() -> Column:
@@ -186,8 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, pe
     """Fits a model and its thresholds. training: which doc_ids may be learnt from (all by default)."""
     import numpy as np
 
-    marks, rows = _marked(docs, labels, training)
-    sizes = {r["_toxic"]: (r.n, r.size) for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    marks = _marks(labels, training)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    marked = rows.select("doc_id", F.octet_length("text").alias("size")).join(marks, "doc_id")  # texts are never shuffled
+    sizes = {r["_toxic"]: (r.n, r.size) for r in marked.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     if len(sizes) < 2:
         return Model()
     share = F.lit(1.0)
@@ -195,14 +195,15 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, pe
         mean = sizes[k][1] / sizes[k][0] if k in sizes else 0
         share = F.when(F.col("_toxic") == k, F.lit(min(1.0, per_class / n, most_bytes / max(1.0, mean * n)))).otherwise(share)
     spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(~_calibrates() & (spread < share)).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"), F.min("text").alias("text"))
-    got = sorted((r.doc_id, r.ids, r["_toxic"]) for r in _hashed_rows(chosen).collect())  # about per_class rows and most_bytes of text a class
+    few = F.broadcast(marks.where(~_calibrates() & (spread < share)))  # about per_class rows a class
+    chosen = rows.join(few, "doc_id").groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"), F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.ids, r["_toxic"]) for r in _hashed_rows(chosen).collect())  # and most_bytes of text
     prior = sum(n for k, (n, _) in sizes.items() if k) / sum(n for n, _ in sizes.values())
     model = fit([np.frombuffer(g[1], "<u2").astype(np.int32) for g in got], [g[2] for g in got], prior)
     if model.out is None:
         return model
-    marked = scored(rows.where(_calibrates()), model, ["lang", "_toxic"])
-    bins = marked.groupBy("row.lang", "row._toxic", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = scored(rows.where(_calibrates()), model, ["doc_id", "lang"]).select("row.doc_id", "row.lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    bins = bins.join(marks, "doc_id").groupBy("lang", "_toxic", "bin").agg(F.count(F.lit(1)).alias("n"))
     counts: dict[str, list] = {}
     for r in bins.where("lang <> ''").collect():  # 2 * BINS rows a language at most
         counts.setdefault(r.lang, [[0] * BINS, [0] * BINS])[r["_toxic"] != 0][r.bin] = r.n
