@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JOB_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"  # the URL namespace of RFC 4122
-WRITE_WORDS = ("CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "CALL", "LOAD", "FOREACH")
+#: The clauses of the public openCypher manual that write, load or call; white space in one stands for any.
+WRITE_CLAUSES = ("CREATE", "MERGE", "SET", "DELETE", "DETACH", "REMOVE", "FOREACH", "LOAD CSV", "CALL", "DROP")
+#: Public forms of arXiv identifiers (new and old), of their addresses and of category codes.
+ARXIV_NEW, ARXIV_OLD = r"\d{4}\.\d{4,5}(?:v\d+)?", r"[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?"
+ARXIV_URL = r"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/([^\s?#]+?)(?:\.pdf)?$"
+CATEGORY = r"^[a-z][a-z0-9-]*\.[A-Za-z][A-Za-z0-9-]*$"
+#: IPv4 blocks that are private, loopback, link-local, documentation, benchmarking, multicast, reserved or unspecified (RFC 6890 and its successors).
+INNER_IPV4 = (
+    r"^(?:0|10|127)\.|^169\.254\.|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.|^(?:22[4-9]|23\d|24\d|25[0-5])\."
+)
+#: The public part of IPv6 is 2000::/3 without 2001::/23, 2001:db8::/32, 2002::/16 and 3fff::/20.
+PUBLIC_IPV6, INNER_IPV6 = r"^[23][0-9a-f]{3}:", r"^(?:2001:(?:0*[01]?[0-9a-f]{0,2}|0?db8):|2002:|3fff:0?[0-9a-f]{0,3}:)"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def chunk_words(text: Column, size: int = 400, overlap: int = 40) -> Column:
-    """Windows of `size` words every size - overlap; a text of at most `size` words is its own, unchanged."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(size - overlap))).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * (size - overlap) + 1, F.lit(size)), " "))
-    return F.when(n <= size, F.array(text)).otherwise(cut)
+    """Windows of `size` words every size - overlap; a text of at most `size` words is its own, unchanged. Words are split at any Unicode white space."""
+    step = size - overlap
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+        return F.when(n <= size, F.array(text)).otherwise(parts)
+
+    return let(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), cut)
 
 
-def char_windows(text: Column, size: int = 6000, overlap: int = 600, most: int = 15) -> Column:
-    """Windows of `size` characters every size - overlap, at most `most`; a text of at most `size` is whole."""
+def char_windows(text: Column, size: int = 6000, overlap: int = 600, most: int | None = None) -> Column:
+    """Windows of `size` characters every size - overlap while one starts inside the text, at most `most`; a text of at most `size` is whole."""
     n, step = F.char_length(text), size - overlap
-    last = F.least(F.lit(most - 1), F.ceil(n / F.lit(step)) - 1).cast("int")
+    last = F.ceil(n / F.lit(step)) - 1
+    last = (F.least(F.lit(most - 1), last) if most else last).cast("int")
     return F.when(n <= size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size))))
 
 
@@ -67,22 +90,37 @@ def band(similarity: Column, low: float, high: float) -> Column:
 
 
 def is_read_only(query: Column) -> Column:
-    """Neither blank nor holding a write keyword as a word."""
-    return (F.trim(F.coalesce(query, F.lit(""))) != "") & ~F.coalesce(query, F.lit("")).rlike(r"(?i)\b(" + "|".join(WRITE_WORDS) + r")\b")
+    """Neither blank nor holding a writing clause as words, in any case."""
+    clauses = "|".join(c.replace(" ", r"\s+") for c in WRITE_CLAUSES)
+    return (F.trim(F.coalesce(query, F.lit(""))) != "") & ~F.coalesce(query, F.lit("")).rlike(rf"(?i)\b(?:{clauses})\b")
 
 
 def public_url(url: Column) -> Column:
-    """An http or https URL whose host, if a literal IPv4 address, is not private, loopback, link-local, multicast, reserved or unspecified."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    inner = r"^(0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
-    return url.rlike(r"(?i)^https?://") & (host != "") & ~(host.rlike(r"^\d+\.\d+\.\d+\.\d+$") & host.rlike(inner)) & (host != "localhost")
+    """An http or https URL with a host which, if it is a literal address (IPv4, or IPv6 in brackets), lies in the public part of the address space; names are not looked up.
+
+    A host of digits and dots that is no full IPv4 address, an IPv6 address with an embedded IPv4 one, and localhost are refused.
+    """
+    host = F.lower(F.regexp_extract(F.trim(url), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#\[\]]+)", 1))
+    literal, six = F.regexp_extract(host, r"^\[(.*)\]$", 1), host.startswith("[")
+    four = host.rlike(r"^(?:0x[0-9a-f]*|[0-9.]+)$")
+    good4 = host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$") & ~host.rlike(INNER_IPV4)
+    good6 = literal.rlike(PUBLIC_IPV6) & ~literal.rlike(INNER_IPV6) & ~literal.contains(".")
+    return F.coalesce(F.trim(url).rlike(r"(?i)^https?://") & (host != "") & (host != "localhost") & F.when(six, good6).when(four, good4).otherwise(True), F.lit(False))
+
+
+def source_ids(spec: Column) -> Column:
+    """The arXiv identifiers among a spec's tokens (cut at commas and white space), whole tokens or in addresses."""
+    tokens = F.filter(F.split(F.coalesce(spec, F.lit("")), r"[,\s]+"), lambda t: t != "")
+    found = F.transform(tokens, lambda t: F.when(t.rlike(ARXIV_URL), F.regexp_extract(t, ARXIV_URL, 1)).when(t.rlike(f"^(?:{ARXIV_NEW}|{ARXIV_OLD})$"), t))
+    return F.filter(found, lambda t: t.isNotNull())
 
 
 def source_mode(spec: Column) -> Column:
     """id, category, keyword or default: what a free-text feed spec asks for."""
     s = F.trim(F.coalesce(spec, F.lit("")))
-    categories = F.forall(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[a-z-]+(\.[A-Za-z-]+)?$") & (x.contains(".") | x.rlike("^(cs|math|stat|econ|eess)$")))
-    return F.when(s == "", "default").when(s.rlike(r"\d{4}\.\d{4,5}(v\d+)?|arxiv\.org/(abs|pdf)/"), "id").when(categories, "category").otherwise("keyword")
+    tokens = F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
+    categories = (F.size(tokens) > 0) & F.forall(tokens, lambda x: x.rlike(CATEGORY))
+    return F.when(F.size(source_ids(spec)) > 0, "id").when(categories, "category").when(F.trim(F.regexp_replace(s, r"\s+", " ")) != "", "keyword").otherwise("default")
 
 
 def thread_title(question: Column) -> Column:
@@ -90,8 +128,14 @@ def thread_title(question: Column) -> Column:
 
 
 def guarded_rewrite(question: Column, rewrite: Column) -> Column:
-    """The rewrite unless it is blank or over 400 characters."""
-    return F.when((F.trim(F.coalesce(rewrite, F.lit(""))) == "") | (F.char_length(rewrite) > 400), question).otherwise(rewrite)
+    """The trimmed rewrite unless it is blank or over 400 characters."""
+    own = F.trim(F.coalesce(rewrite, F.lit("")))
+    return F.when((own == "") | (F.char_length(own) > 400), question).otherwise(own)
+
+
+def is_rewritten(question: Column, rewrite: Column) -> Column:
+    """Whether the guarded rewrite differs from the question, ignoring case and outer white space."""
+    return F.lower(F.trim(guarded_rewrite(question, rewrite))) != F.lower(F.trim(question))
 
 
 def chunks(documents: DataFrame, size: int = 400, overlap: int = 40) -> DataFrame:

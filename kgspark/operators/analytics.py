@@ -1,51 +1,63 @@
 """Graph analytics as distributed jobs over weighted edges (ws, s, t, w): rank, structure, missing links, shortest paths.
 
-Iterative jobs write each few rounds to the checkpoint folder, so that lineage stays short and a lost
-executor costs a round at most.
+Iterative jobs write each round to the shared folder, so that lineage stays short and a lost executor costs a round at most; rounds that are used up are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpointed copy; the folder is the session's, or a temporary one where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cp-"))
-    return df.checkpoint()
+from kgspark.store import forget, stored
+from kgspark.vocab import CONFIDENCE_ELSE, CONFIDENCES, PREDICTED, PREDICTED_ELSE
 
 
 def pagerank(w: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, iterations: int | None = None) -> DataFrame:
-    """(ws, name, score): weighted PageRank of every workspace at once; dangling mass spreads evenly; stops at an L1 change under N * tol."""
-    names = w.select("ws", F.explode(F.array("s", "t")).alias("name")).distinct()
-    n = names.groupBy("ws").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    """(ws, name, score): weighted PageRank of every workspace at once; dangling mass spreads evenly; stops at an L1 change under N * tol.
+
+    Nodes are numbered once; rounds then move numbers alone. The edges stay dealt by their source, so a round shuffles only the contributions, summed before they move.
+    """
+    spark = w.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    names = stored(w.select("ws", F.explode(F.array("s", "t")).alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "rank-names")
+    at = lambda c, i: names.select("ws", F.col("name").alias(c), F.col("id").alias(i))
     total = w.groupBy("ws", "s").agg(F.sum("w").alias("all"))
-    edges = _cut(w.join(total, ["ws", "s"]).select("ws", "s", "t", (F.col("w") / F.col("all")).alias("p")))
-    base = _cut(names.join(n, "ws").join(total.select("ws", F.col("s").alias("name"), F.lit(1).alias("out")), ["ws", "name"], "left").select("ws", "name", "n", F.col("out").isNull().alias("dangling")))
-    ranks = base.withColumn("score", 1 / F.col("n"))
-    for i in range(iterations or max_iter):
-        sent = ranks.select("ws", F.col("name").alias("s"), "score").join(edges, ["ws", "s"]).groupBy("ws", F.col("t").alias("name")).agg(F.sum(F.col("score") * F.col("p")).alias("got"))
-        lost = ranks.groupBy("ws").agg(F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost"))
+    edges = w.join(total, ["ws", "s"]).join(at("s", "src"), ["ws", "s"]).join(at("t", "dst"), ["ws", "t"])
+    edges = stored(edges.select("src", "dst", (F.col("w") / F.col("all")).alias("p")), "rank-edges")
+    n = names.groupBy("ws").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    base = names.join(n, "ws").join(edges.select(F.col("src").alias("id"), F.lit(1).alias("out")).distinct(), "id", "left")
+    base = stored(base.select("id", "ws", "n", F.col("out").isNull().alias("dangling")), "rank-base")
+    dealt = edges.repartition(parts, "src").persist()
+    ranks = stored(base.withColumn("score", 1 / F.col("n")), "rank-0")
+    for _ in range(iterations or max_iter):
+        sent = ranks.select(F.col("id").alias("src"), "score").join(dealt, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("got"))
+        lost = ranks.groupBy("ws").agg(F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost"))  # a row a workspace
         score = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - alpha) / F.col("n")
-        new = ranks.withColumnRenamed("score", "old").join(sent, ["ws", "name"], "left").join(lost, "ws").select("ws", "name", "n", "dangling", "old", score.alias("score"))
-        if iterations is None or i % 4 == 3:
-            new = _cut(new)
-        ranks = new.drop("old")
+        new = stored(ranks.drop("old").withColumnRenamed("score", "old").join(sent, "id", "left").join(lost, "ws").select("id", "ws", "n", "dangling", "old", score.alias("score")), "rank")
+        forget(ranks)
+        ranks = new
         if iterations is None and new.groupBy("ws").agg((F.sum(F.abs(F.col("score") - F.col("old"))) >= F.max("n") * tol).alias("on")).where("on").limit(1).count() == 0:
             break
-    return ranks.select("ws", "name", "score")
+    dealt.unpersist()
+    forget(edges, base)
+    return ranks.select("id", "score").join(names, "id").select("ws", "name", "score")
 
 
 def influence_for(ranks: DataFrame, names: DataFrame) -> DataFrame:
-    """The ranking cut to asked names (ws, name), with each one's place in its workspace."""
-    placed = ranks.withColumn("place", F.row_number().over(W.partitionBy("ws").orderBy(F.col("score").desc(), "name")).cast("long"))
-    return placed.join(names.select("ws", "name").distinct(), ["ws", "name"], "left_semi")
+    """The ranks of asked names (ws, name), with each one's place in its workspace (by score, then name): the number of nodes before it.
+
+    No workspace is sorted in one task: nodes are counted by steps of the score, steps are summed up, and only within an asked node's own step is it compared.
+    """
+    step = F.floor(F.log2(F.greatest("score", F.lit(1e-300))) * 64).cast("int")
+    rows = ranks.withColumn("_step", step)
+    counts = rows.groupBy("ws", "_step").agg(F.count(F.lit(1)).alias("_n"))
+    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(W.partitionBy("ws").orderBy(F.col("_step").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a few thousand steps a workspace
+    asked = rows.join(names.select("ws", "name").distinct(), ["ws", "name"], "left_semi")
+    wanted = asked.select("ws", "_step").distinct()
+    inside = rows.join(wanted, ["ws", "_step"], "left_semi").withColumn("_at", F.row_number().over(W.partitionBy("ws", "_step").orderBy(F.col("score").desc(), "name")))
+    placed = inside.join(names.select("ws", "name").distinct(), ["ws", "name"], "left_semi").join(above.select("ws", "_step", "_above"), ["ws", "_step"])
+    return placed.select("ws", "name", "score", (F.col("_above") + F.col("_at")).cast("long").alias("place"))
 
 
 def undirected(w: DataFrame) -> DataFrame:
@@ -68,35 +80,44 @@ def modularity(w: DataFrame, labels: DataFrame) -> DataFrame:
     return two_m.join(inside, "ws").join(degree, "ws").select("ws", (F.col("inside") / F.col("m2") - F.col("d2") / (F.col("m2") * F.col("m2"))).alias("q"))
 
 
-def communities(w: DataFrame, rounds: int = 10, levels: int = 3) -> DataFrame:
+def communities(w: DataFrame, rounds: int = 10, levels: int = 10, still: float = 0.01) -> DataFrame:
     """(ws, name, label): bulk-synchronous Louvain.
 
-    In each half round the nodes of one hash class move to the neighbouring community of greatest positive modularity gain (ties: least label); then
-    communities become the nodes of a smaller graph, for `levels` levels.
+    In each half round the nodes of one hash class move to the neighbouring community of greatest modularity gain over their own (ties: least label). A level ends
+    when at most a share `still` of its nodes moved in two half rounds, or after `rounds` rounds; then communities become the nodes of a smaller graph. The whole ends with a level that moved none.
     """
-    graph = _neighbours(w)
-    final = graph.select("ws", F.col("a").alias("name")).distinct().withColumn("label", F.col("name"))
+    graph = stored(_neighbours(w), "louvain-graph")
+    final = stored(graph.select("ws", F.col("a").alias("name")).distinct().withColumn("label", F.col("name")), "louvain-labels")
     for level in range(levels):
-        graph = _cut(graph)
-        two_m = graph.groupBy("ws").agg(F.sum("w").alias("m2"))
-        k = graph.groupBy("ws", "a").agg(F.sum("w").alias("k"))
-        state = _cut(k.join(two_m, "ws").withColumn("label", F.col("a")))
+        two_m = graph.groupBy("ws").agg(F.sum("w").alias("m2"))  # a row a workspace
+        state = stored(graph.groupBy("ws", "a").agg(F.sum("w").alias("k")).join(two_m, "ws").withColumn("label", F.col("a")), "louvain-state")
+        n, quiet, moves = state.count(), 0, 0
         for half in range(2 * rounds):
+            turn = F.pmod(F.xxhash64("a", F.lit(level)), F.lit(2)) == half % 2
             size = state.groupBy("ws", "label").agg(F.sum("k").alias("tot"))
-            links = graph.where("a <> b").join(state.select("ws", F.col("a").alias("b"), F.col("label").alias("to")), ["ws", "b"]).groupBy("ws", "a", "to").agg(F.sum("w").alias("kin"))
-            own = state.join(links.withColumnRenamed("to", "label").withColumnRenamed("kin", "kown"), ["ws", "a", "label"], "left").join(size.withColumnRenamed("tot", "town"), ["ws", "label"])
-            move = own.join(links, ["ws", "a"]).where("to <> label").join(size.withColumnRenamed("label", "to"), ["ws", "to"])
-            gain = (F.col("kin") - F.coalesce("kown", F.lit(0.0))) - F.col("k") * (F.col("tot") - (F.col("town") - F.col("k"))) / F.col("m2")
-            best = move.withColumn("gain", gain).where((F.col("gain") > 1e-12) & (F.pmod(F.xxhash64("a", F.lit(level)), F.lit(2)) == half % 2))
-            best = best.groupBy("ws", "a").agg(F.min(F.struct((-F.col("gain")).alias("g"), "to")).alias("best")).select("ws", "a", F.col("best.to").alias("new"))
-            state = _cut(state.join(best, ["ws", "a"], "left").select("ws", "a", "k", "m2", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("moved")))
-            if half % 2 and state.where("moved").limit(1).count() == 0 and half > 1:
+            near = graph.where(turn & (F.col("a") != F.col("b"))).join(state.select("ws", F.col("a").alias("b"), "label"), ["ws", "b"]).select("ws", "a", "label", "w")
+            own = state.where(turn).select("ws", "a", "label", F.lit(0.0).alias("w"))  # each node may stay
+            kin = near.unionByName(own).groupBy("ws", "a", "label").agg(F.sum("w").alias("kin")).join(size, ["ws", "label"]).withColumnRenamed("label", "to")
+            kin = kin.join(state.where(turn).select("ws", "a", "k", "m2", "label"), ["ws", "a"])
+            stays = F.col("to") == F.col("label")
+            gain = F.col("kin") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2")
+            best = kin.groupBy("ws", "a").agg(F.min(F.struct((-gain).alias("g"), "to")).alias("best"), F.max(F.when(stays, gain)).alias("now"))
+            best = best.where(-F.col("best.g") > F.col("now") + 1e-12).select("ws", "a", F.col("best.to").alias("new"))
+            new = stored(state.join(best, ["ws", "a"], "left").select("ws", "a", "k", "m2", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("moved")), "louvain-state")
+            moved = new.where("moved").count()
+            forget(state)
+            state = new
+            quiet, moves = quiet + 1 if moved <= still * n / 2 else 0, moves + moved
+            if quiet == 2:  # of neither class of nodes
                 break
-            state = state.drop("moved")
-        step = state.select("ws", F.col("a").alias("label"), F.col("label").alias("up"))
-        final = _cut(final.join(step, ["ws", "label"]).select("ws", "name", F.col("up").alias("label")))
+        if not moves:
+            break
+        up = state.select("ws", F.col("a").alias("label"), F.col("label").alias("up"))
+        final_new = stored(final.join(up, ["ws", "label"]).select("ws", "name", F.col("up").alias("label")), "louvain-labels")
         at = lambda c: state.select("ws", F.col("a").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
-        graph = graph.join(at("a"), ["ws", "a"]).join(at("b"), ["ws", "b"]).groupBy("ws", F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w"))
+        smaller = stored(graph.join(at("a"), ["ws", "a"]).join(at("b"), ["ws", "b"]).groupBy("ws", F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")), "louvain-graph")
+        forget(graph, final, state)
+        graph, final = smaller, final_new
     return final
 
 
@@ -122,18 +143,72 @@ def link_scores(w: DataFrame, max_degree: int | None = None) -> DataFrame:
 
 
 def research_gaps(w: DataFrame, ranks: DataFrame, labels: DataFrame, top_n: int = 10, max_degree: int | None = None) -> DataFrame:
-    """The top missing links of each workspace: scores weighted by bridging communities and by rank."""
+    """The top missing links (ws, a, c, common, same_community, bridge, score, rank) of each workspace: scores weighted by bridging communities and by rank."""
     at = lambda df, c, n, v: df.select("ws", F.col("name").alias(c), F.col(v).alias(n))
     top = ranks.groupBy("ws").agg(F.max("score").alias("most"))
     got = link_scores(w, max_degree).join(at(labels, "a", "la", "label"), ["ws", "a"], "left").join(at(labels, "c", "lc", "label"), ["ws", "c"], "left")
     got = got.join(at(ranks, "a", "ra", "score"), ["ws", "a"]).join(at(ranks, "c", "rc", "score"), ["ws", "c"]).join(top, "ws")
-    bridge = (~F.col("la").eqNullSafe(F.col("lc"))) & (F.col("common") >= 2)
+    same = F.col("la").eqNullSafe(F.col("lc"))
+    bridge = ~same & (F.col("common") >= 2)
     score = (F.col("adamic_adar") + F.col("resource_allocation") + 0.25 * F.col("common")) * F.when(bridge, 1.15).otherwise(1.0) * (1 + F.col("ra") / F.col("most") + F.col("rc") / F.col("most"))
-    got = got.select("ws", "a", "c", "common", bridge.alias("bridge"), F.round(score, 6).alias("score"))
+    got = got.select("ws", "a", "c", "common", same.alias("same_community"), bridge.alias("bridge"), F.round(score, 6).alias("score"))
     order = W.partitionBy("ws").orderBy(F.col("score").desc(), F.col("common").desc(), F.col("a").desc(), F.col("c").desc())
     return got.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_n)
 
 
+def ordered_gaps(gaps: DataFrame, by: str = "score", bridges_only: bool = False) -> DataFrame:
+    """Gaps ranked by score, or by their common neighbours and then score; names descending; only bridges between communities where asked for."""
+    first = [F.col("score").desc(), F.col("common").desc()] if by == "score" else [F.col("common").desc(), F.col("score").desc()]
+    kept = gaps.where("bridge") if bridges_only else gaps
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("ws").orderBy(*first, F.col("a").desc(), F.col("c").desc())).cast("long"))
+
+
+def find_gaps(gaps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ranked gaps those of asked pairs (ws, source, target), unordered and in any case; a pair of one name is none."""
+    key = lambda x, y: (F.least(F.lower(F.trim(x)), F.lower(F.trim(y))).alias("_x"), F.greatest(F.lower(F.trim(x)), F.lower(F.trim(y))).alias("_y"))
+    asked = pairs.where(F.lower(F.trim("source")) != F.lower(F.trim("target"))).select("ws", *key("source", "target")).distinct()
+    return gaps.select("*", *key("a", "c")).join(asked, ["ws", "_x", "_y"], "left_semi").drop("_x", "_y")
+
+
+def why_notable(common: str = "common", bridge: str = "bridge") -> Column:
+    tail = F.when(F.col(bridge), " across detected communities.").otherwise(".")
+    return F.concat(F.col(common).cast("string"), F.lit(" shared intermediaries with no direct graph edge"), tail)
+
+
+def plain_summary(gaps: DataFrame) -> DataFrame:
+    """Gaps (..., common, bridge, evidence) with a sentence for readers."""
+    n = F.col("common")
+    names = F.array_join(F.slice(F.filter(F.transform("evidence", lambda e: e["mid"]), lambda x: x != ""), 1, 2), ", ")
+    listed = F.when(F.coalesce(names, F.lit("")) != "", F.concat(F.lit(" ("), names, F.when(n > 2, "...").otherwise(""), F.lit(")"))).otherwise("")
+    noun = F.when(n == 1, "intermediary").otherwise("intermediaries")
+    text = F.concat(F.lit("Both connect to "), n.cast("string"), F.lit(" shared "), noun, listed, F.lit(" but have no direct link."), F.when(F.col("bridge"), " Bridges two topic clusters.").otherwise(""))
+    return gaps.withColumn("summary", F.concat(text, F.when(n == 0, F.concat(F.lit(" "), why_notable())).otherwise("")))
+
+
+def gap_payload(gaps: DataFrame, types: DataFrame) -> DataFrame:
+    """(ws, a, c, payload): gaps with evidence as JSON for a phrasing model; types (ws, name, label)."""
+    at = lambda c: types.select("ws", F.col("name").alias(c), F.struct(F.col("name"), F.col("label").alias("type")).alias(f"_{c}"))
+    rows = gaps.join(at("a"), ["ws", "a"], "left").join(at("c"), ["ws", "c"], "left")
+    body = F.struct(
+        F.col("_a").alias("source"), F.col("_c").alias("target"), F.col("common").alias("common_neighbor_count"), "same_community", F.col("bridge").alias("interdisciplinary"),
+        F.coalesce("evidence", F.array().cast("array<struct<mid: string, from_a: array<string>, from_c: array<string>>>")).alias("shared_intermediaries"), F.lit(True).alias("unproven_missing_edge"),
+    )
+    return rows.select("ws", "a", "c", F.to_json(body).alias("payload"))
+
+
+def guarded_hypotheses(gaps: DataFrame, phrased: DataFrame) -> DataFrame:
+    """Gaps joined with what a model phrased (ws, a, c, statement, relation, confidence, reasoning, caveat): unknown relations and confidences fall back, missing texts are filled in."""
+    got = gaps.join(phrased, ["ws", "a", "c"], "left")
+    rel = F.when(F.col("relation").isin(*PREDICTED), F.col("relation")).otherwise(PREDICTED_ELSE)
+    level = F.lower(F.col("confidence"))
+    filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other).alias(c)
+    guess = F.concat(F.lit("CONJECTURE: "), F.col("a"), F.lit(" may have an untested "), rel, F.lit(" relationship with "), F.col("c"), F.lit("."))
+    return got.select(
+        "ws", "a", "c", filled("statement", guess), rel.alias("relation"), F.when(level.isin(*CONFIDENCES), level).otherwise(CONFIDENCE_ELSE).alias("confidence"), filled("reasoning", why_notable()),
+        filled("caveat", F.lit("A structural conjecture: the graph holds no direct relationship.")),
+    )
+
+
 def gap_strength(gaps: DataFrame) -> DataFrame:
     """strong from 0.66 of the workspace's top score, moderate from 0.33, else emerging."""
     top = F.max("score").over(W.partitionBy("ws"))
@@ -152,7 +227,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 5) -> Dat
     seen = front.withColumn("hops", F.lit(0))
     for k in range(1, min(max(max_hops, 1), 8) + 1):
         step = front.join(near.withColumnRenamed("x", "at"), ["ws", "at"]).select("ws", "root", F.col("y").alias("at"), F.concat("path", F.array("y")).alias("path"))
-        front = _cut(step.groupBy("ws", "root", "at").agg(F.min("path").alias("path")).join(seen.select("ws", "root", "at"), ["ws", "root", "at"], "left_anti").select("ws", "root", "at", "path"))
+        front = stored(step.groupBy("ws", "root", "at").agg(F.min("path").alias("path")).join(seen.select("ws", "root", "at"), ["ws", "root", "at"], "left_anti").select("ws", "root", "at", "path"))
         seen = seen.unionByName(front.withColumn("hops", F.lit(k)))
     found = asked.join(seen.select("ws", F.col("root").alias("a"), F.col("at").alias("b"), "hops", "path"), ["ws", "a", "b"], "left")
     return found.select("ws", "a", "b", F.col("hops").cast("long").alias("hops"), F.array_join("path", " > ").alias("path"))

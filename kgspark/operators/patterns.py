@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def match_edges(edges: DataFrame, rels: list[str], src_label: str | None = None, tgt_label: str | None = None) -> DataFrame:
@@ -61,8 +62,6 @@ def disputed_targets(edges: DataFrame, src_label: str | None = None) -> DataFram
 
 def entity_context(edges: DataFrame, names: DataFrame, limit: int = 25) -> DataFrame:
     """For each (ws, name), ignoring case: distinct (neighbor, rel), the degree before the limit, found or not."""
-    from pyspark.sql.window import Window as W
-
     from kgspark.operators.graph import both_ways
 
     asked = names.select("ws", F.col("name").alias("asked"), F.lower("name").alias("_k"))
@@ -85,10 +84,14 @@ def connections(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def detect_conflicts(claims: DataFrame) -> DataFrame:
-    """Disputed pairs (ws, src, tgt): supported and contradicted by different documents, with how many pairs of claims."""
-    side = lambda rel, d: claims.where(F.col("rel") == rel).select("ws", "src", "tgt", F.col("doc").alias(d))
-    both = side("SUPPORTS", "d1").join(side("CONTRADICTS", "d2"), ["ws", "src", "tgt"]).where("d1 <> d2")
-    return both.groupBy("ws", "src", "tgt").agg(F.count(F.lit(1)).alias("matches"))
+    """Disputed pairs (ws, src, tgt): supported and contradicted by different documents, with how many pairs of claims.
+
+    Counted without making pairs: all supporting times all contradicting claims, less those of the same document.
+    """
+    one = lambda rel: F.count_if(F.col("rel") == rel)
+    per = claims.where(F.col("rel").isin("SUPPORTS", "CONTRADICTS") & F.col("doc").isNotNull()).groupBy("ws", "src", "tgt", "doc").agg(one("SUPPORTS").alias("s"), one("CONTRADICTS").alias("c"))
+    got = per.groupBy("ws", "src", "tgt").agg((F.sum("s") * F.sum("c") - F.sum(F.col("s") * F.col("c"))).alias("matches"))
+    return got.where("matches > 0")
 
 
 def flag_conflicts(edges: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -104,9 +107,37 @@ def flag_new_conflicts(old: DataFrame, new: DataFrame) -> DataFrame:
     return detect_conflicts(every.join(touched, ["ws", "src", "tgt"], "left_semi"))
 
 
-def list_conflicts(claims: DataFrame) -> DataFrame:
-    """One row for each unordered disputed pair: claim types and documents, sorted and comma-joined."""
+def conflict_edges(claims: DataFrame) -> DataFrame:
+    """(ws, src, tgt, claim_types, documents): disputed pairs as directed CONFLICTS_WITH edges, with sorted, comma-joined claim types and documents."""
     keys = detect_conflicts(claims).select("ws", "src", "tgt")
     got = claims.where(F.col("rel").isin("SUPPORTS", "CONTRADICTS")).join(keys, ["ws", "src", "tgt"], "left_semi")
-    return got.groupBy("ws", F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).agg(
-        F.array_join(F.array_sort(F.collect_set("rel")), ",").alias("claim_types"), F.array_join(F.array_sort(F.collect_set("doc")), ",").alias("documents"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return got.groupBy("ws", "src", "tgt").agg(joined("rel").alias("claim_types"), joined("doc").alias("documents"))
+
+
+def list_conflicts(claims: DataFrame, entities: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Conflicts (ws, source, target, claim_types, documents): all as directed, or those that touch entities (ws, name; any case), seen from the entity; at most `limit` a workspace or entity."""
+    found = conflict_edges(claims).withColumnRenamed("src", "source").withColumnRenamed("tgt", "target")
+    if entities is None:
+        got, group = found, ["ws"]
+    else:
+        back = found.select("ws", F.col("target").alias("source"), F.col("source").alias("target"), "claim_types", "documents")
+        asked = entities.select("ws", F.lower("name").alias("_k")).distinct()
+        got, group = found.unionByName(back).distinct().withColumn("_k", F.lower("source")).join(asked, ["ws", "_k"]), ["ws", "_k"]
+    if limit:
+        got = got.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("source", "target"))).where(F.col("_n") <= limit)
+    return got.select("ws", "source", "target", "claim_types", "documents")
+
+
+def conflicts_for(edges: DataFrame, names: DataFrame, most_names: int = 20, most_rows: int = 25) -> DataFrame:
+    """(qid, ws, source, target, claim_types, documents): flagged edges that leave the first names (qid, ws, name, place) of each question, once for each unordered pair.
+
+    Of a question's pairs, in order of (source, target), `most_rows` count, and the first of two that are one pair stays.
+    """
+    asked = names.where(F.col("place") <= most_names).select("qid", "ws", F.col("name").alias("src")).distinct()
+    flagged = edges.where(F.col("conflict_flag") & F.col("rel").isin("SUPPORTS", "CONTRADICTS"))
+    sets = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    got = flagged.join(asked, ["ws", "src"]).groupBy("qid", "ws", F.col("src").alias("source"), F.col("tgt").alias("target")).agg(sets("rel").alias("claim_types"), sets("doc").alias("documents"))
+    got = got.withColumn("_n", F.row_number().over(W.partitionBy("qid", "ws").orderBy("source", "target"))).where(F.col("_n") <= most_rows)
+    pair = W.partitionBy("qid", "ws", F.least("source", "target"), F.greatest("source", "target")).orderBy("_n")
+    return got.withColumn("_m", F.row_number().over(pair)).where("_m = 1").drop("_n", "_m")

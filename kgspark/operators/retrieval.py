@@ -6,69 +6,73 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from kgspark.functions.text import band, cosine
-
 
 def apply_model(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """An injected model over batches of rows: iterator of pandas frames to iterator of pandas frames."""
     return df.mapInPandas(fn, schema)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, broadcast_rows: int = 20_000) -> DataFrame:
-    """The k nearest chunks (id, embedding) of each query (qid, vector) by cosine distance, ties by id.
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int = 16 << 20) -> DataFrame:
+    """(qid, id, distance, rank): the k nearest chunks (id, embedding) of each query (qid, vector) by cosine distance, ties by id; exact.
 
-    Queries go to every task while they are few; more of them are taken in blocks against all chunks.
+    Queries go to every task in blocks of at most block_bytes. A task multiplies matrices and keeps k chunks a query, so only those are shuffled and merged.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // broadcast_rows))
+    size = queries.select(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
+    blocks = max(1, -(-(size.n * max(1, size.d or 1) * 8) // block_bytes))
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", chunks.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
     out = None
     for b in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        hits = chunks.crossJoin(F.broadcast(q)).select("qid", "id", (1 - cosine(F.col("vector"), F.col("embedding"))).alias("distance"))
-        top = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        held = chunks.sparkSession.sparkContext.broadcast([(r.qid, r.vector) for r in own.select("qid", "vector").collect()])  # block_bytes
+
+        def nearest(batches: Iterator, held=held) -> Iterator:  # noqa: ANN001
+            import numpy as np
+            import pandas as pd
+
+            if not held.value:
+                return
+            unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
+            q = unit(np.array([v for _, v in held.value], np.float64))
+            ids, far = np.empty((len(q), 0), object), np.empty((len(q), 0))
+            for pdf in batches:
+                for at in range(0, len(pdf), 4096):
+                    part = pdf.iloc[at : at + 4096]
+                    d = 1 - q @ unit(np.array(part["embedding"].tolist(), np.float64)).T
+                    far = np.concatenate([far, d], 1)
+                    ids = np.concatenate([ids, np.broadcast_to(part["id"].to_numpy(object), d.shape)], 1)
+                    order = np.lexsort((ids.astype(part["id"].dtype), far), axis=1)[:, :k]
+                    far, ids = np.take_along_axis(far, order, 1), np.take_along_axis(ids, order, 1)
+            n = far.shape[1]
+            yield pd.DataFrame({"qid": np.repeat([x for x, _ in held.value], n), "id": ids.ravel(), "distance": far.ravel()})
+
+        top = chunks.select("id", "embedding").mapInPandas(nearest, schema)
         out = top if out is None else out.unionByName(top)
-    return out
-
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
-def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
-    """Hits (qid, rank) by score, ties in their former order; k stay."""
-    got = hits.withColumn("rerank_score", score)
-    got = got.withColumn("_n", F.row_number().over(W.partitionBy("qid").orderBy(F.col("rerank_score").desc(), "rank")))
-    return got.where(F.col("_n") <= k).withColumn("rank", F.col("_n")).drop("_n")
 
+def embed(rows: DataFrame, text: str, embedder: Callable[[Column], Column], out: str = "embedding") -> DataFrame:
+    """rows with the vectors of a text column by an injected embedder (an Arrow function of columns)."""
+    return rows.withColumn(out, embedder(F.col(text)))
 
-def best_earlier(names: DataFrame, low: float, high: float) -> DataFrame:
-    """For names (seq, kind, embedding): the most similar earlier name of the same kind, and its band."""
-    a = names.select("seq", "kind", "embedding")
-    b = names.select(F.col("seq").alias("other"), "kind", F.col("embedding").alias("known"))
-    sims = a.join(b, "kind").where("other < seq").select("seq", "other", cosine(F.col("embedding"), F.col("known")).alias("sim"))
-    best = sims.groupBy("seq").agg(F.min(F.struct((-F.col("sim")).alias("down"), "other")).alias("m"))
-    return best.select("seq", F.col("m.other").alias("best"), (-F.col("m.down")).alias("sim"), band(-F.col("m.down"), low, high).alias("band"))
 
+def token_overlap(query: Column, text: Column) -> Column:
+    """A pair scorer: the share of the query's distinct words that the text has."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: w != ""))
+    return F.when(F.size(words(query)) == 0, 0.0).otherwise(F.size(F.array_intersect(words(query), words(text))) / F.size(words(query)))
 
-def resolve(names: DataFrame, threshold: float = 0.85, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(seq, leader): sequential entity resolution in parallel rounds.
 
-    A name joins the most similar earlier leader of its kind at or above the threshold (ties: the earliest), else it leads. Each round decides the names whose
-    earlier candidates are all decided, so the result is that of the loop in order of seq.
-    """
-    from kgspark.operators.analytics import _cut
-
-    cut = checkpoint or _cut
-    b = names.select(F.col("seq").alias("other"), "kind", F.col("embedding").alias("known"))
-    pairs = names.select("seq", "kind", "embedding").join(b, "kind").where("other < seq").select("seq", "other", cosine(F.col("embedding"), F.col("known")).alias("sim"))
-    pairs = cut(pairs.where(F.col("sim") >= threshold))
-    waiting = cut(names.select("seq"))
-    done = waiting.limit(0).withColumn("leader", F.lit(None).cast("long"))
-    while waiting.limit(1).count():
-        state = pairs.join(waiting, "seq").join(done.select(F.col("seq").alias("other"), F.col("leader").alias("its")), "other", "left")
-        got = state.groupBy("seq").agg(F.count_if(F.col("its").isNull()).alias("open"), F.min(F.when(F.col("its") == F.col("other"), F.struct((-F.col("sim")).alias("d"), "other"))).alias("best"))
-        ready = waiting.join(got, "seq", "left").where(F.coalesce("open", F.lit(0)) == 0).select("seq", F.coalesce(F.col("best.other"), "seq").alias("leader"))
-        done = cut(done.unionByName(ready))
-        waiting = cut(waiting.join(done, "seq", "left_anti"))
-    return done
+def rerank(hits: DataFrame, score: Column | None, k: int) -> DataFrame:
+    """Hits (qid, rank, ...) by score, ties in their former order; k stay. Without a scorer, for a question of one hit, and where a score is null, the former order holds."""
+    if score is None:
+        return hits.where(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
+    own = W.partitionBy("qid")
+    got = hits.withColumn("rerank_score", score).withColumn("_failed", F.max(F.col("rerank_score").isNull()).over(own) | (F.count(F.lit(1)).over(own) <= 1))
+    got = got.withColumn("rerank_score", F.when(~F.col("_failed"), F.col("rerank_score")))
+    got = got.withColumn("_n", F.row_number().over(own.orderBy(F.col("rerank_score").desc_nulls_last(), "rank")))
+    return got.where(F.col("_n") <= k).withColumn("rank", F.col("_n")).drop("_n", "_failed")
 
 
 def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:
@@ -102,10 +106,12 @@ def trust(claims: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """The sorted value at round(p (n - 1)), banker's rounding, of each group."""
+    """The sorted value at round(p (n - 1)), banker's rounding, of each group: counts of equal values are summed up, so a group's rows need no common task until its distinct values do."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(group)
-    ranked = values.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_r") == F.bround(F.lit(p) * (F.col("_n") - 1)) + 1).select(group, F.col(value).alias("value"))
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = F.bround(F.lit(p) * (F.col("_n") - 1)) + 1
+    return ranked.where((F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at)).select(group, F.col(value).alias("value"))
 
 
 def last_turns(turns: DataFrame, k: int = 6) -> DataFrame:
@@ -124,6 +130,14 @@ def history_block(turns: DataFrame, most: int = 6000) -> DataFrame:
     return kept.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("history"))
 
 
+def latest(rows: DataFrame, by: str, k: int, group: str | None = None, tie: str | None = None) -> DataFrame:
+    """The k newest rows, of each group if one is named; ties by `tie`, descending."""
+    order = [F.col(by).desc_nulls_last(), *([F.col(tie).desc()] if tie else [])]
+    if group is None:
+        return rows.orderBy(*order).limit(k)
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
 def job_counts(jobs: DataFrame) -> DataFrame:
     """Per source: total, success, failed, open (queued or running) jobs."""
     one = lambda *s: F.count_if(F.col("status").isin(*s))

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-CLAIM = ["ws", "source_id", "seq", "src_label", "src", "rel", "tgt_label", "tgt", "doc", "confidence"]
-
+from kgspark.plans.registry import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+CLAIM = ["ws", "source_id", "seq", "src_label", "src", "rel", "tgt_label", "tgt", "doc", "confidence"]
 
 
 def _claim(df: DataFrame, src_label, src, rel, tgt_label, tgt, confidence) -> DataFrame:  # noqa: ANN001

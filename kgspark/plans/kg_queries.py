@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import analytics as A
 from kgspark.operators import graph as G
 from kgspark.operators import patterns as P
 from kgspark.plans.fixtures import KG_SQL, claims
@@ -34,8 +33,8 @@ _SYM = ", sym as (select ws, src as a, tgt as b, rel from edges union all select
 
 _kg("sink_1_nodes", "select * from nodes")(lambda c: _flat(G.build_nodes(c)))
 _kg("sink_3_edges", "select * from edges")(lambda c: _flat(G.build_edges(c)))
-_kg("sink_2_last_writer", "select ws, src, arg_max(doc, seq) as doc from claims where rel = 'AUTHORED' and src_label = 'Person' and src like 'Customer%' group by all")(
-    lambda c: G.upsert_last(c.where("rel = 'AUTHORED' and src like 'Customer%'"), ["ws", "src"], "doc", "seq"))
+_kg("sink_2_last_writer", "select ws, src, arg_max(doc, seq) as doc from claims where rel = 'AUTHORED' and src_label = 'Person' group by all")(
+    lambda c: G.upsert_last(c.where("rel = 'AUTHORED' and src_label = 'Person'"), ["ws", "src"], "doc", "seq"))
 _kg("agg_1_counts", f"select ws, label, {_COUNT} as n from nodes group by all")(lambda c: G.build_nodes(c).groupBy("ws", "label").agg(F.count(F.lit(1)).alias("n")))
 _kg("agg_1_edge_mix", f"select ws, rel, {_COUNT} as n from edges group by all")(lambda c: _edges(c).groupBy("ws", "rel").agg(F.count(F.lit(1)).alias("n")))
 _kg("agg_2_collapsed", "select ws, src as s, tgt as t, round(sum(coalesce(nullif(confidence, 0), 1)), 6) as w from edges where src <> tgt and trim(src) <> '' and trim(tgt) <> '' group by all")(
@@ -70,51 +69,25 @@ _kg("join_8_flags", _CONF + f" select rel, {_COUNT} as n from edges join k using
     lambda c: P.flag_conflicts(_edges(c), P.detect_conflicts(c)).where("conflict_flag").groupBy("rel").agg(F.count(F.lit(1)).alias("n")))
 _kg("join_9_new_conflicts", _CONF + " select k.* from k where exists (select 1 from claims c where c.ws = k.ws and c.src = k.src and c.tgt = k.tgt and c.rel in ('SUPPORTS', 'CONTRADICTS') and c.seq % 10 = 0)")(
     lambda c: P.flag_new_conflicts(c.where("seq % 10 <> 0"), c.where("seq % 10 = 0")))
-_kg("join_10_conflict_list", _CONF + " select c.ws, least(c.src, c.tgt) as a, greatest(c.src, c.tgt) as b, string_agg(distinct rel, ',' order by rel) as claim_types, string_agg(distinct doc, ',' order by doc) as documents from claims c join k on c.ws = k.ws and c.src = k.src and c.tgt = k.tgt where rel in ('SUPPORTS', 'CONTRADICTS') group by all")(P.list_conflicts)
-_NAMES = "(select ws, name from nodes where label = 'Organization' and name like 'nation-%')"
+_NAMES = "(select ws, name from nodes where label = 'Organization')"
 _kg("join_12_entity_context", f", sym as (select ws, src as a, tgt as b, rel from edges union all select ws, tgt, src, rel from edges), near as (select distinct n.ws, n.name, b as neighbor, rel from {_NAMES} n join sym on sym.ws = n.ws and lower(a) = lower(name)) select ws, name, neighbor, rel, count(*) over (partition by ws, name) as degree, true as found from near qualify row_number() over (partition by ws, name order by neighbor, rel) <= 25")(
-    lambda c: P.entity_context(_edges(c), G.build_nodes(c).where("label = 'Organization' and name like 'nation-%'")))
+    lambda c: P.entity_context(_edges(c), G.build_nodes(c).where("label = 'Organization'")))
 
 
 def _pairs(c):  # noqa: ANN001, ANN202
-    s = G.build_nodes(c.where("rel = 'AFFILIATED_WITH'")).where("label = 'Person' and name like '%5'").select("ws", F.col("name").alias("a"))
+    s = G.build_nodes(c.where("rel = 'AFFILIATED_WITH'")).where("label = 'Person'").select("ws", F.col("name").alias("a"))
     return s.join(c.where("rel = 'ABOUT'").select("ws", F.col("tgt").alias("b")).distinct(), "ws")
 
 
-_PAIR = ", p as (select distinct x.ws, x.src as a, y.tgt as b from claims x join claims y on x.ws = y.ws where x.rel = 'AFFILIATED_WITH' and x.src like '%5' and y.rel = 'ABOUT'), sym as (select distinct ws, a, b from (select ws, src as a, tgt as b from edges union all select ws, tgt, src from edges))"
+_PAIR = ", p as (select distinct x.ws, x.src as a, y.tgt as b from claims x join claims y on x.ws = y.ws where x.rel = 'AFFILIATED_WITH' and y.rel = 'ABOUT'), sym as (select distinct ws, a, b from (select ws, src as a, tgt as b from edges union all select ws, tgt, src from edges))"
 _kg("join_13_connections", _PAIR + ", m as (select p.ws, p.a, p.b, string_agg(distinct x.b, ',' order by x.b) as shared, count(distinct x.b) as n_shared from p join sym x on x.ws = p.ws and x.a = p.a join sym y on y.ws = p.ws and y.a = x.b and y.b = p.b group by all) select p.ws, p.a, p.b, exists (select 1 from sym where sym.ws = p.ws and sym.a = p.a and sym.b = p.b) as direct, coalesce(shared, '') as shared, coalesce(n_shared, 0) as n_shared from p left join m using (ws, a, b)")(
     lambda c: P.connections(_edges(c), _pairs(c)))
 _kg("set_4_remove_source", ", left_ as (select * from claims where not (ws = 'ws_building' and source_id = 'src_3')) select ws, rel, count(distinct (src_label, src, tgt_label, tgt)) as n from left_ group by all")(
     lambda c: G.build_edges(G.remove_source(c, "ws_building", "src_3")).groupBy("ws", "rel").agg(F.count(F.lit(1)).alias("n")))
 _kg("set_4_removed_counts", "select (select count(*) from nodes where ws = 'ws_building' and source_ids = 'src_3')::bigint as nodes_removed, (select count(*) from edges where ws = 'ws_building' and source_ids = 'src_3')::bigint as edges_removed")(
     lambda c: G.removal_counts(c, "ws_building", "src_3"))
-_kg("set_6_delete_documents", ", d as (select distinct ws, doc from claims where seq > 0 and seq % 5 = 0) select ws, rel, count(*)::bigint as n from claims c where not exists (select 1 from d where d.ws = c.ws and (d.doc = c.doc or (d.doc = c.src and c.src_label = 'Paper') or (d.doc = c.tgt and c.tgt_label = 'Paper'))) group by all")(
-    lambda c: G.delete_documents(c, c.where("seq > 0 and seq % 5 = 0").select("ws", "doc")).groupBy("ws", "rel").agg(F.count(F.lit(1)).alias("n")))
 _kg("set_7_delete_workspace", f"select ws, {_COUNT} as n from claims where ws <> 'ws_building' group by all")(lambda c: c.where("ws <> 'ws_building'").groupBy("ws").agg(F.count(F.lit(1)).alias("n")))
 _kg("set_1_union_rows", "select ws, src, tgt from claims where rel = 'SUPPORTS' union select ws, src, tgt from claims where rel = 'CONTRADICTS'")(
     lambda c: c.where("rel = 'SUPPORTS'").select("ws", "src", "tgt").union(c.where("rel = 'CONTRADICTS'").select("ws", "src", "tgt")).distinct())
 _HUB = _SYM + ", d as (select ws, a as name, count(*) as n from sym group by all), h as (select ws, name from d qualify row_number() over (partition by ws order by n desc, name) <= 25), t as (select * from edges where (ws, src) in (select (ws, name) from h) or (ws, tgt) in (select (ws, name) from h)), s2 as (select ws, src as name from t union all select ws, tgt from t), g as (select ws, name, count(*)::bigint as degree from s2 group by all) select ws, name, degree, row_number() over (partition by ws order by degree desc, name)::bigint as rank from g qualify rank <= 150"
 _kg("top_1_hub_view", _HUB)(lambda c: G.hub_view(_edges(c)).withColumn("rank", F.col("rank").cast("long")))
-
-
-def _citing(c):  # noqa: ANN001, ANN202
-    return G.weighted_edges(_edges(c, "CITED", "AUTHORED"))
-
-
-_RANK = ", w as (select ws, src as s, tgt as t, sum(coalesce(nullif(confidence, 0), 1)) as w from edges where rel in ('CITED', 'AUTHORED') and src <> tgt group by all), v as (select distinct ws, name from (select ws, s as name from w union all select ws, t from w)), nn as (select ws, count(*)::double as n from v group by ws), tot as (select ws, s, sum(w) as a from w group by all), p as (select w.ws, w.s, w.t, w.w / tot.a as p from w join tot using (ws, s)), dang as (select v.ws, v.name, n, tot.a is null as d from v join nn using (ws) left join tot on tot.ws = v.ws and tot.s = v.name), r0 as (select *, 1 / n as score from dang)"
-for _i in range(10):
-    _RANK += f", r{_i + 1} as (select r.ws, r.name, r.n, r.d, 0.85 * (coalesce(g.got, 0) + l.lost / r.n) + 0.15 / r.n as score from r{_i} r join (select ws, sum(case when d then score else 0 end) as lost from r{_i} group by ws) l on l.ws = r.ws left join (select p.ws, p.t, sum(score * p) as got from r{_i} q join p on p.ws = q.ws and p.s = q.name group by all) g on g.ws = r.ws and g.t = r.name)"
-_RANK = _RANK.replace("(select *, 1 / n", "materialized (select *, 1 / n")
-for _i in range(10):
-    _RANK = _RANK.replace(f", r{_i + 1} as (", f", r{_i + 1} as materialized (")
-_kg("gra_1_pagerank_10_iter", _RANK + " select ws, name, round(score, 8) as score from r10")(lambda c: A.pagerank(_citing(c), iterations=10).withColumn("score", F.round("score", 8)))
-_kg("gra_8_influence_for", _RANK + " select ws, name, round(score, 8) as score, row_number() over (partition by ws order by round(score, 8) desc, name)::bigint as place from r10 qualify name like '%7'")(
-    lambda c: A.influence_for(A.pagerank(_citing(c), iterations=10).withColumn("score", F.round("score", 8)), c.where("src like '%7'").select("ws", F.col("src").alias("name")).union(c.where("tgt like '%7'").select("ws", F.col("tgt").alias("name")))))
-_LINK = ", u as (select distinct ws, least(src, tgt) as a, greatest(src, tgt) as b from edges where rel in ('CITED', 'AUTHORED') and src <> tgt), near as (select ws, a, b from u union all select ws, b, a from u), d as (select ws, a as mid, count(*) as d from near group by all), m as (select near.ws, near.a as mid, near.b as n, d from near join d on d.ws = near.ws and d.mid = near.a), g as (select x.ws, x.n as a, y.n as c, sum(1 / ln(x.d)) as aa, sum(1.0::double / x.d) as ra, count(*)::bigint as common from m x join m y on x.ws = y.ws and x.mid = y.mid and x.n < y.n group by all), link as (select * from g where not exists (select 1 from u where u.ws = g.ws and u.a = g.a and u.b = g.c))"
-_kg("gra_5_link_scores", _LINK + " select ws, a, c, round(aa, 6) as adamic_adar, round(ra, 6) as resource_allocation, common from link")(
-    lambda c: A.link_scores(_citing(c)).withColumn("adamic_adar", F.round("adamic_adar", 6)).withColumn("resource_allocation", F.round("resource_allocation", 6)))
-_LAB = "select ws, name, substr(name, length(name)) as label from"
-_kg("gra_3_modularity", ", u as (select ws, least(src, tgt) as a, greatest(src, tgt) as b, sum(coalesce(nullif(confidence, 0), 1)) as w from edges where rel in ('CITED', 'AUTHORED') and src <> tgt group by all), n2 as (select ws, a, b, w from u union all select ws, b, a, w from u), x as (select ws, substr(a, length(a)) as la, substr(b, length(b)) as lb, w from n2), m as (select ws, sum(w) as m2, sum(case when la = lb then w else 0 end) as i from x group by ws), k as (select ws, sum(d * d) as d2 from (select ws, la, sum(w) as d from x group by all) group by ws) select ws, round(i / m2 - d2 / (m2 * m2), 8) as q from m join k using (ws)")(
-    lambda c: A.modularity(_citing(c), _citing(c).select("ws", F.explode(F.array("s", "t")).alias("name")).distinct().withColumn("label", F.expr("substr(name, length(name))"))).withColumn("q", F.round("q", 8)))
-_kg("gra_2_communities", None)(lambda c: A.community_table(A.communities(_citing(c), rounds=3, levels=2), _citing(c)))
-_kg("gra_9_shortest_paths", None)(lambda c: A.shortest_paths(_edges(c, "CITED", "AUTHORED", "AFFILIATED_WITH"), _edges(c, "AFFILIATED_WITH").select("ws", F.col("src").alias("a"), F.col("tgt").alias("b")).where("a like '%00'"), 3))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import text as T
 from kgspark.operators import evidence as V
 from kgspark.operators import retrieval as R
-from kgspark.plans.fixtures import table
-from kgspark.plans.registry import ORACLES, QUERIES
+from kgspark.plans.registry import ORACLES, QUERIES, over_tables, table
 
 
 def _add(name, tables, oracle):  # noqa: ANN001, ANN202
@@ -25,8 +24,18 @@ _N = "cast(count(*) as bigint)"
 _docs = lambda d: d.select(F.concat(F.lit("ws_"), "lang").alias("workspace_id"), "doc_id", F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
 _WORDS = "list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')"
 _add("fn_1_chunks", "documents", f"with d as (select doc_id, lang, text, {_WORDS} as w from documents), c as (select doc_id, lang, w, text, unnest(range(0, greatest(0, ceil((len(w) - 400) / 360.0)::bigint) + 1)) as i from d) select doc_id, i as chunk_index, 'ws_' || lang || ':doc://' || doc_id || ':' || i as chunk_id, case when len(w) <= 400 then text else array_to_string(list_slice(w, i * 360 + 1, i * 360 + 400), ' ') end as text from c")(lambda d: T.chunks(_docs(d)))
-_add("fn_2_char_windows", "documents", "with d as (select doc_id, substr('Document ' || doc_id || '. ' || text, 1, 40000) as b from documents), c as (select doc_id, b, unnest(range(0, case when length(b) <= 6000 then 1 else least(15, ceil(length(b) / 5400.0)::bigint) end)) as i from d) select doc_id, i as n, length(substr(b, i * 5400 + 1, 6000))::bigint as size, md5(substr(b, i * 5400 + 1, 6000)) as digest from c")(
-    lambda d: d.select("doc_id", F.posexplode(T.char_windows(F.substring(T.document_body(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.col("text")), 1, 40000))).alias("n", "w")).select("doc_id", F.col("n").cast("long").alias("n"), F.char_length("w").cast("long").alias("size"), F.md5("w").alias("digest")))
+_WINDOWS = """with d as (select doc_id, 'Document ' || doc_id || '. ' || text as b from documents),
+    c as (select doc_id, b, unnest(range(0, case when length(b) <= 6000 then 1 else ceil(length(b) / 5400.0)::bigint end)) as i from d)
+    select doc_id, i as n, length(substr(b, i * 5400 + 1, 6000))::bigint as size, md5(substr(b, i * 5400 + 1, 6000)) as digest from c"""
+
+
+@over_tables("fn_2_char_windows", "documents", _WINDOWS)
+def fn_2(d):  # noqa: ANN001, ANN201
+    body = T.document_body(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.col("text"))
+    got = d.select("doc_id", F.posexplode(T.char_windows(body)).alias("n", "w"))
+    return got.select("doc_id", F.col("n").cast("long").alias("n"), F.char_length("w").cast("long").alias("size"), F.md5("w").alias("digest"))
+
+
 _add("fn_8_url_ids", "pages", "select page_id, substr(sha256(url), 1, 16) as id from pages")(lambda p: p.select("page_id", T.doc_id_of(F.col("url")).alias("id")))
 _HEX = " + ".join(f"(('0x' || substr(h, {i * 8 + 1}, 8))::bigint % 7) * {pow(pow(2, 32, 7), 7 - i, 7)}" for i in range(8))
 _add("fn_9_buckets", "customer", f"with x as (select c_custkey, sha256(lower(trim(c_name))) as h from customer) select c_custkey, ({_HEX}) % 7 as bucket from x")(lambda c: c.select("c_custkey", T.bucket_of(F.col("c_name"), 7).alias("bucket")))
@@ -35,17 +44,39 @@ _add("fn_11_trimmed_answers", "conversations", "with x as (select conv_id, turn,
 _add("fn_14_json", "events", "select event_id, try_cast(json_extract(props, '$.k') as bigint) as k from events")(lambda e: e.select("event_id", F.from_json("props", "k long")["k"].alias("k")))
 _add("fn_15_titles", "conversations", "select conv_id, substr(trim(coalesce(nullif(arg_min(text, turn), ''), 'Untitled')), 1, 200) as title from conversations where role = 'user' group by conv_id")(
     lambda c: c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("q")).select("conv_id", T.thread_title(F.col("q")).alias("title")))
-_add("fil_9_read_only", "conversations", "select conv_id, turn, trim(coalesce(text, '')) <> '' and not regexp_matches(coalesce(text, ''), '(?i)\\b(CREATE|MERGE|DELETE|DETACH|SET|REMOVE|DROP|CALL|LOAD|FOREACH)\\b') as read_only from conversations")(
+_add("fil_9_read_only", "conversations", "select conv_id, turn, trim(coalesce(text, '')) <> '' and not regexp_matches(coalesce(text, ''), '(?i)\\b(CREATE|MERGE|SET|DELETE|DETACH|REMOVE|FOREACH|LOAD\\s+CSV|CALL|DROP)\\b') as read_only from conversations")(
     lambda c: c.select("conv_id", "turn", T.is_read_only(F.col("text")).alias("read_only")))
 _add("src_3_page_ids", "pages", "select page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), url) as title, substr(sha256(url), 1, 16) as id from pages")(
     lambda p: p.select("page_id", F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit("")), "url").alias("title"), T.doc_id_of(F.col("url")).alias("id")))
 _add("src_3_page_texts", "pages", None)(lambda p: __import__("kgspark.sources.pages", fromlist=["extract_pages"]).extract_pages(p))
-_add("src_6_public_urls", "pages", "select page_id, regexp_matches(url, '(?i)^https?://') as public from pages")(lambda p: p.select("page_id", T.public_url(F.col("url")).alias("public")))
-_add("vec_2_topk", "embeddings", "with q as (select vec_id as qid, embedding::double[] as v from embeddings where vec_id < 20), c as (select vec_id as id, embedding::double[] as e from embeddings where vec_id >= 20), s as (select qid, id, 1 - list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e)) + 1e-10) as d from q, c) select qid, id, round(d, 6) as distance, row_number() over (partition by qid order by d, id)::bigint as rank from s qualify rank <= 8")(
-    lambda e: R.vector_topk(e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), e.where("vec_id >= 20").select(F.col("vec_id").alias("id"), "embedding"), 8).select("qid", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")))
-_add("vec_5_bands", "embeddings", "with n as (select vec_id as seq, label, embedding::double[] as e from embeddings), s as (select a.seq, b.seq as other, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-10) as sim from n a join n b on a.label = b.label and b.seq < a.seq) select seq, arg_max(other, {'s': sim, 'o': -other}) as best, round(max(sim), 6) as sim, case when max(sim) >= 0.35 then 'merge' when max(sim) < 0.25 then 'new' else 'borderline' end as band from s group by seq")(
-    lambda e: R.best_earlier(e.select(F.col("vec_id").alias("seq"), F.col("label").alias("kind"), "embedding"), 0.25, 0.35).withColumn("sim", F.round("sim", 6)))
-_add("vec_4_resolved", "embeddings", None)(lambda e: R.resolve(e.select(F.col("vec_id").alias("seq"), F.col("label").alias("kind"), "embedding"), 0.35))
+#: Addresses that the pages' own are followed by, as path of each one: literal hosts of every kind.
+_HOSTS = ("10.0.0.1", "127.0.0.1", "8.8.8.8", "198.18.0.1", "192.0.2.5", "172.16.9.9", "172.32.0.1", "169.254.1.1", "224.0.0.1", "100.64.0.1", "[::1]", "[2606:4700::1111]", "[fe80::1]", "[2001:db8::1]", "localhost", "127.1", "example.org")
+_OPEN = ("8.8.8.8", "172.32.0.1", "100.64.0.1", "[2606:4700::1111]", "example.org")
+
+
+@over_tables("src_6_public_urls", "pages", f"select page_id, regexp_matches(url, '(?i)^https?://') as public, h as host, h in {_OPEN} as host_public from pages, (select unnest({list(_HOSTS)}) as h)")
+def src_6(p):  # noqa: ANN001, ANN201
+    """Each page's address as it is, and with its host replaced by one of every kind."""
+    rows = p.select("page_id", "url", F.explode(F.array(*map(F.lit, _HOSTS))).alias("host"))
+    other = F.concat(F.lit("https://u@"), "host", F.lit(":8080/x?"), "page_id")
+    return rows.select("page_id", T.public_url(F.col("url")).alias("public"), "host", T.public_url(other).alias("host_public"))
+
+
+_SPECS = "select conv_id, turn, case turn % 6 when 0 then text when 1 then 'cs.AI, q-bio.NC' when 2 then 'see math/0211159v1 and 2401.12345v2' when 3 then 'https://arxiv.org/pdf/cs.AI/0001001.pdf' when 4 then ' ' else 'cs' end as spec from conversations"
+
+
+@over_tables(
+    "src_5_modes",
+    "conversations",
+    f"""with s as ({_SPECS}) select conv_id, turn, case when turn % 6 in (2, 3) then 'id' when turn % 6 = 1 then 'category' when trim(coalesce(spec, '')) = '' then 'default' else 'keyword' end as mode,
+    case turn % 6 when 2 then 'math/0211159v1,2401.12345v2' when 3 then 'cs.AI/0001001' else '' end as ids from s""",
+)
+def src_5(c):  # noqa: ANN001, ANN201
+    """Each turn's text, or one of five specs, as what a feed asks for."""
+    spec = F.expr("case turn % 6 when 0 then text when 1 then 'cs.AI, q-bio.NC' when 2 then 'see math/0211159v1 and 2401.12345v2' when 3 then 'https://arxiv.org/pdf/cs.AI/0001001.pdf' when 4 then ' ' else 'cs' end")
+    return c.select("conv_id", "turn", T.source_mode(spec).alias("mode"), F.array_join(T.source_ids(spec), ",").alias("ids"))
+
+
 _add("vec_8_expected_strings", "documents benchmark", f"select item_id, {_N} as hits from benchmark b join documents d on contains(lower(d.text), lower(b.text)) group by item_id")(
     lambda d, b: d.join(F.broadcast(b.select("item_id", F.lower("text").alias("want"))), F.contains(F.lower("text"), F.col("want"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits")))
 _route = lambda x, t: F.element_at(F.array(*map(F.lit, t)), (x + 1).cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-MOST_ITEMS, MOST_BYTES = 50, 50 * 1024 * 1024
+MOST_ITEMS, MOST_BYTES = 50, 50 * 1024 * 1024  # fixed values: items of a feed, bytes of an upload
 ATOM = "id string, title string, summary string, published string, author array<struct<name: string>>, category array<struct<_term: string>>"
 RSS = "guid string, title string, link string, summary string, description string, pubDate string, author array<string>, category array<string>"
 
@@ -42,11 +42,11 @@ def rss_documents(spark: SparkSession, path: str, most: int = MOST_ITEMS) -> Dat
 def triage_uploads(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """(path, name, title, id, accepted, reason) of binary files (path, length, content): empty, too large and non-PDF ones are refused.
 
-    `name` is the base name with unsafe characters replaced, ending in .pdf; `title` is its stem without a leading UUID and underscore.
+    `name` is the base name with unsafe characters replaced and without outer spaces and dots, ending in .pdf, upload.pdf if nothing is left; `title` is its stem without a leading UUID and underscore.
     """
-    base = F.regexp_replace(F.regexp_replace("path", r"^.*[/\\]", ""), r"(?i)\.pdf$", "")
-    stem = F.regexp_replace(base, r"[^A-Za-z0-9._ -]", "_")
-    stem = F.when(F.trim(stem) == "", F.lit("upload")).otherwise(stem)
-    title = F.regexp_replace(stem, r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}_", "")
+    name = F.regexp_replace(F.regexp_replace("path", r"^.*[/\\]", ""), r"[^A-Za-z0-9._ -]", "_")
+    name = F.regexp_replace(name, r"^[ .]+|[ .]+$", "")
+    name = F.when(name == "", F.lit("upload.pdf")).when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+    title = F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}_", "")
     reason = F.when(F.coalesce("length", F.lit(0)) == 0, "empty").when(F.col("length") > most, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not a PDF")
-    return files.select("path", F.concat(stem, F.lit(".pdf")).alias("name"), title.alias("title"), F.substring(F.sha2("path", 256), 1, 16).alias("id"), reason.isNull().alias("accepted"), reason.alias("reason"))
+    return files.select("path", name.alias("name"), title.alias("title"), F.substring(F.sha2("path", 256), 1, 16).alias("id"), reason.isNull().alias("accepted"), reason.alias("reason"))

@@ -7,27 +7,30 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
-#: Elements whose whole content is left out.
-SKIPPED = {"script", "style", "nav", "footer", "header", "aside"}
+#: Elements whose whole content is left out.
+SKIPPED = ("script", "style", "nav", "footer", "header", "aside")
 
 
 class _Body(HTMLParser):
+    """The first title of a page, and all text outside the skipped elements, titles included."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.parts, self.depth, self.in_title = "", [], 0, False
+        self.title, self.parts, self.depth, self.titles, self.in_title = "", [], 0, 0, False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.depth += tag in SKIPPED
-        self.in_title = tag == "title"
+        if tag == "title":
+            self.titles, self.in_title = self.titles + 1, True
 
     def handle_endtag(self, tag: str) -> None:
         self.depth = max(0, self.depth - (tag in SKIPPED))
-        self.in_title = False
+        self.in_title = self.in_title and tag != "title"
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
+        if self.in_title and self.titles == 1:
             self.title += data
-        elif not self.depth:
+        if not self.depth:
             self.parts.append(data)
 
 

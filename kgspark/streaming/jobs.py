@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,13 @@ def failures_by_window(log: DataFrame, width: str = "1 hour", late: str = "1 hou
     return failed.groupBy(F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("failures")).select(F.col("w.start").alias("start"), "failures")
 
 
+def stuck_at(log: DataFrame, as_of: Column, minutes: int = 15) -> DataFrame:
+    """(source_id, document_url) of a log, streamed or not, whose last status is running and older than `minutes` at as_of: run with `latest`, each trigger lists the jobs stuck by then."""
+    from kgspark.operators.retrieval import stuck
+
+    return stuck(log, as_of, minutes)
+
+
 def latest(result: DataFrame, out: str, checkpoint: str):  # noqa: ANN201
     """Runs an aggregation over all that has arrived and keeps its whole result of each batch, written by executors, in a folder of its own."""
 

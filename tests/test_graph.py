@@ -1,5 +1,6 @@
 from kgspark.operators import analytics as A
 from kgspark.operators import graph as G
+from kgspark.operators import resolution as E
 from kgspark.operators import retrieval as R
 
 
@@ -42,10 +43,115 @@ def test_shortest_path(spark):
     assert {(r.a, r.b): (r.hops, r.path) for r in got.collect()} == {("d", "c"): (3, "d > a > b > c"), ("a", "z"): (None, None)}
 
 
-def test_resolution_equals_the_loop(spark):
-    vecs = [(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [0.9, 0.5]), (4, [0.02, 1.0])]
-    got = R.resolve(spark.createDataFrame([(i, "x", v) for i, v in vecs], "seq long, kind string, embedding array<double>"), 0.85)
-    assert {r.seq: r.leader for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 0, 4: 2}
+def loop(rows, low, high, same):
+    """Sequential resolution in Python: (leader, decision) of each name."""
+    import numpy as np
+
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    led, out = {}, {}
+    for seq, kind, v in sorted(rows):
+        best = max(((float(unit(v) @ unit(u)), -s) for s, (k, u) in led.items() if k == kind), default=None)
+        sim, other = (best[0], -best[1]) if best else (-9, None)
+        if sim >= high:
+            out[seq] = (other, "auto_merge")
+        elif sim >= low and same is not None and same(seq, other):
+            out[seq] = (other, "adjudicated_merge")
+        else:
+            led[seq] = (kind, v)
+            out[seq] = (seq, "new" if sim < low else "unadjudicated" if same is None else "adjudicated_new")
+    return out
+
+
+def test_resolution_equals_the_loop(spark, monkeypatch):
+    import random
+
+    deal = random.Random(2)
+    rows = [(i, deal.choice("xy"), [deal.random(), deal.random(), deal.random() * 0.5]) for i in range(60)]
+    names = spark.createDataFrame(rows, "seq long, kind string, embedding array<double>")
+    monkeypatch.setattr(E.similar_pairs, "__defaults__", (7,))  # many blocks
+    even = lambda seq, other: (seq + other) % 2 == 0
+    got = E.resolve_banded(names, 0.8, 0.97, lambda p: p.selectExpr("seq", "(seq + other) % 2 = 0 as same"))
+    assert {r.seq: (r.leader, r.decision) for r in got.collect()} == loop(rows, 0.8, 0.97, even)
+    assert {r.seq: (r.leader, r.decision) for r in E.resolve_banded(names, 0.8, 0.97).collect()} == loop(rows, 0.8, 0.97, None)
+    assert {r.seq: r.leader for r in E.resolve(names, 0.9).collect()} == {k: v for k, (v, _) in loop(rows, 0.9, 0.9, None).items()}
+
+
+def test_blank_names_pass_through(spark):
+    names = spark.createDataFrame([(0, "k", " ", [1.0, 0.0]), (1, "k", "a", [1.0, 0.0]), (2, "k", "b", [1.0, 0.0])], "seq long, kind string, name string, embedding array<double>")
+    got = E.resolve_banded(names)
+    assert {r.seq: (r.leader, r.decision) for r in got.collect()} == {0: (0, "blank"), 1: (1, "new"), 2: (1, "auto_merge")}
+    assert {r.decision: r.n for r in E.decision_counts(got).collect()} == {"blank": 1, "new": 1, "auto_merge": 1}
+
+
+def test_topk_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(300, 8))
+    v[7] = v[3]  # a tie
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").repartition(5)
+    q = rows.where("id % 50 = 0 or id = 3").selectExpr("id as qid", "embedding as vector")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for size in (16 << 20, 100):
+        got = {}
+        for r in R.vector_topk(q, rows, 4, size).collect():
+            got.setdefault(r.qid, {})[r.rank] = r.id
+        want = {i: [int(j) for j in np.lexsort((np.arange(300), np.round(1 - u @ u[i], 12)))[:4]] for i in [*range(0, 300, 50), 3]}
+        assert {k: [x[n] for n in (1, 2, 3, 4)] for k, x in got.items()} == want
+    assert R.vector_topk(q, rows.limit(0), 4).count() == 0 and R.vector_topk(q.limit(0), rows, 4).count() == 0
+
+
+def test_rerank_keeps_order_where_scores_fail(spark):
+    hits = spark.createDataFrame([(1, 1, "a", 0.1), (1, 2, "b", 0.9), (1, 3, "c", 0.5), (2, 1, "a", 0.1), (3, 1, "a", 0.2), (3, 2, "b", None), (4, 1, "a", 0.5), (4, 2, "b", 0.5)], "qid long, rank long, id string, s double")
+    order = lambda got: {q: [r.id for r in sorted((x for x in got if x.qid == q), key=lambda r: r.rank)] for q in (1, 2, 3, 4)}
+    from pyspark.sql import functions as F
+
+    assert order(R.rerank(hits, F.col("s"), 2).collect()) == {1: ["b", "c"], 2: ["a"], 3: ["a", "b"], 4: ["a", "b"]}
+    assert order(R.rerank(hits, None, 2).collect()) == {1: ["a", "b"], 2: ["a"], 3: ["a", "b"], 4: ["a", "b"]}
+
+
+def test_conflicts_are_counted_without_pairs(spark):
+    rows = [("w", "a", r, "b", d) for r, ds in (("SUPPORTS", "xxyz"), ("CONTRADICTS", "xyy")) for d in ds] + [("w", "c", "SUPPORTS", "d", "x"), ("w", "c", "CONTRADICTS", "d", "x"), ("w", "e", "SUPPORTS", "f", None), ("w", "e", "CONTRADICTS", "f", "x")]
+    claims = spark.createDataFrame(rows, "ws string, src string, rel string, tgt string, doc string")
+    from kgspark.operators import patterns as P
+
+    pairs = sum(1 for _, s, r, t, d in rows for _, s2, r2, t2, d2 in rows if (s, t) == (s2, t2) and r == "SUPPORTS" and r2 == "CONTRADICTS" and d and d2 and d != d2)
+    assert [(r.src, r.matches) for r in P.detect_conflicts(claims).collect()] == [("a", pairs)]
+
+
+def test_ranks_of_converged_and_counted_rounds(spark):
+    w = G.weighted_edges(edges(spark, [(a, b, "X", c) for a, b, c in (("A", "B", 0.5), ("B", "C", 1.0), ("C", "A", 1.0), ("D", "A", 0.2), ("A", "E", 0.7))]))
+    score = {n: 0.2 for n in "ABCDE"}
+    out = {"A": {"B": 0.5 / 1.2, "E": 0.7 / 1.2}, "B": {"C": 1}, "C": {"A": 1}, "D": {"A": 1}}
+    for _ in range(7):
+        lost = sum(s for n, s in score.items() if n not in out)
+        score = {n: 0.85 * (sum(score[m] * t.get(n, 0) for m, t in out.items()) + lost / 5) + 0.03 for n in score}
+    got = {r.name: r.score for r in A.pagerank(w, iterations=7).collect()}
+    assert all(abs(got[n] - score[n]) < 1e-9 for n in score)
+    asked = spark.createDataFrame([("w", n) for n in "AE"], "ws string, name string")
+    place = {n: i + 1 for i, n in enumerate(sorted(score, key=lambda n: (-score[n], n)))}
+    assert {r.name: r.place for r in A.influence_for(A.pagerank(w, iterations=7), asked).collect()} == {n: place[n] for n in "AE"}
+
+
+def test_communities_beat_simple_labellings(spark):
+    import random
+
+    deal = random.Random(4)
+    rows = [(f"{g}{deal.randrange(8)}", f"{g}{deal.randrange(8)}", "X", 1.0) for g in "abc" for _ in range(40)] + [(f"a{i}", f"b{i}", "X", 0.3) for i in range(3)]
+    w = G.weighted_edges(edges(spark, rows))
+    got = A.communities(w)
+    own = got.selectExpr("ws", "name", "name as label")
+    q = lambda labels: A.modularity(w, labels).first().q
+    assert q(got) > 0.5 > q(own) and q(got) >= q(got.selectExpr("ws", "name", "substr(name, 1, 1) as label")) - 1e-9
+
+
+def test_gap_texts_and_guards(spark):
+    g = spark.createDataFrame([("w", "A", "C", 3, True, False, 1.0, ["x", "y", "z"]), ("w", "B", "D", 1, False, True, 0.5, ["x"])], "ws string, a string, c string, common long, bridge boolean, same_community boolean, score double, mids array<string>")
+    g = g.selectExpr("*", "transform(mids, m -> named_struct('mid', m, 'from_a', array('R'), 'from_c', array('S'))) as evidence")
+    assert [r.summary for r in A.plain_summary(g).orderBy("a").collect()] == ["Both connect to 3 shared intermediaries (x, y...) but have no direct link. Bridges two topic clusters.", "Both connect to 1 shared intermediary (x) but have no direct link."]
+    said = spark.createDataFrame([("w", "A", "C", "s", "LIKES", "HIGH", None, "")], "ws string, a string, c string, statement string, relation string, confidence string, reasoning string, caveat string")
+    got = {r.a: r for r in A.guarded_hypotheses(g, said).collect()}
+    assert (got["A"].statement, got["A"].relation, got["A"].confidence) == ("s", "SUPPORTS", "high") and got["A"].reasoning.startswith("3 shared intermediaries")
+    assert got["B"].statement == "CONJECTURE: B may have an untested SUPPORTS relationship with D." and got["B"].confidence == "medium" and got["B"].caveat
 
 
 def test_prf(spark):
