@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from kgspark.store import stored
 
 EDGE = ["ws", "src_label", "src", "rel", "tgt_label", "tgt"]
 NODE = ["ws", "label", "name"]
@@ -72,9 +75,14 @@ def untagged_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("source_count = 0").join(used, NODE, "left_anti")
 
 
+def weight_of(confidence: Column) -> Column:
+    """A missing or zero confidence weighs 1."""
+    return F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(1.0))
+
+
 def weighted_edges(edges: DataFrame) -> DataFrame:
     """(ws, s, t, w): parallel edges summed by name; blanks and self-loops dropped; a missing or zero confidence weighs 1."""
-    w = F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(1.0))
+    w = weight_of(F.col("confidence"))
     named = edges.where("trim(src) <> '' and trim(tgt) <> '' and src <> tgt")
     return named.groupBy("ws", F.col("src").alias("s"), F.col("tgt").alias("t")).agg(F.sum(w).alias("w"))
 
@@ -104,15 +112,52 @@ def out_degrees(edges: DataFrame, rel: str, label: str) -> DataFrame:
 
 def top_per_workspace(rows: DataFrame, score: str, k: int) -> DataFrame:
     """The k highest rows of each workspace, ties by name."""
-    from pyspark.sql.window import Window as W
-
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("ws").orderBy(F.col(score).desc(), "name")))
     return ranked.where(F.col("rank") <= k)
 
 
-def hub_view(edges: DataFrame, limit: int = 150) -> DataFrame:
-    """Nodes of a workspace's hub view: the top hubs, the edges that touch them, degrees inside that subset, the top `limit` nodes."""
-    hubs = top_per_workspace(degrees(edges), "degree", max(15, limit // 6)).select("ws", F.col("name").alias("h"))
-    src, tgt = hubs.withColumnRenamed("h", "src"), hubs.withColumnRenamed("h", "tgt")
-    touched = edges.join(src, ["ws", "src"], "left_semi").unionByName(edges.join(tgt, ["ws", "tgt"], "left_semi").join(src, ["ws", "src"], "left_anti"))
-    return top_per_workspace(degrees(touched), "degree", limit)
+def hub_view(edges: DataFrame, limit: int = 150, most_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each workspace's hub view: the top hubs, the edges that touch them, degrees inside that subset, the top `limit` nodes, and the edges between those.
+
+    most_edges, if given, bounds a workspace's touching edges, in order of their ends. The edges are written once without their other columns, as four jobs read them.
+    """
+    keys = stored(edges.select(*EDGE), "hub-edges")
+    hubs = top_per_workspace(degrees(keys), "degree", max(15, limit // 6)).select("ws", F.col("name").alias("h"))
+    hubs = F.broadcast(hubs) if hubs.count() <= 100_000 else hubs
+    at = lambda side: F.col("h").alias(side)
+    touched = keys.join(hubs.select("ws", at("src")), ["ws", "src"], "left_semi").unionByName(keys.join(hubs.select("ws", at("tgt")), ["ws", "tgt"], "left_semi").join(hubs.select("ws", at("src")), ["ws", "src"], "left_anti"))
+    if most_edges:
+        touched = touched.withColumn("_n", F.row_number().over(W.partitionBy("ws").orderBy("src", "rel", "tgt", "src_label", "tgt_label"))).where(F.col("_n") <= most_edges).drop("_n")
+    touched = stored(touched, "hub-touched")
+    nodes = top_per_workspace(degrees(touched), "degree", limit)
+    kept = nodes.select("ws", "name")
+    inside = touched.join(kept.withColumnRenamed("name", "src"), ["ws", "src"], "left_semi").join(kept.withColumnRenamed("name", "tgt"), ["ws", "tgt"], "left_semi")
+    return nodes, inside
+
+
+def in_workspace(rows: DataFrame, ws: str) -> DataFrame:
+    """Rows of one workspace; over a table partitioned by ws only its folder is read."""
+    return rows.where(F.col("ws") == ws)
+
+
+def without_workspace(rows: DataFrame, ws: str) -> DataFrame:
+    """Rows of all other workspaces, of any table."""
+    return rows.where(~F.col("ws").eqNullSafe(F.lit(ws)))
+
+
+def union_rows(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts, equal ones once."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Node and edge tables below path, partitioned by workspace."""
+    nodes.write.partitionBy("ws").mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.partitionBy("ws").mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")

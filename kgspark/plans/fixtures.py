@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,12 +11,26 @@ from kgspark.plans.registry import table
 CLAIM = ["ws", "source_id", "seq", "src_label", "src", "rel", "tgt_label", "tgt", "doc", "confidence"]
 
 
-def _claim(df: DataFrame, src_label, src, rel, tgt_label, tgt, confidence) -> DataFrame:  # noqa: ANN001
-    s = lambda x: x if not isinstance(x, str) else F.lit(x)
-    return df.select("ws", "source_id", F.col("seq").cast("long").alias("seq"), s(src_label).alias("src_label"), src.alias("src"), s(rel).alias("rel"), s(tgt_label).alias("tgt_label"), tgt.alias("tgt"), "doc", confidence.cast("double").alias("confidence"))
+def _claims_of(rows: DataFrame, *made: Column) -> DataFrame:
+    """The claims that each row makes: structs of (src_label, src, rel, tgt_label, tgt, confidence), null for none."""
+    one = rows.select("ws", "source_id", F.col("seq").cast("long").alias("seq"), "doc", F.explode(F.array_compact(F.array(*made))).alias("c"))
+    return one.select("ws", "source_id", "seq", "c.src_label", "c.src", "c.rel", "c.tgt_label", "c.tgt", "doc", "c.confidence")
+
+
+def _claim_of(rows: DataFrame, made: Column) -> DataFrame:
+    """One claim a row; a filter on its relation then drops the whole branch of the union."""
+    one = rows.select("ws", "source_id", F.col("seq").cast("long").alias("seq"), "doc", made.alias("c"))
+    return one.select("ws", "source_id", "seq", "c.src_label", "c.src", "c.rel", "c.tgt_label", "c.tgt", "doc", "c.confidence")
+
+
+def _made(src_label: str, src: Column, rel: Column | str, tgt_label: str, tgt: Column, confidence: Column | float) -> Column:
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    fields = {"src_label": F.lit(src_label), "src": src, "rel": column(rel), "tgt_label": F.lit(tgt_label), "tgt": tgt, "confidence": column(confidence).cast("double")}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is read once for all of its claims; what makes one claim a row is a branch of the union, so that filters on relations drop branches."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     ws = F.concat(F.lit("ws_"), F.lower("c_mktsegment")).alias("ws")
     order = lambda k: F.concat(F.lit("order-"), F.col(k).cast("string"))
@@ -24,26 +38,25 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         ws, F.concat(F.lit("src_"), (F.col("o_orderkey") % 7).cast("string")).alias("source_id"), F.col("o_orderkey").alias("seq"),
         order("o_orderkey").alias("doc"), "c_name", "o_orderpriority", "o_custkey", "o_orderdate", "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_discount")
-    l = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    l = lines.join(o.select("ws", "source_id", "seq", "doc", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     co = l.where("l_linenumber = 1").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("ws", "source_id", "seq", "doc", "s_name").distinct()
-    part = F.concat(F.lit("part-"), F.col("l_partkey").cast("string"))
+    part, paper = F.concat(F.lit("part-"), F.col("l_partkey").cast("string")), F.col("doc")
     kind = F.when(F.col("l_returnflag") == "N", "SUPPORTS").when(F.col("l_returnflag") == "R", "CONTRADICTS").otherwise("RELATED_TO")
-    cited = o.withColumn("_before", F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).where("_before is not null")
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     home = customer.select(ws, F.lit("src_0").alias("source_id"), F.lit(-1).alias("seq"), F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("doc"), "c_name", "c_nationkey")
+    cited = F.when(F.col("_before").isNotNull(), _made("Paper", paper, "CITED", "Paper", order("_before"), 0.95))
     parts = [
-        _claim(o, "Person", F.col("c_name"), "AUTHORED", "Paper", F.col("doc"), F.lit(1.0)),
-        _claim(co, "Person", F.col("s_name"), "AUTHORED", "Paper", F.col("doc"), F.lit(1.0)),
-        _claim(o, "Paper", F.col("doc"), "ABOUT", "Topic", F.col("o_orderpriority"), F.lit(1.0)),
-        _claim(l, "Paper", F.col("doc"), "MENTIONS", "Concept", part, F.lit(0.9)),
-        _claim(l, "Concept", part, kind, "Organization", F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")), 1 - F.col("l_discount")),
-        _claim(cited, "Paper", F.col("doc"), "CITED", "Paper", order("_before"), F.lit(0.95)),
-        _claim(home, "Person", F.col("c_name"), "AFFILIATED_WITH", "Organization", F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")), F.lit(1.0)),
+        _claims_of(o.withColumn("_before", before), _made("Person", F.col("c_name"), "AUTHORED", "Paper", paper, 1.0), _made("Paper", paper, "ABOUT", "Topic", F.col("o_orderpriority"), 1.0), cited),
+        _claim_of(co, _made("Person", F.col("s_name"), "AUTHORED", "Paper", paper, 1.0)),
+        _claim_of(l, _made("Paper", paper, "MENTIONS", "Concept", part, 0.9)),
+        _claim_of(l, _made("Concept", part, kind, "Organization", F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")), 1 - F.col("l_discount"))),
+        _claim_of(home, _made("Person", F.col("c_name"), "AFFILIATED_WITH", "Organization", F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")), 1.0)),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.select(*CLAIM)
 
 
 #: The same claims, merged edges and nodes for DuckDB; a prefix of oracle queries.
