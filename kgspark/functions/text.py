@@ -123,6 +123,12 @@ def source_mode(spec: Column) -> Column:
     return F.when(F.size(source_ids(spec)) > 0, "id").when(categories, "category").when(F.trim(F.regexp_replace(s, r"\s+", " ")) != "", "keyword").otherwise("default")
 
 
+def json_fields(text: Column, schema: str) -> Column:
+    """A JSON object's fields; bad JSON and other values give the same struct with null fields, so that a caller finds an empty object."""
+    read = F.from_json(text, schema)
+    return F.coalesce(read, F.from_json(F.lit("{}"), schema))
+
+
 def thread_title(question: Column) -> Column:
     return F.substring(F.trim(F.coalesce(F.nullif(question, F.lit("")), F.lit("Untitled"))), 1, 200)
 

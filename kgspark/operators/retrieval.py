@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from kgspark.functions.text import trim_answer
+
 
 def apply_model(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """An injected model over batches of rows: iterator of pandas frames to iterator of pandas frames."""
@@ -75,6 +77,50 @@ def rerank(hits: DataFrame, score: Column | None, k: int) -> DataFrame:
     return got.where(F.col("_n") <= k).withColumn("rank", F.col("_n")).drop("_n", "_failed")
 
 
+def expected_hits(texts: DataFrame, expected: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+    """(item_id, text_id): which expected strings (item_id, text) occur in which texts (text_id, text), in any case; empty strings occur nowhere.
+
+    Strings go to every task as one automaton for each block of at most block_bytes, and each block scans the texts once.
+    """
+    rows = expected.where("coalesce(text, '') <> ''").select("item_id", F.lower("text").alias("want")).distinct()
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("want"))).first()[0] or 0) // block_bytes))
+    schema = T.StructType([T.StructField("item_id", expected.schema["item_id"].dataType), T.StructField("text_id", texts.schema["text_id"].dataType)])
+    out = None
+    for b in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("want"), F.lit(blocks)) == b)
+        held = texts.sparkSession.sparkContext.broadcast([(r.want, r.item_id) for r in own.collect()])  # about block_bytes
+
+        def find(batches: Iterator, held=held) -> Iterator:  # noqa: ANN001
+            import ahocorasick
+            import pandas as pd
+
+            ids: dict = {}
+            for want, item in held.value:
+                ids.setdefault(want, []).append(item)
+            a = ahocorasick.Automaton()
+            for want, items in ids.items():
+                a.add_word(want, items)
+            if not ids:
+                return
+            a.make_automaton()
+            for pdf in batches:
+                got = [(i, t) for t, text in zip(pdf["text_id"], pdf["text"], strict=True) for i in sorted({x for _, items in a.iter(text or "") for x in items})]
+                yield pd.DataFrame(got, columns=["item_id", "text_id"])
+
+        hits = texts.select("text_id", F.lower("text").alias("text")).mapInPandas(find, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def retrieval_hit(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """(qid, hit) of questions (qid, expected: array of strings) over retrieved texts (qid, text): any expected string occurs in any of them, in any case; with none expected, whether there is any text."""
+    found = results.groupBy("qid").agg(F.collect_list(F.lower("text")).alias("texts"))  # what was retrieved for one question
+    got = expected.join(found, "qid", "left")
+    any_text = F.size(F.coalesce("texts", F.array().cast("array<string>"))) > 0
+    some = F.exists("expected", lambda e: F.exists(F.coalesce("texts", F.array().cast("array<string>")), lambda t: F.contains(t, F.lower(e))))
+    return got.select("qid", F.when(F.size(F.coalesce("expected", F.array().cast("array<string>"))) == 0, any_text).otherwise(some).alias("hit"))
+
+
 def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:
     """expected x predicted counts, zero-filled; unknown predictions are `other`, unknown expectations are dropped."""
     grid = pairs.sparkSession.createDataFrame([(e, p) for e in labels for p in [*labels, "other"]], "expected string, predicted string")
@@ -98,11 +144,16 @@ def faithfulness(claims: DataFrame) -> DataFrame:
     return per.agg(F.round(F.coalesce(F.avg("score"), F.lit(1.0)), 6).alias("mean"), F.round(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0)), 6).alias("unsupported_rate"), F.coalesce(F.sum("n"), F.lit(0)).alias("claims"), F.count_if(F.col("bad") > 0).alias("answers_with_unsupported"))
 
 
-def trust(claims: DataFrame) -> DataFrame:
-    """For each answer: supported share to 3 places, number of claims, and the first 10 unsupported claims, comma-joined."""
-    bad = F.array_sort(F.collect_list(F.when(~F.col("supported"), F.col("claim"))))
-    got = claims.groupBy("answer").agg(F.bround(F.avg(F.col("supported").cast("double")), 3).alias("score"), F.count(F.lit(1)).alias("total"), bad.alias("bad"))
-    return got.select("answer", "score", "total", F.array_join(F.transform(F.slice("bad", 1, 10), lambda x: x.cast("string")), ",").alias("unsupported"))
+def trust(claims: DataFrame, most_bad: int = 10, most_claims: int = 16, most_chars: int = 300) -> DataFrame:
+    """For each answer of claims (answer, place, claim, supported): the supported share to 3 places (null without a verdict), how many claims and supported ones, the first unsupported
+    ones, and the first of all, with claims cut to their length; lists are comma-joined in order of place."""
+    row = F.struct("place", F.substring(F.col("claim").cast("string"), 1, most_chars).alias("claim"), "supported")
+    got = claims.groupBy("answer").agg(
+        F.bround(F.avg(F.col("supported").cast("double")), 3).alias("score"), F.count("supported").alias("total"), F.count_if("supported").alias("supported"),
+        F.array_sort(F.collect_list(F.when(F.col("supported").isNotNull(), row))).alias("l"),
+    )
+    text = lambda rows, k: F.array_join(F.transform(F.slice(rows, 1, k), lambda x: x["claim"]), ",")
+    return got.select("answer", "score", "total", "supported", text(F.filter("l", lambda x: ~x["supported"]), most_bad).alias("unsupported"), text(F.col("l"), most_claims).alias("claims"))
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, p: float) -> DataFrame:
@@ -121,12 +172,24 @@ def last_turns(turns: DataFrame, k: int = 6) -> DataFrame:
     return got.where(F.col("_r") <= k).drop("_r")
 
 
-def history_block(turns: DataFrame, most: int = 6000) -> DataFrame:
-    """(conv_id, history): the newest lines `role: text` that fit into the budget, oldest first."""
-    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
-    rows = turns.select("conv_id", "turn", line.alias("line"))
-    rows = rows.withColumn("used", F.sum(F.char_length("line") + 1).over(W.partitionBy("conv_id").orderBy(F.col("turn").desc())))
-    kept = rows.where((F.col("used") - 1 <= most)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
+def aged_out(turns: DataFrame, k: int = 6) -> DataFrame:
+    """Turns with the turn that leaves the window of the last k when each of them arrives, null while it isn't full."""
+    return turns.withColumn("aged", F.lag("turn", k).over(W.partitionBy("conv_id").orderBy("turn")))
+
+
+def history_block(turns: DataFrame, most: int = 6000, most_answer: int | None = None) -> DataFrame:
+    """(conv_id, history): the newest lines `role: text` that fit into the budget, oldest first. Where not even the newest fits, it alone is cut to the budget, with an ellipsis.
+
+    most_answer trims the texts of assistants first, at a word's end.
+    """
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("role") == "assistant", trim_answer(text, most_answer)).otherwise(text) if most_answer else text
+    rows = turns.select("conv_id", "turn", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), text).alias("line"))
+    own = W.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    rows = rows.withColumn("used", F.sum(F.char_length("line") + 1).over(own)).withColumn("_n", F.row_number().over(own))
+    fits = F.col("used") - 1 <= most
+    rows = rows.where(fits | (F.col("_n") == 1)).withColumn("line", F.when(fits, F.col("line")).otherwise(F.concat(F.substring("line", 1, most - 1), F.lit("…"))))
+    kept = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))  # a budget's worth
     return kept.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("history"))
 
 

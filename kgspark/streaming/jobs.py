@@ -22,6 +22,16 @@ def ingest(arrivals: DataFrame, step: Callable[[DataFrame], DataFrame], out: str
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def failed(log: DataFrame, most_chars: int = 500) -> DataFrame:
+    """The dead letters of a log, streamed or not: failed entries, with their error cut to its length."""
+    return log.where("status = 'failed'").withColumn("error", F.substring(F.coalesce("error", F.lit("")), 1, most_chars))
+
+
+def failures_by_hour(log: DataFrame) -> DataFrame:
+    """(hour, failures) of a log (ts, status) in batch: what `failures_by_window` gives of a whole stream."""
+    return log.where("status = 'failed'").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("failures"))
+
+
 def failures_by_window(log: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(start, failures): failed entries of log(ts, status) in tumbling windows; entries later than `late` are left out of a closed window."""
     failed = log.where("status = 'failed'").withWatermark("ts", late)
