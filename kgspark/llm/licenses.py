@@ -27,7 +27,7 @@ TERMS = r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 VERSION = r"(?: (?:version|v|ver|release))?"
 LATER = r"(?: or (?:\(?at your option\)? )?(?:any )?later(?: version)?| or newer| plus)?"
 
-#: (label, keywords, full name, short name): families of licences and the names they go by.
+#: (label, keywords, full name, short name): families of licences and the names they go by. Each keyword list covers every form of both names.
 FAMILIES = (
     ("apache-1.0", "apache", r"apache (?:software )?license" + VERSION + r" 1 0", r"apache 1 0"),
     ("apache-1.1", "apache", r"apache (?:software )?license" + VERSION + r" 1 1", r"apache 1 1"),
@@ -49,27 +49,27 @@ FAMILIES = (
     ("gpl", "general gpl", r"(?:gnu )?general public licen[cs]e", r"gnu gpl"),
     ("gpl-2.0", "gplv2", r"gnu gplv2", r"gplv2"),
     ("gpl-3.0", "gplv3", r"gnu gplv3", r"gplv3"),
-    ("lgpl-2.1", "lesser library", r"(?:gnu )?(?:lesser|library) general public licen[cs]e" + VERSION + r" 2(?: [01])?" + LATER, r"lesser gpl 2"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e" + VERSION + r" 3(?: 0)?" + LATER, r"lesser gpl 3"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e", r"lesser gpl"),
+    ("lgpl-2.1", "lesser library lgpl lgpl2", r"(?:gnu )?(?:lesser|library) general public licen[cs]e" + VERSION + r" 2(?: [01])?" + LATER, r"lgpl(?: v)? ?2(?: [01])?"),
+    ("lgpl-3.0", "lesser lgpl lgpl3", r"(?:gnu )?lesser general public licen[cs]e" + VERSION + r" 3(?: 0)?" + LATER, r"lgpl(?: v)? ?3(?: 0)?"),
+    ("lgpl", "lesser lgpl", r"(?:gnu )?lesser general public licen[cs]e", r"gnu lgpl"),
     ("lgpl-2.1", "lgplv2", r"gnu lgplv2(?: 1)?", r"lgplv2(?: 1)?"),
     ("lgpl-3.0", "lgplv3", r"gnu lgplv3", r"lgplv3"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e(?:" + VERSION + r" 3(?: 0)?)?" + LATER, r"affero gpl"),
+    ("agpl-3.0", "affero agpl agpl3", r"(?:gnu )?affero general public licen[cs]e(?:" + VERSION + r" 3(?: 0)?)?" + LATER, r"agpl(?: v)? ?3(?: 0)?"),
     ("agpl-3.0", "agplv3", r"gnu agplv3", r"agplv3"),
-    ("gfdl", "documentation fdl", r"(?:gnu )?free documentation licen[cs]e(?:" + VERSION + r" 1 [123])?", r"gnu fdl"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e" + VERSION + r" 1 1", r"mozilla 1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e" + VERSION + r" 2(?: 0)?", r"mozilla 2 0"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e", r"mozilla licensed"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e" + VERSION + r" 1(?: 0)?", r"eclipse 1 0"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e" + VERSION + r" 2(?: 0)?", r"eclipse 2 0"),
-    ("edl-1.0", "eclipse", r"eclipse distribution licen[cs]e", r"eclipse edl"),
+    ("gfdl", "documentation fdl gfdl", r"(?:gnu )?free documentation licen[cs]e(?:" + VERSION + r" 1 [123])?", r"(?:gnu fdl|gfdl)(?: v?1 [123])?"),
+    ("mpl-1.1", "mozilla mpl", r"mozilla public licen[cs]e" + VERSION + r" 1 1", r"mpl v?1 1"),
+    ("mpl-2.0", "mozilla mpl", r"mozilla public licen[cs]e" + VERSION + r" 2(?: 0)?", r"mpl v?2 0"),
+    ("mpl", "mozilla mpl", r"mozilla public licen[cs]e", r"mpl licensed"),
+    ("epl-1.0", "eclipse epl", r"eclipse public licen[cs]e" + VERSION + r" 1(?: 0)?", r"epl v?1 0"),
+    ("epl-2.0", "eclipse epl", r"eclipse public licen[cs]e" + VERSION + r" 2(?: 0)?", r"epl v?2 0"),
+    ("edl-1.0", "eclipse edl", r"eclipse distribution licen[cs]e", r"edl v?1 0"),
     ("cddl-1.0", "cddl", r"cddl" + VERSION + r" 1(?: [01])?", r"cddl"),
     ("cddl-1.0", "development", r"common development and distribution licen[cs]e", r"common development license"),
-    ("cpl-1.0", "common", r"common public licen[cs]e(?:" + VERSION + r" 1 0)?", r"common public licensed"),
-    ("eupl", "european", r"european union public licen[cs]e(?:" + VERSION + r" 1 [012])?", r"european public license"),
+    ("cpl-1.0", "common cpl", r"common public licen[cs]e(?:" + VERSION + r" 1 0)?", r"cpl v?1 0"),
+    ("eupl", "european eupl", r"european union public licen[cs]e(?:" + VERSION + r" 1 [012])?", r"eupl(?: v?1 [012])?"),
     ("artistic-2.0", "artistic", r"artistic licen[cs]e" + VERSION + r" 2(?: 0)?", r"artistic 2 0"),
     ("artistic-1.0", "artistic", r"artistic licen[cs]e", r"artistic licensed"),
-    ("boost-1.0", "boost", r"boost software licen[cs]e(?:" + VERSION + r" 1 0)?", r"boost licensed"),
+    ("boost-1.0", "boost bsl", r"boost software licen[cs]e(?:" + VERSION + r" 1 0)?", r"bsl v?1 0"),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense org"),
     ("wtfpl", "wtfpl", r"wtfpl(?:" + VERSION + r" 2)?", r"wtfpl"),
     ("cc0-1.0", "cc0", r"cc0 1 0(?: universal)?", r"cc0"),
@@ -93,24 +93,24 @@ FAMILIES = (
     ("cc-by-sa", "commons", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?", r"commons share ?alike"),
     ("cc-by-nc", "commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?", r"commons non ?commercial"),
     ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: [1-4] [05])?", r"commons no ?derivatives"),
-    ("odbl-1.0", "database", r"open (?:data commons )?database licen[cs]e(?: odbl)?", r"database license odbl"),
-    ("odc-by-1.0", "commons", r"open data commons attribution licen[cs]e", r"odc by commons"),
-    ("pddl-1.0", "domain", r"public domain dedication and licen[cs]e", r"public domain pddl"),
+    ("odbl-1.0", "database odbl", r"open (?:data commons )?database licen[cs]e(?: odbl)?", r"odbl(?: v?1 0)?"),
+    ("odc-by-1.0", "commons odc", r"open data commons attribution licen[cs]e", r"odc by(?: v?1 0)?"),
+    ("pddl-1.0", "domain pddl", r"public domain dedication and licen[cs]e", r"pddl(?: v?1 0)?"),
     ("public-domain", "domain", r"(?:dedicated to|in|into|placed in) the public domain", r"public domain"),
-    ("ofl-1.1", "font", r"(?:sil )?open font licen[cs]e(?:" + VERSION + r" 1 1)?", r"font ofl"),
-    ("psf-2.0", "python", r"python software foundation licen[cs]e(?:" + VERSION + r" 2)?", r"psf python license"),
+    ("ofl-1.1", "font ofl", r"(?:sil )?open font licen[cs]e(?:" + VERSION + r" 1 1)?", r"(?:sil )?ofl(?: v?1 1)?"),
+    ("psf-2.0", "python psf", r"python software foundation licen[cs]e(?:" + VERSION + r" 2)?", r"psf licen[cs]e(?: v?2)?"),
     ("php-3.0", "php", r"php licen[cs]e(?:" + VERSION + r" 3 0?1?)?", r"php licensed"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby licensed"),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e", r"microsoft ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e", r"microsoft ms rl"),
-    ("bsl-1.1", "business", r"business source licen[cs]e(?: 1 1)?", r"business source"),
-    ("sspl-1.0", "server", r"server side public licen[cs]e(?:" + VERSION + r" 1)?", r"server side licensed"),
-    ("elastic-2.0", "elastic", r"elastic licen[cs]e(?: v?2(?: 0)?)?", r"elastic licensed"),
+    ("ms-pl", "microsoft ms", r"microsoft public licen[cs]e", r"ms pl"),
+    ("ms-rl", "microsoft ms", r"microsoft reciprocal licen[cs]e", r"ms rl"),
+    ("bsl-1.1", "business busl", r"business source licen[cs]e(?: 1 1)?", r"busl v?1 1"),
+    ("sspl-1.0", "server sspl", r"server side public licen[cs]e(?:" + VERSION + r" 1)?", r"sspl(?: v?1)?"),
+    ("elastic-2.0", "elastic elv2", r"elastic licen[cs]e(?: v?2(?: 0)?)?", r"elv2"),
     ("openssl", "openssl", r"openssl(?: ssleay)? licen[cs]e", r"openssl licensed"),
     ("openrail", "openrail", r"(?:creativeml )?openrail(?: m)?(?: licen[cs]e)?", r"openrail m"),
-    ("osl-3.0", "open", r"open software licen[cs]e(?:" + VERSION + r" 3 0)?", r"osl open 3 0"),
-    ("nasa-1.3", "nasa", r"nasa open source agreement(?: 1 3)?", r"nasa nosa"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", r"ncsa licensed"),
+    ("osl-3.0", "open osl", r"open software licen[cs]e(?:" + VERSION + r" 3 0)?", r"osl v?3 0"),
+    ("nasa-1.3", "nasa nosa", r"nasa open source agreement(?: 1 3)?", r"nosa v?1 3"),
+    ("ncsa", "ncsa uiuc", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", r"uiuc licen[cs]e"),
 )
 #: (label, priority, keywords, expression): notices and grants that belong to no family.
 NOTICES = (
