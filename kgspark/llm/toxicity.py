@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from kgspark.llm.common import chunks, unburdened, words_of
 
 BUCKETS, WIDTHS, FILTERS, DIM = 1 << 15, (1, 2, 3), 8, 12
-PER_CLASS, MOST_BYTES, LEAST, BINS = 4_000, 32 << 20, 4, 1000
+PER_CLASS, MOST_BYTES, LEAST, BINS = 4_000, 32 << 20, 16, 1000
 
 
 def hashed(texts: list[str], cache: dict, buckets: int = BUCKETS):  # noqa: ANN201
