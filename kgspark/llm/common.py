@@ -6,14 +6,18 @@ non-ASCII code point is part of a word. A null text counts as empty everywhere.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from array import array
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.store import forget, shared_folder, stored
+
+__all__ = ["Encoder", "chunks", "encoder", "forget", "partitions", "range_bounds", "range_bucket", "shared_dir", "trimmed", "unburdened", "words_col", "words_of", "written"]
+
+shared_dir, written = shared_folder, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Byte map of the same rule: separators become spaces, A-Z lower case, the rest stays.
@@ -34,22 +38,6 @@ def words_col(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(text), NOT_WORD), "")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, safe when an executor is lost, of known size."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

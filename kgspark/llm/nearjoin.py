@@ -26,7 +26,7 @@ from math import ceil, exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import chunks, partitions, unburdened, words_of, written
+from kgspark.llm.common import chunks, forget, partitions, unburdened, words_of, written
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.99999
 #: Tokens that a set follows on average: in each run at first, then below each path.
@@ -255,10 +255,11 @@ def _roots(parents: DataFrame) -> DataFrame:
     """(path, root): the last of each path's chain of parents (path, root), by doubling; each round is a written table."""
     while True:
         far = parents.select(F.col("path").alias("root"), F.col("root").alias("_far"))
+        last = parents
         parents = written(parents.join(far, "root", "left").select("path", F.coalesce("_far", "root").alias("root"), F.col("_far").isNotNull().alias("on")), "nearjoin-roots")
+        forget(last)
         if parents.where("on").limit(1).count() == 0:
             return parents.select("path", "root")
-        parents = parents.select("path", "root")
 
 
 def _merged(met: DataFrame) -> DataFrame:
@@ -370,7 +371,9 @@ def links(docs_signed: DataFrame, least: float = LEAST, limit: int = LIMIT, reca
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
     dealt = rows.select("unit", "bucket", "skey", "block", "copies", "tokens", "buckets").repartition(partitions(spark), "unit").sortWithinPartitions("unit", "skey")
-    return reps, written(dealt.mapInArrow(run, "skey binary, links long, weighted long, root binary"), "nearjoin-links")
+    found = written(dealt.mapInArrow(run, "skey binary, links long, weighted long, root binary"), "nearjoin-links")
+    forget(buckets, places)
+    return reps, found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -381,10 +384,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, "a").select("a", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = step.alias("s").join(labels.select(F.col("a").alias("_a"), F.col("label").alias("_l")), F.col("s.label") == F.col("_a"), "left")
-        labels = written(jump.select("a", F.least("s.label", F.coalesce("_l", "s.label")).alias("label"), "old"), "components")
+        last, labels = labels, written(jump.select("a", F.least("s.label", F.coalesce("_l", "s.label")).alias("label"), "old"), "components")
+        forget(last)
         if labels.where("label <> old").limit(1).count() == 0:
+            forget(both)
             return labels.select("a", "label")
-        labels = labels.select("a", "label")
 
 
 def classes(docs: DataFrame, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
@@ -396,6 +400,7 @@ def classes(docs: DataFrame, least: float = LEAST, limit: int = LIMIT) -> DataFr
     known = reps.select("skey", "first", "copies").join(sums, "skey", "left").join(label.withColumnRenamed("a", "skey"), "skey", "left").withColumn("class_key", F.coalesce("label", "skey"))
     heads = known.groupBy("class_key").agg(F.min("first").alias("class_id"))
     known = written(known.join(heads, "class_key").select("skey", "class_key", "class_id", "copies", "text_links", "doc_links"), "nearjoin-classes")
+    forget(reps, found)
     return rows.select("doc_id", "thash", "skey").join(known, "skey").select(
         "doc_id", "thash", "class_key", "class_id", F.col("copies").alias("n_copies"),
         (F.col("copies") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"),
