@@ -47,6 +47,12 @@ def upsert_last(rows: DataFrame, key: list[str], value: str, order: str) -> Data
     return rows.groupBy(*key).agg(F.max_by(value, order).alias(value))
 
 
+def upsert_first(rows: DataFrame, key: list[str], values: list[str], order: str) -> DataFrame:
+    """First writer wins: the values of the lowest order for each key (ties: the least values); later ones change nothing."""
+    got = rows.groupBy(*key).agg(F.min(F.struct(order, *values)).alias("_f"))
+    return got.select(*key, *[F.col(f"_f.{v}").alias(v) for v in values])
+
+
 def remove_source(claims: DataFrame, ws: str, source_id: str) -> DataFrame:
     """Claims without one source of one workspace; rebuilding from them removes exactly its contribution."""
     return claims.where(~((F.col("ws") == ws) & F.col("source_id").eqNullSafe(F.lit(source_id))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from kgspark.functions.text import trim_answer
+from kgspark.functions.text import json_fields, trim_answer
 
 
 def apply_model(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
@@ -17,6 +17,13 @@ def apply_model(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str)
     return df.mapInPandas(fn, schema)
 
 
+def apply_json_model(df: DataFrame, fn: Callable[[Iterator], Iterator], key: str, schema: str) -> DataFrame:
+    """An injected model that answers in JSON: fn takes batches of df to (key, json); the answer's fields come back as columns, null where the JSON is bad or no object."""
+    kind = df.schema[key].dataType.simpleString()
+    got = df.mapInPandas(fn, f"{key} {kind}, json string").withColumn("_j", json_fields(F.col("json"), schema))
+    return got.select(key, "_j.*")
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int = 16 << 20) -> DataFrame:
     """(qid, id, distance, rank): the k nearest chunks (id, embedding) of each query (qid, vector) by cosine distance, ties by id; exact.
 

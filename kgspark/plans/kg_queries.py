@@ -33,6 +33,18 @@ def sink_1(c: DataFrame) -> DataFrame:
     return flat(G.build_nodes(c))
 
 
+@over_graph(
+    "sink_1_first_writer",
+    """, e as (select ws, src_label as label, src as name, seq, doc from claims union all select ws, tgt_label, tgt, seq, doc from claims)
+    select ws, label, name, arg_min(doc, {'s': seq, 'd': doc}) as doc from e group by all""",
+)
+def sink_1_first(c: DataFrame) -> DataFrame:
+    """The document that first named each node, as its property."""
+    two = F.array(F.struct(F.col("src_label").alias("label"), F.col("src").alias("name")), F.struct(F.col("tgt_label").alias("label"), F.col("tgt").alias("name")))
+    rows = c.select("ws", "seq", "doc", F.explode(two).alias("e")).select("ws", "e.label", "e.name", "seq", "doc")
+    return G.upsert_first(rows, ["ws", "label", "name"], ["doc"], "seq")
+
+
 @over_graph("sink_3_edges", "select * from edges")
 def sink_3(c: DataFrame) -> DataFrame:
     return flat(G.build_edges(c))

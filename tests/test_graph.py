@@ -158,3 +158,10 @@ def test_prf(spark):
     d = spark.createDataFrame([(True, True), (True, True), (True, False), (False, True), (False, False)], "predicted boolean, actual boolean")
     r = R.prf(d).first()
     assert (r.tp, r.fp, r.fn, r.tn) == (2, 1, 1, 1)
+
+
+def test_hubs_are_paired_in_blocks(spark):
+    w = G.weighted_edges(edges(spark, [("H", f"n{i}", "X", 1.0) for i in range(30)] + [("n1", "n2", "X", 1.0), ("n3", "m", "X", 1.0), ("n4", "m", "X", 1.0)]))
+    rows = lambda df: {(r.a, r.c): (round(r.adamic_adar, 9), round(r.resource_allocation, 9), r.common) for r in df.collect()}
+    whole = rows(A.link_scores(w))
+    assert whole == rows(A.link_scores(w, block=4)) and len(whole) == 30 * 29 // 2 - 1 + 1 and whole["n3", "n4"][2] == 2

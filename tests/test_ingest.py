@@ -155,3 +155,24 @@ def test_streams_of_job_states_equal_batches(spark, tmp_path):
         jobs.latest(s, str(tmp_path / name), str(tmp_path / f"{name}-cp")).awaitTermination()
         batch = {tuple(r) for r in (R.job_states(log) if name == "states" else R.stuck(log, as_of)).collect()}
         assert {tuple(r) for r in jobs.last_batch(spark, str(tmp_path / name), s.schema).collect()} == batch
+
+
+def test_sql_table_functions_equal_columns(spark):
+    from kgspark.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([(1, "a b  c d e"), (2, "x"), (3, "abcdefghij klm")], "id int, t string")
+    df.createOrReplaceTempView("sql_docs")
+    got = {tuple(r) for r in spark.sql("select d.id, c.* from sql_docs d, lateral chunk_words(d.t, 2, 1) c").collect()}
+    assert got == {tuple(r) for r in df.select("id", F.posexplode(T.chunk_words(F.col("t"), 2, 1))).collect()} and (1, 1, "b c") in got
+    got = {tuple(r) for r in spark.sql("select d.id, c.* from sql_docs d, lateral char_windows(d.t, 4, 1) c").collect()}
+    assert got == {tuple(r) for r in df.select("id", F.posexplode(T.char_windows(F.col("t"), 4, 1))).collect()}
+
+
+def test_json_models_survive_bad_answers(spark):
+    def answer(batches):
+        for pdf in batches:
+            yield pdf[["id"]].assign(json=['{"n": 5}' if i == 1 else "nonsense" if i == 2 else "[1]" for i in pdf["id"]])
+
+    got = R.apply_json_model(spark.range(1, 4), answer, "id", "n long")
+    assert {r.id: r.n for r in got.collect()} == {1: 5, 2: None, 3: None}
