@@ -225,18 +225,28 @@ def gap_strength(gaps: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 5) -> DataFrame:
-    """(ws, a, b, hops, path): a shortest undirected path for each pair, ignoring case; one that isn't reached in 1 to 8 hops has none.
+    """(ws, a, b, hops, path, relations): a shortest undirected path for each pair, ignoring case, with the least relation of each hop; one that isn't reached in 1 to 8 hops has none.
 
-    Breadth-first from all sources at once; a node is reached once for each source, by its least path.
+    Breadth-first from all sources at once; a node is reached once for each source, by its least path. `path_types` adds the nodes' labels.
     """
-    near = edges.select("ws", F.lower("src").alias("x"), F.lower("tgt").alias("y"))
-    near = near.unionByName(near.select("ws", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    two = F.array(F.struct(F.lower("src").alias("x"), F.lower("tgt").alias("y")), F.struct(F.lower("tgt").alias("x"), F.lower("src").alias("y")))
+    rel = F.col("rel") if "rel" in edges.columns else F.lit("")
+    near = stored(edges.select("ws", rel.alias("rel"), F.explode(two).alias("e")).groupBy("ws", "e.x", "e.y").agg(F.min("rel").alias("rel")), "path-edges")
     asked = pairs.select("ws", F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
-    front = asked.select("ws", F.col("a").alias("root"), F.col("a").alias("at")).distinct().withColumn("path", F.array("at"))
+    front = asked.select("ws", F.col("a").alias("root"), F.col("a").alias("at")).distinct().withColumn("way", F.struct(F.array("at").alias("path"), F.array().cast("array<string>").alias("rels")))
     seen = front.withColumn("hops", F.lit(0))
     for k in range(1, min(max(max_hops, 1), 8) + 1):
-        step = front.join(near.withColumnRenamed("x", "at"), ["ws", "at"]).select("ws", "root", F.col("y").alias("at"), F.concat("path", F.array("y")).alias("path"))
-        front = stored(step.groupBy("ws", "root", "at").agg(F.min("path").alias("path")).join(seen.select("ws", "root", "at"), ["ws", "root", "at"], "left_anti").select("ws", "root", "at", "path"))
+        way = F.struct(F.concat("way.path", F.array("y")).alias("path"), F.concat("way.rels", F.array("rel")).alias("rels"))
+        step = front.join(near.withColumnRenamed("x", "at"), ["ws", "at"]).select("ws", "root", F.col("y").alias("at"), way.alias("way"))
+        front = stored(step.groupBy("ws", "root", "at").agg(F.min("way").alias("way")).join(seen.select("ws", "root", "at"), ["ws", "root", "at"], "left_anti").select("ws", "root", "at", "way"), "path-front")
         seen = seen.unionByName(front.withColumn("hops", F.lit(k)))
-    found = asked.join(seen.select("ws", F.col("root").alias("a"), F.col("at").alias("b"), "hops", "path"), ["ws", "a", "b"], "left")
-    return found.select("ws", "a", "b", F.col("hops").cast("long").alias("hops"), F.array_join("path", " > ").alias("path"))
+    found = asked.join(seen.select("ws", F.col("root").alias("a"), F.col("at").alias("b"), "hops", "way"), ["ws", "a", "b"], "left")
+    return found.select("ws", "a", "b", F.col("hops").cast("long").alias("hops"), F.array_join("way.path", " > ").alias("path"), F.array_join("way.rels", " > ").alias("relations"))
+
+
+def path_types(paths: DataFrame, types: DataFrame) -> DataFrame:
+    """Paths with `types`, the labels (ws, name, label) of their nodes in order; unknown nodes have an empty one."""
+    one = paths.where("path is not null").select("ws", "a", "b", F.posexplode(F.split("path", " > ")).alias("i", "node"))
+    known = one.join(types.select("ws", F.lower("name").alias("node"), "label").groupBy("ws", "node").agg(F.min("label").alias("label")), ["ws", "node"], "left")
+    got = known.groupBy("ws", "a", "b").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("label", F.lit("")).alias("label")))).alias("l"))  # nine nodes at most
+    return paths.join(got.select("ws", "a", "b", F.array_join(F.transform("l", lambda x: x["label"]), " > ").alias("types")), ["ws", "a", "b"], "left")
