@@ -154,7 +154,7 @@ SURE = {4: 0.99, 3: 0.9, 2: 0.75, 1: 0.5}
 
 def _rule_table() -> Column:
     return F.array(*[
-        F.struct(F.lit(i).alias("n"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.array(*[F.lit(f" {k} ") for k in key.split(" ")]).alias("keys"), F.lit(rf"(?<= )(?:{rx})(?= )").alias("rx"))
+        F.struct(F.lit(i).alias("n"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.array(*[F.lit(k) for k in key.split(" ")]).alias("keys"), F.lit(rf"(?<= )(?:{rx})(?= )").alias("rx"))
         for i, (label, p, key, rx, _) in enumerate(rules())
     ])
 
@@ -179,8 +179,9 @@ def detections(docs: DataFrame) -> DataFrame:
     """doc_id, _words, and found: the detections that stay, as array<struct(start, stop, priority, n, label)> over the normalised text."""
     keys = sorted({k for _, _, ks, _, _ in rules() for k in ks.split(" ")})
     rows = docs.select("doc_id", words_col(F.col("text")).alias("_words"))
-    rows = rows.withColumn("_norm", F.when(F.arrays_overlap("_words", F.array(*map(F.lit, keys))), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))))
-    tried = F.filter(_rule_table(), lambda r: F.exists(r["keys"], lambda k: F.contains(F.col("_norm"), k)))
+    rows = rows.withColumn("_keys", F.array_intersect("_words", F.array(*map(F.lit, keys))))  # found in one pass over the words
+    rows = rows.withColumn("_norm", F.when(F.size("_keys") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))))
+    tried = F.filter(_rule_table(), lambda r: F.arrays_overlap(r["keys"], F.col("_keys")))
     every = F.flatten(F.transform(tried, lambda r: _found(F.col("_norm"), r)))
     none = F.array().cast("array<struct<start:int,stop:int,priority:int,n:int,label:string>>")
     rows = rows.withColumn("_all", F.when(F.col("_norm").isNotNull(), every).otherwise(none))
@@ -197,7 +198,7 @@ def detections(docs: DataFrame) -> DataFrame:
         ends = [F.when(~inside & (priority == p), F.greatest(acc[f"e{p}"], stop)).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in (1, 2, 3, 4)]
         return F.struct(*ends, F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], one)).alias("kept"))
 
-    return rows.withColumn("found", F.aggregate(rank, begin, keep, lambda acc: acc["kept"])).drop("_all")
+    return rows.withColumn("found", F.aggregate(rank, begin, keep, lambda acc: acc["kept"])).drop("_all", "_keys")
 
 
 def _places(words: list[str], label: str) -> Column:
