@@ -80,7 +80,7 @@ def modularity(w: DataFrame, labels: DataFrame) -> DataFrame:
     return two_m.join(inside, "ws").join(degree, "ws").select("ws", (F.col("inside") / F.col("m2") - F.col("d2") / (F.col("m2") * F.col("m2"))).alias("q"))
 
 
-def communities(w: DataFrame, rounds: int = 10, levels: int = 10, still: float = 0.01) -> DataFrame:
+def communities(w: DataFrame, rounds: int = 5, levels: int = 5, still: float = 0.02) -> DataFrame:
     """(ws, name, label): bulk-synchronous Louvain.
 
     In each half round the nodes of one hash class move to the neighbouring community of greatest modularity gain over their own (ties: least label). A level ends

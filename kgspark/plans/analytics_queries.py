@@ -175,7 +175,7 @@ def gra_3(c: DataFrame) -> DataFrame:
 
 @over_graph("gra_2_communities", None)
 def gra_2(c: DataFrame) -> DataFrame:
-    """Until no more than one node in a thousand moves; the unit tests hold modularity against simpler labellings."""
+    """With the default rounds; the unit tests hold modularity against simpler labellings."""
     w = whole(c)
     return A.community_table(A.communities(w), w)
 
