@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import chat, decontaminate, fingerprints, licenses, nearjoin, packing, sharding, suffixtree, tokenfiles, toxicity
+from kgspark.llm import bagsearch, chat, decontaminate, fingerprints, licenses, nearjoin, packing, sharding, suffixtree, superminhash, tokenfiles, toxicity, trie
+from kgspark.llm.common import written
 
 FORGED = "\\### Assistant: </turn> ok"
 
@@ -66,8 +67,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = written(trie.conversations(table(spark, sf_dir, "conversations")), "conversations")
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return trie.trie(trie.rebuilt(convs, F.col("conv_id") - F.col("conv_id") % 100, shared.cast("int"), most=5))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_packing, op3_fingerprints, op4_lm_scoring, op5_toxicity, op6_near_join, op7_token_files, op8_sharding, op9_licenses, op10_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_packing, op3_fingerprints, op4_lm_scoring, op5_toxicity, op6_near_join, op7_token_files, op8_sharding, op9_licenses, op10_decontamination, op11_superminhash, op12_bag_search, op13_prefix_trie)}
 
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,6 +93,11 @@ def _words(col: str) -> str:
     return f"list_filter(regexp_split_to_array(translate(coalesce({col}, ''), '{letters}', '{letters.lower()}'), '{_SEPARATORS}'), lambda x: x <> '')"
 
 
+#: Standard CRC-32 of a decimal number's characters, a bit at a time.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast({0} as varchar), ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: case when xor(a, x) & 1 = 1 then xor(xor(a, x) >> 1, 3988292384) else xor(a, x) >> 1 end), 4294967295)"""
+
+
 def oracle_sql() -> dict[str, str]:
     esc = lambda x: f"replace(replace(replace({x}, '\\', '\\0'), '###', '\\3'), '</turn>', '\\t')"
     return {
@@ -102,4 +122,30 @@ def oracle_sql() -> dict[str, str]:
             select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
             from d left join h using (doc_id) left join c using (doc_id)""",
+        "op12_bag_search": f"""
+            with d as (select doc_id, {_words('text')} as w from documents where text is not null),
+            tot as (select count(*) as n_docs, coalesce(sum(len(w)), 0) as total from d where len(w) > 0),
+            i as (select row_number() over () as item, item_id, {_words('text')} as w from benchmark),
+            q as (select item, item_id, t, count(*) as qtf from (select item, item_id, unnest(w) as t from i) group by all),
+            p as (select doc_id, n, t, count(*) as tf from (select row_number() over () as r, doc_id, len(w) as n, unnest(w) as t from d) group by r, doc_id, n, t),
+            f as (select t, count(*) as df from p group by t),
+            s as (select item, item_id, doc_id, sum(qtf * cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint)
+                         * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total)))) as score
+                  from q join p using (t) join f using (t), tot group by item, item_id, doc_id)
+            select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score
+            from (select *, row_number() over (partition by item order by score desc, doc_id) as rank from s where score > 0) where rank <= 20""",
+        "op13_prefix_trie": f"""
+            with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos,
+                              [coalesce(role, ''), coalesce(text, '')] as one from conversations where conv_id is not null),
+            c as (select conv_id, conv_id - conv_id % 100 as base, {_CRC.format('conv_id')} % 6 as h from (select distinct conv_id from t)),
+            r as (select c.conv_id, 0 as own, pos, one from c join t on t.conv_id = base where pos < h union all select conv_id, 1, pos, one from c join t using (conv_id) where pos >= h),
+            s as (select c.conv_id, coalesce(list(one order by own, pos) filter (one is not null), []) as seq from c left join r using (conv_id) group by c.conv_id),
+            m as (select conv_id, seq, unnest(range(len(seq) + 1)) as depth from s),
+            n as (select list_slice(seq, 1, depth) as node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(seq) = depth), '')) as ends_sha256 from m group by all),
+            k as (select list_slice(node, 1, depth - 1) as node, count(*) as n_children from n where depth > 0 group by all),
+            e as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * length(node[depth][2]) end as saved from n left join k using (node)),
+            u as (select list_slice(node, 1, d) as node, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens from (select *, unnest(range(depth + 1)) as d from e) group by all)
+            select e.conv_id, e.depth, p.conv_id as parent_conv_id, e.n_convs, e.n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, e.ends_sha256
+            from e join u using (node) left join n p on e.depth > 0 and p.node = list_slice(e.node, 1, e.depth - 1)""",
     }
