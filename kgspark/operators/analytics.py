@@ -80,45 +80,114 @@ def modularity(w: DataFrame, labels: DataFrame) -> DataFrame:
     return two_m.join(inside, "ws").join(degree, "ws").select("ws", (F.col("inside") / F.col("m2") - F.col("d2") / (F.col("m2") * F.col("m2"))).alias("q"))
 
 
-def communities(w: DataFrame, rounds: int = 5, levels: int = 5, still: float = 0.02) -> DataFrame:
-    """(ws, name, label): bulk-synchronous Louvain.
-
-    In each half round the nodes of one hash class move to the neighbouring community of greatest modularity gain over their own (ties: least label). A level ends
-    when at most a share `still` of its nodes moved in two half rounds, or after `rounds` rounds; then communities become the nodes of a smaller graph. The whole ends with a level that moved none.
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, root): the least node that each node of edges (a, b) reaches, by rounds of least neighbours with shortcuts; each round is a written table."""
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "connected-edges")
+    roots = stored(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("root")), "connected")
+    while True:
+        near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        step = roots.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        far = roots.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        last, roots = roots, stored(step.join(far, "root", "left").select("id", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "connected")
+        forget(last)
+        if roots.where("root <> old").limit(1).count() == 0:
+            forget(both)
+            return roots.select("id", "root")
+
+
+def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None, tol: float) -> DataFrame:
+    """(id, ws, k, m2, label): nodes of graph (ws, a, b, w) moved from the labels start (id, label) until none moves, or two rounds in turn raise the modularity, summed over workspaces, by less than tol.
+
+    A round has two halves, of a split of the nodes by a hash that is another in each round, so two neighbours that swap places are soon in different halves. `rounds` bounds them where it is given.
     """
-    graph = stored(_neighbours(w), "louvain-graph")
-    final = stored(graph.select("ws", F.col("a").alias("name")).distinct().withColumn("label", F.col("name")), "louvain-labels")
-    for level in range(levels):
-        two_m = graph.groupBy("ws").agg(F.sum("w").alias("m2"))  # a row a workspace
-        state = stored(graph.groupBy("ws", "a").agg(F.sum("w").alias("k")).join(two_m, "ws").withColumn("label", F.col("a")), "louvain-state")
-        n, quiet, moves = state.count(), 0, 0
-        for half in range(2 * rounds):
-            turn = F.pmod(F.xxhash64("a", F.lit(level)), F.lit(2)) == half % 2
-            size = state.groupBy("ws", "label").agg(F.sum("k").alias("tot"))
-            near = graph.where(turn & (F.col("a") != F.col("b"))).join(state.select("ws", F.col("a").alias("b"), "label"), ["ws", "b"]).select("ws", "a", "label", "w")
-            own = state.where(turn).select("ws", "a", "label", F.lit(0.0).alias("w"))  # each node may stay
-            kin = near.unionByName(own).groupBy("ws", "a", "label").agg(F.sum("w").alias("kin")).join(size, ["ws", "label"]).withColumnRenamed("label", "to")
-            kin = kin.join(state.where(turn).select("ws", "a", "k", "m2", "label"), ["ws", "a"])
-            stays = F.col("to") == F.col("label")
-            gain = F.col("kin") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2")
-            best = kin.groupBy("ws", "a").agg(F.min(F.struct((-gain).alias("g"), "to")).alias("best"), F.max(F.when(stays, gain)).alias("now"))
-            best = best.where(-F.col("best.g") > F.col("now") + 1e-12).select("ws", "a", F.col("best.to").alias("new"))
-            new = stored(state.join(best, ["ws", "a"], "left").select("ws", "a", "k", "m2", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("moved")), "louvain-state")
-            moved = new.where("moved").count()
+    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    two_m = graph.groupBy("ws").agg(F.sum("w").alias("m2"))  # a row a workspace
+    nodes = graph.groupBy("ws", F.col("a").alias("id")).agg(F.sum("w").alias("k")).join(two_m, "ws")
+    state = stored(nodes.join(start, "id").select("id", "ws", "k", "m2", "label"), "louvain-state")
+    edges = graph.where("a <> b").join(nodes.select(F.col("id").alias("a"), "k", "m2"), "a").select("a", "b", "w", "k", "m2").repartition(parts, "b").persist()
+    best_q, idle, done = None, 0, 0
+    while rounds is None or done < rounds:
+        moved = 0
+        for half in (0, 1):
+            turn = F.pmod(F.xxhash64("id", F.lit(level), F.lit(done)), F.lit(2)) == half
+            size = state.groupBy("label").agg(F.sum("k").alias("tot"))
+            known = state.join(size, "label").select("id", "ws", "k", "m2", "label", "tot")
+            movers = known.where(turn)
+            mine = F.pmod(F.xxhash64("a", F.lit(level), F.lit(done)), F.lit(2)) == half
+            near = edges.where(mine).join(known.select(F.col("id").alias("b"), "label", "tot"), "b").select("a", "label", "tot", "w", "k", "m2", F.lit(False).alias("own"))
+            stay = movers.select(F.col("id").alias("a"), "label", "tot", F.lit(0.0).alias("w"), "k", "m2", F.lit(True).alias("own"))
+            kin = near.unionByName(stay).repartition(parts, "a").groupBy("a", "label").agg(F.sum("w").alias("kin"), F.first("tot").alias("tot"), F.first("k").alias("k"), F.first("m2").alias("m2"), F.max("own").alias("own"))
+            gain = F.col("kin") - F.col("k") * (F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0.0)) / F.col("m2")
+            best = kin.groupBy("a").agg(F.min(F.struct((-gain).alias("g"), "label")).alias("best"), F.max(F.when(F.col("own"), gain)).alias("now"))
+            best = best.where(-F.col("best.g") > F.col("now") + 1e-9).select(F.col("a").alias("id"), F.col("best.label").alias("new"))
+            new = stored(state.select("id", "ws", "k", "m2", "label").join(best, "id", "left").select("id", "ws", "k", "m2", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("moved")), "louvain-state")
+            moved += new.where("moved").count()
             forget(state)
             state = new
-            quiet, moves = quiet + 1 if moved <= still * n / 2 else 0, moves + moved
-            if quiet == 2:  # of neither class of nodes
+        done += 1
+        if not moved:
+            break
+        if done >= 3:
+            q = _total_modularity(edges, state)
+            idle = 0 if best_q is None or q > best_q + tol else idle + 1
+            best_q = q if best_q is None else max(q, best_q)
+            if idle == 2:
+                break
+    edges.unpersist()
+    return state
+
+
+def _total_modularity(edges: DataFrame, state: DataFrame) -> float:
+    """Summed over workspaces: the share of weight inside labels less the expected one."""
+    label = state.select("id", "label")
+    kept = edges.join(label.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b").join(label.withColumnRenamed("id", "a"), "a").where("label = lb")
+    inside = kept.agg(F.coalesce(F.sum(F.col("w") / F.col("m2")), F.lit(0.0))).first()[0]
+    spread = state.groupBy("label", "m2").agg(F.sum("k").alias("d")).agg(F.coalesce(F.sum(F.pow(F.col("d") / F.col("m2"), F.lit(2.0))), F.lit(0.0))).first()[0]
+    return inside - spread
+
+
+def communities(w: DataFrame, rounds: int | None = None, levels: int | None = None, passes: int = 1, tol: float = 1e-4) -> DataFrame:
+    """(ws, name, label): bulk-synchronous Louvain with refinement, run to rest; a label is the least name of its community.
+
+    Nodes move to the neighbouring community of greatest modularity gain over their own (ties: the oldest label) until none moves or moves gain less than `tol`. Then communities that fall apart inside are split into their
+    connected parts, and the parts become the nodes of a smaller graph. The last level merges none. With more `passes` the nodes move again from the communities found, as long as that
+    changes any. `rounds` a level and `levels` bound the work where they are given; every community is connected whatever they are.
+    """
+    base = stored(_neighbours(w), "louvain-names")
+    names = stored(base.select("ws", F.col("a").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "louvain-ids")
+    at = lambda c, i: names.select("ws", F.col("name").alias(c), F.col("id").alias(i))
+    first = stored(base.join(at("a", "ia"), ["ws", "a"]).join(at("b", "ib"), ["ws", "b"]).select("ws", F.col("ia").alias("a"), F.col("ib").alias("b"), "w"), "louvain-graph")
+    forget(base)
+    final = stored(names.select("id", F.col("id").alias("label")), "louvain-labels")
+    for one in range(passes):
+        graph, start, place = first, final, names.select("id", F.col("id").alias("at"))  # `at`: a name's node of the level
+        level = 0
+        while levels is None or level < levels:
+            state = _settled(graph, start, 1000 * one + level, rounds, tol)
+            own = state.select("id", "label")
+            tied = graph.where("a <> b").join(own.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(own.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").where("la = lb")
+            roots = connected(tied.select("a", "b"))
+            parts = stored(state.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("part")), "louvain-parts")
+            place = stored(place.join(parts.select(F.col("id").alias("at"), "part"), "at").select("id", F.col("part").alias("at")), "louvain-place")
+            side = lambda c: parts.select(F.col("id").alias(c), F.col("part").alias(f"p{c}"))  # noqa: E731, B023
+            smaller = stored(graph.join(side("a"), "a").join(side("b"), "b").groupBy("ws", F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w")), "louvain-graph")
+            start = parts.select(F.col("part").alias("id"), F.col("part").alias("label")).distinct()
+            still = start.count() == parts.count()
+            if graph is not first:
+                forget(graph)
+            forget(state)
+            graph, level = smaller, level + 1
+            if still:
                 break
-        if not moves:
+        label = place.select("id", F.col("at").alias("label"))
+        new = stored(label.join(label.groupBy("label").agg(F.min("id").alias("least")), "label").select("id", F.col("least").alias("label")), "louvain-labels")
+        same = new.join(final.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count() == 0
+        forget(final)
+        final = new
+        if same:
             break
-        up = state.select("ws", F.col("a").alias("label"), F.col("label").alias("up"))
-        final_new = stored(final.join(up, ["ws", "label"]).select("ws", "name", F.col("up").alias("label")), "louvain-labels")
-        at = lambda c: state.select("ws", F.col("a").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
-        smaller = stored(graph.join(at("a"), ["ws", "a"]).join(at("b"), ["ws", "b"]).groupBy("ws", F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")), "louvain-graph")
-        forget(graph, final, state)
-        graph, final = smaller, final_new
-    return final
+    named = final.join(names, "id").select("ws", "label", "name")
+    return named.join(named.groupBy("ws", "label").agg(F.min("name").alias("least")), ["ws", "label"]).select("ws", "name", F.col("least").alias("label"))
 
 
 def community_table(labels: DataFrame, w: DataFrame, most: int = 12, least: int = 2) -> DataFrame:
@@ -129,19 +198,23 @@ def community_table(labels: DataFrame, w: DataFrame, most: int = 12, least: int
     return ranked.where(F.col("id") < most).select("ws", "id", "size", F.col("top.name").alias("top_member"))
 
 
-def link_scores(w: DataFrame, max_degree: int | None = None, block: int = 2_000) -> DataFrame:
+def link_scores(w: DataFrame, max_degree: int | None = None, block: int = 2_000, among: DataFrame | None = None) -> DataFrame:
     """Non-adjacent pairs (a < c) with a common neighbour: Adamic-Adar, resource allocation and common count, in one aggregate.
 
-    A hub's neighbours are dealt to blocks of about `block`, every two of which are paired apart, so that no task makes all pairs of a hub. max_degree, if given, leaves out
-    pairs' common neighbours of more: faster, but their contributions are lost.
+    A hub's neighbours are dealt to blocks of about `block`, every two of which are paired apart, so that no task makes all pairs of a hub. `among` (ws, name) keeps pairs of its nodes alone; their common
+    neighbours may be any. max_degree, if given, leaves out pairs' common neighbours of more: faster, but their contributions are lost.
     """
     u = stored(undirected(w).select("ws", "a", "b"), "link-edges")
     near = u.unionByName(u.select("ws", F.col("b").alias("a"), F.col("a").alias("b")))
     degree = near.groupBy("ws", F.col("a").alias("mid")).agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     if max_degree:
         degree = degree.where(F.col("d") <= max_degree)
-    mid = near.select("ws", F.col("a").alias("mid"), F.col("b").alias("n")).join(degree, ["ws", "mid"])
-    blocks = F.ceil(F.col("d") / block).cast("int")
+    mid = near.select("ws", F.col("a").alias("mid"), F.col("b").alias("n"))
+    if among is not None:
+        mid = mid.join(among.select("ws", F.col("name").alias("n")), ["ws", "n"], "left_semi")
+    wide = mid.groupBy("ws", "mid").agg(F.count(F.lit(1)).alias("here")) if among is not None else degree.withColumn("here", F.col("d")).drop("d")
+    mid = mid.join(degree, ["ws", "mid"]).join(wide.where("here > 1"), ["ws", "mid"])
+    blocks = F.ceil(F.col("here") / block).cast("int")
     mid = mid.withColumn("own", F.pmod(F.xxhash64("n"), blocks).cast("int"))
     two = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("x"), F.greatest(b, F.col("own")).alias("y")))
     mid = mid.withColumn("two", F.explode(F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(two))).select("ws", "mid", "n", "d", "own", "two.x", "two.y")
@@ -151,18 +224,48 @@ def link_scores(w: DataFrame, max_degree: int | None = None, block: int = 2_000)
     return got.join(u.select("ws", "a", F.col("b").alias("c")), ["ws", "a", "c"], "left_anti")
 
 
-def research_gaps(w: DataFrame, ranks: DataFrame, labels: DataFrame, top_n: int = 10, max_degree: int | None = None) -> DataFrame:
-    """The top missing links (ws, a, c, common, same_community, bridge, score, rank) of each workspace: scores weighted by bridging communities and by rank."""
+def gap_bounds(w: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(ws, name, bound): no gap with an end at `name` scores more. A pair's common neighbours are at most all of either end's, the bridge's factor at most 1.15, and the other end's rank at most the greatest."""
+    near = _neighbours(w).select("ws", F.col("a").alias("name"), F.col("b").alias("mid"))
+    degree = near.groupBy("ws", F.col("name").alias("mid")).agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    each = near.join(degree, ["ws", "mid"]).groupBy("ws", "name").agg(F.sum(1 / F.ln("d") + 1 / F.col("d") + 0.25).alias("all"))
+    top = ranks.groupBy("ws").agg(F.max("score").alias("most"))
+    return each.join(ranks, ["ws", "name"]).join(top, "ws").select("ws", "name", (F.col("all") * 1.15 * (2 + F.col("score") / F.col("most")) + 1e-6).alias("bound"))
+
+
+def _scored_gaps(w: DataFrame, ranks: DataFrame, labels: DataFrame, max_degree: int | None, among: DataFrame | None) -> DataFrame:
     at = lambda df, c, n, v: df.select("ws", F.col("name").alias(c), F.col(v).alias(n))
     top = ranks.groupBy("ws").agg(F.max("score").alias("most"))
-    got = link_scores(w, max_degree).join(at(labels, "a", "la", "label"), ["ws", "a"], "left").join(at(labels, "c", "lc", "label"), ["ws", "c"], "left")
+    got = link_scores(w, max_degree, among=among).join(at(labels, "a", "la", "label"), ["ws", "a"], "left").join(at(labels, "c", "lc", "label"), ["ws", "c"], "left")
     got = got.join(at(ranks, "a", "ra", "score"), ["ws", "a"]).join(at(ranks, "c", "rc", "score"), ["ws", "c"]).join(top, "ws")
     same = F.col("la").eqNullSafe(F.col("lc"))
     bridge = ~same & (F.col("common") >= 2)
     score = (F.col("adamic_adar") + F.col("resource_allocation") + 0.25 * F.col("common")) * F.when(bridge, 1.15).otherwise(1.0) * (1 + F.col("ra") / F.col("most") + F.col("rc") / F.col("most"))
-    got = got.select("ws", "a", "c", "common", same.alias("same_community"), bridge.alias("bridge"), F.round(score, 6).alias("score"))
+    return got.select("ws", "a", "c", "common", same.alias("same_community"), bridge.alias("bridge"), F.round(score, 6).alias("score"))
+
+
+def research_gaps(w: DataFrame, ranks: DataFrame, labels: DataFrame, top_n: int = 10, max_degree: int | None = None, first: int = 64) -> DataFrame:
+    """The top missing links (ws, a, c, common, same_community, bridge, score, rank) of each workspace: scores weighted by bridging communities and by rank.
+
+    Exact without all pairs: a pair scores at most the lesser of its ends' bounds (`gap_bounds`). The pairs among the `first` nodes of each workspace by bound give a score that top_n pairs reach; only pairs whose ends
+    both reach it can be better, so those alone are scored. Where fewer than top_n pairs are found, or still more than `first` times as many nodes are left, the step is repeated with more nodes.
+    """
     order = W.partitionBy("ws").orderBy(F.col("score").desc(), F.col("common").desc(), F.col("a").desc(), F.col("c").desc())
-    return got.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_n)
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_n)
+    bounds = stored(gap_bounds(w, ranks), "gap-bounds")
+    place = F.row_number().over(W.partitionBy("ws").orderBy(F.desc("bound"), "name"))
+    size, nodes = first, bounds.groupBy("ws").count().agg(F.max("count")).first()[0] or 0
+    while size < nodes:
+        found = ranked(_scored_gaps(w, ranks, labels, max_degree, bounds.withColumn("_n", place).where(F.col("_n") <= size)))
+        least = stored(found.groupBy("ws").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")), "gap-least")  # a row a workspace
+        can = bounds.join(least, "ws", "left").where((F.coalesce("n", F.lit(0)) < top_n) | (F.col("bound") >= F.col("least")))
+        left = can.groupBy("ws").count().agg(F.max("count")).first()[0] or 0
+        if left <= 16 * size or 4 * size >= nodes:
+            break
+        size *= 4
+    else:
+        can = bounds
+    return ranked(_scored_gaps(w, ranks, labels, max_degree, stored(can.select("ws", "name"), "gap-nodes")))
 
 
 def ordered_gaps(gaps: DataFrame, by: str = "score", bridges_only: bool = False) -> DataFrame:
@@ -224,29 +327,60 @@ def gap_strength(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("strength", F.when(top <= 0, "emerging").when(F.col("score") / top >= 0.66, "strong").when(F.col("score") / top >= 0.33, "moderate").otherwise("emerging"))
 
 
+def _roots(asked: DataFrame, mine: str) -> DataFrame:
+    """(ws, root, at, hops, parent, rel): the roots of one side of the asked pairs, reached by themselves."""
+    return asked.select("ws", F.col(mine).alias("root")).distinct().select("ws", "root", F.col("root").alias("at"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("rel"))
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 5) -> DataFrame:
-    """(ws, a, b, hops, path, relations): a shortest undirected path for each pair, ignoring case, with the least relation of each hop; one that isn't reached in 1 to 8 hops has none.
+    """(ws, a, b, hops, path, relations): a shortest undirected path for each pair, as arrays, ignoring case, with the least relation of each hop; one that isn't reached in `max_hops` (1 to 8) hops has none.
 
-    Breadth-first from all sources at once; a node is reached once for each source, by its least path. `path_types` adds the nodes' labels.
+    Breadth-first from both ends in turn. A root keeps each node that it reached once, with its hops and one parent (the least node of the level before), not a path. After each step the pairs whose
+    two sides have met, at the least node of both levels, leave, and roots without a pair left search no further. Paths are read back along the parents of the pairs that met.
     """
     two = F.array(F.struct(F.lower("src").alias("x"), F.lower("tgt").alias("y")), F.struct(F.lower("tgt").alias("x"), F.lower("src").alias("y")))
     rel = F.col("rel") if "rel" in edges.columns else F.lit("")
     near = stored(edges.select("ws", rel.alias("rel"), F.explode(two).alias("e")).groupBy("ws", "e.x", "e.y").agg(F.min("rel").alias("rel")), "path-edges")
-    asked = pairs.select("ws", F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
-    front = asked.select("ws", F.col("a").alias("root"), F.col("a").alias("at")).distinct().withColumn("way", F.struct(F.array("at").alias("path"), F.array().cast("array<string>").alias("rels")))
-    seen = front.withColumn("hops", F.lit(0))
+    asked = stored(pairs.select("ws", F.lower("a").alias("a"), F.lower("b").alias("b")).distinct(), "path-pairs")
+    zero = asked.where("a = b")
+    waiting = asked.where("a <> b")
+    zero = zero.join(near.select("ws", F.col("x").alias("a")).distinct(), ["ws", "a"], "left_semi").select("ws", "a", "b", F.lit(0).alias("hops"), F.col("a").alias("mid"))
+    levels: dict[str, list[DataFrame]] = {s: [stored(_roots(waiting, s), "path-level")] for s in "ab"}
+    met = [zero]
     for k in range(1, min(max(max_hops, 1), 8) + 1):
-        way = F.struct(F.concat("way.path", F.array("y")).alias("path"), F.concat("way.rels", F.array("rel")).alias("rels"))
-        step = front.join(near.withColumnRenamed("x", "at"), ["ws", "at"]).select("ws", "root", F.col("y").alias("at"), way.alias("way"))
-        front = stored(step.groupBy("ws", "root", "at").agg(F.min("way").alias("way")).join(seen.select("ws", "root", "at"), ["ws", "root", "at"], "left_anti").select("ws", "root", "at", "way"), "path-front")
-        seen = seen.unionByName(front.withColumn("hops", F.lit(k)))
-    found = asked.join(seen.select("ws", F.col("root").alias("a"), F.col("at").alias("b"), "hops", "way"), ["ws", "a", "b"], "left")
-    return found.select("ws", "a", "b", F.col("hops").cast("long").alias("hops"), F.array_join("way.path", " > ").alias("path"), F.array_join("way.rels", " > ").alias("relations"))
+        side = "ab"[(k - 1) % 2]
+        front = levels[side][-1].join(waiting.select("ws", F.col(side).alias("root")).distinct(), ["ws", "root"], "left_semi")
+        step = front.select("ws", "root", F.col("at").alias("x")).join(near, ["ws", "x"]).groupBy("ws", "root", F.col("y").alias("at")).agg(F.min(F.struct(F.col("x").alias("parent"), "rel")).alias("p"))
+        for old in levels[side][-2:]:  # a neighbour of the last level is in it, in the one before, or new
+            step = step.join(old.select("ws", "root", "at"), ["ws", "root", "at"], "left_anti")
+        levels[side].append(stored(step.select("ws", "root", "at", F.lit((k + 1) // 2 if side == "a" else k // 2).alias("hops"), "p.parent", "p.rel"), "path-level"))
+        ours, theirs = (levels[s][-1].select("ws", F.col("root").alias(s), "at") for s in "ab")
+        now = waiting.join(ours, ["ws", "a"]).join(theirs, ["ws", "b", "at"]).groupBy("ws", "a", "b").agg(F.min("at").alias("mid"))
+        met.append(stored(now.select("ws", "a", "b", F.lit(k).alias("hops"), "mid"), "path-met"))
+        waiting = stored(waiting.join(met[-1], ["ws", "a", "b"], "left_anti"), "path-waiting")
+        if waiting.limit(1).count() == 0:
+            break
+    every = met[0]
+    for m in met[1:]:
+        every = every.unionByName(m)
+    got = every.withColumn("path", F.array("mid")).withColumn("relations", F.array().cast("array<string>"))
+    for side in "ab":
+        got = got.withColumn("_at", F.col("mid"))
+        for level in reversed(levels[side][1:]):
+            up = level.select("ws", F.col("root").alias(side), F.col("at").alias("_at"), F.col("parent").alias("_up"), F.col("rel").alias("_rel"))
+            got = got.join(up, ["ws", side, "_at"], "left")
+            more = F.col("_up").isNotNull()
+            one, rels = (F.concat(F.array("_up"), "path"), F.concat(F.array("_rel"), "relations")) if side == "a" else (F.concat("path", F.array("_up")), F.concat("relations", F.array("_rel")))
+            got = got.withColumn("path", F.when(more, one).otherwise(F.col("path"))).withColumn("relations", F.when(more, rels).otherwise(F.col("relations"))).withColumn("_at", F.coalesce("_up", "_at")).drop("_up", "_rel")
+        got = stored(got.drop("_at"), "path-read")
+    found = asked.join(got.drop("mid"), ["ws", "a", "b"], "left")
+    forget(*[x for s in "ab" for x in levels[s]])
+    return found.select("ws", "a", "b", F.col("hops").cast("long").alias("hops"), "path", "relations")
 
 
 def path_types(paths: DataFrame, types: DataFrame) -> DataFrame:
-    """Paths with `types`, the labels (ws, name, label) of their nodes in order; unknown nodes have an empty one."""
-    one = paths.where("path is not null").select("ws", "a", "b", F.posexplode(F.split("path", " > ")).alias("i", "node"))
+    """Paths with `types`, the labels (ws, name, label) of their nodes in order, as an array; unknown nodes have an empty one."""
+    one = paths.where("path is not null").select("ws", "a", "b", F.posexplode("path").alias("i", "node"))
     known = one.join(types.select("ws", F.lower("name").alias("node"), "label").groupBy("ws", "node").agg(F.min("label").alias("label")), ["ws", "node"], "left")
     got = known.groupBy("ws", "a", "b").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("label", F.lit("")).alias("label")))).alias("l"))  # nine nodes at most
-    return paths.join(got.select("ws", "a", "b", F.array_join(F.transform("l", lambda x: x["label"]), " > ").alias("types")), ["ws", "a", "b"], "left")
+    return paths.join(got.select("ws", "a", "b", F.transform("l", lambda x: x["label"]).alias("types")), ["ws", "a", "b"], "left")

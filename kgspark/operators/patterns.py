@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from kgspark.store import stored
+
 
 def match_edges(edges: DataFrame, rels: list[str], src_label: str | None = None, tgt_label: str | None = None) -> DataFrame:
     """One hop of typed edges: (ws, src, rel, tgt)."""
@@ -39,19 +41,37 @@ def open_triangles(edges: DataFrame, rel: str) -> DataFrame:
     return far.select("ws", "a", "c").distinct().join(direct, ["ws", "a", "c"], "left_anti")
 
 
-def paths(edges: DataFrame, rels: list[str], max_hops: int, directed: bool = True) -> DataFrame:
-    """Trails of 1 to max_hops edges, no edge twice: (ws, start, end, hops)."""
-    e = edges.where(F.col("rel").isin(rels)).select("ws", "src", "tgt", F.xxhash64("ws", "rel", "src_label", "src", "tgt_label", "tgt").alias("id"))
+def paths(edges: DataFrame, rels: list[str], max_hops: int, directed: bool = True, start_label: str | None = None, end_label: str | None = None) -> DataFrame:
+    """Trails of 1 to max_hops edges, no edge twice, from and to nodes of the given labels: (ws, start, end, hops).
+
+    A trail of k edges is two halves that meet in the middle and share no edge. Only halves, of (max_hops + 1) / 2 edges at most, carry their edges; those of one length are written once and
+    serve all trails that they are part of.
+    """
+    e = edges.where(F.col("rel").isin(rels)).select("ws", "src_label", "src", "tgt_label", "tgt", F.xxhash64("ws", "rel", "src_label", "src", "tgt_label", "tgt").alias("id"))
     if not directed:
-        e = e.unionByName(e.select("ws", F.col("tgt").alias("src"), F.col("src").alias("tgt"), "id"))
-    now = e.select("ws", F.col("src").alias("start"), F.col("tgt").alias("end"), F.array("id").alias("used"))
-    out = now.withColumn("hops", F.lit(1))
-    for k in range(2, max_hops + 1):
-        step = e.select("ws", F.col("src").alias("end"), F.col("tgt").alias("_to"), "id")
-        now = now.join(step, ["ws", "end"]).where("not array_contains(used, id)")
-        now = now.select("ws", "start", F.col("_to").alias("end"), F.concat("used", F.array("id")).alias("used"))
-        out = out.unionByName(now.withColumn("hops", F.lit(k)))
-    return out.select("ws", "start", "end", F.col("hops").cast("long").alias("hops"))
+        e = e.unionByName(e.select("ws", F.col("tgt_label").alias("src_label"), F.col("tgt").alias("src"), F.col("src_label").alias("tgt_label"), F.col("src").alias("tgt"), "id"))
+    one = stored(e.select("ws", F.col("src_label").alias("start_label"), F.col("src").alias("start"), F.col("tgt_label").alias("end_label"), F.col("tgt").alias("end"), F.array("id").alias("used")), "trails")
+    halves = {1: one}
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        after = right.select("ws", F.col("start").alias("end"), F.col("end_label").alias("_label"), F.col("end").alias("_to"), F.col("used").alias("_more"))
+        both = left.join(after, ["ws", "end"]).where(~F.arrays_overlap("used", "_more"))
+        return both.select("ws", "start_label", "start", F.col("_label").alias("end_label"), F.col("_to").alias("end"), F.concat("used", "_more").alias("used"))
+
+    for k in range(2, (max_hops + 1) // 2 + 1):
+        halves[k] = stored(joined(halves[k - 1], one), "trails")
+    out = None
+    for k in range(1, max_hops + 1):
+        first, second = halves[(k + 1) // 2], halves.get(k // 2)
+        first = first.where(F.col("start_label") == start_label) if start_label else first
+        if second is not None:
+            second = second.where(F.col("end_label") == end_label) if end_label else second
+            got = joined(first, second)
+        else:
+            got = first.where(F.col("end_label") == end_label) if end_label else first
+        got = got.select("ws", "start", "end", F.lit(k).cast("long").alias("hops"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def disputed_targets(edges: DataFrame, src_label: str | None = None) -> DataFrame:

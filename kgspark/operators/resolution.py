@@ -3,25 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import acos
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kgspark.functions.text import band, cosine
+from kgspark.operators.vindex import usable
 from kgspark.store import forget, stored
 
 BLOCK = 1_000  # names of a kind compared at once with as many others
+PIVOTS, RINGS = 8, 16
 
 
-def similar_pairs(names: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(seq, other, sim): pairs of names (seq, kind, embedding), other < seq, of one kind and cosine similarity of at least `least`.
+def blocks_of(names: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """names (seq, kind, embedding) with `_block`, the block of their kind that they are in, and `_a`, their angles to the kind's pivots.
 
-    Exact: a kind's names are dealt to blocks, every two of which meet in one task as matrices, so a kind of any size is compared in bounded pieces and only similar pairs leave.
+    A kind's first `pivots` names by a hash are its pivots. A name is in the cell of the nearest one, and cells of more than `block` names are cut into rings of
+    angles to it, and those by a hash. So a block's names are alike, as far as pivots tell. Names without a whole vector are left out; vectors of different lengths are of different kinds.
+    """
+    whole = names.where(usable(F.col("embedding"), F.size("embedding"))).select("seq", "kind", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("_size", F.size("embedding"))
+    group = ["kind", "_size"]
+    first = whole.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(F.xxhash64("seq"), "seq"))).where(F.col("_n") <= pivots)
+    held = first.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_n", "embedding"))).alias("_pivots"))  # `pivots` vectors
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    norm = lambda a: F.sqrt(dot(a, a))
+    angle = lambda p: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(p["embedding"], F.col("embedding")) / (norm(p["embedding"]) * norm(F.col("embedding"))))))
+    near = whole.join(held, group).withColumn("_a", F.transform("_pivots", angle)).drop("_pivots")
+    near = near.withColumn("_cell", F.array_position("_a", F.array_min("_a")).cast("int")).withColumn("_r", F.array_min("_a"))
+    cells = near.groupBy(*group, "_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"), F.percentile_approx("_r", [i / RINGS for i in range(1, RINGS)]).alias("_cuts"))
+    ring = F.size(F.filter("_cuts", lambda c: F.col("_r") > c))
+    rings = F.least(F.col("_blocks"), F.lit(RINGS))
+    placed = near.join(cells, [*group, "_cell"]).withColumn("_ring", F.floor(ring * rings / RINGS).cast("int"))
+    sub = F.pmod(F.xxhash64("seq"), F.ceil(F.col("_blocks") / RINGS)).cast("int")
+    return placed.select("seq", "kind", "_size", "embedding", "_a", F.struct("_cell", "_ring", sub.alias("_sub")).alias("_block"))
+
+
+def meeting_blocks(dealt: DataFrame, least: float, pivots: int = PIVOTS) -> DataFrame:
+    """(kind, _size, a, b, n_a, n_b), a <= b: the blocks of `blocks_of` that can hold a pair of cosine `least` or more.
+
+    Angles between vectors obey the triangle inequality, so a pair's angle is at least the difference of its angles to any pivot. Blocks whose ranges of angles to some pivot
+    are farther apart than the angle of `least` hold no pair.
     """
-    sizes = names.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")
-    dealt = names.select("seq", "kind", "embedding").join(sizes, "kind").withColumn("own", own)
-    dealt = dealt.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("a"), F.greatest(b, F.col("own")).alias("b")))))
+    at = [F.get("_a", F.lit(v)) for v in range(pivots)]
+    stats = dealt.groupBy("kind", "_size", "_block").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(x) for x in at]).alias("lo"), F.array(*[F.max(x) for x in at]).alias("hi"))
+    side = lambda c: stats.select("kind", "_size", F.col("_block").alias(c), F.col("n").alias(f"n_{c}"), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
+    far = F.lit(acos(max(-1.0, min(1.0, least))) + 1e-6)
+    apart = F.greatest(F.array_max(F.zip_with("lo_a", "hi_b", lambda x, y: x - y)), F.array_max(F.zip_with("lo_b", "hi_a", lambda x, y: x - y)))
+    return side("a").join(side("b"), ["kind", "_size"]).where((F.col("a") <= F.col("b")) & (F.coalesce(apart, F.lit(0.0)) <= far)).select("kind", "_size", "a", "b", "n_a", "n_b")
+
+
+def _compared(names: DataFrame, least: float, block: int, best: bool) -> DataFrame:
+    """(seq, other, sim) from every two blocks that can hold a pair; `best`: of each block pair only the most similar earlier name of each (ties: the earliest)."""
+    dealt = stored(blocks_of(names, block), "resolve-blocks")
+    met = stored(meeting_blocks(dealt, least).select("kind", "_size", "a", "b"), "resolve-meetings")
+    rows = dealt.select("seq", "kind", "_size", "embedding", "_block")
+    one = rows.join(met.withColumn("_block", F.col("a")), ["kind", "_size", "_block"]).withColumn("left", F.lit(True))
+    two = rows.join(met.where("a < b").withColumn("_block", F.col("b")), ["kind", "_size", "_block"]).withColumn("left", F.lit(False))
     seq_type = names.schema["seq"].dataType.simpleString()
 
     def compare(pdf):  # noqa: ANN001, ANN202
@@ -30,21 +69,36 @@ def similar_pairs(names: DataFrame, least: float, block: int = BLOCK) -> DataFra
 
         v = np.array(pdf["embedding"].tolist(), np.float64)
         v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-10
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        own, seq = pdf["own"].to_numpy(), pdf["seq"].to_numpy()
-        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-        sims = v[left] @ v[right].T
-        i, j = np.nonzero((sims >= least) & ((seq[left][:, None] > seq[right][None, :]) | ((a != b) & (seq[left][:, None] != seq[right][None, :]))))
-        x, y = seq[left][i], seq[right][j]
-        return pd.DataFrame({"seq": np.maximum(x, y), "other": np.minimum(x, y), "sim": sims[i, j]})
+        left, seq = pdf["left"].to_numpy(), pdf["seq"].to_numpy()
+        if left.all():
+            x, y = np.arange(len(seq)), np.arange(len(seq))
+        else:
+            x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        sims = v[x] @ v[y].T
+        keep = sims >= least
+        keep &= seq[x][:, None] > seq[y][None, :] if left.all() else seq[x][:, None] != seq[y][None, :]
+        i, j = np.nonzero(keep)
+        out = pd.DataFrame({"seq": np.maximum(seq[x][i], seq[y][j]), "other": np.minimum(seq[x][i], seq[y][j]), "sim": sims[i, j]})
+        if best:
+            out = out.sort_values(["seq", "sim", "other"], ascending=[True, False, True], kind="stable").drop_duplicates("seq")
+        return out
+
+    units = one.unionByName(two).select("kind", "_size", "a", "b", "left", "seq", "embedding")
+    return units.groupBy("kind", "_size", "a", "b").applyInPandas(compare, f"seq {seq_type}, other {seq_type}, sim double")
 
-    rows = dealt.select("kind", "seq", "own", "embedding", F.col("unit.a").alias("a"), F.col("unit.b").alias("b"))
-    return rows.groupBy("kind", "a", "b").applyInPandas(compare, f"seq {seq_type}, other {seq_type}, sim double")
+
+def similar_pairs(names: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(seq, other, sim): pairs of names (seq, kind, embedding), other < seq, of one kind and cosine similarity of at least `least`.
+
+    Exact: a kind's names are dealt to blocks around pivots; every two blocks that can hold such a pair meet in one task as matrices, so a kind of any size is compared in bounded pieces and only
+    similar pairs leave. Names with a null, a zero or a broken vector are in no pair.
+    """
+    return _compared(names, least, block, best=False)
 
 
-def best_earlier(names: DataFrame, low: float, high: float) -> DataFrame:
-    """For names (seq, kind, embedding): the most similar earlier name of the same kind (ties: the earliest), and its band."""
-    sims = similar_pairs(names, -2.0)
+def best_earlier(names: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
+    """For names (seq, kind, embedding): the most similar earlier name of the same kind (ties: the earliest), and its band. Each two blocks give one row a name."""
+    sims = _compared(names, -2.0, block, best=True)
     best = sims.groupBy("seq").agg(F.min(F.struct((-F.col("sim")).alias("down"), "other")).alias("m"))
     return best.select("seq", F.col("m.other").alias("best"), (-F.col("m.down")).alias("sim"), band(-F.col("m.down"), low, high).alias("band"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from kgspark.functions.text import json_fields, trim_answer
+from kgspark.operators.vindex import usable
 
 
 def apply_model(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
@@ -28,9 +29,12 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int
     """(qid, id, distance, rank): the k nearest chunks (id, embedding) of each query (qid, vector) by cosine distance, ties by id; exact.
 
     Queries go to every task in blocks of at most block_bytes. A task multiplies matrices and keeps k chunks a query, so only those are shuffled and merged.
+    Null, zero and broken vectors are left out, and those of another length than most queries.
     """
-    size = queries.select(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
-    blocks = max(1, -(-(size.n * max(1, size.d or 1) * 8) // block_bytes))
+    usual = queries.where("vector is not null").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    size = usual.d if usual else 0
+    queries, chunks = queries.where(usable(F.col("vector"), size)), chunks.where(usable(F.col("embedding"), size))
+    blocks = max(1, -(-(queries.count() * max(1, size) * 8) // block_bytes))
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", chunks.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
     out = None
     for b in range(blocks):

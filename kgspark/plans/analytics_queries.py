@@ -1,4 +1,4 @@
-"""Driver queries of graph analytics over the derived graph: all relations, but for link scores and gaps, which are of the graph of papers and their authors."""
+"""Driver queries of graph analytics over the derived graph: all relations, but for link scores of all pairs and most forms of gaps, which are of the graph of papers and their authors."""
 
 from __future__ import annotations
 
@@ -56,16 +56,14 @@ _LINK = f""", u as (select distinct ws, least(src, tgt) as a, greatest(src, tgt)
     m as (select near.ws, near.a as mid, near.b as n, d from near join deg on deg.ws = near.ws and deg.mid = near.a),
     g as (select x.ws, x.n as a, y.n as c, sum(1 / ln(x.d)) as aa, sum(1.0::double / x.d) as ra, count(*)::bigint as common from m x join m y on x.ws = y.ws and x.mid = y.mid and x.n < y.n group by all),
     link as (select * from g where not exists (select 1 from u where u.ws = g.ws and u.a = g.a and u.b = g.c))"""
-_GAPS = (
-    _ranks(_IN)
-    + _LINK
-    + """, top as (select ws, max(score) as most from r10 group by ws),
+_GAPS = """, top as (select ws, max(score) as most from r10 group by ws),
     scored as (
         select link.ws, link.a, link.c, common, right(link.a, 1) = right(link.c, 1) as same_community, right(link.a, 1) <> right(link.c, 1) and common >= 2 as bridge,
                round((aa + ra + 0.25 * common) * case when right(link.a, 1) <> right(link.c, 1) and common >= 2 then 1.15 else 1.0 end * (1 + x.score / most + y.score / most), 6) as score
         from link join r10 x on x.ws = link.ws and x.name = link.a join r10 y on y.ws = link.ws and y.name = link.c join top on top.ws = link.ws),
     gaps as (select *, row_number() over (partition by ws order by score desc, common desc, a desc, c desc)::bigint as rank from scored qualify rank <= 10)"""
-)
+_ALL_GAPS = _ranks("true") + _LINK.replace(_IN, "true") + _GAPS
+_GAPS = _ranks(_IN) + _LINK + _GAPS
 
 
 def gaps_of(c: DataFrame, top_n: int = 10) -> DataFrame:
@@ -111,6 +109,20 @@ def gra_6(c: DataFrame) -> DataFrame:
     return gaps_of(c)
 
 
+@over_graph("gra_6_all_relations", _ALL_GAPS + " select ws, a, c, common, same_community, bridge, score, rank from gaps")
+def gra_6_all(c: DataFrame) -> DataFrame:
+    """The top gaps over all relations."""
+    w = whole(c)
+    return A.research_gaps(w, A.pagerank(w, iterations=10), by_last_letter(w))
+
+
+@over_graph("gra_6_gaps_of_communities", None)
+def gra_6_communities(c: DataFrame) -> DataFrame:
+    """The top gaps over all relations, with converged ranks and communities run to rest."""
+    w = whole(c)
+    return A.research_gaps(w, A.pagerank(w), A.communities(w))
+
+
 @over_graph("win_5_gap_strength", _GAPS + " select ws, a, c, case when max(score) over (partition by ws) <= 0 then 'emerging' when score / max(score) over (partition by ws) >= 0.66 then 'strong' when score / max(score) over (partition by ws) >= 0.33 then 'moderate' else 'emerging' end as strength from gaps")
 def win_5(c: DataFrame) -> DataFrame:
     return A.gap_strength(gaps_of(c)).select("ws", "a", "c", "strength")
@@ -175,22 +187,53 @@ def gra_3(c: DataFrame) -> DataFrame:
 
 @over_graph("gra_2_communities", None)
 def gra_2(c: DataFrame) -> DataFrame:
-    """With the default rounds; the unit tests hold modularity against simpler labellings."""
+    """Run to rest; the unit tests hold modularity against sequential moves and simpler labellings."""
     w = whole(c)
     return A.community_table(A.communities(w), w)
 
 
-_BFS = """, near as materialized (select distinct ws, lower(src) as x, lower(tgt) as y from edges union select ws, lower(tgt), lower(src) from edges),
-    ask as (select distinct t.ws, lower(t.name) as a, lower(p.name) as b from nodes t join nodes p on p.ws = t.ws and p.label = 'Person' where t.label = 'Topic'),
-    h0 as (select distinct ws, a as root, a as nd, 0 as hops from ask)"""
-for _k in range(1, 6):
-    _seen = " union all ".join(f"select ws, root, nd from h{_i}" for _i in range(_k))
-    _BFS += f", h{_k} as materialized (select distinct h.ws, root, y as nd, {_k} as hops from h{_k - 1} h join near on near.ws = h.ws and near.x = h.nd where (h.ws, root, y) not in (select (ws, root, nd) from ({_seen})))"
+def _searches() -> str:
+    """WITH items of a search from both ends in turn: levels a0, b0, a1, ... of (root, nd, parent, rel), pairs met after each step, and paths along the parents."""
+    sql = """, near as materialized (select ws, x, y, min(rel) as rel from (select ws, lower(src) as x, lower(tgt) as y, rel from edges union all select ws, lower(tgt), lower(src), rel from edges) group by all),
+    ask as materialized (select distinct t.ws, lower(t.name) as a, lower(p.name) as b from nodes t join nodes p on p.ws = t.ws and p.label = 'Person' where t.label = 'Topic'),
+    a0 as (select distinct ws, a as root, a as nd, null::varchar as parent, null::varchar as rel from ask), b0 as (select distinct ws, b as root, b as nd, null::varchar as parent, null::varchar as rel from ask)"""
+    at, met = {"a": 0, "b": 0}, []
+    for k in range(1, 6):
+        side = "ab"[(k - 1) % 2]
+        i = at[side]
+        seen = " union all ".join(f"select ws, root, nd from {side}{j}" for j in range(i + 1))
+        at[side] += 1
+        sql += f""", {side}{i + 1} as materialized (select h.ws, h.root, y as nd, min(x) as parent, arg_min(near.rel, x) as rel from {side}{i} h join near on near.ws = h.ws and near.x = h.nd
+        where (h.ws, h.root, y) not in (select (ws, root, nd) from ({seen})) group by all)"""
+        before = "".join(f" and (ask.ws, ask.a, ask.b) not in (select (ws, a, b) from m{j})" for j in range(1, k))
+        sql += f""", m{k} as materialized (select ask.ws, ask.a, ask.b, {k} as hops, {at["a"]} as la, {at["b"]} as lb, min(a{at["a"]}.nd) as mid from ask join a{at["a"]} on a{at["a"]}.ws = ask.ws and a{at["a"]}.root = ask.a
+        join b{at["b"]} on b{at["b"]}.ws = ask.ws and b{at["b"]}.root = ask.b and b{at["b"]}.nd = a{at["a"]}.nd where true{before} group by ask.ws, ask.a, ask.b)"""
+        met.append(f"select * from m{k}")
+    every = " union all ".join(f"select ws, root, nd, parent, rel, '{x}' as side from {x}{j}" for x in "ab" for j in range(at[x] + 1))
+    sql += f", met as ({' union all '.join(met)}), up as materialized ({every})"
+    sql += """, walk as (
+        select ws, a, b, hops, [mid] as path, []::varchar[] as rels, mid as lo, mid as hi from met
+        union all
+        select w.ws, w.a, w.b, w.hops, case when l.parent is not null then list_prepend(l.parent, path) else path end || case when h.parent is not null then [h.parent] else [] end,
+               case when l.parent is not null then list_prepend(l.rel, rels) else rels end || case when h.parent is not null then [h.rel] else [] end, coalesce(l.parent, lo), coalesce(h.parent, hi)
+        from walk w left join up l on l.side = 'a' and l.ws = w.ws and l.root = w.a and l.nd = w.lo left join up h on h.side = 'b' and h.ws = w.ws and h.root = w.b and h.nd = w.hi
+        where l.parent is not null or h.parent is not null),
+    label as (select ws, lower(name) as name, min(label) as label from nodes group by all),
+    typed as (select ws, a, b, list(coalesce(label, '') order by i) as types from (select ws, a, b, unnest(path) as name, generate_subscripts(path, 1) as i from walk where len(rels) = hops) left join label using (ws, name) group by all)"""
+    return sql
 
 
-@over_graph("gra_9_shortest_paths", _BFS + " , s as (" + " union all ".join(f"select * from h{_i}" for _i in range(6)) + ") select ask.ws, ask.a, ask.b, s.hops::bigint as hops from ask left join s on s.ws = ask.ws and s.root = ask.a and s.nd = ask.b")
+@over_graph(
+    "gra_9_shortest_paths",
+    _searches()
+    + """ select ask.ws, ask.a, ask.b, hops::bigint as hops, array_to_string(path, chr(31)) as path, array_to_string(rels, chr(31)) as relations, array_to_string(types, chr(31)) as types
+    from ask left join (select * from walk where len(rels) = hops) w on w.ws = ask.ws and w.a = ask.a and w.b = ask.b left join typed on typed.ws = ask.ws and typed.a = ask.a and typed.b = ask.b""",
+    recursive=True,
+)
 def gra_9(c: DataFrame) -> DataFrame:
-    """From every topic to every person of its workspace, over all relations: two of one workspace are never adjacent."""
+    """From every topic to every person of its workspace, over all relations, with each path's nodes, labels and relations: two of one workspace are never adjacent."""
     nodes = stored(G.build_nodes(c).select("ws", "label", "name"), "nodes")
     pairs = nodes.where("label = 'Topic'").select("ws", F.col("name").alias("a")).join(nodes.where("label = 'Person'").select("ws", F.col("name").alias("b")), "ws")
-    return A.shortest_paths(stored(G.build_edges(c).select("ws", "src", "tgt"), "edges"), pairs).select("ws", "a", "b", "hops")
+    found = A.path_types(A.shortest_paths(stored(G.build_edges(c).select("ws", "src", "rel", "tgt"), "edges"), pairs), nodes)
+    flat = lambda x: F.array_join(x, "\x1f").alias(x)
+    return found.select("ws", "a", "b", "hops", flat("path"), flat("relations"), flat("types"))

@@ -168,6 +168,23 @@ def join_6(c: DataFrame) -> DataFrame:
     return P.paths(edges_of(c, "CITED"), ["CITED"], 5).groupBy("ws", "hops").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("start").alias("starts"))
 
 
+@over_graph(
+    "join_6_q2_chains",
+    """, e as (select ws, src, tgt, src_label, tgt_label, rel || ':' || src || '>' || tgt as id from edges where rel in ('AUTHORED', 'AFFILIATED_WITH')),
+    b as (select ws, src as s, tgt as t, tgt_label as l, src_label as f, id from e union all select ws, tgt, src, src_label, tgt_label, id from e),
+    w as (
+        select ws, s, t, l, 1 as h, [id] as u from b where f = 'Person'
+        union all
+        select w.ws, w.s, b.t, b.l, h + 1, list_append(u, b.id) from w join b on b.ws = w.ws and b.s = w.t where h < 4 and not list_contains(u, b.id))
+    select ws, s as start, h::bigint as hops, count(*) as n, count(distinct t) as ends from w where l = 'Person' group by all""",
+    recursive=True,
+)
+def join_6_q2(c: DataFrame) -> DataFrame:
+    """Persons that are joined by up to four edges over papers and organisations, in any direction."""
+    found = P.paths(edges_of(c, "AUTHORED", "AFFILIATED_WITH"), ["AUTHORED", "AFFILIATED_WITH"], 4, directed=False, start_label="Person", end_label="Person")
+    return found.groupBy("ws", "start", "hops").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("end").alias("ends"))
+
+
 @over_graph("join_7_q4_disputed", "select distinct ws, tgt as name from edges where rel = 'SUPPORTS' and (ws, tgt) in (select (ws, tgt) from edges where rel = 'CONTRADICTS')")
 def join_7(c: DataFrame) -> DataFrame:
     return P.disputed_targets(edges_of(c, "SUPPORTS", "CONTRADICTS"))

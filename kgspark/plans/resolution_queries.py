@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import resolution as E
 from kgspark.operators import retrieval as R
+from kgspark.operators import vindex as X
 from kgspark.plans.registry import over_tables
+from kgspark.store import stored
 
 LOW, HIGH = 0.25, 0.35
 _COSINE = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) + 1e-10)"
@@ -31,6 +33,34 @@ def vec_2(e: DataFrame) -> DataFrame:
     return R.vector_topk(queries, e.select(F.col("vec_id").alias("id"), "embedding"), 8).select("qid", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def asked(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row whose id is divisible by 50, and all rows."""
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), "embedding")
+
+
+@over_tables("vec_2_index", "embeddings")
+def vec_2_index(e: DataFrame) -> DataFrame:
+    """The same questions by the inverted-file index."""
+    queries, rows = asked(e)
+    found = X.search_index(e.sparkSession, X.build_index(rows), queries, 8)
+    return found.select("qid", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@over_tables(
+    "vec_2_index_recall",
+    "embeddings",
+    f"""with q as (select vec_id as qid, embedding::double[] as v from embeddings where vec_id % 50 = 0),
+    s as (select qid, vec_id as id, 1 - {_COSINE.format(a='v', b='embedding::double[]')} as d from q, embeddings qualify row_number() over (partition by qid order by round(1 - {_COSINE.format(a='v', b='embedding::double[]')}, 12), vec_id) <= 8)
+    select qid, count(*)::bigint as neighbours, true as reached from s group by qid""",
+)
+def vec_2_index_recall(e: DataFrame) -> DataFrame:
+    """Each question's exact neighbours, and whether nine of ten of all questions' are found by the index."""
+    queries, rows = asked(e)
+    exact = stored(R.vector_topk(queries, rows, 8).select("qid", "id"), "exact")
+    got = X.recall_at(X.search_index(e.sparkSession, X.build_index(rows), queries, 8), exact).first()
+    return exact.groupBy("qid").agg(F.count(F.lit(1)).alias("neighbours"), F.lit(bool(got.recall >= 0.9)).alias("reached"))
+
+
 @over_tables(
     "vec_5_bands",
     "embeddings",

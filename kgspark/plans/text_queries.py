@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kgspark.functions import text as T
 from kgspark.operators import evidence as V
 from kgspark.operators import retrieval as R
 from kgspark.plans.registry import over_tables
 from kgspark.sources.pages import extract_pages
+from kgspark.store import stored
 from kgspark.streaming import jobs as J
+from kgspark.streaming import states as S
 
 
 @over_tables(
@@ -296,6 +299,49 @@ def str_3(e: DataFrame) -> DataFrame:
     return R.stuck(jobs_of(e), F.lit(e.agg(F.max("ts")).first()[0]))
 
 
+@over_tables("str_2_stream", "events", _JOB + _STATE + " select * from s")
+def str_2_stream(e: DataFrame) -> DataFrame:
+    """The job states again, by the stream's keyed state over the log written as a stream's folder."""
+    log = stored(jobs_of(e).withColumn("ts", F.col("ts").cast("timestamp")), "job-log")
+    return S.job_states_by_stream(J.table_stream(e.sparkSession, log.stored_at))
+
+
+_WORKERS = """with k as (select 'worker-' || (user_id % 12) as worker_id, ts, event_id, user_id, case event_type when 'signup' then 'assign' when 'purchase' then 'complete' when 'error' then 'register' else 'heartbeat' end as kind from events),
+    e as (select *, sum((kind in ('assign', 'register'))::int) over (partition by worker_id order by ts, event_id) as spell from k),
+    a as (select worker_id, spell, arg_min(kind, event_id) filter (kind in ('assign', 'register')) = 'assign' as busy, max(event_id) filter (kind = 'assign') as id, max(user_id) filter (kind = 'assign') as u,
+                 min(ts) filter (kind = 'complete' and event_id % 4 <> 0) as done from e group by all),
+    h as (select e.worker_id, e.spell, e.ts, lead(e.ts) over (partition by e.worker_id order by e.ts, e.event_id) as next from e join a using (worker_id, spell) where kind <> 'complete' or (busy and event_id % 4 <> 0)),
+    d as (select worker_id, spell, min(h.ts + interval 1 hour) as dead_at from h join a using (worker_id, spell) where busy and (done is null or h.ts < done) and coalesce(next, (select max(ts) from events)) - h.ts > interval 1 hour group by all)
+    select worker_id, 'batch-' || id as batch_id, dead_at, 'doc-' || (u + x) as document_url from d join a using (worker_id, spell), (select unnest([0, 1]) as x)"""
+
+
+def workers_of(e: DataFrame) -> DataFrame:
+    """Events as a log of twelve workers: sign-ups assign a batch of two documents, errors register anew, all others but purchases are heartbeats. Purchases complete a batch; every fourth names another one."""
+    kind = F.when(F.col("event_type") == "signup", "assign").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "register").otherwise("heartbeat")
+    batch = F.when(F.col("event_type") == "signup", F.concat(F.lit("batch-"), F.col("event_id").cast("string")))
+    docs = F.when(F.col("event_type") == "signup", F.array(*[F.concat(F.lit("doc-"), (F.col("user_id") + i).cast("string")) for i in (0, 1)]))
+    return e.select(F.concat(F.lit("worker-"), (F.col("user_id") % 12).cast("string")).alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind"), batch.alias("batch_id"), docs.alias("docs"))
+
+
+def completed(log: DataFrame) -> DataFrame:
+    """The log in batch with the batches that completions name: their worker's last one, but for every fourth."""
+    own = W.partitionBy("worker_id").orderBy("ts", "event_id")
+    last = F.last("batch_id", ignorenulls=True).over(own)
+    return log.withColumn("batch_id", F.when((F.col("kind") == "complete") & (F.col("event_id") % 4 != 0), last).when(F.col("kind") == "complete", F.lit("batch-of-another")).otherwise(F.col("batch_id")))
+
+
+@over_tables("str_3_silent_workers", "events", _WORKERS)
+def str_3_silent(e: DataFrame) -> DataFrame:
+    return S.silent_workers_at(completed(workers_of(e)), F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp"), "1 hour")
+
+
+@over_tables("str_3_silent_stream", "events", f"select * from ({_WORKERS}) where dead_at < (select max(ts) from events) - interval 2 hours")
+def str_3_stream(e: DataFrame) -> DataFrame:
+    """The same by event-time timers, over the log written as a stream's folder: what the watermark, two hours behind, has seen out."""
+    log = stored(completed(workers_of(e)), "worker-log")
+    return S.silent_workers_by_stream(J.table_stream(e.sparkSession, log.stored_at), "1 hour", "2 hours")
+
+
 @over_tables("str_4_failures_by_hour", "events", "select date_trunc('hour', ts) as hour, count(*) as failures from events where event_type = 'error' group by all")
 def str_4(e: DataFrame) -> DataFrame:
     return J.failures_by_hour(jobs_of(e))

@@ -41,7 +41,7 @@ def test_shortest_path(spark):
     e = edges(spark, [("A", "B", "X", 1.0), ("B", "C", "X", 1.0), ("A", "D", "X", 1.0)])
     got = A.shortest_paths(e, spark.createDataFrame([("w", "d", "C"), ("w", "a", "z")], "ws string, a string, b string"))
     types = spark.createDataFrame([("w", n, f"L{n}") for n in "ABC"], "ws string, name string, label string")
-    assert {(r.a, r.b): (r.hops, r.path, r.relations, r.types) for r in A.path_types(got, types).collect()} == {("d", "c"): (3, "d > a > b > c", "X > X > X", " > LA > LB > LC"), ("a", "z"): (None, None, None, None)}
+    assert {(r.a, r.b): (r.hops, r.path, r.relations, r.types) for r in A.path_types(got, types).collect()} == {("d", "c"): (3, ["d", "a", "b", "c"], ["X"] * 3, ["", "LA", "LB", "LC"]), ("a", "z"): (None, None, None, None)}
 
 
 def loop(rows, low, high, same):
