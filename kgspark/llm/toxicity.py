@@ -12,7 +12,8 @@ accuracy, the nearest to 0.5 of equal ones); a language with fewer than 40 of th
 
 Defined cases: null texts and texts without words score as no words at all; conflicting labels of a document count as toxic;
 of repeated doc_ids the least text is fitted; null labels are ignored; without both classes to learn from, every score is 0; null or unknown languages have threshold
-0.5; repeated rows score alike; very long texts are read whole; an empty table gives no rows.
+0.5; repeated rows score alike; very long texts are read whole; an empty table gives no rows; extra columns are ignored, and kept by `clean`. Words in fewer than `LEAST` of the fitted texts are
+neutral, so a toxic word that is rarer than that, as in a small language, is not learnt.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from kgspark.llm.common import chunks, unburdened, words_of
 
 BUCKETS, WIDTHS, FILTERS, DIM = 1 << 15, (1, 2, 3), 8, 12
-PER_CLASS, MOST_BYTES, LEAST, BINS = 4_000, 32 << 20, 16, 1000
+PER_CLASS, MOST_BYTES, LEAST, BINS, FLOOR = 4_000, 32 << 20, 16, 1000, 0.25
 
 
 def hashed(texts: list[str], cache: dict, buckets: int = BUCKETS):  # noqa: ANN201
@@ -243,7 +244,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that score below both 0.5 and their language's threshold."""
+def clean(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """The rows of docs, with all their columns, that score below both 0.5 and their language's threshold. A threshold below `floor` counts as `floor`: a language with few toxic texts can have a
+    calibrated cut that rests on one of them, and clean texts are to stay."""
     got = scored(docs, train(docs, labels), docs.columns)
-    return got.where("score < 0.5 and score < greatest(threshold, 0.25)").select("row.*")
+    return got.where((F.col("score") < 0.5) & (F.col("score") < F.greatest("threshold", F.lit(floor)))).select("row.*")

@@ -128,7 +128,44 @@ def test_shards_hold_each_source_in_proportion(spark):
     sizes, per = Counter(r.stratum for r in got), Counter((r.shard, r.stratum) for r in got)
     assert len(got) == len(rows) and max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
     assert all(abs(per[k, s] - n / 8) <= 2 for s, n in sizes.items() for k in range(8))
-    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((d or -1 if d is not None else -1, len(t or "") + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows) or any(d == 0 for d, *_ in rows)
+    known = lambda d: -1 if d is None else d
+    assert sorted((known(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((known(d), len(t or "") + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows)
+
+
+def test_shards_equal_a_plain_sort_by_fractional_rank(spark):
+    rows = [(i, f"text {i % 11}", "big" if i % 3 else f"s{i % 4}") for i in range(300)] + [(None, None, None)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = docs.selectExpr("doc_id", "text", "source", "xxhash64(17, doc_id, crc32(cast(coalesce(text, '') as binary)), source) as h", "pmod(xxhash64(18, source), 1073741824) / 1073741824d as start").collect()
+    order: dict = {}
+    for r in hashes:
+        order.setdefault(r.source, []).append(r)
+    placed = []
+    for source, own in order.items():
+        blocks = sorted(own, key=lambda r: ((r.h % 2**64) >> 56, r.h))  # blocks of hashes, each by signed hash
+        placed += [((k + r.start) / len(own), source is not None, source or "", r.h, -1 if r.doc_id is None else r.doc_id) for k, r in enumerate(blocks)]
+    placed.sort()
+    n, want = len(placed), []
+    for k, x in enumerate(placed):
+        shard = k * 7 // n
+        want.append((shard, k - -(-shard * n // 7), x[4]))
+    got = sorted((r.shard, r.slot, -1 if r.doc_id is None else r.doc_id) for r in sharding.stratified_shards(docs, 7).collect())
+    assert got == want
+
+
+def test_toxicity_scores_equal_a_plain_convolution():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    texts = ["", "one", "one two three four two one", "a b c " * 50, "ünï çödé two", "b"]
+    words = [[zlib.crc32(w) % (toxicity.BUCKETS - 1) + 1 for w in words_of(t)] + [0] * 3 for t in texts]
+    model = toxicity.fit([np.array(w, np.int32) for w in words], [0, 1, 0, 1, 0, 1], epochs=2, least=1)
+    got = model.scores(*toxicity.hashed(texts, {}))
+    for text, score in zip(words, got, strict=True):
+        best = []
+        for w, table, bias in zip(toxicity.WIDTHS, model.tables, model.bias, strict=True):
+            windows = [sum(table[k][text[i + k]] if i + k < len(text) else 0 for k in range(w)) for i in range(len(text))]
+            best += [max(0.0, max(float(x[f]) for x in windows) + float(bias[f])) for f in range(toxicity.FILTERS)]
+        assert score == pytest.approx(1 / (1 + math.exp(-(sum(b * float(o) for b, o in zip(best, model.out, strict=True)) + model.out_bias))), abs=1e-5)
 
 
 def test_sharding_digests(docs):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.llm import chat, decontaminate, fingerprints, licenses, nearjoin, packing, sharding, suffixtree, tokenfiles, toxicity
+from kgspark.llm.common import words_of as licenses_words
 from kgspark.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, row string"
@@ -149,16 +150,56 @@ def matching(rx):
 
 
 def test_every_license_rule_is_detected_alone(spark):
+    assert sum(kind != "grant" for *_, kind in licenses.rules()) >= 200
     rows = [(n, p, label, text) for n, (label, p, _, rx, kind) in enumerate(licenses.rules()) if kind != "grant" for text in matching(rx)]
     docs = spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.found for r in licenses.detections(docs).select("doc_id", "found").collect()}
     # An equal or longer span of another rule may stand in its place, but the whole text is always covered.
     lost = [r for i, r in enumerate(rows) if not any(d.start <= 1 and d.stop >= len(r[3]) + 1 for d in got[i])]
     assert lost == []
-    few = {"gpl v3": "gpl-3.0", "GNU GPL v3": "gpl-3.0", "gnu fdl": "gfdl", "library general public license 2": "lgpl-2.1", "freebsd license": "bsd-2-clause", "0bsd": "0bsd", "ASL 2.0": "apache-2.0"}
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(few)], "doc_id long, text string")
-    labels = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(docs).collect()}
-    assert all(want in labels[i] for i, want in enumerate(few.values()))
+
+
+LICENSED = {
+    "gpl v3": "gpl-3.0", "GNU GPL v3": "gpl-3.0", "gnu fdl": "gfdl", "library general public license 2": "lgpl-2.1", "freebsd license": "bsd-2-clause", "0bsd": "0bsd", "ASL 2.0": "apache-2.0",
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "cc-by-nc-sa-4.0", "spdx-license-identifier: apache-2.0": "apache-2.0",
+    "Licensed under the MIT": "mit", "distributed under the GPL": "gpl", "It is licensed under AGPL.": "agpl", "released under gpl2": "gpl-2.0", "gpl2": "gpl-2.0", "GPLv3 or later": "gpl-3.0", "the Apache License, Version 2.0": "apache-2.0",
+    "available under the terms of the artistic license": "artistic-1.0", "Perl Artistic License": "artistic-1.0", "lgpl 2.1": "lgpl-2.1", "dual licensed under Apache 2.0": "apache-2.0", "may not be used to train models": "no-training",
+    "published under the BSD license": "bsd", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa",
+}
+UNLICENSED = """Smith et al. 2 report this. Kim et al., 2.0 mm wide. The artistic license taken by the painter was wide. She drove under a provisional licence. MIT is a school in Cambridge.
+The apache helicopter has 2 engines. Apache 2 of 3 crews returned. A general public enquiry was held. His driving license expired in May. They licensed the song to a film. The boost was 1.0 bar. Provided by Apache crews at dawn.
+We met Ms. Plum at noon. Ms. Rlang spoke next. The public was in a domain of its own. Poetic license is a freedom. They train for research and sports. The server side of the house is public. The mozilla mascot is a lizard.
+An eclipse is a public event. Section 3.0 of the plan. The bsd meeting had 3 points. Route 66 was released by the authority. Isc is a short word. A zebra of 4 stripes. The rights of all were respected. He reserved a table for two.
+The common public likes bread. Free documentation is on the shelf. The elastic band broke twice. Python eats mice at night. Ruby is a red stone. The font of the chapel is open. Commons debated attribution of blame. The oak was blue in the dusk.
+Copyright is a hard subject. The trademark of his style is speed. Their warranty lasts two years. Permission was granted by the mayor. Redistribution of wealth was discussed. The written permission arrived late. Commercial use of water grew.
+The vim of the young is strong. Latex paint dries fast. The llama grazes in Peru. Universal education is permissive of play. Academic work is not free. The business has one source of income. A lesser library in general is public. He was unauthorized to speak.
+Evaluation takes time. The product includes a manual. See the file for the plan. They are distributed under the bridge. It was published under the name of another. Goods are offered under the counter. All available under one roof. Released under pressure."""
+
+
+def test_licences_that_are_named_and_sentences_without_one(spark):
+    none = [s.strip() for s in UNLICENSED.replace("\n", " ").split(". ")]
+    assert len(none) >= 50
+    docs = spark.createDataFrame(list(enumerate([*LICENSED, *none])), "doc_id long, text string")
+    labels = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
+    assert {t: labels[i] for i, (t, want) in enumerate(LICENSED.items()) if want not in labels[i].split(",")} == {}
+    assert {t: labels[i + len(LICENSED)] for i, t in enumerate(none) if labels[i + len(LICENSED)]} == {}
+
+
+def test_overlaps_are_suppressed_as_by_all_pairs(spark):
+    """Of all matches of all rules the ones stay that lie inside no other of equal or higher priority (the same span: of a higher one, or an earlier rule), nor inside one of a full name or grant."""
+    import re
+
+    texts = ["Licensed under the GNU General Public License version 2 or later. All rights reserved, see the license file for details.", "SPDX-License-Identifier: GPL-2.0-or-later and gpl 2.0",
+             "released under the terms of the apache license 2.0 copyright 2020 2021 all rights strictly reserved worldwide", "creative commons attribution share alike 4 0 cc by sa 4.0 cc by", "mit license mit license mit x11 license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {(d.start, d.stop, d.n) for d in r.found} for r in licenses.detections(docs).select("doc_id", "found").collect()}
+    table = [(i, p, set(keys.split(" ")), re.compile(rf"(?<= )(?:{rx})(?= )")) for i, (_, p, keys, rx, _) in enumerate(licenses.rules())]
+    for k, text in enumerate(texts):
+        norm = " " + b" ".join(licenses_words(text)).decode() + " "
+        every = [(m.start(), m.end(), p, i) for i, p, keys, rx in table if keys & set(norm.split()) for m in rx.finditer(norm)]
+        inside = lambda d, o: o[0] <= d[0] and d[1] <= o[1] and o != d
+        beats = lambda o, d: (o[:2] != d[:2] and (o[2] >= d[2] or o[2] >= 3)) or (o[:2] == d[:2] and (o[2] > d[2] or (o[2] == d[2] and o[3] < d[3])))
+        assert got[k] == {(d[0], d[1], d[3]) for d in every if not any(inside(d, o) and beats(o, d) for o in every)}
 
 
 def test_decontamination_equals_brute_force(spark, docs):
@@ -266,7 +307,7 @@ def test_toxicity_learns_a_word(spark):
 
 def test_chat_fold_and_round_trip(spark):
     e = spark.createDataFrame([(1, 1, "message", "a", "user", "hi"), (1, 2, "message", "b", "assistant", ""), (1, 3, "delta", "b", None, "x"), (1, 4, "message", "c", "user", "more"),
-                               (1, 5, "regenerate", "b", None, None), (1, 6, "delta", "b", None, "y </turn>"), (1, 7, "edit", "a", None, "\\### hello")], chat.EVENTS)
+                               (1, 5, "regenerate", "b", None, None), (1, 6, "delta", "b", None, "y </turn>"), (1, 7, "edit", "a", None, "\\### hello")], "conv_id long, seq long, kind string, msg_id string, role string, text string")
     out = chat.rendered(chat.folded(e)).orderBy("at").collect()
     assert [chat.parsed(r.formatted) for r in out] == [("user", "\\### hello"), ("assistant", "y </turn>")]
 
