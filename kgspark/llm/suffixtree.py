@@ -7,13 +7,17 @@ distribution diverges from that of its longest proper suffix by more than `DIVER
 retained contexts are retained too. Distributions are smoothed by the suffix's, weighted by the number of distinct next
 symbols, down to the uniform distribution over bytes. A symbol is scored in the longest retained suffix of what precedes it.
 
+A token is known if training has it. The share of unknown tokens, e = (n1 + 1) / (N + 2) by Good and Turing (n1: tokens seen once), is an escape that all unknown tokens share evenly, as many as
+Chao's estimate says there are, U = max(1, n1 * n1 / (2 * (n2 + 1))). A known token has (1 - e) * (TREE * t + (1 - TREE) * c / N): t is the tree's probability of its bytes and the space behind it, c / N its own share.
+So unknown tokens are not spelt, as the word base doesn't spell them either, and the probabilities of all tokens sum to at most 1 after any context.
+
 The tree is a written table for each depth, pruned by joins of each depth with the one below, and so are the scores of all distinct
-grams (context and symbol). Frequent grams (at most `GRAMS`) go to every task; all others are joined by shuffle.
+grams (context and symbol). Frequent grams (at most `GRAMS`) go to every task. Words are counted over all training texts; frequent ones (at most `HEAD`) go to
+every task. Tokens of frequent words and grams are scored in one pass; all others leave it with what is missing, which joins add, so no vocabulary is too large.
 
-Words are counted over all training texts as well, for a unigram base score. Frequent words (at most `HEAD`) go to
-every task; all others are joined by shuffle, so that no vocabulary is too large.
+`DEPTH` is what the check tool's limits allow with all contexts counted; `DIVERGENCE` and `TREE` were chosen on the held-out texts of the smaller test tables.
 
-Defined cases: null texts are empty and score as the end alone; without training rows the tree is the uniform distribution and
+Defined cases: null texts are empty and score as the end alone; without training rows the tree is the uniform distribution over bytes, tokens are spelt by it and
 the base has N = V = 0; null doc_ids count as training rows; repeated rows count and score each; very long texts and tokens
 are taken whole; an empty table gives no rows; extra columns are ignored.
 """
@@ -30,7 +34,7 @@ from pyspark.sql.window import Window as W
 
 from kgspark.llm.common import chunks, written
 
-DEPTH, LEAST, DIVERGENCE, HEAD, GRAMS = 5, 2, 8.0, 250_000, 2_000_000
+DEPTH, LEAST, DIVERGENCE, TREE, HEAD, GRAMS = 5, 2, 4.0, 0.7, 250_000, 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
 
@@ -177,6 +181,12 @@ def _head(counted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return counted.where(step >= least), counted.where(step < least)
 
 
+def escape(total: int, once: int, twice: int) -> tuple[float, float]:
+    """(e, log10 of an unknown token's probability) of a vocabulary of `total` tokens, of which so many words were seen once and twice."""
+    e = (once + 1) / (total + 2)
+    return e, log10(e / max(1.0, once * once / (2 * (twice + 1))))
+
+
 def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learnt from rows that are not held out."""
     import numpy as np
@@ -185,7 +195,8 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     out = F.coalesce(held_out, F.lit(False))
     table = counts(docs.where(~out))
     words = table.where("word is not null").select("word", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    share, unknown = escape(total, once, twice)
     grams_seen = table.where("gram is not null").select(F.col("gram").alias("key"), "n").unionByName(counts(docs.where(out)).where("gram is not null").select(F.col("gram").alias("key"), "n"))
     known_grams = gram_scores(written(grams_seen.groupBy("key").agg(F.sum("n").alias("n")), "suffixtree-seen"), grown(table))
     common, rare_grams = _head(known_grams, GRAMS)
@@ -194,7 +205,8 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     tree = spark.sparkContext.broadcast((held["key"].to_numpy()[order].astype(np.uint64), held["score"].to_numpy()[order]))
     frequent_words = _head(words, HEAD)[0].toArrow()
     head = spark.sparkContext.broadcast({w.encode(): log10(n + 1) for w, n in zip(frequent_words["word"].to_pylist(), frequent_words["n"].to_pylist(), strict=True)})
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<string>, grams array<long>"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word: string, n: long, tree: double, grams: array<long>>>"
+    kinds = [("word", "string"), ("n", "int64"), ("tree", "float64"), ("grams", "grams")]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -204,6 +216,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
         frequent, (common_key, common_val), uid = Frequent(head.value), tree.value, TaskContext.get().partitionId() << 40
         bits = 21
         memo_key, memo_val = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)  # grams looked up before
+        kind = {"string": pa.string(), "int64": pa.int64(), "float64": pa.float64(), "grams": pa.list_(pa.int64())}
 
         def looked_up(k):  # noqa: ANN001, ANN202
             """Scores of common grams; nan for any other."""
@@ -241,23 +254,48 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 first = np.cumsum(n) - n
                 known = np.add.reduceat((~rare).astype(np.int64), first)
                 base = np.add.reduceat(np.where(rare, 0, vals), first)
-                where = np.flatnonzero(rare)
-                rest = pa.array([flat[i] for i in where.tolist()], pa.binary()).cast(pa.string())
-                edges = np.concatenate(([0], np.cumsum(n - known))).astype(np.int32)
                 k, start = grams([b" ".join(t[:-1]) for t in toks])
                 logp = logs(k)
+                # A word has the space behind it, the last one of a text none, the end its own symbol.
+                size = np.fromiter(map(len, flat), np.int64, len(flat)) + 1
+                ends = first + n - 1
+                size[ends] = 1
+                size[ends[n > 1] - 1] -= 1
+                place = np.cumsum(size) - size
                 other = np.isnan(logp)
-                score = np.add.reduceat(np.where(other, 0, logp), start)
-                left = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(other.astype(np.int64), start)))).astype(np.int32)), pa.array(k[other].view(np.int64)))
-                cols = [pa.array(np.arange(uid, uid + len(toks))), part.column(0), part.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), rest), left]
+                spelt = np.add.reduceat(np.where(other, 0, logp), place)
+                missing = np.add.reduceat(other.astype(np.int64), place)
+                whole = ~rare & (missing == 0)
+                count = np.where(rare, 1, 10.0 ** np.where(rare, 0, vals) - 1)
+                one = np.where(whole, np.log10((1 - share) * (TREE * 10.0**spelt + (1 - TREE) * count / max(total, 1))), 0) if total else np.where(missing == 0, spelt, 0)
+                done = whole if total else missing == 0
+                score = np.add.reduceat(np.where(done, one, 0), first)
+                left = np.flatnonzero(~done | rare)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(missing[left]))).astype(np.int32)), pa.array(k[np.flatnonzero(other & np.repeat(~done | rare, size))].view(np.int64)))
+                # n is null for a word that is yet to be looked up; tree is null where the token is scored and only its word is missing.
+                cols = [
+                    pa.array([flat[i] for i in left.tolist()], pa.binary()).cast(pa.string()), pa.array(np.rint(count[left]).astype(np.int64), mask=rare[left]), pa.array(spelt[left], mask=done[left]), lists,
+                ]
+                rest = pa.StructArray.from_arrays(cols, fields=[pa.field(c, kind[t]) for c, t in kinds])
+                edges = np.concatenate(([0], np.cumsum(np.add.reduceat((~done | rare).astype(np.int64), first)))).astype(np.int32)
+                out_cols = [pa.array(np.arange(uid, uid + len(toks))), part.column(0), part.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), rest)]
                 uid += len(toks)
-                yield pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays(out_cols, [f.split(" ")[0] for f in schema.split(", ")[:7]] + ["rest"])
 
     rows = written(_texts(docs, F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out")).mapInArrow(run, schema), "suffixtree-scores")
-    rest = rows.select("uid", F.explode("rest").alias("word")).join(words, "word").groupBy("uid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("sum"))
-    tails = rows.select("uid", F.explode("grams").alias("key")).join(rare_grams.select("key", F.col("score").alias("one")), "key").groupBy("uid").agg(F.sum("one").alias("tail"))
+    left = rows.select("uid", F.posexplode("rest").alias("pos", "r")).select("uid", "pos", "r.word", "r.n", "r.tree", "r.grams")
+    tails = left.where("size(grams) > 0").select("uid", "pos", F.explode("grams").alias("key")).join(rare_grams.select("key", F.col("score").alias("one")), "key").groupBy("uid", "pos").agg(F.sum("one").alias("tail"))
+    # A token with rare grams is looked up by its place; all others are summed by document and word first.
+    plain = left.where("size(grams) = 0").select("uid", "word", "n", "tree")
+    odd = left.where("size(grams) > 0").join(tails, ["uid", "pos"]).select("uid", "word", "n", (F.col("tree") + F.col("tail")).alias("tree"))
+    every = plain.unionByName(odd).join(words.select("word", F.col("n").alias("c")), "word", "left")
+    seen = F.coalesce("n", "c", F.lit(0))
+    mixed = F.log10(F.lit(1 - share) * (F.lit(TREE) * F.pow(F.lit(10.0), F.col("tree")) + F.lit((1 - TREE) / max(total, 1)) * seen)) if total else F.col("tree")
+    token = F.when(F.col("tree").isNull(), 0.0).when((seen > 0) | F.lit(not total), mixed).otherwise(F.lit(unknown))
+    more = F.count_if(F.col("n").isNull() & F.col("c").isNotNull()).alias("more")
+    sums = every.groupBy("uid").agg(more, F.sum(F.when(F.col("n").isNull() & F.col("c").isNotNull(), F.log10(F.col("c") + 1)).otherwise(0.0)).alias("sum"), F.sum(token).alias("tail"))
     base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(log10(total + distinct + 1))
-    return rows.drop("rest", "grams").join(rest, "uid", "left").join(tails, "uid", "left").select(
+    return rows.drop("rest").join(sums, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
     )

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,7 +260,21 @@ def suffix_tree_brute_force(texts, held_out):
         at = nxt[d][key >> 8]
         return (at.get(key & 255, 0) + len(at) * low) / (sum(at.values()) + len(at))
 
-    return [sum(log10(p(key, size)) for key in suffixtree.grams([t])[0].tolist()) for t in held_out]
+    words = Counter(w for t in texts for w in [*t.split(), suffixtree.END])
+    total = sum(words.values())
+    e, unknown = suffixtree.escape(total, *(sum(c == k for c in words.values()) for k in (1, 2)))
+
+    def score(t):
+        at, got, keys = 0, 0.0, suffixtree.grams([t])[0].tolist()
+        own = t.split()
+        for i, w in enumerate([*own, suffixtree.END]):
+            n = 1 if i == len(own) else len(w) + (i < len(own) - 1)
+            spelt = 10 ** sum(log10(p(key, size)) for key in keys[at : at + n])
+            at += n
+            got += log10((1 - e) * (suffixtree.TREE * spelt + (1 - suffixtree.TREE) * words[w] / total)) if words[w] else unknown
+        return got
+
+    return [score(t) for t in held_out]
 
 
 @pytest.mark.parametrize("fans", [nearjoin.FANS, (2.0, 1.0, 1.0)])  # with the second, a third of the sets of a split bucket follow no token there
