@@ -44,7 +44,7 @@ FAMILIES = (
     ("0bsd", "bsd 0bsd", r"(?:zero clause bsd|bsd zero clause)(?: licen[cs]e)?", r"0bsd", ""),
     ("isc", "isc", r"isc licen[cs]e", "", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", "", r"zlib"),
-    ("gpl-1.0", "general gpl gpl1 gplv1", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 1(?: 0)?" + LATER, r"gpl ?v? ?1(?: 0)?", ""),
+    ("gpl-1.0", "general gpl gpl1 gplv1 gplv", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 1(?: 0)?" + LATER, r"gpl ?v? ?1(?: 0)?", ""),
     ("gpl-2.0", "general gpl gpl2 gplv2 gplv", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 2(?: 0)?" + LATER, r"(?:gnu )?gpl ?v? ?2(?: 0)?", ""),
     ("gpl-3.0", "general gpl gpl3 gplv3 gplv", r"(?:gnu )?general public licen[cs]e" + VERSION + r" 3(?: 0)?" + LATER, r"(?:gnu )?gpl ?v? ?3(?: 0)?", ""),
     ("gpl", "general gpl", r"(?:gnu )?general public licen[cs]e", r"(?:gnu gpl|gpl licen[cs]e)", r"gpl"),

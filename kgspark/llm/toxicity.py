@@ -49,6 +49,14 @@ def hashed(texts: list[str], cache: dict, buckets: int = BUCKETS):  # noqa: ANN2
     return np.array(ids, np.int32), np.array(starts, np.int64)
 
 
+def _crossing(starts, n: int, width: int):  # noqa: ANN001, ANN202
+    """Places, of n, whose window of `width` words would reach into the next text."""
+    import numpy as np
+
+    stops = np.append(starts[1:], n)
+    return (stops[:, None] - np.arange(1, width)).ravel()
+
+
 @dataclass
 class Model:
     tables: list = field(default_factory=list)  # for each width, a (width, buckets, filters) array of products
@@ -67,6 +75,7 @@ class Model:
             conv = table[0][ids]
             for k in range(1, w):
                 conv[:-k] += table[k][ids[k:]]
+            conv[_crossing(starts, len(ids), w)] = -np.inf
             pooled.append(np.maximum(np.maximum.reduceat(conv, starts, axis=0) + bias, 0))
         return 1 / (1 + np.exp(-np.clip(np.concatenate(pooled, 1) @ self.out + self.out_bias, -30, 30)))
 
@@ -109,6 +118,7 @@ def fit(words: list, labels: list[int], prior: float = 0.5, epochs: int = 10, ra
                 conv = tab[0][at]
                 for k in range(1, w):
                     conv[:-k] += tab[k][at[k:]]
+                conv[_crossing(first, len(own), w)] = -np.inf
                 top = np.maximum.reduceat(conv, first, axis=0)
                 lens = np.diff(np.append(first, len(own)))
                 hit = conv == np.repeat(top, lens, axis=0)
