@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 JOB_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"  # the URL namespace of RFC 4122
 #: The clauses of the public openCypher manual that write, load or call; white space in one stands for any.
 WRITE_CLAUSES = ("CREATE", "MERGE", "SET", "DELETE", "DETACH", "REMOVE", "FOREACH", "LOAD CSV", "CALL", "DROP")
-#: Public forms of arXiv identifiers (new and old), of their addresses and of category codes.
-ARXIV_NEW, ARXIV_OLD = r"\d{4}\.\d{4,5}(?:v\d+)?", r"[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?"
-ARXIV_URL = r"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/([^\s?#]+?)(?:\.pdf)?$"
-CATEGORY = r"^[a-z][a-z0-9-]*\.[A-Za-z][A-Za-z0-9-]*$"
+SMALL, CAPITAL, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: IPv4 blocks that are private, loopback, link-local, documentation, benchmarking, multicast, reserved or unspecified (RFC 6890 and its successors).
 INNER_IPV4 = (
     r"^(?:0|10|127)\.|^169\.254\.|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.|^(?:22[4-9]|23\d|24\d|25[0-5])\."
@@ -108,10 +105,39 @@ def public_url(url: Column) -> Column:
     return F.coalesce(F.trim(url).rlike(r"(?i)^https?://") & (host != "") & (host != "localhost") & F.when(six, good6).when(four, good4).otherwise(True), F.lit(False))
 
 
+def _of(text: Column, chars: str, least: int = 1, most: int = 1 << 30) -> Column:
+    """Whether a text is `least` to `most` of the given characters and nothing else."""
+    return F.char_length(text).between(least, most) & (F.translate(text, chars, "") == "")
+
+
+def is_arxiv_id(token: Column) -> Column:
+    """An identifier in arXiv's published scheme: yymm.number of four or five digits, or archive[.CL]/yymmnnn of seven; either may end in a version, v and digits."""
+    bare = F.regexp_replace(token, r"v\d+$", "")
+    new = let(F.split(bare, r"\."), lambda p: (F.size(p) == 2) & _of(F.get(p, F.lit(0)), DIGIT, 4, 4) & _of(F.get(p, F.lit(1)), DIGIT, 4, 5))
+    archive = lambda a: _of(F.get(a, F.lit(0)), SMALL + "-") & ((F.size(a) == 1) | ((F.size(a) == 2) & _of(F.get(a, F.lit(1)), CAPITAL, 2, 2)))
+    old = let(F.split(bare, "/"), lambda p: (F.size(p) == 2) & _of(F.get(p, F.lit(1)), DIGIT, 7, 7) & let(F.split(F.get(p, F.lit(0)), r"\."), archive))
+    return F.coalesce(new | old, F.lit(False))
+
+
+def arxiv_address(token: Column) -> Column:
+    """What an address of an arXiv abstract or PDF names, null for other tokens."""
+    part = lambda name: F.try_parse_url(token, F.lit(name))
+    steps = F.split(F.regexp_replace(part("PATH"), r"(?i)\.pdf$", ""), "/", 3)
+    ours = F.lower(part("PROTOCOL")).isin("http", "https") & F.lower(part("AUTHORITY")).isin("arxiv.org", "www.arxiv.org") & part("QUERY").isNull() & part("REF").isNull()
+    return F.when(ours & F.lower(F.get(steps, F.lit(1))).isin("abs", "pdf"), F.nullif(F.get(steps, F.lit(2)), F.lit("")))
+
+
+def is_category(token: Column) -> Column:
+    """A category code: archive, full stop, subject class; each begins with a letter, an archive in small ones, and goes on in letters, digits and hyphens."""
+    letters = SMALL + CAPITAL
+    begins = lambda x, first, rest: _of(F.substring(x, 1, 1), first) & _of(x, rest + DIGIT + "-")
+    return F.coalesce(let(F.split(token, r"\."), lambda p: (F.size(p) == 2) & begins(F.get(p, F.lit(0)), SMALL, SMALL) & begins(F.get(p, F.lit(1)), letters, letters)), F.lit(False))
+
+
 def source_ids(spec: Column) -> Column:
     """The arXiv identifiers among a spec's tokens (cut at commas and white space), whole tokens or in addresses."""
     tokens = F.filter(F.split(F.coalesce(spec, F.lit("")), r"[,\s]+"), lambda t: t != "")
-    found = F.transform(tokens, lambda t: F.when(t.rlike(ARXIV_URL), F.regexp_extract(t, ARXIV_URL, 1)).when(t.rlike(f"^(?:{ARXIV_NEW}|{ARXIV_OLD})$"), t))
+    found = F.transform(tokens, lambda t: F.coalesce(F.when(is_arxiv_id(t), t), arxiv_address(t)))
     return F.filter(found, lambda t: t.isNotNull())
 
 
@@ -119,7 +145,7 @@ def source_mode(spec: Column) -> Column:
     """id, category, keyword or default: what a free-text feed spec asks for."""
     s = F.trim(F.coalesce(spec, F.lit("")))
     tokens = F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
-    categories = (F.size(tokens) > 0) & F.forall(tokens, lambda x: x.rlike(CATEGORY))
+    categories = (F.size(tokens) > 0) & F.forall(tokens, is_category)
     return F.when(F.size(source_ids(spec)) > 0, "id").when(categories, "category").when(F.trim(F.regexp_replace(s, r"\s+", " ")) != "", "keyword").otherwise("default")
 
 

@@ -96,7 +96,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None, tol: float) -> DataFrame:
-    """(id, ws, k, m2, label): nodes of graph (ws, a, b, w) moved from the labels start (id, label) until none moves, or two rounds in turn raise the modularity, summed over workspaces, by less than tol.
+    """(id, ws, k, m2, label): nodes of graph (ws, a, b, w) moved from the labels start (id, label) until none moves, or a round raises the modularity, summed over workspaces, by less than tol.
 
     A round has two halves, of a split of the nodes by a hash that is another in each round, so two neighbours that swap places are soon in different halves. `rounds` bounds them where it is given.
     """
@@ -105,7 +105,7 @@ def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None,
     nodes = graph.groupBy("ws", F.col("a").alias("id")).agg(F.sum("w").alias("k")).join(two_m, "ws")
     state = stored(nodes.join(start, "id").select("id", "ws", "k", "m2", "label"), "louvain-state")
     edges = graph.where("a <> b").join(nodes.select(F.col("id").alias("a"), "k", "m2"), "a").select("a", "b", "w", "k", "m2").repartition(parts, "b").persist()
-    best_q, idle, done = None, 0, 0
+    q, done = None, 0
     while rounds is None or done < rounds:
         moved = 0
         for half in (0, 1):
@@ -127,11 +127,9 @@ def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None,
         done += 1
         if not moved:
             break
-        if done >= 3:
-            q = _total_modularity(edges, state)
-            idle = 0 if best_q is None or q > best_q + tol else idle + 1
-            best_q = q if best_q is None else max(q, best_q)
-            if idle == 2:
+        if done >= 2:
+            q, last = _total_modularity(edges, state), q
+            if last is not None and q <= last + tol:
                 break
     edges.unpersist()
     return state

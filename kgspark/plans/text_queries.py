@@ -103,7 +103,7 @@ def src_3_ids(p: DataFrame) -> DataFrame:
 
 @over_tables("src_3_page_texts", "pages")
 def src_3_texts(p: DataFrame) -> DataFrame:
-    return extract_pages(p)
+    return extract_pages(p).select("page_id", "title", "text")
 
 
 #: Literal hosts of every kind, and those of them that are public.

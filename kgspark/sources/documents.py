@@ -13,8 +13,7 @@ from kgspark.sources.pages import extract_pages
 def page_documents(pages: DataFrame) -> DataFrame:
     """Documents of pages(page_id, url, html)."""
     none = F.array().cast("array<string>")
-    got = extract_pages(pages).join(pages.select("page_id", "url"), "page_id")
-    return got.select(F.col("url").alias("feed"), doc_id_of(F.col("url")).alias("doc_id"), "title", "text", none.alias("authors"), none.alias("categories"), "url", F.lit("").alias("published"))
+    return extract_pages(pages).select(F.col("url").alias("feed"), doc_id_of(F.col("url")).alias("doc_id"), "title", "text", none.alias("authors"), none.alias("categories"), "url", F.lit("").alias("published"))
 
 
 def upload_documents(spark: SparkSession, path: str) -> DataFrame:

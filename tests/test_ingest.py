@@ -176,3 +176,22 @@ def test_json_models_survive_bad_answers(spark):
 
     got = R.apply_json_model(spark.range(1, 4), answer, "id", "n long")
     assert {r.id: r.n for r in got.collect()} == {1: 5, 2: None, 3: None}
+
+
+def test_page_texts_after_unclosed_elements(spark):
+    cases = [
+        ("<div><nav>menu</div><p>body text</p>", "body text"), ("<p>a</nav>b</p>", "a b"), ("<header><h1>x<footer>y</header>z", "z"), ("a<br>b<img src=x>c", "a b c"),
+        ("<nav/>kept<aside />too", "kept too"), ("<script>if (a < b) { }</script>c", "c"), ("<nav>left open", ""), ("<title>T</title><svg><title>u</title></svg>v", "T u v"),
+    ]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", html) for i, (html, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_pages(pages).collect()} == {i: text for i, (_, text) in enumerate(cases)}
+
+
+def test_identifiers_of_the_published_scheme(spark):
+    good = ["2401.12345", "0704.0001v2", "math/0211159", "cs.AI/0001001v1", "hep-th/9901001", "https://arxiv.org/abs/2401.12345v2", "http://www.arxiv.org/pdf/cs.AI/0001001.PDF"]
+    bad = ["240.12345", "2401.123", "2401.123456", "math/021115", "Math/0211159", "cs.ai/0001001", "2401.12345v", "https://example.org/abs/2401.12345", "https://arxiv.org/list/cs", "https://arxiv.org/abs/1?x=1", "v2", "/0211159", "cs./0001001"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string").select("t", T.source_ids(F.col("t")).alias("ids"))
+    assert {r.t for r in df.collect() if r.ids} == set(good)
+    modes = {"cs.AI, q-bio.NC": "category", "cs.AI, 1x.y": "keyword", "cs": "keyword", "astro-ph.CO": "category", "a.b.c": "keyword", "Cs.AI": "keyword"}
+    df = spark.createDataFrame([(t,) for t in modes], "t string").select("t", T.source_mode(F.col("t")).alias("m"))
+    assert {r.t: r.m for r in df.collect()} == modes
