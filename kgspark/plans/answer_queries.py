@@ -238,9 +238,14 @@ def vec_13(c: DataFrame) -> DataFrame:
     ))
 
 
-@over_tables("fn_10_job_ids", "customer", None)
+@over_tables(
+    "fn_10_job_ids",
+    "customer",
+    """with h as (select c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_mktsegment || ':' || c_name)) as h from customer)
+    select c_custkey, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', ('0x' || substr(h, 17, 1))::int % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) as job_id from h""",
+)
 def fn_10(c: DataFrame) -> DataFrame:
-    """Name-based UUIDs; the unit test compares them with Python's."""
+    """Name-based UUIDs; the unit test compares them with Python's too."""
     return c.select("c_custkey", T.job_id(F.col("c_mktsegment"), F.col("c_name")).alias("job_id"))
 
 
