@@ -13,6 +13,12 @@ from kgspark.store import forget, stored
 from kgspark.vocab import CONFIDENCE_ELSE, CONFIDENCES, PREDICTED, PREDICTED_ELSE
 
 
+#: Sentences that stand in for what a phrasing model left out, and that tell why a gap is notable.
+CONJECTURE = "CONJECTURE: %s may have an untested %s relationship with %s."
+CAVEAT = "This is a structural conjecture only; the direct relationship is not present in the graph."
+NOTABLE, ACROSS = "%d shared intermediaries with no direct graph edge", " across detected communities."
+
+
 def pagerank(w: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, iterations: int | None = None) -> DataFrame:
     """(ws, name, score): weighted PageRank of every workspace at once; dangling mass spreads evenly; stops at an L1 change under N * tol.
 
@@ -281,8 +287,7 @@ def find_gaps(gaps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def why_notable(common: str = "common", bridge: str = "bridge") -> Column:
-    tail = F.when(F.col(bridge), " across detected communities.").otherwise(".")
-    return F.concat(F.col(common).cast("string"), F.lit(" shared intermediaries with no direct graph edge"), tail)
+    return F.concat(F.format_string(NOTABLE, F.col(common)), F.when(F.col(bridge), ACROSS).otherwise("."))
 
 
 def plain_summary(gaps: DataFrame) -> DataFrame:
@@ -312,10 +317,10 @@ def guarded_hypotheses(gaps: DataFrame, phrased: DataFrame) -> DataFrame:
     rel = F.when(F.col("relation").isin(*PREDICTED), F.col("relation")).otherwise(PREDICTED_ELSE)
     level = F.lower(F.col("confidence"))
     filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other).alias(c)
-    guess = F.concat(F.lit("CONJECTURE: "), F.col("a"), F.lit(" may have an untested "), rel, F.lit(" relationship with "), F.col("c"), F.lit("."))
+    guess = F.format_string(CONJECTURE, F.col("a"), rel, F.col("c"))
     return got.select(
         "ws", "a", "c", filled("statement", guess), rel.alias("relation"), F.when(level.isin(*CONFIDENCES), level).otherwise(CONFIDENCE_ELSE).alias("confidence"), filled("reasoning", why_notable()),
-        filled("caveat", F.lit("A structural conjecture: the graph holds no direct relationship.")),
+        filled("caveat", F.lit(CAVEAT)),
     )
 
 

@@ -120,7 +120,7 @@ def gra_6_all(c: DataFrame) -> DataFrame:
 def gra_6_communities(c: DataFrame) -> DataFrame:
     """The top gaps over all relations, with converged ranks and communities run to rest."""
     w = whole(c)
-    return A.research_gaps(w, A.pagerank(w), A.communities(w))
+    return A.research_gaps(w, A.pagerank(w), A.communities(w, tol=1e-3))
 
 
 @over_graph("win_5_gap_strength", _GAPS + " select ws, a, c, case when max(score) over (partition by ws) <= 0 then 'emerging' when score / max(score) over (partition by ws) >= 0.66 then 'strong' when score / max(score) over (partition by ws) >= 0.33 then 'moderate' else 'emerging' end as strength from gaps")
@@ -189,7 +189,7 @@ def gra_3(c: DataFrame) -> DataFrame:
 def gra_2(c: DataFrame) -> DataFrame:
     """Run to rest; the unit tests hold modularity against sequential moves and simpler labellings."""
     w = whole(c)
-    return A.community_table(A.communities(w), w)
+    return A.community_table(A.communities(w, tol=1e-3), w)
 
 
 def _searches() -> str:
