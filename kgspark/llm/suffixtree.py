@@ -244,7 +244,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(2)
-            for at in chunks(list(range(batch.num_rows)), lambda i: texts[i].as_buffer().size + 50, 2_000_000):
+            for at in chunks(list(range(batch.num_rows)), lambda i: texts[i].as_buffer().size + 50, 500_000):
                 part = batch.slice(at[0], len(at))
                 toks = [tokens_of(t) + [END] for t in part.column(2).to_pylist()]
                 n = np.array([len(t) for t in toks])
