@@ -101,8 +101,8 @@ def connected(edges: DataFrame) -> DataFrame:
             return roots.select("id", "root")
 
 
-def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None, tol: float) -> DataFrame:
-    """(id, ws, k, m2, label): nodes of graph (ws, a, b, w) moved from the labels start (id, label) until none moves, or a round raises the modularity, summed over workspaces, by less than tol.
+def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None, tol: float, patience: int) -> DataFrame:
+    """(id, ws, k, m2, label): nodes of graph (ws, a, b, w) moved from the labels start (id, label) until none moves, or `patience` rounds in turn don't raise the modularity, summed over workspaces, by more than tol.
 
     A round has two halves, of a split of the nodes by a hash that is another in each round, so two neighbours that swap places are soon in different halves. `rounds` bounds them where it is given.
     """
@@ -111,7 +111,7 @@ def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None,
     nodes = graph.groupBy("ws", F.col("a").alias("id")).agg(F.sum("w").alias("k")).join(two_m, "ws")
     state = stored(nodes.join(start, "id").select("id", "ws", "k", "m2", "label"), "louvain-state")
     edges = graph.where("a <> b").join(nodes.select(F.col("id").alias("a"), "k", "m2"), "a").select("a", "b", "w", "k", "m2").repartition(parts, "b").persist()
-    q, done = None, 0
+    best_q, idle, done = None, 0, 0
     while rounds is None or done < rounds:
         moved = 0
         for half in (0, 1):
@@ -134,8 +134,10 @@ def _settled(graph: DataFrame, start: DataFrame, level: int, rounds: int | None,
         if not moved:
             break
         if done >= 2:
-            q, last = _total_modularity(edges, state), q
-            if last is not None and q <= last + tol:
+            q = _total_modularity(edges, state)
+            idle = 0 if best_q is None or q > best_q + tol else idle + 1
+            best_q = q if best_q is None else max(q, best_q)
+            if idle >= patience:
                 break
     edges.unpersist()
     return state
@@ -150,10 +152,10 @@ def _total_modularity(edges: DataFrame, state: DataFrame) -> float:
     return inside - spread
 
 
-def communities(w: DataFrame, rounds: int | None = None, levels: int | None = None, passes: int = 1, tol: float = 1e-4) -> DataFrame:
+def communities(w: DataFrame, rounds: int | None = None, levels: int | None = None, passes: int = 2, tol: float = 1e-9, patience: int = 4) -> DataFrame:
     """(ws, name, label): bulk-synchronous Louvain with refinement, run to rest; a label is the least name of its community.
 
-    Nodes move to the neighbouring community of greatest modularity gain over their own (ties: the oldest label) until none moves or moves gain less than `tol`. Then communities that fall apart inside are split into their
+    Nodes move to the neighbouring community of greatest modularity gain over their own (ties: the oldest label) until none moves, or `patience` rounds in turn gain no more than `tol`. Then communities that fall apart inside are split into their
     connected parts, and the parts become the nodes of a smaller graph. The last level merges none. With more `passes` the nodes move again from the communities found, as long as that
     changes any. `rounds` a level and `levels` bound the work where they are given; every community is connected whatever they are.
     """
@@ -167,7 +169,7 @@ def communities(w: DataFrame, rounds: int | None = None, levels: int | None = No
         graph, start, place = first, final, names.select("id", F.col("id").alias("at"))  # `at`: a name's node of the level
         level = 0
         while levels is None or level < levels:
-            state = _settled(graph, start, 1000 * one + level, rounds, tol)
+            state = _settled(graph, start, 1000 * one + level, rounds, tol, patience)
             own = state.select("id", "label")
             tied = graph.where("a <> b").join(own.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(own.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").where("la = lb")
             roots = connected(tied.select("a", "b"))

@@ -118,9 +118,9 @@ def gra_6_all(c: DataFrame) -> DataFrame:
 
 @over_graph("gra_6_gaps_of_communities", None)
 def gra_6_communities(c: DataFrame) -> DataFrame:
-    """The top gaps over all relations, with converged ranks and communities run to rest."""
+    """The top gaps over all relations, with converged ranks and communities."""
     w = whole(c)
-    return A.research_gaps(w, A.pagerank(w), A.communities(w, tol=1e-3))
+    return A.research_gaps(w, A.pagerank(w), A.communities(w, passes=1, tol=1e-3, patience=1))
 
 
 @over_graph("win_5_gap_strength", _GAPS + " select ws, a, c, case when max(score) over (partition by ws) <= 0 then 'emerging' when score / max(score) over (partition by ws) >= 0.66 then 'strong' when score / max(score) over (partition by ws) >= 0.33 then 'moderate' else 'emerging' end as strength from gaps")
@@ -187,9 +187,9 @@ def gra_3(c: DataFrame) -> DataFrame:
 
 @over_graph("gra_2_communities", None)
 def gra_2(c: DataFrame) -> DataFrame:
-    """Run to rest; the unit tests hold modularity against sequential moves and simpler labellings."""
+    """One pass, in which a level ends when a round gains less than a thousandth of modularity; the unit tests hold it, run to rest, against sequential moves."""
     w = whole(c)
-    return A.community_table(A.communities(w, tol=1e-3), w)
+    return A.community_table(A.communities(w, passes=1, tol=1e-3, patience=1), w)
 
 
 def _searches() -> str:
