@@ -86,10 +86,11 @@ def entity_context(edges: DataFrame, names: DataFrame, limit: int = 25) -> DataF
 
     asked = names.select("ws", F.col("name").alias("asked"), F.lower("name").alias("_k"))
     near = both_ways(edges).withColumn("_k", F.lower("a")).join(F.broadcast(asked) if names.count() <= 100_000 else asked, ["ws", "_k"])
-    near = near.select("ws", "asked", F.col("b").alias("neighbor"), "rel").distinct()
-    w = W.partitionBy("ws", "asked")
-    near = near.withColumn("degree", F.count(F.lit(1)).over(w)).withColumn("_n", F.row_number().over(w.orderBy("neighbor", "rel"))).where(F.col("_n") <= limit)
-    return asked.select("ws", "asked").join(near.drop("_n"), ["ws", "asked"], "left").select("ws", F.col("asked").alias("name"), "neighbor", "rel", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("degree").isNotNull().alias("found"))
+    near = stored(near.select("ws", "asked", F.col("b").alias("neighbor"), "rel").distinct(), "context")
+    degree = near.groupBy("ws", "asked").agg(F.count(F.lit(1)).alias("degree"))
+    first = near.withColumn("_n", F.row_number().over(W.partitionBy("ws", "asked").orderBy("neighbor", "rel"))).where(F.col("_n") <= limit).drop("_n")  # cut in each task before the shuffle
+    got = asked.select("ws", "asked").join(degree, ["ws", "asked"], "left").join(first, ["ws", "asked"], "left")
+    return got.select("ws", F.col("asked").alias("name"), "neighbor", "rel", F.coalesce("degree", F.lit(0)).alias("degree"), F.col("degree").isNotNull().alias("found"))
 
 
 def connections(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from kgspark.functions.text import json_fields, trim_answer
+from kgspark.operators.ranges import at_rank, ranged
 from kgspark.operators.vindex import usable
 
 
@@ -167,13 +168,10 @@ def trust(claims: DataFrame, most_bad: int = 10, most_claims: int = 16, most_cha
     return got.select("answer", "score", "total", "supported", text(F.filter("l", lambda x: ~x["supported"]), most_bad).alias("unsupported"), text(F.col("l"), most_claims).alias("claims"))
 
 
-def nearest_rank(values: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """The sorted value at round(p (n - 1)), banker's rounding, of each group: counts of equal values are summed up, so a group's rows need no common task until its distinct values do."""
+def nearest_rank(values: DataFrame, group: str, value: str, p: float, parts: int | None = None) -> DataFrame:
+    """The sorted value at round(p (n - 1)), banker's rounding, of each group: equal values are counted first, and of the distinct ones only the range that holds the rank is looked at."""
     counts = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(group)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
-    at = F.bround(F.lit(p) * (F.col("_n") - 1)) + 1
-    return ranked.where((F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at)).select(group, F.col(value).alias("value"))
+    return at_rank(ranged(counts, [group], [value], parts), group, value, "_c", F.bround(F.lit(p) * (F.col("_n") - 1)) + 1)
 
 
 def last_turns(turns: DataFrame, k: int = 6) -> DataFrame:
