@@ -20,7 +20,12 @@ def ends(claims: DataFrame) -> DataFrame:
 
 def build_nodes(claims: DataFrame) -> DataFrame:
     """One row for each (ws, label, name), with the sorted set of its sources; null sources add nothing."""
-    got = ends(claims).groupBy(*NODE).agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+    return nodes_of(ends(claims))
+
+
+def nodes_of(named: DataFrame) -> DataFrame:
+    """Nodes of ends (ws, label, name, source_id)."""
+    got = named.groupBy(*NODE).agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
     return got.withColumn("source_count", F.size("source_ids").cast("long"))
 
 

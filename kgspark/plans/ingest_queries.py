@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import graph as G
 from kgspark.operators import ingest as I
+from kgspark.operators.commits import commit, read_table
 from kgspark.plans.registry import over_tables
+from kgspark.store import shared_folder
 
 
 def as_documents(d: DataFrame) -> DataFrame:
@@ -88,7 +90,13 @@ def fil_5(d: DataFrame) -> DataFrame:
     return I.not_yet_ingested(as_documents(d), held_chunks(d)).select("ws", "doc_id")
 
 
-@over_tables("sink_4_chunks", "documents", DOC_SQL.replace("from benchmark", "from (select '' as text)") + "select ws, url as chunk_source, ws || ':' || url || ':' || i as chunk_id, i::int as chunk_index, source_id from parts")
+CHUNK_SQL = (
+    DOC_SQL.replace("from benchmark", "from (select '' as text)")
+    + "select ws, url as chunk_source, ws || ':' || url || ':' || i as chunk_id, i::int as chunk_index, source_id from parts"
+)
+
+
+@over_tables("sink_4_chunks", "documents", CHUNK_SQL)
 def sink_4(d: DataFrame) -> DataFrame:
     """All documents ingested over a table that holds chunks of every third one, and stale ones of theirs."""
     old = held_chunks(d)
@@ -97,6 +105,18 @@ def sink_4(d: DataFrame) -> DataFrame:
     return I.upsert_chunks(old.unionByName(stale), new).select("ws", "chunk_source", "chunk_id", "chunk_index", "source_id")
 
 
+@over_tables("sink_4_table", "documents", CHUNK_SQL)
+def sink_4_table(d: DataFrame) -> DataFrame:
+    """The same as a table that two batches wrote: stale chunks of every third document, then all documents; the second batch is replayed."""
+    spark, at = d.sparkSession, shared_folder(d.sparkSession, "chunks")
+    held = held_chunks(d)
+    new = I.document_chunks(as_documents(d), lambda _: F.array().cast("array<float>"))
+    commit(spark, at, "held", {"chunks": held.unionByName(held.withColumn("chunk_id", F.concat("chunk_id", F.lit(":stale"))))})
+    for _ in range(2):
+        commit(spark, at, "all", {"chunks": new})
+    return read_table(spark, at, "chunks").select("ws", "chunk_source", "chunk_id", "chunk_index", "source_id")
+
+
 @over_tables("sink_5_processed", "documents", "select 'ws_' || lang as ws, doc_id::varchar as doc_id, doc_id % 3 = 0 as processed from documents")
 def sink_5(d: DataFrame) -> DataFrame:
     docs = as_documents(d)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import graph as G
 from kgspark.operators import patterns as P
+from kgspark.operators.commits import commit_claims, read_table
 from kgspark.plans.registry import over_graph
+from kgspark.store import shared_folder, stored
 
 _SYM = ", sym as (select ws, src as a, tgt as b, rel from edges union all select ws, tgt, src, rel from edges)"
 _CONFLICTS = """, k as (
@@ -50,6 +52,25 @@ def sink_3(c: DataFrame) -> DataFrame:
     return flat(G.build_edges(c))
 
 
+def committed(c: DataFrame, name: str) -> DataFrame:
+    """A table of the graph that two batches wrote: the claims of all sources but one, then that one's."""
+    spark, at, c = c.sparkSession, shared_folder(c.sparkSession, "graph"), stored(c, "claims")
+    late = F.col("source_id") == "src_3"
+    commit_claims(spark, at, "first", c.where("false"), c.where(~late))
+    commit_claims(spark, at, "late", c.where(~late), c.where(late))
+    return read_table(spark, at, name)
+
+
+@over_graph("sink_7_nodes", "select * from nodes")
+def sink_7_nodes(c: DataFrame) -> DataFrame:
+    return flat(committed(c, "nodes"))
+
+
+@over_graph("sink_7_edges", "select * from edges")
+def sink_7_edges(c: DataFrame) -> DataFrame:
+    return flat(committed(c, "edges"))
+
+
 @over_graph("sink_3_checked_ends", "select ws, rel, count(*) as n from edges where not (src_label = 'Concept' and src like '%1') and not (tgt_label = 'Concept' and tgt like '%1') group by all")
 def sink_3_checked(c: DataFrame) -> DataFrame:
     """Concepts whose names end in 1 are no nodes: edges at them are dropped."""

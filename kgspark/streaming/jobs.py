@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.operators.commits import GRAPH_KEYS, commit
+
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """A Parquet folder as a stream of its files, with the schema that it has now."""
@@ -22,6 +24,15 @@ def ingest(arrivals: DataFrame, step: Callable[[DataFrame], DataFrame], out: str
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_tables(arrivals: DataFrame, step: Callable[[DataFrame], dict[str, DataFrame]], root: str, name: str, checkpoint: str, keys: dict[str, list[str]] = GRAPH_KEYS):  # noqa: ANN201
+    """Commits what `step` makes of each micro-batch, all its tables at once, below `root`: a batch that is replayed after a failure changes nothing, and readers never see half of one."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        commit(batch.sparkSession, root, f"{name}-{n}", step(batch), keys)
+
+    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def failed(log: DataFrame, most_chars: int = 500) -> DataFrame:
     """The dead letters of a log, streamed or not: failed entries, with their error cut to its length."""
     return log.where("status = 'failed'").withColumn("error", F.substring(F.coalesce("error", F.lit("")), 1, most_chars))
