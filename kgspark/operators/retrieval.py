@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from kgspark.functions.text import json_fields, trim_answer
 from kgspark.operators.ranges import at_rank, ranged
 from kgspark.operators.vindex import usable
+from kgspark.store import forget, stored
 
 
 def apply_model(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
@@ -26,6 +27,19 @@ def apply_json_model(df: DataFrame, fn: Callable[[Iterator], Iterator], key: str
     return got.select(key, "_j.*")
 
 
+def in_blocks(rows: DataFrame, key: str, blocks: int, task: Callable[[list], DataFrame]) -> DataFrame:
+    """The union of task(rows of a block) over blocks by a hash of key. One block at a time is on the driver: beyond one, each block's result is written before the next is read."""
+    if blocks == 1:
+        return task(rows.collect())
+    dealt = stored(rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).repartitionByRange("_b").sortWithinPartitions("_b"), "blocks")
+    out = None
+    for b in range(blocks):
+        got = stored(task(dealt.where(F.col("_b") == b).drop("_b").collect()), "block")
+        out = got if out is None else out.unionByName(got)
+    forget(dealt)
+    return out
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int = 16 << 20) -> DataFrame:
     """(qid, id, distance, rank): the k nearest chunks (id, embedding) of each query (qid, vector) by cosine distance, ties by id; exact.
 
@@ -37,12 +51,11 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int
     queries, chunks = queries.where(usable(F.col("vector"), size)), chunks.where(usable(F.col("embedding"), size))
     blocks = max(1, -(-(queries.count() * max(1, size) * 8) // block_bytes))
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", chunks.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    out = None
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        held = chunks.sparkSession.sparkContext.broadcast([(r.qid, r.vector) for r in own.select("qid", "vector").collect()])  # block_bytes
 
-        def nearest(batches: Iterator, held=held) -> Iterator:  # noqa: ANN001
+    def of_block(rows: list) -> DataFrame:
+        held = chunks.sparkSession.sparkContext.broadcast([(r.qid, r.vector) for r in rows])  # block_bytes
+
+        def nearest(batches: Iterator) -> Iterator:
             import numpy as np
             import pandas as pd
 
@@ -63,8 +76,9 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int
             yield pd.DataFrame({"qid": np.repeat([x for x, _ in held.value], n), "id": ids.ravel(), "distance": far.ravel()})
 
         top = chunks.select("id", "embedding").mapInPandas(nearest, schema)
-        out = top if out is None else out.unionByName(top)
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+        return top.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+    return in_blocks(queries.select("qid", "vector"), "qid", blocks, of_block)
 
 
 def embed(rows: DataFrame, text: str, embedder: Callable[[Column], Column], out: str = "embedding") -> DataFrame:
@@ -97,12 +111,11 @@ def expected_hits(texts: DataFrame, expected: DataFrame, block_bytes: int = 4 <<
     rows = expected.where("coalesce(text, '') <> ''").select("item_id", F.lower("text").alias("want")).distinct()
     blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("want"))).first()[0] or 0) // block_bytes))
     schema = T.StructType([T.StructField("item_id", expected.schema["item_id"].dataType), T.StructField("text_id", texts.schema["text_id"].dataType)])
-    out = None
-    for b in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("want"), F.lit(blocks)) == b)
-        held = texts.sparkSession.sparkContext.broadcast([(r.want, r.item_id) for r in own.collect()])  # about block_bytes
 
-        def find(batches: Iterator, held=held) -> Iterator:  # noqa: ANN001
+    def of_block(wanted: list) -> DataFrame:
+        held = texts.sparkSession.sparkContext.broadcast([(r.want, r.item_id) for r in wanted])  # about block_bytes
+
+        def find(batches: Iterator) -> Iterator:
             import ahocorasick
             import pandas as pd
 
@@ -119,9 +132,9 @@ def expected_hits(texts: DataFrame, expected: DataFrame, block_bytes: int = 4 <<
                 got = [(i, t) for t, text in zip(pdf["text_id"], pdf["text"], strict=True) for i in sorted({x for _, items in a.iter(text or "") for x in items})]
                 yield pd.DataFrame(got, columns=["item_id", "text_id"])
 
-        hits = texts.select("text_id", F.lower("text").alias("text")).mapInPandas(find, schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        return texts.select("text_id", F.lower("text").alias("text")).mapInPandas(find, schema)
+
+    return in_blocks(rows, "want", blocks, of_block)
 
 
 def retrieval_hit(results: DataFrame, expected: DataFrame) -> DataFrame:

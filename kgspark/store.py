@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +22,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_open: ContextVar[list[DataFrame] | None] = ContextVar("_open", default=None)
+
+
+@contextmanager
+def tables_until_written() -> Iterator[list[DataFrame]]:
+    """Deletes at its end, also after an error, what `stored` wrote within it: for callers that write a query's result inside and then need none of its tables."""
+    tables: list[DataFrame] = []
+    before = _open.set(tables)
+    try:
+        yield tables
+    finally:
+        _open.reset(before)
+        forget(*tables)
+
+
 def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     got = df.sparkSession.read.schema(df.schema).parquet(path)
     got.stored_at = path
+    if (tables := _open.get()) is not None:
+        tables.append(got)
     return got
 
 

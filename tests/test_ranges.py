@@ -33,3 +33,30 @@ def test_ranks_of_a_hot_group_by_ranges(spark):
             want.setdefault(r.g, []).append(r.v)
         assert got == {g: sorted(x)[round(p * (len(x) - 1))] for g, x in want.items()}
     assert R.nearest_rank(v.where("false"), "g", "v", 0.5).count() == 0
+
+
+def test_blocks_of_questions_and_strings_come_one_at_a_time(spark):
+    v = spark.range(60).select(F.col("id"), F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)).cast("float") for i in range(4)]).alias("embedding"))
+    q = v.where("id % 5 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    rows = lambda d: sorted((r.qid, r.rank, r.id) for r in d.collect())
+    assert rows(R.vector_topk(q, v, 3, block_bytes=100)) == rows(R.vector_topk(q, v, 3)) and R.vector_topk(q, v, 3, block_bytes=100).count() == 36
+    texts = spark.createDataFrame([(i, f"Some w{i % 7} and W{i % 5}x end") for i in range(40)] + [(99, None)], "text_id long, text string")
+    wants = spark.createDataFrame([(i, f"w{i}") for i in range(8)] + [(8, "W3"), (9, ""), (10, None)], "item_id long, text string")
+    want = {(r.item_id, t.text_id) for r in wants.collect() for t in texts.collect() if r.text and r.text.lower() in (t.text or "").lower()}
+    for size in (4, 4 << 20):
+        got = [tuple(r) for r in R.expected_hits(texts, wants, block_bytes=size).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_tables_go_when_the_result_is_written(spark, tmp_path):
+    import os
+
+    from kgspark.store import stored, tables_until_written
+
+    with tables_until_written() as tables:
+        one = stored(spark.range(5))
+        stored(one.where("id > 1")).write.parquet(f"file://{tmp_path}/out")
+    paths = [t.stored_at.removeprefix("file://") for t in tables]
+    assert len(paths) == 2 and not any(map(os.path.exists, paths)) and spark.read.parquet(f"file://{tmp_path}/out").count() == 3
+    kept = stored(spark.range(2))
+    assert len(tables) == 2 and kept.count() == 2
