@@ -1,3 +1,7 @@
+import re
+
+import pytest
+
 from kgspark.operators import analytics as A
 from kgspark.operators import graph as G
 from kgspark.operators import resolution as E
@@ -166,3 +170,21 @@ def test_hubs_are_paired_in_blocks(spark):
     rows = lambda df: {(r.a, r.c): (round(r.adamic_adar, 9), round(r.resource_allocation, 9), r.common) for r in df.collect()}
     whole = rows(A.link_scores(w))
     assert whole == rows(A.link_scores(w, block=4)) and len(whole) == 30 * 29 // 2 - 1 + 1 and whole["n3", "n4"][2] == 2
+
+
+def test_pagerank_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Written ranks compress to almost nothing, so that Spark would send them to the driver; only a row a workspace may go there."""
+    plans, write = [], A.stored
+
+    def seen(df, name="table", **more):
+        if name.startswith("rank"):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name, **more)
+
+    monkeypatch.setattr(A, "stored", seen)
+    w = spark.createDataFrame([("w", "a", "b", 1.0), ("w", "b", "c", 2.0), ("w", "c", "a", 1.0), ("w", "c", "d", 1.0)], "ws string, s string, t string, w double")
+    got = A.pagerank(w, iterations=3)
+    plans.append(got._jdf.queryExecution().sparkPlan().toString())
+    assert sum(r.score for r in got.collect()) == pytest.approx(1.0)
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert all(re.search(r"BroadcastHashJoin \[ws#\d+\], \[ws#\d+\]", line) for line in joins), joins
