@@ -77,13 +77,16 @@ def _neighbours(w: DataFrame) -> DataFrame:
 
 
 def modularity(w: DataFrame, labels: DataFrame) -> DataFrame:
-    """(ws, q): weighted modularity of a labelling (ws, name, label)."""
-    near = _neighbours(w)
-    two_m = near.groupBy("ws").agg(F.sum("w").alias("m2"))
-    at = lambda c, n: labels.select("ws", F.col("name").alias(c), F.col("label").alias(n))
-    inside = near.join(at("a", "la"), ["ws", "a"]).join(at("b", "lb"), ["ws", "b"]).groupBy("ws").agg(F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("inside"))
-    degree = near.join(at("a", "la"), ["ws", "a"]).groupBy("ws", "la").agg(F.sum("w").alias("d")).groupBy("ws").agg(F.sum(F.col("d") * F.col("d")).alias("d2"))
-    return two_m.join(inside, "ws").join(degree, "ws").select("ws", (F.col("inside") / F.col("m2") - F.col("d2") / (F.col("m2") * F.col("m2"))).alias("q"))
+    """(ws, q): weighted modularity of a labelling (ws, name, label). Labels are joined to each pair of neighbours once; all sums come from the written weights between labels."""
+    at = lambda c, n: labels.select("ws", F.col("name").alias(c), F.struct("label").alias(n))
+    pairs = undirected(w).join(at("a", "la"), ["ws", "a"], "left").join(at("b", "lb"), ["ws", "b"], "left")
+    tied = stored(pairs.groupBy("ws", "la", "lb").agg(F.sum("w").alias("w")), "label-weights")
+    both = F.col("la").isNotNull() & F.col("lb").isNotNull()
+    inside = F.sum(F.when(F.col("la.label") == F.col("lb.label"), 2 * F.col("w")).otherwise(0.0))
+    sums = tied.groupBy("ws").agg((2 * F.sum("w")).alias("m2"), inside.alias("inside"), F.max(both).alias("known")).where("known")
+    ends = tied.select("ws", F.explode(F.array("la", "lb")).alias("l"), "w").where("l is not null")
+    degree = ends.groupBy("ws", "l").agg(F.sum("w").alias("d")).groupBy("ws").agg(F.sum(F.col("d") * F.col("d")).alias("d2"))
+    return sums.join(degree, "ws").select("ws", (F.col("inside") / F.col("m2") - F.col("d2") / (F.col("m2") * F.col("m2"))).alias("q"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

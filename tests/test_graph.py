@@ -188,3 +188,11 @@ def test_pagerank_broadcasts_no_table_that_grows(spark, monkeypatch):
     assert sum(r.score for r in got.collect()) == pytest.approx(1.0)
     joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
     assert all(re.search(r"BroadcastHashJoin \[ws#\d+\], \[ws#\d+\]", line) for line in joins), joins
+
+
+def test_modularity_reads_edges_and_labels_once(spark):
+    w = spark.createDataFrame([("w", "a", "b", 1.0), ("w", "b", "c", 2.0), ("w", "d", "c", 1.0), ("w", "c", "d", 2.0)], "ws string, s string, t string, w double")
+    labels = spark.createDataFrame([("w", "a", "x"), ("w", "b", "x"), ("w", "c", "y")], "ws string, name string, label string")
+    got = A.modularity(w, labels)
+    assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()  # only the weights between labels are left to read
+    assert got.first().q == pytest.approx(2 / 12 - (4**2 + 5**2) / 12**2)  # d has no label
