@@ -42,6 +42,11 @@ def build_edges(claims: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return got.select(*EDGE, "doc", "confidence", "source_ids", "source_count")
 
 
+def edge_keys(claims: DataFrame) -> DataFrame:
+    """Each edge once, by its key alone: for what needs neither documents nor sources."""
+    return claims.select(*EDGE).distinct()
+
+
 def merge_claims(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new claims, each once."""
     return old.unionByName(new).dropDuplicates()

@@ -31,7 +31,7 @@ def fil_10(p: DataFrame) -> DataFrame:
 
 @over_graph("fil_11_predicted", "select case when rel in ('AUTHORED', 'CITED', 'SUPPORTS', 'CONTRADICTS') then rel else 'SUPPORTS' end as relation, count(*) as n from edges group by all")
 def fil_11(c: DataFrame) -> DataFrame:
-    return G.build_edges(c).groupBy(A.relation_of(F.col("rel")).alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    return G.edge_keys(c).groupBy(A.relation_of(F.col("rel")).alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @over_tables("fil_11_routes", "events", "select case when lower(event_type) in ('graph', 'vector', 'hybrid') then event_type else 'hybrid' end as route, count(*) as n from events group by all")
@@ -125,7 +125,7 @@ _DIGITS = lambda c: " + ".join(f"(('0x' || substr(sha256(lower(trim({c}))), {i *
 
 @over_graph("agg_19_cut", f" select round(avg((({_DIGITS('src')}) % 7 <> ({_DIGITS('tgt')}) % 7)::int), 9) as cut from edges")
 def agg_19(c: DataFrame) -> DataFrame:
-    return A.cut_fraction(G.build_edges(c), 7).select(F.round("cut", 9).alias("cut"))
+    return A.cut_fraction(G.edge_keys(c), 7).select(F.round("cut", 9).alias("cut"))
 
 
 @over_tables("agg_20_threads", "conversations", "select conv_id, count(*) as turns, arg_max(role, turn) as last_type from conversations group by conv_id")
@@ -135,7 +135,7 @@ def agg_20(c: DataFrame) -> DataFrame:
 
 @over_graph("agg_21_profile", ", x as (select ws, src as e from edges union select ws, tgt from edges) select edges.ws as qid, count(distinct rel) as rel_types, (select count(*) from x where x.ws = edges.ws) as entities, count(distinct (src, rel, tgt)) as paths from edges group by edges.ws")
 def agg_21(c: DataFrame) -> DataFrame:
-    return A.record_profile(G.build_edges(c).select(F.col("ws").alias("qid"), F.col("src").alias("from"), "rel", F.col("tgt").alias("to")))
+    return A.record_profile(G.edge_keys(c).select(F.col("ws").alias("qid"), F.col("src").alias("from"), "rel", F.col("tgt").alias("to")))
 
 
 @over_tables("fn_5_embed_text", "customer", "select c_custkey, trim(c_name) || ' | type: ' || c_mktsegment || ' | aka ' || c_custkey || ', ' || c_nationkey as text from customer")

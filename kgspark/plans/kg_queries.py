@@ -90,7 +90,7 @@ def agg_1_nodes(c: DataFrame) -> DataFrame:
 
 @over_graph("agg_1_edge_mix", "select ws, rel, count(*) as n from edges group by all")
 def agg_1_edges(c: DataFrame) -> DataFrame:
-    return counted(edges_of(c), "ws", "rel")
+    return counted(G.edge_keys(c), "ws", "rel")
 
 
 @over_graph(
@@ -109,7 +109,7 @@ def agg_3(c: DataFrame) -> DataFrame:
 
 @over_graph("agg_4_degrees", _SYM + " select ws, a as name, count(*) as degree from sym group by all")
 def agg_4(c: DataFrame) -> DataFrame:
-    return G.degrees(edges_of(c))
+    return G.degrees(G.edge_keys(c))
 
 
 @over_graph(
@@ -152,7 +152,7 @@ def join_2(c: DataFrame) -> DataFrame:
 
 @over_graph("join_3_undirected", _SYM + " select ws, rel, count(*) as n, count(distinct a) as nodes from sym group by all")
 def join_3(c: DataFrame) -> DataFrame:
-    return G.both_ways(edges_of(c)).groupBy("ws", "rel").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("nodes"))
+    return G.both_ways(G.edge_keys(c)).groupBy("ws", "rel").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("nodes"))
 
 
 @over_graph(
@@ -301,9 +301,9 @@ _HUBS = (
 
 @over_graph("top_1_hub_view", _HUBS + " select * from v")
 def top_1(c: DataFrame) -> DataFrame:
-    return G.hub_view(edges_of(c))[0].withColumn("rank", F.col("rank").cast("long"))
+    return G.hub_view(G.edge_keys(c))[0].withColumn("rank", F.col("rank").cast("long"))
 
 
 @over_graph("top_1_hub_edges", _HUBS + " select ws, src_label, src, rel, tgt_label, tgt from t where (ws, src) in (select (ws, name) from v) and (ws, tgt) in (select (ws, name) from v)")
 def top_1_edges(c: DataFrame) -> DataFrame:
-    return G.hub_view(edges_of(c))[1].select(*G.EDGE)
+    return G.hub_view(G.edge_keys(c))[1].select(*G.EDGE)

@@ -196,3 +196,15 @@ def test_modularity_reads_edges_and_labels_once(spark):
     got = A.modularity(w, labels)
     assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()  # only the weights between labels are left to read
     assert got.first().q == pytest.approx(2 / 12 - (4**2 + 5**2) / 12**2)  # d has no label
+
+
+def test_claims_of_large_tables_are_dealt_to_more_tasks(spark, monkeypatch):
+    from kgspark.plans import fixtures
+
+    at = "/root/testdata/sf0.001"
+    few = fixtures.claims(spark, at)
+    plain = few.groupBy(*fixtures.CLAIM).count().collect()
+    monkeypatch.setattr(fixtures, "LINES_AT_ONCE", 1 << 12)
+    many = fixtures.claims(spark, at)
+    assert many.rdd.getNumPartitions() >= 4 * few.rdd.getNumPartitions()
+    assert sorted(map(repr, many.groupBy(*fixtures.CLAIM).count().collect())) == sorted(map(repr, plain))
