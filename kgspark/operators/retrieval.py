@@ -40,10 +40,10 @@ def in_blocks(rows: DataFrame, key: str, blocks: int, task: Callable[[list], Dat
     return out
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int = 16 << 20) -> DataFrame:
-    """(qid, id, distance, rank): the k nearest chunks (id, embedding) of each query (qid, vector) by cosine distance, ties by id; exact.
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int = 16 << 20, rows_at_once: int = 4096, queries_at_once: int = 256) -> DataFrame:
+    """(qid, id, distance, rank): the k nearest chunks (id, embedding) of each query (qid, vector) by cosine distance, ties (to 12 places) by id; exact.
 
-    Queries go to every task in blocks of at most block_bytes. A task multiplies matrices and keeps k chunks a query, so only those are shuffled and merged.
+    Queries go to every task in blocks of at most block_bytes. A task multiplies matrices, `queries_at_once` by `rows_at_once`, and keeps k chunks a query, so only those are shuffled and merged.
     Null, zero and broken vectors are left out, and those of another length than most queries.
     """
     usual = queries.where("vector is not null").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -53,27 +53,44 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block_bytes: int
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", chunks.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
 
     def of_block(rows: list) -> DataFrame:
-        held = chunks.sparkSession.sparkContext.broadcast([(r.qid, r.vector) for r in rows])  # block_bytes
+        import numpy as np
+
+        held = chunks.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vector for r in rows], np.float64)))  # block_bytes
 
         def nearest(batches: Iterator) -> Iterator:
-            import numpy as np
             import pandas as pd
 
-            if not held.value:
-                return
             unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
-            q = unit(np.array([v for _, v in held.value], np.float64))
-            ids, far = np.empty((len(q), 0), object), np.empty((len(q), 0))
+            qids, q = held.value
+            if not qids:
+                return
+            q, far, ids = unit(q), np.empty((len(q), 0)), None
+
+            def best(d, i, n: int):  # noqa: ANN001, ANN202
+                """The n nearest of each row; only those up to the n-th distance are sorted."""
+                r, c = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n] + 1e-12)
+                d, i = np.round(d[r, c], 12), i[r, c]
+                order = np.lexsort((i, d, r))
+                first = np.arange(len(r)) - np.searchsorted(r, r) < n  # r is sorted, and as it is in order
+                return d[order][first].reshape(-1, n), i[order][first].reshape(-1, n)
+
             for pdf in batches:
-                for at in range(0, len(pdf), 4096):
-                    part = pdf.iloc[at : at + 4096]
-                    d = 1 - q @ unit(np.array(part["embedding"].tolist(), np.float64)).T
-                    far = np.concatenate([far, d], 1)
-                    ids = np.concatenate([ids, np.broadcast_to(part["id"].to_numpy(object), d.shape)], 1)
-                    order = np.lexsort((ids.astype(part["id"].dtype), far), axis=1)[:, :k]
-                    far, ids = np.take_along_axis(far, order, 1), np.take_along_axis(ids, order, 1)
-            n = far.shape[1]
-            yield pd.DataFrame({"qid": np.repeat([x for x, _ in held.value], n), "id": ids.ravel(), "distance": far.ravel()})
+                for at in range(0, len(pdf), rows_at_once):
+                    part = pdf.iloc[at : at + rows_at_once]
+                    own, v = part["id"].to_numpy(), unit(np.array(part["embedding"].tolist(), np.float64))
+                    n = min(k, far.shape[1] + len(v))
+                    new_far, new_ids = np.empty((len(q), n)), np.empty((len(q), n), own.dtype)
+                    for x in range(0, len(q), queries_at_once):
+                        to = slice(x, x + queries_at_once)
+                        d = 1 - q[to] @ v.T
+                        i = np.broadcast_to(own, d.shape)
+                        if ids is not None:
+                            d, i = np.concatenate([far[to], d], 1), np.concatenate([ids[to], i], 1)
+                        new_far[to], new_ids[to] = best(d, i, n)
+                    far, ids = new_far, new_ids
+            for x in range(0, len(q) if ids is not None else 0, 8192):
+                to = slice(x, x + 8192)
+                yield pd.DataFrame({"qid": [y for y in qids[to] for _ in range(far.shape[1])], "id": ids[to].ravel(), "distance": far[to].ravel()})
 
         top = chunks.select("id", "embedding").mapInPandas(nearest, schema)
         return top.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)

@@ -226,3 +226,19 @@ def test_communities_are_connected_and_no_worse_than_sequential_moves(spark, nam
     plain = sorted(modularity(weights, labels) for labels in _sequential_runs(weights))
     assert A.modularity(w, got).first().q == pytest.approx(modularity(weights, label), abs=1e-9)
     assert modularity(weights, label) >= plain[0 if name == "grid" else -1] - 1e-9  # a grid has no communities of its own, and sequential runs differ there by chance
+
+
+def test_exact_search_holds_bounded_matrices(spark):
+    import random
+
+    from kgspark.operators import retrieval as R
+
+    rng = random.Random(3)
+    held = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(150)]
+    held += [(1000 + i, v) for i, v in held]  # copies: ties
+    chunks = spark.createDataFrame(held, "id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(held[:90], "qid long, vector array<double>")
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, round(r.distance, 9)) for r in df.collect())
+    got = rows(R.vector_topk(queries, chunks, 5, rows_at_once=3, queries_at_once=7))
+    assert got == rows(R.vector_topk(queries, chunks, 5)) and len(got) == 90 * 5
+    assert {(q, r): i for q, r, i, _ in got}[(7, 1)] == 7 and {(q, r): i for q, r, i, _ in got}[(7, 2)] == 1007
