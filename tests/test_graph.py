@@ -81,6 +81,18 @@ def test_resolution_equals_the_loop(spark, monkeypatch):
     assert {r.seq: r.leader for r in E.resolve(names, 0.9).collect()} == {k: v for k, (v, _) in loop(rows, 0.9, 0.9, None).items()}
 
 
+def test_resolution_in_batches_equals_the_loop(spark):
+    import random
+
+    deal = random.Random(5)
+    rows = [(i, deal.choice("xy"), [deal.gauss(0, 1) for _ in range(4)]) for i in range(50)]
+    rows += [(100 + i, k, v) for i, k, v in rows] + [(200 + i, k, [x + deal.gauss(0, 0.1) for x in v]) for i, k, v in rows]
+    names = spark.createDataFrame([*rows, (300, "x", None), (301, "x", [0.0] * 4)], "seq long, kind string, embedding array<double>")
+    even = lambda seq, other: (seq + other) % 2 == 0
+    got = {r.seq: (r.leader, r.decision) for r in E.resolve_banded(names, 0.5, 0.9, lambda p: p.selectExpr("seq", "(seq + other) % 2 = 0 as same"), batch=40).collect()}
+    assert got == loop(rows, 0.5, 0.9, even) | {300: (300, "new"), 301: (301, "new")}
+
+
 def test_blank_names_pass_through(spark):
     names = spark.createDataFrame([(0, "k", " ", [1.0, 0.0]), (1, "k", "a", [1.0, 0.0]), (2, "k", "b", [1.0, 0.0])], "seq long, kind string, name string, embedding array<double>")
     got = E.resolve_banded(names)
