@@ -220,3 +220,11 @@ def test_claims_of_large_tables_are_dealt_to_more_tasks(spark, monkeypatch):
     many = fixtures.claims(spark, at)
     assert many.rdd.getNumPartitions() >= 4 * few.rdd.getNumPartitions()
     assert sorted(map(repr, many.groupBy(*fixtures.CLAIM).count().collect())) == sorted(map(repr, plain))
+
+
+@pytest.mark.parametrize("name", ["set_5_untagged_removed", "set_6_documents_deleted"])
+def test_deletions_read_written_tables_alone(spark, name):
+    from kgspark.plans import registry
+
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert got.inputFiles() and all("/upkeep-" in f for f in got.inputFiles())
