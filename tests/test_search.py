@@ -128,6 +128,25 @@ def test_paths_from_both_ends_are_shortest(spark, hops):
             assert r.path[0] == r.a and r.path[-1] == r.b and len(r.path) == r.hops + 1
             assert r.relations == [min(near[x][y]) for x, y in itertools.pairwise(r.path)]
 
+@pytest.mark.parametrize("hops", [1, 2, 5, 8])
+def test_paths_from_the_few_side_are_those_from_both(spark, hops):
+    e, few = _edges(spark, _random_edges(60, 62, 5)), ("n000", "n005", "absent")
+    ends = [f"n{i:03d}" for i in range(0, 60, 2)]
+    for turn in (1, -1):
+        pairs = spark.createDataFrame([("w", *(a, b)[::turn]) for a in few for b in ends], "ws string, a string, b string")
+        one, both = ({(r.a, r.b): tuple(r) for r in A.shortest_paths(e, pairs, hops, few=n).collect()} for n in (3, 0))
+        assert one == both and (hops == 1 or any(r[3] for r in one.values()))
+
+
+def test_many_roots_at_a_hub_reach_its_neighbours_once(spark, monkeypatch):
+    n, kept, write = 90, [], A.stored
+    rows = [("topic", "paper", "X", 1.0), ("paper", "leaf00", "X", 1.0)] + [(f"leaf{i:02d}", "hub", "Y", 1.0) for i in range(n)]
+    monkeypatch.setattr(A, "stored", lambda d, name="table", *a: kept.append((name, write(d, name, *a))) or kept[-1][1])
+    monkeypatch.setattr(A, "forget", lambda *a: None)
+    pairs = spark.createDataFrame([("w", "topic", f"leaf{i:02d}") for i in range(n)], "ws string, a string, b string")
+    assert {r.hops for r in A.shortest_paths(_edges(spark, rows), pairs).collect()} == {2, 4}
+    assert sum(d.count() for name, d in kept if name == "path-level") < 5 * n
+
 
 def test_trails_by_halves_equal_a_walk(spark):
     rows = _random_edges(14, 26, 9)
