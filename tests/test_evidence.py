@@ -31,6 +31,19 @@ def test_gap_evidence_lists_both_legs(spark):
     assert {r.c: [(x.mid, x.from_a, x.from_c) for x in r.evidence or []] for r in got} == {"C": [("M", ["X", "Z"], ["Y"])], "Q": []}
 
 
+def test_gap_evidence_finds_gaps_once(spark):
+    e = spark.createDataFrame([("w", "A", "X", "m"), ("w", "m", "Y", "C")], "ws string, src string, rel string, tgt string")
+    found = spark.sparkContext.accumulator(0)
+
+    def gap(rows):
+        for r in rows:
+            found.add(1)
+            yield r
+
+    gaps = spark.createDataFrame(spark.sparkContext.parallelize([("w", "A", "C")], 1).mapPartitions(gap), "ws string, a string, c string")
+    assert [m.mid for m in E.gap_evidence(gaps, e).first().evidence] == ["m"] and found.value == 1
+
+
 def test_feeds_and_uploads(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<feed><entry><id>http://x/abs/1.2v1</id><title>A\n b</title><summary>s</summary><published>2020</published><author><name>N</name></author><author><name> </name></author><category term="cs.AI"/></entry></feed>')
     a = feeds.atom_documents(spark, str(tmp_path / "a.xml")).first()
