@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgspark.operators import analytics as A
 from kgspark.operators import graph as G
@@ -184,6 +185,18 @@ def test_hubs_are_paired_in_blocks(spark):
     assert whole == rows(A.link_scores(w, block=4)) and len(whole) == 30 * 29 // 2 - 1 + 1 and whole["n3", "n4"][2] == 2
 
 
+def test_gaps_pair_no_leaves_of_a_hub(spark, monkeypatch):
+    """Leaves share the hub alone, but their bounds with the greatest rank reach the score of the top gap, so that they were paired with each other."""
+    made, sums = [], A._summed_links
+    monkeypatch.setattr(A, "_summed_links", lambda u, pairs: (made.append(pairs.count()), sums(u, pairs))[1])
+    star = [(f"n{i:03}", "H", 1.0) for i in range(200)] + [(f"n{i:03}", f"x{i:03}", 1.0) for i in range(200)] + [(f"x{i:03}", "K", 1.0) for i in range(6)]
+    w = spark.createDataFrame([("w", *e) for e in star], "ws string, s string, t string, w double")
+    ranks = w.select("ws", F.explode(F.array("s", "t")).alias("name")).distinct().withColumn("score", F.when(F.col("name") == "H", 1.0).when(F.col("name") == "K", 0.5).otherwise(0.01))
+    labels = ranks.select("ws", "name", F.lit("one").alias("label"))
+    got = A.research_gaps(w, ranks, labels, top_n=1, first=2).collect()
+    assert [(r.a, r.c, r.common) for r in got] == [("H", "x199", 1)] and max(made) < 1_000  # all pairs of leaves are 19,900
+
+
 def test_pagerank_broadcasts_no_table_that_grows(spark, monkeypatch):
     """Written ranks compress to almost nothing, so that Spark would send them to the driver; only a row a workspace may go there."""
     plans, write = [], A.stored
