@@ -258,7 +258,7 @@ def join_12(c: DataFrame) -> DataFrame:
 def join_13(c: DataFrame) -> DataFrame:
     """Every person with a home against every topic of its workspace."""
     people = G.build_nodes(c.where("rel = 'AFFILIATED_WITH'")).where("label = 'Person'").select("ws", F.col("name").alias("a"))
-    return P.connections(edges_of(c), people.join(c.where("rel = 'ABOUT'").select("ws", F.col("tgt").alias("b")).distinct(), "ws"))
+    return P.connections(c, people.join(c.where("rel = 'ABOUT'").select("ws", F.col("tgt").alias("b")).distinct(), "ws"))
 
 
 @over_graph(

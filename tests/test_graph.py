@@ -241,3 +241,15 @@ def test_deletions_read_written_tables_alone(spark, name):
 
     got = registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert got.inputFiles() and all("/upkeep-" in f for f in got.inputFiles())
+
+
+def test_connections_join_only_edges_at_asked_names(spark, monkeypatch):
+    from kgspark.operators import patterns as P
+
+    kept, write = {}, P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name="table", **more: kept.setdefault(name, write(df, name, **more)))
+    rows = [("w", "p", "m", "X"), ("w", "m", "q", "X"), ("w", "q", "p", "Y"), ("w", "n", "p", "X"), ("w", "n", "q", "X"), ("w", "n", "q", "X"), ("v", "p", "m", "X")] + [("w", f"x{i}", f"y{i}", "X") for i in range(50)]
+    edges = spark.createDataFrame(rows, "ws string, src string, tgt string, rel string")
+    got = P.connections(edges, spark.createDataFrame([("w", "p", "q"), ("w", "p", "z"), ("v", "p", "q")], "ws string, a string, b string"))
+    assert {(r.ws, r.a, r.b): (r.direct, r.shared, r.n_shared) for r in got.collect()} == {("w", "p", "q"): (True, "m,n", 2), ("w", "p", "z"): (False, "", 0), ("v", "p", "q"): (False, "", 0)}
+    assert kept["connection-legs"].count() == 7  # of 112 ends
