@@ -81,11 +81,11 @@ def disputed_targets(edges: DataFrame, src_label: str | None = None) -> DataFram
 
 
 def entity_context(edges: DataFrame, names: DataFrame, limit: int = 25) -> DataFrame:
-    """For each (ws, name), ignoring case: distinct (neighbor, rel), the degree before the limit, found or not."""
+    """For each (ws, name), ignoring case: distinct (neighbor, rel), the degree before the limit, found or not. Edges (or claims) may repeat; names are written once, as they are read three times."""
     from kgspark.operators.graph import both_ways
 
-    asked = names.select("ws", F.col("name").alias("asked"), F.lower("name").alias("_k"))
-    near = both_ways(edges).withColumn("_k", F.lower("a")).join(F.broadcast(asked) if names.count() <= 100_000 else asked, ["ws", "_k"])
+    asked = stored(names.select("ws", F.col("name").alias("asked"), F.lower("name").alias("_k")), "context-names")
+    near = both_ways(edges).withColumn("_k", F.lower("a")).join(F.broadcast(asked) if asked.count() <= 100_000 else asked, ["ws", "_k"])
     near = stored(near.select("ws", "asked", F.col("b").alias("neighbor"), "rel").distinct(), "context")
     degree = near.groupBy("ws", "asked").agg(F.count(F.lit(1)).alias("degree"))
     first = near.withColumn("_n", F.row_number().over(W.partitionBy("ws", "asked").orderBy("neighbor", "rel"))).where(F.col("_n") <= limit).drop("_n")  # cut in each task before the shuffle

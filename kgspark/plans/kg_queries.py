@@ -242,7 +242,7 @@ def join_9(c: DataFrame) -> DataFrame:
     qualify row_number() over (partition by ws, name order by neighbor, rel) <= 25""",
 )
 def join_12(c: DataFrame) -> DataFrame:
-    return P.entity_context(edges_of(c), G.build_nodes(c).where("label = 'Organization'"))
+    return P.entity_context(c, G.build_nodes(c).where("label = 'Organization'"))
 
 
 @over_graph(

@@ -253,3 +253,22 @@ def test_connections_join_only_edges_at_asked_names(spark, monkeypatch):
     got = P.connections(edges, spark.createDataFrame([("w", "p", "q"), ("w", "p", "z"), ("v", "p", "q")], "ws string, a string, b string"))
     assert {(r.ws, r.a, r.b): (r.direct, r.shared, r.n_shared) for r in got.collect()} == {("w", "p", "q"): (True, "m,n", 2), ("w", "p", "z"): (False, "", 0), ("v", "p", "q"): (False, "", 0)}
     assert kept["connection-legs"].count() == 7  # of 112 ends
+
+
+@pytest.mark.parametrize("name", ["join_12_entity_context"])
+def test_claims_are_aggregated_once(spark, name, monkeypatch):
+    """What is derived from edges or asked of them several times is written once: the result reads no table of the input again."""
+    from kgspark.operators import patterns as P
+    from kgspark.plans import answer_queries, kg_queries, registry
+
+    plans, write = [], P.stored
+
+    def seen(df, *a, **more):
+        plans.append(df)
+        return write(df, *a, **more)
+
+    for m in (P, kg_queries, answer_queries):
+        monkeypatch.setattr(m, "stored", seen)
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    read = [sum("lineitem" in f for f in df.inputFiles()) for df in [*plans, got]]
+    assert sum(read) == (2 if name == "join_12_entity_context" else 1), read
