@@ -96,7 +96,12 @@ def job_table(spark: SparkSession, out: str) -> DataFrame:
 
 
 class Silence(StatefulProcessor):
-    """A worker's batch, open documents and last sign of life, times in microseconds. Entries wait until the watermark has passed them and are then taken in order, so what comes late but in time changes nothing."""
+    """A worker's batch, open documents and last sign of life, times in microseconds. Entries wait until the watermark has passed them and are then taken in order, so what comes late but in time changes nothing.
+
+    They wait by spans of time, in parts as they came, so that one span of a worker is held in memory at a time and not all that waits.
+    """
+
+    SPAN = 3_600_000_000
 
     def __init__(self, silence: int):
         self.silence = silence
@@ -104,30 +109,58 @@ class Silence(StatefulProcessor):
     def init(self, handle) -> None:  # noqa: ANN001
         self.handle = handle
         self.worker = handle.getValueState("worker", "batch_id string, seen long, docs array<string>")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string, batch_id string, docs array<string>")
+        self.parts = handle.getValueState("parts", "n long")
+        self.waiting = handle.getMapState("waiting", "span long, part long", "entries array<struct<at: long, event_id: long, kind: string, batch_id: string, docs: array<string>>>")
+
+    def _wait(self, entries: list) -> None:
+        """Puts entries down as one part for each span that they are in."""
+        n = (self.parts.get() or (0,))[0]
+        spans: dict[int, list] = {}
+        for e in entries:
+            spans.setdefault(e[0] // self.SPAN, []).append(e)
+        for span, some in spans.items():
+            self.waiting.updateValue((span, n), (some,))
+        self.parts.update((n + 1,))
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
-        every = []
+        first = None
         for pdf in rows:
             cols = (pdf[c].tolist() for c in ("at", "event_id", "kind", "batch_id", "docs"))
-            for at, event, kind, batch, docs in zip(*cols, strict=True):
-                every.append((at, event, kind, batch, [] if docs is None else [str(d) for d in docs]))
-        if every:
-            self.waiting.appendList(every)
-            self.handle.registerTimer(min(e[0] for e in every) // 1000 + 1)  # when the watermark has passed the first of them
+            some = [(at, event, kind, batch, [] if docs is None else [str(d) for d in docs]) for at, event, kind, batch, docs in zip(*cols, strict=True)]
+            if some:
+                self._wait(some)
+                first = min([e[0] for e in some] if first is None else [first, *(e[0] for e in some)])
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)  # when the watermark has passed the first of them
         return iter([])
 
+    def _due(self, now: int) -> Iterator[list]:
+        """Entries before now, in order, a span at a time; what else is in a span that now lies in waits on."""
+        spans: dict[int, list] = {}
+        for span, part in self.waiting.keys():
+            spans.setdefault(span, []).append(part)
+        for span in sorted(spans):
+            if span * self.SPAN >= now:
+                self.handle.registerTimer(span * self.SPAN // 1000 + 1)
+                return
+            every = [tuple(e) for part in spans[span] for e in self.waiting.getValue((span, part))[0]]
+            due = sorted((e for e in every if e[0] < now), key=lambda e: e[:2])
+            if due:
+                for part in spans[span]:
+                    self.waiting.removeKey((span, part))
+            if rest := [e for e in every if e[0] >= now]:
+                if due:
+                    self._wait(rest)
+                self.handle.registerTimer(min(e[0] for e in rest) // 1000 + 1)
+                yield due
+                return
+            yield due
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: ANN001, N802, N803
         import pandas as pd
 
         now = timerValues.getCurrentWatermarkInMs() * 1000  # all that it has passed is there
-        every = [tuple(e) for e in self.waiting.get()]
-        due = sorted((e for e in every if e[0] < now), key=lambda e: e[:2])
-        if due:
-            self.waiting.clear()
-            if rest := [e for e in every if e[0] >= now]:
-                self.waiting.put(rest)
-                self.handle.registerTimer(min(e[0] for e in rest) // 1000 + 1)
+        columns = ["worker_id", "batch_id", "at", "document_url"]
         state, dead = self.worker.get(), []
 
         def silent(at: int) -> bool:
@@ -136,15 +169,19 @@ class Silence(StatefulProcessor):
                 return True
             return False
 
-        for at, _, kind, batch, docs in due:
-            if silent(at):
-                state = None
-            if kind == "assign":
-                state = (batch, at, list(docs))
-            elif kind == "register" or (kind == "complete" and state is not None and state[0] == batch):
-                state = None
-            elif kind == "heartbeat" and state is not None:
-                state = (state[0], at, list(state[2]))
+        for due in self._due(now):
+            for at, _, kind, batch, docs in due:
+                if silent(at):
+                    state = None
+                if kind == "assign":
+                    state = (batch, at, list(docs))
+                elif kind == "register" or (kind == "complete" and state is not None and state[0] == batch):
+                    state = None
+                elif kind == "heartbeat" and state is not None:
+                    state = (state[0], at, list(state[2]))
+            if dead:
+                yield pd.DataFrame(dead, columns=columns)
+                dead = []
         if silent(now):
             state = None
         if state is None:
@@ -153,7 +190,7 @@ class Silence(StatefulProcessor):
             self.worker.update((state[0], state[1], list(state[2])))
             self.handle.registerTimer((state[1] + self.silence) // 1000 + 1)
         if dead:
-            yield pd.DataFrame(dead, columns=["worker_id", "batch_id", "at", "document_url"])
+            yield pd.DataFrame(dead, columns=columns)
 
     def close(self) -> None:
         pass

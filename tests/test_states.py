@@ -117,3 +117,45 @@ def test_silence_of_thirty_seconds_requeues_a_batch_once(spark, tmp_path):
     _parts(spark, rows, S.WORKER_LOG, tmp_path / "log", 6)
     got = S.silent_workers_by_stream(table_stream(spark, str(tmp_path / "log"), 1)).collect()
     assert sorted((r.worker_id, r.batch_id, r.dead_at, r.document_url) for r in got) == [("w", "b", at(59), "x"), ("w", "b", at(59), "y")]
+
+
+def test_a_worker_holds_one_span_of_its_log_at_a_time():
+    """Entries wait in the state by hours; those of all days are never read at once."""
+    import pandas as pd
+
+    class Value:
+        now = None
+        get = lambda self: self.now
+        update = lambda self, x: setattr(self, "now", x)
+        clear = lambda self: setattr(self, "now", None)
+
+    class Map(dict):
+        most = 0
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__  # noqa: N815
+
+        def getValue(self, k):  # noqa: N802
+            self.most = max(self.most, len(self[k][0]))
+            return self[k]
+
+    class Handle:
+        def __init__(self):
+            self.kept, self.timers = Map(), []
+
+        getValueState = lambda self, *_: Value()  # noqa: E731, N815
+        getMapState = lambda self, *_: self.kept  # noqa: E731, N815
+        registerTimer = lambda self, at: self.timers.append(at)  # noqa: E731, N815
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    minute = 60_000_000
+    log = [(i * minute, i, "assign" if i == 0 else "heartbeat", "b" if i == 0 else None, ["x"] if i == 0 else None) for i in range(3000) if i <= 1000 or i > 1100]
+    random.Random(3).shuffle(log)
+    pdf = pd.DataFrame(log, columns=["at", "event_id", "kind", "batch_id", "docs"])
+    one, handle = S.Silence(30 * minute), Handle()
+    one.init(handle)
+    assert list(one.handleInputRows(("w",), iter([pdf[:1500], pdf[1500:]]), None)) == [] and handle.timers == [1]
+    got = [tuple(r) for ms in (500 * 60_000 + 1, 2000 * 60_000, 2999 * 60_000 + 1) for d in one.handleExpiredTimer(("w",), Clock(ms), None) for r in d.values.tolist()]
+    assert got == [("w", "b", 1030 * minute, "x")] and not handle.kept
+    assert handle.kept.most <= 60
