@@ -34,12 +34,22 @@ def build_edges(claims: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     first = F.min(F.struct("seq", (-F.col("confidence")).alias("down"), "doc")).alias("f")
     got = claims.groupBy(*EDGE).agg(first, F.array_sort(F.collect_set("source_id")).alias("source_ids"))
     got = got.select(*EDGE, F.col("f.doc").alias("doc"), (-F.col("f.down")).alias("confidence"), "source_ids", F.size("source_ids").cast("long").alias("source_count"))
-    if nodes is None:
-        return got
+    return got if nodes is None else with_ends(got, nodes)
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of which both ends are nodes."""
+    columns = edges.columns
     for side in ("src", "tgt"):
         keys = nodes.select("ws", F.col("label").alias(f"{side}_label"), F.col("name").alias(side))
-        got = got.join(keys, ["ws", f"{side}_label", side], "left_semi")
-    return got.select(*EDGE, "doc", "confidence", "source_ids", "source_count")
+        edges = edges.join(keys, ["ws", f"{side}_label", side], "left_semi")
+    return edges.select(*columns)
+
+
+def node_keys(edges: DataFrame) -> DataFrame:
+    """Each node (ws, label, name) that edges name, once."""
+    two = F.array(F.struct(F.col("src_label").alias("label"), F.col("src").alias("name")), F.struct(F.col("tgt_label").alias("label"), F.col("tgt").alias("name")))
+    return edges.select("ws", F.explode(two).alias("e")).select("ws", "e.label", "e.name").distinct()
 
 
 def edge_keys(claims: DataFrame) -> DataFrame:

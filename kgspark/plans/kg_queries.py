@@ -75,8 +75,9 @@ def sink_7_edges(c: DataFrame) -> DataFrame:
 @over_graph("sink_3_checked_ends", "select ws, rel, count(*) as n from edges where not (src_label = 'Concept' and src like '%1') and not (tgt_label = 'Concept' and tgt like '%1') group by all")
 def sink_3_checked(c: DataFrame) -> DataFrame:
     """Concepts whose names end in 1 are no nodes: edges at them are dropped."""
-    nodes = G.build_nodes(c).where(~((F.col("label") == "Concept") & F.col("name").endswith("1")))
-    return counted(G.build_edges(c, nodes), "ws", "rel")
+    keys = stored(G.edge_keys(c), "edge-keys")
+    nodes = G.node_keys(keys).where(~((F.col("label") == "Concept") & F.col("name").endswith("1")))
+    return counted(G.with_ends(keys, stored(nodes, "node-keys")), "ws", "rel")
 
 
 @over_graph("sink_2_last_writer", "select ws, src, arg_max(doc, seq) as doc from claims where rel = 'AUTHORED' and src_label = 'Person' group by all")
