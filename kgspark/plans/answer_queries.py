@@ -12,6 +12,7 @@ from kgspark.operators import graph as G
 from kgspark.operators import patterns as P
 from kgspark.operators import retrieval as R
 from kgspark.plans.registry import over_graph, over_tables
+from kgspark.store import stored
 
 
 @over_graph(
@@ -20,8 +21,9 @@ from kgspark.plans.registry import over_graph, over_tables
 )
 def fil_2(c: DataFrame) -> DataFrame:
     """Persons whose names end in 4 are stubs."""
-    nodes = G.build_nodes(c).withColumn("is_stub", (F.col("label") == "Person") & F.col("name").endswith("4"))
-    return A.graph_edges(G.build_edges(c), nodes)
+    edges = stored(G.build_edges(c).select(*G.EDGE, "confidence"), "edges")
+    nodes = stored(G.node_keys(edges).withColumn("is_stub", (F.col("label") == "Person") & F.col("name").endswith("4")), "node-keys")
+    return A.graph_edges(edges, nodes)
 
 
 @over_tables("fil_10_slugs", "pages", "select page_id, array_to_string(list_slice(list_filter(string_split(url, '/'), lambda x: contains(x, '.') and length(x) between 3 and 20), 1, 4), ',') as slugs from pages")

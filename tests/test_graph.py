@@ -255,7 +255,7 @@ def test_connections_join_only_edges_at_asked_names(spark, monkeypatch):
     assert kept["connection-legs"].count() == 7  # of 112 ends
 
 
-@pytest.mark.parametrize("name", ["join_12_entity_context", "sink_3_checked_ends"])
+@pytest.mark.parametrize("name", ["join_12_entity_context", "sink_3_checked_ends", "fil_2_graph_edges"])
 def test_claims_are_aggregated_once(spark, name, monkeypatch):
     """What is derived from edges or asked of them several times is written once: the result reads no table of the input again."""
     from kgspark.operators import patterns as P
