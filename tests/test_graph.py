@@ -272,3 +272,37 @@ def test_claims_are_aggregated_once(spark, name, monkeypatch):
     got = registry.queries()[name](spark, "/root/testdata/sf0.001")
     read = [sum("lineitem" in f for f in df.inputFiles()) for df in [*plans, got]]
     assert sum(read) == (2 if name == "join_12_entity_context" else 1), read
+
+
+def test_communities_of_blocks_equal_those_of_one_task(spark, monkeypatch):
+    """A round sends nodes to blocks and no row for each edge; blocks of a few edges find the communities that one task finds."""
+    import random
+
+    from kgspark.operators import blocks as B
+
+    deal, sent = random.Random(7), []
+    rows = [(f"{g}{deal.randrange(9)}", f"{g}{deal.randrange(9)}", "X", deal.choice([1.0, 0.5])) for g in "abcd" for _ in range(30)] + [(f"{g}1", "b2", "X", 0.3) for g in "acd"]
+    w = G.weighted_edges(edges(spark, rows))
+    got = lambda: {(r.name, r.label) for r in A.communities(w, passes=1, tol=1e-3, patience=1).collect()}
+    one = got()
+    monkeypatch.setattr(B, "EDGES_OF_ONE_TASK", 0)
+    monkeypatch.setattr(B, "EDGES_A_BLOCK", 60)
+    run = B.Blocks.run
+    monkeypatch.setattr(B.Blocks, "run", lambda self, told, *a: sent.append((self.parts, self.n, told.join(self.names, "id").agg(F.sum(F.size("ps"))).first()[0])) or run(self, told, *a))
+    assert got() == one and 1 < len({label for _, label in one}) < len(one) and sent[0][0] > 1 and all(rows <= 2 * n for _, n, rows in sent)
+
+
+def test_contracted_edges_keep_components(spark):
+    import random
+
+    from kgspark.operators.blocks import contracted
+
+    deal = random.Random(5)
+    rows = [(deal.randrange(60), deal.randrange(60)) for _ in range(45)] + [(99, 99)]
+    e = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    root = {x: x for r in rows for x in r}
+    for _ in root:
+        for a, b in rows:
+            root[a] = root[b] = min(root[a], root[b])
+    few = contracted(e, 10)
+    assert few.count() < len(rows) and {(r.id, r.root) for r in A.connected(e).collect()} == set(root.items())
