@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kgspark.store import stored
+from kgspark.store import stored, unsent
+
+MOST_SENT = 100_000  # names that a join may broadcast
 
 
 def match_edges(edges: DataFrame, rels: list[str], src_label: str | None = None, tgt_label: str | None = None) -> DataFrame:
@@ -102,19 +104,19 @@ def entity_context(edges: DataFrame, names: DataFrame, limit: int = 25) -> DataF
 def connections(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each pair (ws, a, b): whether an edge joins them, and their shared neighbours, sorted and comma-joined. Edges (or claims) may repeat.
 
-    Only edges at asked names are joined: they and the pairs are written once, and of the edges at `a` only those are followed whose other end is next to some `b`.
+    Only edges at asked names are joined: they and the pairs are written once, and of the edges at `a` only those are followed whose other end is next to some `b`. None of these tables is broadcast, as they are small as files and not in the driver, but names of up to MOST_SENT.
     """
     from kgspark.operators.graph import both_ways
 
     pairs = stored(pairs.select("ws", "a", "b"), "connection-pairs")
-    names = pairs.select("ws", F.explode(F.array("a", "b")).alias("a")).distinct()
-    legs = stored(both_ways(edges).select("ws", "a", "b").join(names, ["ws", "a"], "left_semi").distinct(), "connection-legs")
-    last = stored(legs.join(pairs.select("ws", F.col("b").alias("a")).distinct(), ["ws", "a"], "left_semi").select("ws", F.col("b").alias("mid"), F.col("a").alias("b")), "connection-ends")
-    first = legs.withColumnRenamed("b", "mid").join(last.select("ws", "mid").distinct(), ["ws", "mid"], "left_semi")
-    direct = legs.join(pairs.distinct(), ["ws", "a", "b"], "left_semi").withColumn("direct", F.lit(True))
-    near = pairs.distinct().join(first, ["ws", "a"]).join(last, ["ws", "mid", "b"]).where("mid <> a and mid <> b")
+    names = stored(pairs.select("ws", F.explode(F.array("a", "b")).alias("a")).distinct(), "connection-names")
+    legs = stored(both_ways(edges).select("ws", "a", "b").join(F.broadcast(names) if names.count() <= MOST_SENT else unsent(names), ["ws", "a"], "left_semi").distinct(), "connection-legs")
+    last = stored(legs.join(unsent(pairs.select("ws", F.col("b").alias("a")).distinct()), ["ws", "a"], "left_semi").select("ws", F.col("b").alias("mid"), F.col("a").alias("b")), "connection-ends")
+    first = legs.withColumnRenamed("b", "mid").join(unsent(last.select("ws", "mid").distinct()), ["ws", "mid"], "left_semi")
+    direct = legs.join(unsent(pairs.distinct()), ["ws", "a", "b"], "left_semi").withColumn("direct", F.lit(True))
+    near = pairs.distinct().join(unsent(first), ["ws", "a"]).join(unsent(last), ["ws", "mid", "b"]).where("mid <> a and mid <> b")
     near = near.groupBy("ws", "a", "b").agg(F.array_sort(F.collect_set("mid")).alias("mids")).select("ws", "a", "b", F.array_join("mids", ",").alias("shared"), F.size("mids").cast("long").alias("n_shared"))
-    return pairs.join(direct, ["ws", "a", "b"], "left").join(near, ["ws", "a", "b"], "left").select("ws", "a", "b", F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("shared", F.lit("")).alias("shared"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return pairs.join(unsent(direct), ["ws", "a", "b"], "left").join(unsent(near), ["ws", "a", "b"], "left").select("ws", "a", "b", F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("shared", F.lit("")).alias("shared"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
 def detect_conflicts(claims: DataFrame) -> DataFrame:

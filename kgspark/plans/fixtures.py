@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kgspark.plans.registry import table
+from kgspark.store import unsent
 
 CLAIM = ["ws", "source_id", "seq", "src_label", "src", "rel", "tgt_label", "tgt", "doc", "confidence"]
 
@@ -32,26 +33,29 @@ def _made(src_label: str, src: Column, rel: Column | str, tgt_label: str, tgt: C
 LINES_AT_ONCE = 8 << 20  # bytes of the lines' files that one task makes claims of
 
 
+SENT_UP_TO = 64 << 20  # bytes of the lines' files beyond which no join of the claims broadcasts
+
+
 def _dealt(spark: SparkSession, sf_dir: str):  # noqa: ANN202
-    """A function that deals rows by a key to as many tasks as large tables need. Claims are aggregated in the tasks that make them, so the memory of one must not grow with the tables; small ones are left to Spark."""
+    """Two functions. One deals rows by a key to as many tasks as large tables need. Claims are aggregated in the tasks that make them, so the memory of one must not grow with the tables; small ones are left to Spark. The other keeps rows from being broadcast by joins of large tables, whose filtered rows are few bytes as files and many in the driver."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
-    n = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(at).getLength() // LINES_AT_ONCE
-    return lambda rows, key: rows.repartition(n, key) if n > spark.sparkContext.defaultParallelism else rows
+    n = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(at).getLength()
+    return lambda rows, key: rows.repartition(n // LINES_AT_ONCE, key) if n // LINES_AT_ONCE > spark.sparkContext.defaultParallelism else rows, lambda rows: unsent(rows) if n > SENT_UP_TO else rows
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is read once for all of its claims; what makes one claim a row is a branch of the union, so that filters on relations drop branches."""
-    dealt = _dealt(spark, sf_dir)
+    dealt, kept = _dealt(spark, sf_dir)
     customer, orders = table(spark, sf_dir, "customer"), dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), "o_custkey")
     ws = F.concat(F.lit("ws_"), F.lower("c_mktsegment")).alias("ws")
     order = lambda k: F.concat(F.lit("order-"), F.col(k).cast("string"))
-    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    o = orders.join(kept(customer), F.col("o_custkey") == F.col("c_custkey")).select(
         ws, F.concat(F.lit("src_"), (F.col("o_orderkey") % 7).cast("string")).alias("source_id"), F.col("o_orderkey").alias("seq"),
         order("o_orderkey").alias("doc"), "c_name", "o_orderpriority", "o_custkey", "o_orderdate", "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_discount")
-    l = dealt(lines, "l_orderkey").join(dealt(o.select("ws", "source_id", "seq", "doc", "o_orderkey"), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    l = dealt(lines, "l_orderkey").join(kept(dealt(o.select("ws", "source_id", "seq", "doc", "o_orderkey"), "o_orderkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    co = l.where("l_linenumber = 1").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("ws", "source_id", "seq", "doc", "s_name").distinct()
+    co = l.where("l_linenumber = 1").join(kept(supplier), F.col("l_suppkey") == F.col("s_suppkey")).select("ws", "source_id", "seq", "doc", "s_name").distinct()
     part, paper = F.concat(F.lit("part-"), F.col("l_partkey").cast("string")), F.col("doc")
     kind = F.when(F.col("l_returnflag") == "N", "SUPPORTS").when(F.col("l_returnflag") == "R", "CONTRADICTS").otherwise("RELATED_TO")
     before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))

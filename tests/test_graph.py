@@ -306,3 +306,19 @@ def test_contracted_edges_keep_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     few = contracted(e, 10)
     assert few.count() < len(rows) and {(r.id, r.root) for r in A.connected(e).collect()} == set(root.items())
+
+
+def test_large_connections_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Many names are not sent to the driver, nor are large tables' orders, customers and suppliers by the joins of the claims."""
+    from kgspark.operators import patterns as P
+    from kgspark.plans import fixtures
+
+    monkeypatch.setattr(P, "MOST_SENT", 1)
+    plans, write = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name="table", **more: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df, name, **more))
+    e = spark.createDataFrame([("w", "p", "m", "X"), ("w", "m", "q", "X"), ("w", "q", "p", "Y")], "ws string, src string, tgt string, rel string")
+    got = P.connections(e, spark.createDataFrame([("w", "p", "q"), ("w", "p", "z")], "ws string, a string, b string"))
+    assert {(r.b, r.direct, r.shared) for r in got.collect()} == {("q", True, "m"), ("z", False, "")}
+    monkeypatch.setattr(fixtures, "SENT_UP_TO", 0)
+    plans += [x._jdf.queryExecution().sparkPlan().toString() for x in (got, fixtures.claims(spark, "/root/testdata/sf0.001"))]
+    assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
