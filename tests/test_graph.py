@@ -322,3 +322,16 @@ def test_large_connections_broadcast_nothing_that_grows(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "SENT_UP_TO", 0)
     plans += [x._jdf.queryExecution().sparkPlan().toString() for x in (got, fixtures.claims(spark, "/root/testdata/sf0.001"))]
     assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
+
+
+def test_deleted_documents_make_claims_once(spark, monkeypatch):
+    """Nodes come from the written edges, not from the claims again."""
+    from kgspark.plans import upkeep_queries as Q
+    from kgspark.plans.fixtures import claims
+
+    kept, write = {}, Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df, name="table", **more: kept.setdefault(name, (df._jdf.queryExecution().optimizedPlan().toString(), write(df, name, **more)))[1])
+    c = claims(spark, "/root/testdata/sf0.001")
+    Q.set_6(c)
+    assert "c_custkey" in kept["upkeep-edges"][0] and "c_custkey" not in kept["upkeep-nodes"][0]
+    assert kept["upkeep-nodes"][1].count() == G.build_nodes(c).count()
